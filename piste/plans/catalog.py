@@ -1,0 +1,59 @@
+"""Registered queries over the driver tables.
+
+Each entry takes ``(spark, sf_dir)`` and returns a DataFrame computed over the whole
+tables (no sampling, no caps; a limit appears only where top-k is the feature).
+Double columns are rounded to 4 places so results compare stably across engines.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from piste.functions.core import round_doubles
+from piste.plans import views as V
+from piste.plans.semantic import query
+from piste.plans.star import Star
+
+QueryFn = Callable[[SparkSession, str], DataFrame]
+REGISTRY: dict[str, QueryFn] = {}
+
+
+def register(name: str):
+    def deco(fn):
+        REGISTRY[name] = fn
+        return fn
+    return deco
+
+
+def _sem(view, metrics, dims, **kw) -> QueryFn:
+    def run(spark, sf_dir):
+        return round_doubles(query(view, Star(spark, sf_dir), metrics, dims, **kw))
+    return run
+
+
+def _all(view):
+    return [m.name for m in view.metrics]
+
+
+# -- semantic views (V02-V07) ---------------------------------------------------------
+REGISTRY["sem_revenue_by_season_segment"] = _sem(
+    V.REVENUE, ["TICKET_REVENUE", "RENTAL_REVENUE", "FNB_REVENUE", "TOTAL_REVENUE"], ["SKI_SEASON", "CUSTOMER_SEGMENT"])
+REGISTRY["sem_revenue_by_location_type"] = _sem(V.REVENUE, _all(V.REVENUE), ["LOCATION_TYPE"])
+REGISTRY["sem_revenue_by_ticket_category"] = _sem(
+    V.REVENUE, ["TICKET_REVENUE", "TICKETS_SOLD", "ADVANCE_SALES_SHARE_PCT", "ONLINE_CHANNEL_REVENUE",
+                "ONLINE_CHANNEL_SHARE_PCT", "AVERAGE_TICKET_PRICE"], ["TICKET_CATEGORY", "MONTH_NAME"])
+REGISTRY["sem_revenue_by_product_category"] = _sem(
+    V.REVENUE, ["RENTAL_REVENUE", "RENTAL_TRANSACTIONS", "RENTAL_MARKUP_DOLLARS", "FNB_REVENUE", "FNB_TRANSACTIONS",
+                "FNB_UPSELL_REVENUE"], ["PRODUCT_CATEGORY"])
+REGISTRY["sem_customer_behavior_by_segment_age"] = _sem(
+    V.CUSTOMER_BEHAVIOR, _all(V.CUSTOMER_BEHAVIOR), ["CUSTOMER_SEGMENT", "AGE_GROUP"])
+REGISTRY["sem_daily_summary_by_season_month"] = _sem(
+    V.DAILY_SUMMARY, _all(V.DAILY_SUMMARY), ["SKI_SEASON", "MONTH_NAME"])
+REGISTRY["sem_operations_by_lift_type"] = _sem(
+    V.OPERATIONS, [m for m in _all(V.OPERATIONS) if not m.endswith("_APPROX")], ["LIFT_TYPE", "TERRAIN_TYPE"])
+REGISTRY["sem_passholder_by_season"] = _sem(V.PASSHOLDER, _all(V.PASSHOLDER), ["SKI_SEASON"])
+REGISTRY["sem_revenue_totals"] = _sem(V.REVENUE, ["TICKET_REVENUE", "RENTAL_REVENUE", "FNB_REVENUE", "TOTAL_REVENUE"],
+                                      [])
