@@ -179,7 +179,7 @@ LEFT JOIN dim_product p ON l_partkey = p.product_id
 WHERE l_returnflag = 'R'""")
 
 
-def with_ctes(names, body: str) -> str:
+def with_ctes(names, body: str, extra: list[tuple[str, str]] = ()) -> str:
     order: list[str] = []
 
     def visit(n):
@@ -191,6 +191,7 @@ def with_ctes(names, body: str) -> str:
 
     for n in names:
         visit(n)
-    if not order:
+    items = [(n, CTES[n][1]) for n in order] + list(extra)
+    if not items:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]}\n)" for n in order) + "\n" + body
+    return "WITH " + ",\n".join(f"{n} AS ({sql}\n)" for n, sql in items) + "\n" + body

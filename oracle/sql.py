@@ -211,3 +211,63 @@ ORACLE["sem_passholder_by_season"] = with_ctes(
                          {"SKI_SEASON": "d.ski_season"}, list(PASS_PU) + list(PASS_TS)),
             ["PASS_USAGE_PER_HOLDER", "PASS_HOURS_TOTAL", "AVERAGE_PASS_SESSION_HOURS", "PASS_REVENUE_TOTAL",
              "AVERAGE_PASS_PRICE", "ADVANCE_PASS_SHARE_PCT"]))
+
+
+# -- named business queries --------------------------------------------------------------
+PU_C = "fact_pass_usage p JOIN dim_customer c ON p.customer_key = c.customer_key"
+PU_DC = """fact_pass_usage p LEFT JOIN dim_date d ON p.date_key = d.date_key
+  LEFT JOIN dim_customer c ON p.customer_key = c.customer_key"""
+PU_CTES = ["fact_pass_usage", "dim_customer", "dim_date"]
+
+ORACLE["n01_avg_wait_by_lift_top5"] = with_ctes(["fact_lift_scans", "dim_lift"], """
+SELECT l.lift_name AS LIFT_NAME, round(avg(f.wait_time_minutes), 2) AS AVG_WAIT
+FROM fact_lift_scans f JOIN dim_lift l ON f.lift_key = l.lift_key
+GROUP BY l.lift_name ORDER BY AVG_WAIT DESC, LIFT_NAME LIMIT 5""")
+ORACLE["n04_segment_visit_profile"] = with_ctes(PU_CTES, f"""
+SELECT c.customer_segment AS CUSTOMER_SEGMENT, count(DISTINCT p.customer_key) AS CUSTOMERS, count(*) AS VISITS,
+       round(avg(p.total_lift_rides), 1) AS AVG_RIDES
+FROM {PU_C} GROUP BY 1""")
+ORACLE["n05_visits_per_customer_by_segment"] = with_ctes(PU_CTES, f"""
+SELECT c.customer_segment AS CUSTOMER_SEGMENT, count(DISTINCT p.customer_key) AS CUSTOMERS,
+       round(count(*) * 1.0 / count(DISTINCT p.customer_key), 1) AS VISITS_PER_CUSTOMER
+FROM {PU_C} GROUP BY 1""")
+ORACLE["n06_revenue_by_category"] = with_ctes(["fact_ticket_sales", "fact_food_beverage", "fact_rentals"], """
+SELECT 'Tickets' AS CATEGORY, round(CAST(sum(purchase_amount) AS DOUBLE), 4) AS REVENUE FROM fact_ticket_sales
+UNION ALL SELECT 'F&B', round(CAST(sum(total_amount) AS DOUBLE), 4) FROM fact_food_beverage
+UNION ALL SELECT 'Rentals', round(CAST(sum(rental_amount) AS DOUBLE), 4) FROM fact_rentals""")
+ORACLE["n07_visits_by_segment"] = with_ctes(PU_CTES, f"""
+SELECT c.customer_segment AS CUSTOMER_SEGMENT, count(*) AS VISITS FROM {PU_C} GROUP BY 1""")
+ORACLE["n08_season_by_pass_holder"] = with_ctes(PU_CTES, f"""
+SELECT d.ski_season AS SKI_SEASON, c.is_pass_holder AS IS_PASS_HOLDER, count(*) AS VISITS FROM {PU_DC} GROUP BY 1, 2""")
+ORACLE["n08_top_states"] = with_ctes(PU_CTES, f"""
+SELECT c.state AS HOME_STATE, count(*) AS VISITS FROM {PU_DC} GROUP BY 1 ORDER BY VISITS DESC, HOME_STATE LIMIT 10""")
+ORACLE["n08_age_mix"] = with_ctes(PU_CTES, f"""
+SELECT c.age_group AS AGE_GROUP, count(*) AS VISITS, count(DISTINCT c.customer_segment) AS SEGMENTS
+FROM {PU_DC} GROUP BY 1""")
+ORACLE["n09_yoy_by_week_of_season"] = with_ctes(PU_CTES, """
+SELECT a.ski_season AS SKI_SEASON, a.week_of_season AS WEEK_OF_SEASON, a.VISITS, b.VISITS AS PREV_SEASON_VISITS,
+       round(round((a.VISITS - b.VISITS) / NULLIF(CAST(b.VISITS AS DOUBLE), 0) * 100, 2), 4) AS YOY_GROWTH_PCT
+FROM g a LEFT JOIN g b ON b.week_of_season = a.week_of_season
+ AND b.ski_season = CAST(CAST(substr(a.ski_season, 1, 4) AS INTEGER) - 1 AS VARCHAR) || '-' || substr(a.ski_season, 1, 4)
+""", extra=[("g", f"""SELECT d.ski_season, d.week_of_season, count(*) AS VISITS FROM {PU_DC}
+        WHERE d.ski_season IS NOT NULL GROUP BY 1, 2""")])
+ORACLE["n10_weekend_vs_weekday_waits"] = with_ctes(["fact_lift_scans", "dim_date"], """
+SELECT d.is_weekend AS IS_WEEKEND, count(*) AS SCANS, round(avg(f.wait_time_minutes), 4) AS AVG_WAIT
+FROM fact_lift_scans f LEFT JOIN dim_date d ON f.date_key = d.date_key GROUP BY 1""")
+ORACLE["n10_hourly_profile"] = with_ctes(["fact_lift_scans"], """
+SELECT scan_hour AS SCAN_HOUR, count(*) AS SCANS, round(avg(wait_time_minutes), 4) AS AVG_WAIT
+FROM fact_lift_scans GROUP BY 1""")
+ORACLE["n18_unknown_entity"] = with_ctes(PU_CTES, f"""
+SELECT c.customer_segment AS CUSTOMER_SEGMENT, count(p.usage_key) AS TOTAL_VISITS FROM {PU_DC}
+WHERE c.customer_segment = 'no_such_segment' GROUP BY 1""")
+ORACLE["n14_revenue_per_visitor"] = with_ctes(REV_CTES + PU_CTES, """
+SELECT coalesce(r.SKI_SEASON, v.SKI_SEASON) AS SKI_SEASON, round(r.TOTAL_REVENUE, 4) AS TOTAL_REVENUE,
+       v.UNIQUE_CUSTOMERS, round(r.TOTAL_REVENUE / NULLIF(CAST(v.UNIQUE_CUSTOMERS AS DOUBLE), 0), 4) AS REVENUE_PER_VISITOR
+FROM r FULL JOIN v ON r.SKI_SEASON IS NOT DISTINCT FROM v.SKI_SEASON""", extra=[
+    ("r", drill_across([(FTS_J, {"TICKET_REVENUE": TICKET_METRICS["TICKET_REVENUE"]}),
+                        (FR_J, {"RENTAL_REVENUE": RENTAL_METRICS["RENTAL_REVENUE"]}),
+                        (FFB_J, {"FNB_REVENUE": FNB_METRICS["FNB_REVENUE"]})],
+                       {"SKI_SEASON": "d.ski_season"}, ["TOTAL_REVENUE"],
+                       {"TOTAL_REVENUE": "CAST(" + TOTAL_REV["TOTAL_REVENUE"] + " AS DOUBLE)"})),
+    ("v", "SELECT d.ski_season AS SKI_SEASON, count(DISTINCT f.customer_key) AS UNIQUE_CUSTOMERS FROM " + PU_J
+     + " GROUP BY 1")])

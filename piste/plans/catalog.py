@@ -57,3 +57,30 @@ REGISTRY["sem_operations_by_lift_type"] = _sem(
 REGISTRY["sem_passholder_by_season"] = _sem(V.PASSHOLDER, _all(V.PASSHOLDER), ["SKI_SEASON"])
 REGISTRY["sem_revenue_totals"] = _sem(V.REVENUE, ["TICKET_REVENUE", "RENTAL_REVENUE", "FNB_REVENUE", "TOTAL_REVENUE"],
                                       [])
+
+
+# -- named business queries (N01-N18) -------------------------------------------------
+def _named(fn) -> QueryFn:
+    def run(spark, sf_dir):
+        return round_doubles(fn(Star(spark, sf_dir)))
+    return run
+
+
+from piste.plans import named as N  # noqa: E402
+
+for _name, _fn in (
+    ("n01_avg_wait_by_lift_top5", N.n01_avg_wait_by_lift_top5),
+    ("n04_segment_visit_profile", N.n04_segment_visit_profile),
+    ("n05_visits_per_customer_by_segment", N.n05_visits_per_customer_by_segment),
+    ("n06_revenue_by_category", N.n06_revenue_by_category),
+    ("n07_visits_by_segment", N.n07_visits_by_segment),
+    ("n08_season_by_pass_holder", N.n08_season_by_pass_holder),
+    ("n08_top_states", N.n08_top_states),
+    ("n08_age_mix", N.n08_age_mix),
+    ("n09_yoy_by_week_of_season", N.n09_yoy_by_week_of_season),
+    ("n10_weekend_vs_weekday_waits", N.n10_weekend_vs_weekday_waits),
+    ("n10_hourly_profile", N.n10_hourly_profile),
+    ("n14_revenue_per_visitor", N.n14_revenue_per_visitor),
+    ("n18_unknown_entity", N.n18_unknown_entity),
+):
+    REGISTRY[_name] = _named(_fn)
