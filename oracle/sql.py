@@ -271,3 +271,39 @@ FROM r FULL JOIN v ON r.SKI_SEASON IS NOT DISTINCT FROM v.SKI_SEASON""", extra=[
                        {"TOTAL_REVENUE": "CAST(" + TOTAL_REV["TOTAL_REVENUE"] + " AS DOUBLE)"})),
     ("v", "SELECT d.ski_season AS SKI_SEASON, count(DISTINCT f.customer_key) AS UNIQUE_CUSTOMERS FROM " + PU_J
      + " GROUP BY 1")])
+
+
+# -- data-quality suite ------------------------------------------------------------------
+def _check_rows():
+    from piste.plans.catalog import STAR_CHECKS
+
+    rows = []
+    for c in STAR_CHECKS:
+        col = c.column
+        if c.kind == "unique":
+            q = f"SELECT count(*) FROM (SELECT {col} FROM {c.table} WHERE {col} IS NOT NULL GROUP BY 1 HAVING count(*) > 1)"
+        elif c.kind == "not_null":
+            q = f"SELECT count(*) FROM {c.table} WHERE {col} IS NULL"
+        elif c.kind == "accepted_values":
+            vals = ", ".join(f"'{v}'" for v in c.values)
+            q = f"SELECT count(*) FROM {c.table} WHERE {col} IS NOT NULL AND {col} NOT IN ({vals})"
+        else:
+            q = (f"SELECT count(*) FROM {c.table} ch WHERE ch.{col} IS NOT NULL AND NOT EXISTS "
+                 f"(SELECT 1 FROM {c.parent} pa WHERE pa.{c.parent_column} = ch.{col})")
+        rows.append(f"SELECT '{c.name}' AS check_name, '{c.kind}' AS kind, '{c.table}' AS table_name, "
+                    f"'{col}' AS column_name, ({q}) AS failures")
+    body = "\nUNION ALL\n".join(rows)
+    tables = sorted({c.table for c in STAR_CHECKS} | {c.parent for c in STAR_CHECKS if c.parent})
+    return with_ctes(tables, f"""SELECT check_name, kind, table_name, column_name, CAST(failures AS BIGINT) AS failures,
+       CASE WHEN failures = 0 THEN 'pass' ELSE 'fail' END AS status FROM (
+{body}) s""")
+
+
+ORACLE["q06_star_quality_suite"] = _check_rows()
+ORACLE["q07_visits_calendar_overlap"] = with_ctes(["fact_pass_usage", "dim_date"], """
+SELECT (SELECT min(visit_date) FROM fact_pass_usage) AS left_min, (SELECT max(visit_date) FROM fact_pass_usage) AS left_max,
+       (SELECT count(DISTINCT visit_date) FROM fact_pass_usage) AS left_days,
+       (SELECT min(full_date) FROM dim_date) AS right_min, (SELECT max(full_date) FROM dim_date) AS right_max,
+       (SELECT count(DISTINCT full_date) FROM dim_date) AS right_days,
+       (SELECT count(*) FROM (SELECT DISTINCT visit_date FROM fact_pass_usage) a
+          JOIN (SELECT DISTINCT full_date FROM dim_date) b ON a.visit_date = b.full_date) AS overlap_days""")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from piste.functions.core import bounded_broadcast, date_key, surrogate_key, ts_text
+from piste.functions.core import NULL_KEY_TOKEN, bounded_broadcast, date_key, surrogate_key, table_is_small
 
 DIM_BROADCAST_ROWS = 1_000_000
 
@@ -26,7 +26,19 @@ def _current(dim: DataFrame, id_col: str, cols: dict[str, str]) -> DataFrame:
     """Narrow the current version of a dimension to ``id`` + renamed columns, size-checked."""
     d = dim.filter(F.col("is_current")) if "is_current" in dim.columns else dim
     d = d.select(F.col(id_col).alias(f"__{id_col}"), *[F.col(k).alias(v) for k, v in cols.items()])
-    return bounded_broadcast(d, DIM_BROADCAST_ROWS)
+    return bounded_broadcast(d, known_small=table_is_small(dim, DIM_BROADCAST_ROWS))
+
+
+def _version_key(natural: str, dim_key: str) -> Column:
+    """Key of (natural id, version start) as the reference hashes it.
+
+    When the dimension matched, that hash *is* the dimension's own key, so it is taken
+    from the join instead of re-hashed per fact row; only dangling rows hash the id
+    with the NULL token.
+    """
+    dangling = F.md5(F.concat_ws("-", F.coalesce(F.col(natural).cast("string"), F.lit(NULL_KEY_TOKEN)),
+                                 F.lit(NULL_KEY_TOKEN)))
+    return F.coalesce(F.col(dim_key), dangling)
 
 
 def _lookup(df: DataFrame, dim: DataFrame, id_col: str, cols: dict[str, str]) -> DataFrame:
@@ -35,12 +47,12 @@ def _lookup(df: DataFrame, dim: DataFrame, id_col: str, cols: dict[str, str]) ->
 
 
 def _customer_key() -> Column:
-    return surrogate_key(F.col("customer_id"), ts_text("__c_valid_from"))
+    return _version_key("customer_id", "__c_key")
 
 
 # F01
 def fact_lift_scans(stg: DataFrame, dim_customer: DataFrame, load_ts: str) -> DataFrame:
-    s = _lookup(stg, dim_customer, "customer_id", {"valid_from": "__c_valid_from"})
+    s = _lookup(stg, dim_customer, "customer_id", {"customer_key": "__c_key"})
     return s.select(
         surrogate_key(F.col("scan_id")).alias("scan_key"),
         date_key("scan_date").alias("date_key"),
@@ -54,7 +66,7 @@ def fact_lift_scans(stg: DataFrame, dim_customer: DataFrame, load_ts: str) -> Da
 
 # F02
 def fact_pass_usage(stg: DataFrame, dim_customer: DataFrame, load_ts: str) -> DataFrame:
-    s = _lookup(stg, dim_customer, "customer_id", {"valid_from": "__c_valid_from"})
+    s = _lookup(stg, dim_customer, "customer_id", {"customer_key": "__c_key"})
     return s.select(
         surrogate_key(F.col("usage_id")).alias("usage_key"),
         date_key("visit_date").alias("date_key"),
@@ -67,16 +79,16 @@ def fact_pass_usage(stg: DataFrame, dim_customer: DataFrame, load_ts: str) -> Da
 
 # F03
 def fact_ticket_sales(stg: DataFrame, dim_customer: DataFrame, dim_ticket_type: DataFrame) -> DataFrame:
-    s = _lookup(stg, dim_customer, "customer_id", {"valid_from": "__c_valid_from"})
+    s = _lookup(stg, dim_customer, "customer_id", {"customer_key": "__c_key"})
     s = _lookup(s, dim_ticket_type, "ticket_type_id",
-                {"valid_from": "__tt_valid_from", "ticket_category": "ticket_category",
+                {"ticket_type_key": "__tt_key", "ticket_category": "ticket_category",
                  "access_level": "access_level", "price": "list_price"})
     return s.select(
         surrogate_key(F.col("sale_id")).alias("sale_key"),
         date_key("purchase_date").alias("purchase_date_key"),
         _customer_key().alias("customer_key"),
         surrogate_key(F.col("location_id")).alias("location_key"),
-        surrogate_key(F.col("ticket_type_id"), ts_text("__tt_valid_from")).alias("ticket_type_key"),
+        _version_key("ticket_type_id", "__tt_key").alias("ticket_type_key"),
         "sale_id", "customer_id", "ticket_type_id", "location_id", "purchase_timestamp", "purchase_date",
         "purchase_hour", "valid_from_date", "valid_to_date", "days_until_valid", "purchase_amount",
         "payment_method", "purchase_channel", "is_advance_purchase", "created_at",
@@ -87,9 +99,9 @@ def fact_ticket_sales(stg: DataFrame, dim_customer: DataFrame, dim_ticket_type:
 
 # F04
 def fact_rentals(stg: DataFrame, dim_customer: DataFrame, dim_product: DataFrame) -> DataFrame:
-    s = _lookup(stg, dim_customer, "customer_id", {"valid_from": "__c_valid_from"})
+    s = _lookup(stg, dim_customer, "customer_id", {"customer_key": "__c_key"})
     s = _lookup(s, dim_product, "product_id",
-                {"valid_from": "__p_valid_from", "product_category": "product_category",
+                {"product_key": "__p_key", "product_category": "product_category",
                  "product_type": "product_type", "price": "list_price"})
     return s.select(
         surrogate_key(F.col("rental_id")).alias("rental_key"),
@@ -97,7 +109,7 @@ def fact_rentals(stg: DataFrame, dim_customer: DataFrame, dim_product: DataFrame
         date_key("return_date").alias("return_date_key"),
         _customer_key().alias("customer_key"),
         surrogate_key(F.col("location_id")).alias("location_key"),
-        surrogate_key(F.col("product_id"), ts_text("__p_valid_from")).alias("product_key"),
+        _version_key("product_id", "__p_key").alias("product_key"),
         "rental_id", "customer_id", "location_id", "product_id", "rental_timestamp", "rental_date",
         "rental_hour", "return_timestamp", "return_date", "return_hour", "returned_same_day",
         "rental_duration_hours", "rental_amount", "created_at", "product_category", "product_type",
@@ -108,16 +120,16 @@ def fact_rentals(stg: DataFrame, dim_customer: DataFrame, dim_product: DataFrame
 
 # F05
 def fact_food_beverage(stg: DataFrame, dim_customer: DataFrame, dim_product: DataFrame) -> DataFrame:
-    s = _lookup(stg, dim_customer, "customer_id", {"valid_from": "__c_valid_from"})
+    s = _lookup(stg, dim_customer, "customer_id", {"customer_key": "__c_key"})
     s = _lookup(s, dim_product, "product_id",
-                {"valid_from": "__p_valid_from", "product_category": "product_category",
+                {"product_key": "__p_key", "product_category": "product_category",
                  "product_type": "product_type", "price": "list_price"})
     return s.select(
         surrogate_key(F.col("transaction_id")).alias("transaction_key"),
         date_key("transaction_date").alias("transaction_date_key"),
         _customer_key().alias("customer_key"),
         surrogate_key(F.col("location_id")).alias("location_key"),
-        surrogate_key(F.col("product_id"), ts_text("__p_valid_from")).alias("product_key"),
+        _version_key("product_id", "__p_key").alias("product_key"),
         "transaction_id", "customer_id", "location_id", "product_id", "transaction_timestamp",
         "transaction_date", "transaction_hour", "quantity", "unit_price", "total_amount", "payment_method",
         "created_at", "product_category", "product_type", "list_price",
@@ -147,7 +159,7 @@ def fact_weather(stg: DataFrame, dim_date: DataFrame) -> DataFrame:
 def fact_staffing(stg: DataFrame, dim_date: DataFrame, dim_location: DataFrame) -> DataFrame:
     s = _date_lookup(stg, dim_date, "schedule_date")
     loc = bounded_broadcast(dim_location.select(F.col("location_id").alias("__location_id"), "location_key"),
-                            DIM_BROADCAST_ROWS)
+                            known_small=table_is_small(dim_location, DIM_BROADCAST_ROWS))
     s = s.join(loc, s.location_id == loc.__location_id, "left")
     return s.select(
         surrogate_key(F.col("schedule_id")).alias("staffing_key"),
@@ -178,7 +190,7 @@ def fact_marketing(stg: DataFrame, dim_date: DataFrame) -> DataFrame:
 
 def _segment_lookup(df: DataFrame, stg_customers: DataFrame) -> DataFrame:
     c = bounded_broadcast(stg_customers.select(F.col("customer_id").alias("__customer_id"), "customer_segment"),
-                          DIM_BROADCAST_ROWS)
+                          known_small=table_is_small(stg_customers, DIM_BROADCAST_ROWS))
     return df.join(c, df.customer_id == c.__customer_id, "left").drop("__customer_id")
 
 

@@ -28,9 +28,20 @@ def register(name: str):
     return deco
 
 
+_STARS: dict[tuple[int, str], Star] = {}
+
+
+def star_for(spark: SparkSession, sf_dir: str) -> Star:
+    """One lazily-built star per (session, input dir): plans and size checks are reused."""
+    key = (id(spark), sf_dir)
+    if key not in _STARS or _STARS[key].spark is not spark:
+        _STARS[key] = Star(spark, sf_dir)
+    return _STARS[key]
+
+
 def _sem(view, metrics, dims, **kw) -> QueryFn:
     def run(spark, sf_dir):
-        return round_doubles(query(view, Star(spark, sf_dir), metrics, dims, **kw))
+        return round_doubles(query(view, star_for(spark, sf_dir), metrics, dims, **kw))
     return run
 
 
@@ -62,7 +73,7 @@ REGISTRY["sem_revenue_totals"] = _sem(V.REVENUE, ["TICKET_REVENUE", "RENTAL_REVE
 # -- named business queries (N01-N18) -------------------------------------------------
 def _named(fn) -> QueryFn:
     def run(spark, sf_dir):
-        return round_doubles(fn(Star(spark, sf_dir)))
+        return round_doubles(fn(star_for(spark, sf_dir)))
     return run
 
 
@@ -84,3 +95,43 @@ for _name, _fn in (
     ("n18_unknown_entity", N.n18_unknown_entity),
 ):
     REGISTRY[_name] = _named(_fn)
+
+
+# -- data-quality suite (Q01-Q07) ------------------------------------------------------
+from piste.operators import quality as Q  # noqa: E402
+
+STAR_CHECKS = [
+    Q.Check("unique_fact_lift_scans_scan_key", "unique", "fact_lift_scans", "scan_key"),
+    Q.Check("unique_fact_ticket_sales_sale_key", "unique", "fact_ticket_sales", "sale_key"),
+    Q.Check("unique_fact_pass_usage_usage_key", "unique", "fact_pass_usage", "usage_key"),
+    Q.Check("unique_dim_customer_customer_key", "unique", "dim_customer", "customer_key"),
+    Q.Check("unique_dim_date_date_key", "unique", "dim_date", "date_key"),
+    Q.Check("not_null_fact_ticket_sales_customer_key", "not_null", "fact_ticket_sales", "customer_key"),
+    Q.Check("not_null_fact_ticket_sales_ticket_category", "not_null", "fact_ticket_sales", "ticket_category"),
+    Q.Check("not_null_fact_lift_scans_wait_time_minutes", "not_null", "fact_lift_scans", "wait_time_minutes"),
+    Q.Check("accepted_values_fact_ticket_sales_purchase_channel", "accepted_values", "fact_ticket_sales",
+            "purchase_channel", values=("online", "window", "kiosk")),
+    Q.Check("accepted_values_dim_customer_age_group", "accepted_values", "dim_customer", "age_group",
+            values=("Child", "Young Adult", "Adult", "Senior")),
+    Q.Check("relationships_fact_ticket_sales_customer_key", "relationships", "fact_ticket_sales", "customer_key",
+            "dim_customer", "customer_key"),
+    Q.Check("relationships_fact_ticket_sales_purchase_date_key", "relationships", "fact_ticket_sales",
+            "purchase_date_key", "dim_date", "date_key"),
+    Q.Check("relationships_fact_lift_scans_lift_key", "relationships", "fact_lift_scans", "lift_key", "dim_lift",
+            "lift_key"),
+    Q.Check("relationships_fact_rentals_product_key", "relationships", "fact_rentals", "product_key", "dim_product",
+            "product_key"),
+]
+
+
+def _quality_suite(spark, sf_dir):
+    return Q.run_suite(star_for(spark, sf_dir), STAR_CHECKS)
+
+
+def _overlap(spark, sf_dir):
+    st = star_for(spark, sf_dir)
+    return Q.overlap_profile(st["fact_pass_usage"], "visit_date", st["dim_date"], "full_date")
+
+
+REGISTRY["q06_star_quality_suite"] = _quality_suite
+REGISTRY["q07_visits_calendar_overlap"] = _overlap

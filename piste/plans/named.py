@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from piste.functions.core import bounded_broadcast, safe_div
+from piste.functions.core import bounded_broadcast, safe_div, table_is_small
 from piste.plans import views as V
 from piste.plans.semantic import _combine, query
 
@@ -20,7 +20,7 @@ DIM_ROWS = 1_000_000
 
 
 def _dim(df: DataFrame, *cols: str) -> DataFrame:
-    return bounded_broadcast(df.select(*cols), DIM_ROWS)
+    return bounded_broadcast(df.select(*cols), known_small=table_is_small(df, DIM_ROWS))
 
 
 def n01_avg_wait_by_lift_top5(t: Tables) -> DataFrame:

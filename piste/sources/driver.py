@@ -10,8 +10,26 @@ DRIVER_TABLES = (
 ).split()
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+# Lookup tables with a fixed, tiny cardinality (TPC-H: 5 regions, 25 nations).
+TINY_TABLES = {"region", "nation"}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, min_partitions: int | None = None) -> DataFrame:
+    """Read one driver table.
+
+    Scan parallelism guard: a table stored in fewer files than the cluster has cores
+    (here: one file with a single row group) is read by one task, which then does all
+    row-level work before the first shuffle.  Such a table is spread round-robin over
+    ``min_partitions`` (default: the default parallelism).  On a cluster the inputs are
+    thousands of files and the guard is a no-op.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in TINY_TABLES:
+        return df
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < target:
+        df = df.repartition(target)
+    return df
 
 
 class DriverTables:
@@ -21,6 +39,7 @@ class DriverTables:
         self.spark = spark
         self.sf_dir = sf_dir
         self._cache: dict[str, DataFrame] = {}
+        self._small: dict[tuple[str, int], bool] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in DRIVER_TABLES:
@@ -31,3 +50,12 @@ class DriverTables:
 
     def __getitem__(self, name: str) -> DataFrame:
         return getattr(self, name)
+
+    def small(self, name: str, max_rows: int) -> bool:
+        """Memoized row-count bound check of a driver table (see ``row_bound_ok``)."""
+        from piste.functions.core import row_bound_ok
+
+        key = (name, max_rows)
+        if key not in self._small:
+            self._small[key] = row_bound_ok(self[name], max_rows)
+        return self._small[key]
