@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.ctes import with_ctes
+from oracle.ctes import sk, ts, with_ctes
 
 ORACLE: dict[str, str] = {}
 
@@ -307,3 +307,26 @@ SELECT (SELECT min(visit_date) FROM fact_pass_usage) AS left_min, (SELECT max(vi
        (SELECT count(DISTINCT full_date) FROM dim_date) AS right_days,
        (SELECT count(*) FROM (SELECT DISTINCT visit_date FROM fact_pass_usage) a
           JOIN (SELECT DISTINCT full_date FROM dim_date) b ON a.visit_date = b.full_date) AS overlap_days""")
+
+
+# -- incremental load and SCD-2 -----------------------------------------------------------
+ORACLE["i03_incremental_ticket_sales"] = with_ctes(["fact_ticket_sales"], """
+SELECT sale_key, purchase_date_key, customer_key, ticket_type_key, CAST(purchase_amount AS DOUBLE) AS purchase_amount,
+       ticket_category FROM fact_ticket_sales""")
+
+_SCD_TS = "TIMESTAMP '2021-11-01 00:00:00'"
+ORACLE["d07_scd2_customer_snapshot"] = with_ctes(["dim_customer"], f"""
+SELECT CASE WHEN changed THEN {sk('customer_id', ts('valid_from'))} ELSE customer_key END AS customer_key,
+       customer_id, customer_segment, is_pass_holder, state, valid_from, valid_to, is_current
+FROM (
+  SELECT d.customer_key, d.customer_id, d.customer_segment, d.is_pass_holder, d.state, d.valid_from,
+         CASE WHEN n.changed THEN {_SCD_TS} ELSE d.valid_to END AS valid_to, NOT coalesce(n.changed, FALSE) AS is_current,
+         FALSE AS changed
+  FROM dim_customer d LEFT JOIN n ON d.customer_id = n.customer_id
+  UNION ALL
+  SELECT NULL, n.customer_id, n.customer_segment, n.new_pass_holder, n.state, {_SCD_TS},
+         TIMESTAMP '9999-12-31 00:00:00', TRUE, TRUE
+  FROM n WHERE n.changed
+) x""", extra=[("n", """SELECT c.customer_id, c.customer_segment, c.state, cu.c_acctbal > 4000 AS new_pass_holder,
+       (c.is_pass_holder IS DISTINCT FROM (cu.c_acctbal > 4000)) AS changed
+  FROM dim_customer c JOIN customer cu ON cu.c_custkey = c.customer_id""")])

@@ -135,3 +135,58 @@ def _overlap(spark, sf_dir):
 
 REGISTRY["q06_star_quality_suite"] = _quality_suite
 REGISTRY["q07_visits_calendar_overlap"] = _overlap
+
+
+# -- incremental load (I01-I06) and SCD-2 (D07) ------------------------------------------
+import uuid  # noqa: E402
+
+from piste.operators import dims as DM  # noqa: E402
+from piste.operators import facts as FT  # noqa: E402
+from piste.operators.incremental import incremental_load  # noqa: E402
+from piste.session import checkpoint_root  # noqa: E402
+from piste.sources import adapters as AD  # noqa: E402
+
+INCREMENT_CUTOFF = "1998-01-01"   # first load: sales before this date; second load: the rest
+
+
+def incremental_ticket_sales(spark, sf_dir):
+    """Two incremental loads (history, then the rest) into a partitioned target; the
+    result must equal a full build of the fact (metamorphic check)."""
+    st = star_for(spark, sf_dir)
+    target = f"{checkpoint_root(spark)}/piste-incremental-{uuid.uuid4().hex}/fact_ticket_sales"
+
+    def build(stg):
+        f = FT.fact_ticket_sales(stg, st["dim_customer"], st["dim_ticket_type"])
+        return f.withColumn("purchase_month", F.date_format("purchase_date", "yyyy-MM"))
+
+    stg = st["stg_ticket_sales"]
+    kw = dict(unique_key="sale_key", watermark_col="purchase_timestamp", partition_col="purchase_month",
+              cluster_col="purchase_date_key")
+    incremental_load(spark, build, stg.filter(F.col("purchase_date") < F.lit(INCREMENT_CUTOFF).cast("date")),
+                     target, **kw)
+    incremental_load(spark, build, stg, target, **kw)
+    out = spark.read.parquet(target)
+    return out.select("sale_key", "purchase_date_key", "customer_key", "ticket_type_key",
+                      F.col("purchase_amount").cast("double").alias("purchase_amount"), "ticket_category")
+
+
+SCD_CHANGE_TS = "2021-11-01 00:00:00"
+
+
+def scd2_customer_snapshot(spark, sf_dir):
+    """Merge a later customer snapshot (pass-holder threshold lowered) into the
+    customer dimension: changed customers get a closed and a new open version."""
+    st = star_for(spark, sf_dir)
+    current = st["dim_customer"].select("customer_key", "customer_id", "customer_segment", "is_pass_holder",
+                                        "state", "valid_from", "valid_to", "is_current")
+    cust = AD.customers(st.t)
+    acct = st.t.customer.select(F.col("c_custkey").alias("customer_id"), "c_acctbal")
+    incoming = cust.join(acct, "customer_id").select(
+        "customer_id", "customer_segment", (F.col("c_acctbal") > 4000).alias("is_pass_holder"), "state")
+    merged = DM.scd2_merge(current, incoming, "customer_id", ["customer_segment", "is_pass_holder", "state"],
+                           SCD_CHANGE_TS, key_name="customer_key")
+    return merged
+
+
+REGISTRY["i03_incremental_ticket_sales"] = incremental_ticket_sales
+REGISTRY["d07_scd2_customer_snapshot"] = scd2_customer_snapshot
