@@ -330,3 +330,11 @@ FROM (
 ) x""", extra=[("n", """SELECT c.customer_id, c.customer_segment, c.state, cu.c_acctbal > 4000 AS new_pass_holder,
        (c.is_pass_holder IS DISTINCT FROM (cu.c_acctbal > 4000)) AS changed
   FROM dim_customer c JOIN customer cu ON cu.c_custkey = c.customer_id""")])
+
+# -- streaming --------------------------------------------------------------------------------
+ORACLE["t03_stream_hourly_event_load"] = """
+SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS value_sum
+FROM (SELECT DISTINCT ON (event_id) * FROM events) e GROUP BY 1, 2"""
+ORACLE["t01_stream_fact_lift_scans"] = with_ctes(["fact_lift_scans"], """
+SELECT date_key, count(*) AS scans, count(DISTINCT customer_key) AS riders, round(sum(wait_time_minutes), 4) AS wait_sum
+FROM (SELECT DISTINCT ON (scan_key) * FROM fact_lift_scans) f GROUP BY 1""")

@@ -190,3 +190,55 @@ def scd2_customer_snapshot(spark, sf_dir):
 
 REGISTRY["i03_incremental_ticket_sales"] = incremental_ticket_sales
 REGISTRY["d07_scd2_customer_snapshot"] = scd2_customer_snapshot
+
+
+# -- Structured Streaming (T01-T04) ---------------------------------------------------------
+from piste.operators import staging as STG  # noqa: E402
+from piste.streaming import facts as SF  # noqa: E402
+
+
+def _stream_root(spark) -> str:
+    return f"{checkpoint_root(spark)}/piste-stream-{uuid.uuid4().hex}"
+
+
+def stream_hourly_event_load(spark, sf_dir):
+    """T02+T03: events as a file stream, deduplicated on event_id within the watermark,
+    aggregated into tumbling hours per event type, upserted by (window, type)."""
+    root = _stream_root(spark)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    s = SF.file_stream(spark, sf_dir, schema, glob="events.parquet")
+    s = SF.dedup_within_watermark(s, "ts", ["event_id"], "2 hours")
+    agg = SF.hourly_load(s, "ts", "event_type", "value", None)
+    q = (agg.writeStream.outputMode("update")
+         .foreachBatch(SF.upsert_batch(f"{root}/out", ["window_start", "event_type"]))
+         .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("window_start", "event_type", "events", "value_sum")
+
+
+def stream_fact_lift_scans(spark, sf_dir):
+    """T01+T04: lineitem as a file stream -> lift-scan staging, enriched stream-static
+    with the current customer dimension -> fact rows upserted on scan_key."""
+    st = star_for(spark, sf_dir)
+    root = _stream_root(spark)
+    li_schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
+    stream = SF.file_stream(spark, sf_dir, li_schema, glob="lineitem.parquet")
+    orders = st.t.orders.select("o_orderkey", "o_custkey")
+
+    def build(li):
+        raw = AD.lift_scans_from_lines(li.join(orders, li.l_orderkey == orders.o_orderkey, "inner"))
+        stg = STG.stg_lift_scans(raw)
+        e = SF.enrich_with_current(stg, st["dim_customer"], "customer_id", ["customer_key"])
+        return e.select(FT.surrogate_key(F.col("scan_id")).alias("scan_key"), "customer_key",
+                        FT.surrogate_key(F.col("lift_id")).alias("lift_key"), "scan_date", "wait_time_minutes")
+
+    q = SF.stream_fact(stream, build, f"{root}/fact", ["scan_key"], f"{root}/ckpt")
+    q.awaitTermination()
+    f = spark.read.parquet(f"{root}/fact")
+    return f.groupBy(FT.date_key("scan_date").alias("date_key")).agg(
+        F.count(F.lit(1)).alias("scans"), F.countDistinct("customer_key").alias("riders"),
+        F.sum("wait_time_minutes").alias("wait_sum"))
+
+
+REGISTRY["t03_stream_hourly_event_load"] = stream_hourly_event_load
+REGISTRY["t01_stream_fact_lift_scans"] = stream_fact_lift_scans

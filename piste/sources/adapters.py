@@ -181,7 +181,11 @@ def line_orders(t: DriverTables) -> DataFrame:
 
 
 def lift_scans(t: DriverTables) -> DataFrame:
-    lo = line_orders(t)
+    return lift_scans_from_lines(line_orders(t))
+
+
+def lift_scans_from_lines(lo: DataFrame) -> DataFrame:
+    """lineitem rows (joined with their order's customer) -> raw lift scans."""
     hour = F.lit(8) + (F.col("l_partkey") + F.col("l_linenumber")) % 9
     return lo.select(
         _line_id().alias("scan_id"),
