@@ -195,3 +195,92 @@ def with_ctes(names, body: str, extra: list[tuple[str, str]] = ()) -> str:
     if not items:
         return body
     return "WITH " + ",\n".join(f"{n} AS ({sql}\n)" for n, sql in items) + "\n" + body
+
+# -- operations tables derived from the driver data ---------------------------------------
+def pick(idx: str, values: list[str]) -> str:
+    arms = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
+    return f"CASE {idx} {arms} END"
+
+
+ZONES = ["Summit Peak", "North Ridge", "Alpine Bowl", "Village Base"]
+DEPTS = ["Lift Operations", "Ticketing", "Rental Services", "Food & Beverage", "Guest Services"]
+INC_TYPES = ["collision", "fall", "equipment_failure", "medical", "lost_skier", "lift_issue"]
+LESSON_TYPES = ["Private", "Semi_Private", "Group", "Kids_Camp", "Race_Clinic", "Freestyle_Camp"]
+
+cte("a_weather", [], f"""
+SELECT weather_date, {pick('zone', ZONES)} AS mountain_zone,
+       CASE WHEN snow >= 6 THEN 'Powder' WHEN snow >= 3 THEN 'Packed Powder' WHEN snow >= 1 THEN 'Groomed' ELSE 'Icy' END
+         AS snow_condition,
+       snow AS snowfall_inches, CAST((qty * 3) // n AS DOUBLE) AS base_depth_inches, high AS temp_high_f,
+       high - 12 AS temp_low_f, max_disc * 28 / 10.0 AS wind_speed_mph, max_disc >= 10 AS storm_warning
+FROM (
+  SELECT *, ((disc * 120) // n) / 100.0 AS snow, 15.0 + ((tax * 40) // n) / 10.0 AS high
+  FROM (SELECT CAST(l_shipdate AS DATE) AS weather_date, CAST(l_suppkey % 4 AS INTEGER) AS zone, count(*) AS n,
+               sum(CAST(round(l_discount * 100) AS BIGINT)) AS disc, sum(CAST(round(l_tax * 100) AS BIGINT)) AS tax,
+               sum(CAST(l_quantity AS BIGINT)) AS qty, max(CAST(round(l_discount * 100) AS BIGINT)) AS max_disc
+        FROM lineitem GROUP BY 1, 2) g
+) x""")
+
+cte("fact_weather", ["a_weather", "dim_date"], f"""
+SELECT {sk("CAST(weather_date AS VARCHAR)", "mountain_zone")} AS weather_key, d.date_key, w.*,
+       coalesce(snowfall_inches >= 6, FALSE) AS is_powder_day, coalesce(wind_speed_mph >= 25, FALSE) AS is_high_wind,
+       (temp_high_f + temp_low_f) / 2 AS avg_temp_f, temp_high_f - temp_low_f AS temp_range_f
+FROM a_weather w LEFT JOIN dim_date d ON w.weather_date = d.full_date""")
+
+cte("fact_staffing", ["dim_date", "dim_location"], f"""
+SELECT {sk('schedule_id')} AS staffing_key, d.date_key, l.location_key, s.*,
+       coalesce(coverage_ratio < 0.9, FALSE) AS is_understaffed,
+       scheduled_employees - actual_employees AS staff_variance,
+       scheduled_employees * 9 AS scheduled_labor_hours, actual_employees * 9 AS actual_labor_hours
+FROM (
+  SELECT strftime(schedule_date, '%Y%m%d') || '-' || p AS schedule_id, CAST(substr(p, 1, 1) AS BIGINT) AS location_id,
+         schedule_date, {pick('CAST(substr(p, 1, 1) AS INTEGER) - 1', DEPTS)} AS department, 'Staff' AS job_role,
+         CAST(n + 2 AS INTEGER) AS scheduled_employees,
+         CAST(n + 2 - CASE WHEN n % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS actual_employees,
+         round((n + 2 - CASE WHEN n % 3 = 0 THEN 1 ELSE 0 END) / (n + 2), 2) AS coverage_ratio
+  FROM (SELECT CAST(o_orderdate AS DATE) AS schedule_date, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1, 2) g
+) s
+LEFT JOIN dim_date d ON s.schedule_date = d.full_date
+LEFT JOIN dim_location l ON s.location_id = l.location_id""")
+
+cte("fact_feedback", ["a_customers"], """
+SELECT f.*, c.customer_segment,
+       CASE WHEN response_date IS NOT NULL THEN date_diff('day', feedback_date, response_date) END AS response_time_days
+FROM (
+  SELECT event_id AS feedback_id, user_id AS customer_id, CAST(ts AS DATE) AS feedback_date, event_type AS feedback_type,
+         CASE event_id % 4 WHEN 0 THEN 'Lifts' WHEN 1 THEN 'Food' WHEN 2 THEN 'Rentals' WHEN 3 THEN 'Lessons' END AS category,
+         CAST(floor(value) % 11 AS INTEGER) AS nps_score, CAST(event_id % 5 + 1 AS DOUBLE) AS rating,
+         CASE WHEN CAST(floor(value) % 11 AS INTEGER) >= 9 THEN 'Positive'
+              WHEN CAST(floor(value) % 11 AS INTEGER) >= 7 THEN 'Neutral' ELSE 'Negative' END AS sentiment,
+         CASE WHEN event_id % 4 <> 0 THEN CAST(ts AS DATE) + CAST(event_id % 4 AS INTEGER) END AS response_date,
+         event_id % 3 = 0 AS resolved
+  FROM events
+) f LEFT JOIN a_customers c ON f.customer_id = c.customer_id""")
+
+cte("fact_incidents", ["a_customers"], f"""
+SELECT i.*, c.customer_segment,
+       CASE severity WHEN 'Minor' THEN 1 WHEN 'Moderate' THEN 2 WHEN 'Serious' THEN 3 WHEN 'Critical' THEN 4 ELSE 0 END
+         AS severity_score
+FROM (
+  SELECT event_id AS incident_id, CAST(ts AS DATE) AS incident_date, {pick('event_id % 6', INC_TYPES)} AS incident_type,
+         CASE WHEN value < 3 THEN 'Minor' WHEN value < 6 THEN 'Moderate' WHEN value < 20 THEN 'Serious' ELSE 'Critical' END
+           AS severity,
+         user_id AS customer_id, value > 8 AS transport_required,
+         CAST(round(floor(value * 10) / 10.0) AS INTEGER) AS patrol_response_minutes
+  FROM events WHERE event_type = 'error'
+) i LEFT JOIN a_customers c ON i.customer_id = c.customer_id""")
+
+cte("fact_lessons", ["a_customers"], f"""
+SELECT l.*, c.customer_segment, s.s_name AS instructor_name,
+       lesson_amount + coalesce(rental_amount, 0) + coalesce(tip_amount, 0) AS total_lesson_revenue
+FROM (
+  SELECT event_id AS lesson_id, user_id AS customer_id, CAST(ts AS DATE) AS lesson_date,
+         {pick('event_id % 6', LESSON_TYPES)} AS lesson_type,
+         CASE WHEN user_id % 2 = 0 THEN 'Ski' ELSE 'Snowboard' END AS sport_type, event_id % 40 AS instructor_id,
+         CAST(value AS DECIMAL(18,2)) AS lesson_amount,
+         CAST(CASE WHEN event_id % 2 = 0 THEN 25 END AS DECIMAL(18,2)) AS rental_amount,
+         CAST(CASE WHEN event_id % 3 = 0 THEN 10 END AS DECIMAL(18,2)) AS tip_amount,
+         CAST(event_id % 5 + 1 AS DOUBLE) AS student_rating
+  FROM events WHERE event_type = 'purchase'
+) l LEFT JOIN a_customers c ON l.customer_id = c.customer_id
+LEFT JOIN supplier s ON l.instructor_id = s.s_suppkey""")

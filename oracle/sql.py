@@ -338,3 +338,68 @@ FROM (SELECT DISTINCT ON (event_id) * FROM events) e GROUP BY 1, 2"""
 ORACLE["t01_stream_fact_lift_scans"] = with_ctes(["fact_lift_scans"], """
 SELECT date_key, count(*) AS scans, count(DISTINCT customer_key) AS riders, round(sum(wait_time_minutes), 4) AS wait_sum
 FROM (SELECT DISTINCT ON (scan_key) * FROM fact_lift_scans) f GROUP BY 1""")
+
+
+# -- single-fact views over the operations tables ---------------------------------------------
+ORACLE["sem_weather_by_zone_season"] = single(
+    "fact_weather f LEFT JOIN dim_date d ON f.date_key = d.date_key",
+    {"MOUNTAIN_ZONE": "f.mountain_zone", "SKI_SEASON": "d.ski_season"},
+    {"TOTAL_SNOWFALL": "sum(f.snowfall_inches)", "MAX_SNOWFALL": "max(f.snowfall_inches)",
+     "MAX_BASE_DEPTH": "max(f.base_depth_inches)", "MIN_TEMP": "min(f.temp_low_f)", "MAX_TEMP": "max(f.temp_high_f)",
+     "MAX_WIND": "max(f.wind_speed_mph)", "AVG_SNOWFALL": "avg(f.snowfall_inches)",
+     "POWDER_DAY_COUNT": "count(CASE WHEN f.is_powder_day THEN 1 END)",
+     "HIGH_WIND_COUNT": "count(CASE WHEN f.is_high_wind THEN 1 END)",
+     "STORM_COUNT": "count(CASE WHEN f.storm_warning THEN 1 END)", "OBSERVATION_COUNT": "count(f.weather_key)"},
+    ["TOTAL_SNOWFALL", "MAX_SNOWFALL", "MAX_BASE_DEPTH", "MIN_TEMP", "MAX_TEMP", "MAX_WIND", "AVG_SNOWFALL"],
+    ["fact_weather", "dim_date"])
+ORACLE["sem_staffing_by_department_location"] = single(
+    "fact_staffing f LEFT JOIN dim_location l ON f.location_key = l.location_key",
+    {"DEPARTMENT": "f.department", "LOCATION_NAME": "l.location_name"},
+    {"TOTAL_SCHEDULED": "CAST(sum(f.scheduled_employees) AS BIGINT)",
+     "TOTAL_ACTUAL": "CAST(sum(f.actual_employees) AS BIGINT)", "AVG_COVERAGE": "avg(f.coverage_ratio)",
+     "UNDERSTAFFED_COUNT": "count(CASE WHEN f.is_understaffed THEN 1 END)",
+     "TOTAL_SCHEDULED_HOURS": "CAST(sum(f.scheduled_labor_hours) AS BIGINT)",
+     "TOTAL_ACTUAL_HOURS": "CAST(sum(f.actual_labor_hours) AS BIGINT)", "SHIFT_COUNT": "count(f.staffing_key)"},
+    ["AVG_COVERAGE"], ["fact_staffing", "dim_location"])
+ORACLE["sem_satisfaction_by_category_sentiment"] = single(
+    "fact_feedback f", {"CATEGORY": "f.category", "SENTIMENT": "f.sentiment"},
+    {"TOTAL_FEEDBACK": "count(f.feedback_id)", "AVERAGE_RATING": "avg(f.rating)", "AVERAGE_NPS": "avg(f.nps_score)",
+     "POSITIVE_FEEDBACK_COUNT": "count(CASE WHEN f.sentiment = 'Positive' THEN 1 END)",
+     "NEGATIVE_FEEDBACK_COUNT": "count(CASE WHEN f.sentiment = 'Negative' THEN 1 END)"},
+    ["AVERAGE_RATING", "AVERAGE_NPS"], ["fact_feedback"])
+ORACLE["sem_safety_by_type_severity"] = single(
+    "fact_incidents f", {"INCIDENT_TYPE": "f.incident_type", "SEVERITY": "f.severity"},
+    {"TOTAL_INCIDENTS": "count(f.incident_id)", "AVERAGE_SEVERITY": "avg(f.severity_score)",
+     "CRITICAL_INCIDENTS": "count(CASE WHEN f.severity = 'Critical' THEN 1 END)",
+     "AVG_PATROL_RESPONSE": "avg(f.patrol_response_minutes)"},
+    ["AVERAGE_SEVERITY", "AVG_PATROL_RESPONSE"], ["fact_incidents"])
+ORACLE["sem_lessons_by_type_sport"] = single(
+    "fact_lessons f", {"LESSON_TYPE": "f.lesson_type", "SPORT_TYPE": "f.sport_type"},
+    {"TOTAL_LESSONS": "count(f.lesson_id)", "TOTAL_REVENUE": "sum(f.total_lesson_revenue)",
+     "AVG_STUDENT_RATING": "avg(f.student_rating)",
+     "PRIVATE_LESSONS": "count(CASE WHEN f.lesson_type = 'Private' THEN 1 END)",
+     "GROUP_LESSONS": "count(CASE WHEN f.lesson_type = 'Group' THEN 1 END)"},
+    ["TOTAL_REVENUE", "AVG_STUDENT_RATING"], ["fact_lessons"])
+
+ORACLE["n02_coverage_by_department"] = with_ctes(["fact_staffing"], """
+SELECT department AS DEPARTMENT, round(round(avg(coverage_ratio), 3), 4) AS AVG_COVERAGE FROM fact_staffing GROUP BY 1""")
+ORACLE["n03_powder_days"] = with_ctes(["fact_weather"], """
+SELECT count(*) AS POWDER_DAYS FROM fact_weather WHERE snowfall_inches >= 6""")
+ORACLE["n11_weather_vs_attendance"] = with_ctes(["fact_weather", "a_pass_usage"], """
+SELECT w.mountain_zone AS MOUNTAIN_ZONE, count(*) AS DAYS,
+       round(corr(w.snowfall_inches, CAST(v.visitors AS DOUBLE)), 4) AS CORR_SNOW_VISITORS,
+       round(corr(w.temp_high_f, CAST(v.visitors AS DOUBLE)), 4) AS CORR_TEMP_VISITORS
+FROM fact_weather w JOIN (SELECT visit_date AS day, count(DISTINCT customer_id) AS visitors FROM a_pass_usage GROUP BY 1) v
+  ON w.weather_date = v.day GROUP BY 1""")
+ORACLE["n12_snowfall_vs_revenue"] = with_ctes(["fact_weather", "fact_ticket_sales"], """
+SELECT count(*) AS DAYS, round(corr(s.max_snowfall, r.revenue), 4) AS CORR_SNOW_REVENUE
+FROM (SELECT weather_date AS day, max(snowfall_inches) AS max_snowfall FROM fact_weather GROUP BY 1) s
+JOIN (SELECT purchase_date AS day, CAST(sum(purchase_amount) AS DOUBLE) AS revenue FROM fact_ticket_sales GROUP BY 1) r
+  ON s.day = r.day""")
+ORACLE["n13_monthly_trends"] = with_ctes(["fact_feedback", "fact_incidents"], """
+SELECT coalesce(a.MONTH, b.MONTH) AS MONTH, a.AVG_NPS, a.AVG_RATING, a.FEEDBACK_COUNT, b.INCIDENTS, b.AVG_PATROL_RESPONSE
+FROM (SELECT CAST(date_trunc('month', feedback_date) AS DATE) AS MONTH, round(avg(nps_score), 4) AS AVG_NPS,
+             round(avg(rating), 4) AS AVG_RATING, count(*) AS FEEDBACK_COUNT FROM fact_feedback GROUP BY 1) a
+FULL JOIN (SELECT CAST(date_trunc('month', incident_date) AS DATE) AS MONTH, count(*) AS INCIDENTS,
+                  round(avg(patrol_response_minutes), 4) AS AVG_PATROL_RESPONSE FROM fact_incidents GROUP BY 1) b
+  ON a.MONTH IS NOT DISTINCT FROM b.MONTH""")

@@ -65,7 +65,7 @@ def hour_boundary_diff(start, end) -> Column:
     """Hour-boundary count: 08:50 -> 17:10 is 9."""
     s = F.date_trunc("hour", _col(start))
     e = F.date_trunc("hour", _col(end))
-    return F.timestampdiff("HOUR", s, e).cast("int")
+    return F.timestamp_diff("HOUR", s, e).cast("int")
 
 
 def safe_div(num, den) -> Column:

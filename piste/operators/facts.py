@@ -18,6 +18,13 @@ from piste.functions.core import NULL_KEY_TOKEN, bounded_broadcast, date_key, su
 DIM_BROADCAST_ROWS = 1_000_000
 
 
+def _sel(df: DataFrame, *cols) -> DataFrame:
+    """Select the named output columns that the input carries (raw tables bound from the
+    driver data supply a subset of the warehouse columns) plus computed expressions."""
+    have = set(df.columns)
+    return df.select(*[c for c in cols if not isinstance(c, str) or c in have])
+
+
 def _lit_ts(s: str) -> Column:
     return F.lit(s).cast("timestamp_ntz")
 
@@ -145,7 +152,7 @@ def _date_lookup(df: DataFrame, dim_date: DataFrame, on: str, out: str = "date_k
 # F06
 def fact_weather(stg: DataFrame, dim_date: DataFrame) -> DataFrame:
     w = _date_lookup(stg, dim_date, "weather_date")
-    return w.select(
+    return _sel(w, 
         surrogate_key(F.col("weather_date").cast("string"), F.col("mountain_zone")).alias("weather_key"),
         "date_key", "weather_date", "mountain_zone", "snow_condition", "snowfall_inches", "base_depth_inches",
         "temp_high_f", "temp_low_f", "wind_speed_mph", "storm_warning", "is_powder_day", "is_high_wind",
@@ -161,7 +168,7 @@ def fact_staffing(stg: DataFrame, dim_date: DataFrame, dim_location: DataFrame)
     loc = bounded_broadcast(dim_location.select(F.col("location_id").alias("__location_id"), "location_key"),
                             known_small=table_is_small(dim_location, DIM_BROADCAST_ROWS))
     s = s.join(loc, s.location_id == loc.__location_id, "left")
-    return s.select(
+    return _sel(s, 
         surrogate_key(F.col("schedule_id")).alias("staffing_key"),
         "date_key", "location_key", "schedule_id", "schedule_date", "department", "job_role", "shift_start",
         "shift_end", "shift_hours", "scheduled_employees", "actual_employees", "coverage_ratio", "is_understaffed",
@@ -176,7 +183,7 @@ def fact_staffing(stg: DataFrame, dim_date: DataFrame, dim_location: DataFrame)
 def fact_marketing(stg: DataFrame, dim_date: DataFrame) -> DataFrame:
     m = _date_lookup(stg, dim_date, "sent_date", "send_date_key")
     tc = F.col("target_count")
-    return m.select(
+    return _sel(m, 
         surrogate_key(F.col("touch_id")).alias("marketing_key"),
         "send_date_key", "touch_id", "campaign_id", "sent_date", "campaign_name", "campaign_channel",
         "campaign_type", "audience_segment", "target_count", "conversion_count", "open_rate", "click_rate",
@@ -201,7 +208,7 @@ def fact_season_pass_sales(stg: DataFrame, stg_customers: DataFrame, campaigns:
                                               "campaign_type"), DIM_BROADCAST_ROWS)
     s = s.join(camp, s.campaign_id == camp.__campaign_id, "left")
     op, amt = F.col("original_price"), F.col("purchase_amount")
-    return s.select(
+    return _sel(s, 
         "sale_id", "customer_id", "customer_segment", "ticket_type_id", "purchase_date", "valid_season",
         "purchase_amount", "original_price", "discount_amount", "payment_method", "purchase_channel",
         "is_renewal", "previous_pass_type", "promo_code", "campaign_id", "campaign_name", "campaign_type",
@@ -222,7 +229,7 @@ def fact_lessons(stg: DataFrame, stg_customers: DataFrame, instructors: DataFram
     s = s.join(ins, s.instructor_id == ins.__instructor_id, "left")
     total = F.col("lesson_amount") + F.coalesce(F.col("rental_amount"), F.lit(0)) + F.coalesce(
         F.col("tip_amount"), F.lit(0))
-    return s.select(
+    return _sel(s, 
         "lesson_id", "customer_id", "customer_segment", "lesson_date", "lesson_start_time", "lesson_type",
         "sport_type", "skill_level", "duration_hours", "instructor_id", "instructor_name",
         "instructor_certification", "instructor_rating", "group_size", "lesson_amount", "rental_included",
@@ -240,7 +247,7 @@ def fact_severity_score(sev: Column) -> Column:
 # F11
 def fact_incidents(stg: DataFrame, stg_customers: DataFrame) -> DataFrame:
     s = _segment_lookup(stg, stg_customers)
-    return s.select(
+    return _sel(s, 
         "incident_id", "incident_date", "incident_time", "incident_type", "severity", "location_id", "lift_id",
         "trail_name", "customer_id", "customer_segment", "customer_age", "customer_skill_level", "description",
         "cause", "weather_factor", "equipment_factor", "first_aid_rendered", "transport_required",
@@ -254,7 +261,7 @@ def fact_incidents(stg: DataFrame, stg_customers: DataFrame) -> DataFrame:
 def fact_feedback(stg: DataFrame, stg_customers: DataFrame) -> DataFrame:
     s = _segment_lookup(stg, stg_customers)
     fd, rd = F.col("feedback_date"), F.col("response_date")
-    return s.select(
+    return _sel(s, 
         "feedback_id", "customer_id", "customer_segment", "feedback_date", "visit_date", "feedback_type",
         "category", "subcategory", F.col("satisfaction_score").alias("rating"), "sentiment", "sentiment_score",
         "feedback_text", "response_text", "response_date", "responded_by", "resolved", "resolution_date",
@@ -275,7 +282,7 @@ def fact_parking(stg: DataFrame, stg_lots: DataFrame) -> DataFrame:
         F.col("total_spaces").alias("lot_capacity"), F.col("daily_max").alias("daily_rate"), "has_shuttle",
         "distance_to_lifts_feet"), DIM_BROADCAST_ROWS)
     s = stg.join(lots, stg.lot_id == lots.__lot_id, "left")
-    return s.select(
+    return _sel(s, 
         "record_id", "record_date", "record_hour", "lot_id", "lot_name_dim", "lot_type", "lot_capacity",
         "daily_rate", "has_shuttle", "distance_to_lifts_feet", "lot_name", "total_spaces", "occupied_spaces",
         "occupancy_percent", "vehicles_entered", "vehicles_exited", "revenue_collected", "overflow_active",

@@ -242,3 +242,20 @@ def stream_fact_lift_scans(spark, sf_dir):
 
 REGISTRY["t03_stream_hourly_event_load"] = stream_hourly_event_load
 REGISTRY["t01_stream_fact_lift_scans"] = stream_fact_lift_scans
+
+
+# -- single-fact views over the operations tables --------------------------------------------
+REGISTRY["sem_weather_by_zone_season"] = _sem(V.WEATHER, _all(V.WEATHER), ["MOUNTAIN_ZONE", "SKI_SEASON"])
+REGISTRY["sem_staffing_by_department_location"] = _sem(V.STAFFING, _all(V.STAFFING), ["DEPARTMENT", "LOCATION_NAME"])
+REGISTRY["sem_satisfaction_by_category_sentiment"] = _sem(
+    V.CUSTOMER_SATISFACTION, _all(V.CUSTOMER_SATISFACTION), ["CATEGORY", "SENTIMENT"])
+REGISTRY["sem_safety_by_type_severity"] = _sem(V.SAFETY, _all(V.SAFETY), ["INCIDENT_TYPE", "SEVERITY"])
+REGISTRY["sem_lessons_by_type_sport"] = _sem(V.LESSONS, _all(V.LESSONS), ["LESSON_TYPE", "SPORT_TYPE"])
+for _name, _fn in (
+    ("n02_coverage_by_department", N.n02_coverage_by_department),
+    ("n03_powder_days", N.n03_powder_days),
+    ("n11_weather_vs_attendance", N.n11_weather_vs_attendance),
+    ("n12_snowfall_vs_revenue", N.n12_snowfall_vs_revenue),
+    ("n13_monthly_trends", N.n13_monthly_trends),
+):
+    REGISTRY[_name] = _named(_fn)

@@ -39,7 +39,9 @@ class Star(Mapping):
     _BUILDERS = (
         "dim_date dim_customer dim_lift dim_location dim_product dim_ticket_type "
         "stg_customers stg_lift_scans stg_pass_usage stg_ticket_sales stg_rentals stg_food_beverage "
-        "fact_lift_scans fact_pass_usage fact_ticket_sales fact_rentals fact_food_beverage"
+        "fact_lift_scans fact_pass_usage fact_ticket_sales fact_rentals fact_food_beverage "
+        "stg_weather_conditions stg_staffing_schedule stg_customer_feedback stg_incidents stg_ski_lessons "
+        "stg_instructors fact_weather fact_staffing fact_feedback fact_incidents fact_lessons"
     ).split()
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -111,3 +113,37 @@ class Star(Mapping):
 
     def _build_fact_food_beverage(self):
         return FT.fact_food_beverage(self["stg_food_beverage"], self["dim_customer"], self["dim_product"])
+
+    # -- operations facts derived from the driver data ------------------------------
+    def _build_stg_weather_conditions(self):
+        return ST.stg_weather_conditions(A.weather_conditions(self.t))
+
+    def _build_stg_staffing_schedule(self):
+        return ST.stg_staffing_schedule(A.staffing_schedule(self.t))
+
+    def _build_stg_customer_feedback(self):
+        return ST.stg_customer_feedback(A.customer_feedback(self.t))
+
+    def _build_stg_incidents(self):
+        return ST.stg_incidents(A.incidents(self.t))
+
+    def _build_stg_ski_lessons(self):
+        return ST.stg_ski_lessons(A.ski_lessons(self.t))
+
+    def _build_stg_instructors(self):
+        return ST.stg_instructors(A.instructors(self.t))
+
+    def _build_fact_weather(self):
+        return FT.fact_weather(self["stg_weather_conditions"], self["dim_date"])
+
+    def _build_fact_staffing(self):
+        return FT.fact_staffing(self["stg_staffing_schedule"], self["dim_date"], self["dim_location"])
+
+    def _build_fact_feedback(self):
+        return FT.fact_feedback(self["stg_customer_feedback"], self["stg_customers"])
+
+    def _build_fact_incidents(self):
+        return FT.fact_incidents(self["stg_incidents"], self["stg_customers"])
+
+    def _build_fact_lessons(self):
+        return FT.fact_lessons(self["stg_ski_lessons"], self["stg_customers"], self["stg_instructors"])

@@ -232,3 +232,157 @@ def rentals(t: DriverTables) -> DataFrame:
                 .cast("decimal(4,2)"), 2).cast("decimal(18,2)").alias("rental_amount"),
         F.col("l_shipdate").alias("created_at"),
     )
+
+
+# -- operations tables derived from the driver data ------------------------------------
+# Mountain zones, departments, incident types, lesson types.
+ZONES = ["Summit Peak", "North Ridge", "Alpine Bowl", "Village Base"]
+DEPARTMENTS = ["Lift Operations", "Ticketing", "Rental Services", "Food & Beverage", "Guest Services"]
+INCIDENT_TYPES = ["collision", "fall", "equipment_failure", "medical", "lost_skier", "lift_issue"]
+LESSON_TYPES = ["Private", "Semi_Private", "Group", "Kids_Camp", "Race_Clinic", "Freestyle_Camp"]
+
+
+def _pick(idx: Column, values: list[str]) -> Column:
+    """values[idx] for a non-negative integer column (CASE chain, stays in codegen)."""
+    expr = None
+    for i, v in enumerate(values):
+        expr = F.when(idx == i, v) if expr is None else expr.when(idx == i, v)
+    return expr
+
+
+def weather_conditions(t: DriverTables) -> DataFrame:
+    """One observation per (ship date, zone): lineitem discounts/taxes as snow/temperature.
+
+    Values come from integer sums so that every engine derives identical numbers.
+    """
+    li = t.lineitem
+    zone = (F.col("l_suppkey") % 4).cast("int")
+    g = li.groupBy(F.to_date("l_shipdate").alias("weather_date"), zone.alias("zone")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.round(F.col("l_discount") * 100).cast("bigint")).alias("disc"),
+        F.sum(F.round(F.col("l_tax") * 100).cast("bigint")).alias("tax"),
+        F.sum(F.col("l_quantity").cast("bigint")).alias("qty"),
+        F.max(F.round(F.col("l_discount") * 100).cast("bigint")).alias("max_disc"),
+    )
+    snow = F.expr("(disc * 120) div n") / 100.0
+    high = F.lit(15.0) + F.expr("(tax * 40) div n") / 10.0
+    return g.select(
+        "weather_date",
+        _pick(F.col("zone"), ZONES).alias("mountain_zone"),
+        F.when(snow >= 6, "Powder").when(snow >= 3, "Packed Powder").when(snow >= 1, "Groomed").otherwise("Icy")
+        .alias("snow_condition"),
+        snow.alias("snowfall_inches"),
+        (F.expr("(qty * 3) div n")).cast("double").alias("base_depth_inches"),
+        high.alias("temp_high_f"),
+        (high - 12).alias("temp_low_f"),
+        (F.col("max_disc") * 28 / 10.0).alias("wind_speed_mph"),
+        (F.col("max_disc") >= 10).alias("storm_warning"),
+        F.col("weather_date").cast("timestamp_ntz").alias("created_at"),
+    )
+
+
+def staffing_schedule(t: DriverTables) -> DataFrame:
+    """One shift per (order date, priority): staff scheduled vs present."""
+    o = t.orders
+    d = F.to_date("o_orderdate")
+    g = o.groupBy(d.alias("schedule_date"), F.col("o_orderpriority").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    digit = F.substring("p", 1, 1).cast("int")
+    sched = F.col("n") + 2
+    actual = sched - F.when(F.col("n") % 3 == 0, 1).otherwise(0)
+    start = F.col("schedule_date").cast("timestamp_ntz") + F.make_dt_interval(
+        F.lit(0), F.lit(8), F.when(F.col("n") % 2 == 1, 50).otherwise(0))
+    return g.select(
+        F.concat_ws("-", F.date_format("schedule_date", "yyyyMMdd"), F.col("p")).alias("schedule_id"),
+        digit.cast("bigint").alias("location_id"),
+        "schedule_date",
+        start.alias("shift_start"),
+        (F.col("schedule_date").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(17), F.lit(10)))
+        .alias("shift_end"),
+        _pick(digit - 1, DEPARTMENTS).alias("department"),
+        F.lit("Staff").alias("job_role"),
+        sched.cast("int").alias("scheduled_employees"),
+        actual.cast("int").alias("actual_employees"),
+        F.round(actual / sched, 2).alias("coverage_ratio"),
+        F.col("schedule_date").cast("timestamp_ntz").alias("created_at"),
+    )
+
+
+def customer_feedback(t: DriverTables) -> DataFrame:
+    """Every event is a survey response of its user."""
+    e = t.events
+    k = F.col("event_id")
+    nps = (F.floor(F.col("value")) % 11).cast("int")
+    fdate = F.to_date("ts")
+    return e.select(
+        k.alias("feedback_id"),
+        F.col("user_id").alias("customer_id"),
+        fdate.alias("feedback_date"),
+        F.col("event_type").alias("feedback_type"),
+        _pick((k % 4).cast("int"), ["Lifts", "Food", "Rentals", "Lessons"]).alias("category"),
+        nps.alias("nps_score"),
+        ((k % 5) + 1).cast("double").alias("satisfaction_score"),
+        ((k % 10) + 1).cast("int").alias("likelihood_to_return"),
+        ((k % 7) + 4).cast("int").alias("likelihood_to_recommend"),
+        ((nps - 5) / 5.0).alias("sentiment_score"),
+        F.when(nps >= 9, "Positive").when(nps >= 7, "Neutral").otherwise("Negative").alias("sentiment"),
+        F.when(k % 4 != 0, F.date_add(fdate, (k % 4).cast("int"))).alias("response_date"),
+        (k % 3 == 0).alias("resolved"),
+        F.col("ts").alias("created_at"),
+    )
+
+
+def incidents(t: DriverTables) -> DataFrame:
+    """Error events are incidents; the event value drives severity and response time."""
+    e = t.events.filter(F.col("event_type") == "error")
+    k, v = F.col("event_id"), F.col("value")
+    return e.select(
+        k.alias("incident_id"),
+        F.to_date("ts").alias("incident_date"),
+        F.date_format("ts", "HH:mm:ss").alias("incident_time"),
+        F.col("ts").alias("incident_timestamp"),
+        _pick((k % 6).cast("int"), INCIDENT_TYPES).alias("incident_type"),
+        F.when(v < 3, "Minor").when(v < 6, "Moderate").when(v < 20, "Serious").otherwise("Critical").alias("severity"),
+        (F.col("user_id") % 25).alias("location_id"),
+        (k % 100).alias("lift_id"),
+        F.concat(F.lit("Trail "), (k % 12).cast("string")).alias("trail_name"),
+        F.col("user_id").alias("customer_id"),
+        _pick((k % 3).cast("int"), ["beginner", "intermediate", "expert"]).alias("customer_skill_level"),
+        (v > 8).alias("transport_required"),
+        (F.floor(v * 10) / 10.0).alias("patrol_response_minutes"),
+        F.col("ts").alias("created_at"),
+    )
+
+
+def instructors(t: DriverTables) -> DataFrame:
+    s = t.supplier
+    return s.select(
+        F.col("s_suppkey").alias("instructor_id"),
+        F.col("s_name").alias("instructor_name"),
+        F.when(F.col("s_acctbal") > 5000, "Level 3").otherwise("Level 2").alias("certification_level"),
+        ((F.col("s_suppkey") % 20) / 10.0 + 3.0).alias("avg_rating"),
+    )
+
+
+def ski_lessons(t: DriverTables) -> DataFrame:
+    """Purchase events are lesson bookings."""
+    e = t.events.filter(F.col("event_type") == "purchase")
+    k = F.col("event_id")
+    return e.select(
+        k.alias("lesson_id"),
+        F.col("user_id").alias("customer_id"),
+        F.to_date("ts").alias("lesson_date"),
+        F.date_format("ts", "HH:mm:ss").alias("lesson_start_time"),
+        _pick((k % 6).cast("int"), LESSON_TYPES).alias("lesson_type"),
+        F.when(F.col("user_id") % 2 == 0, "Ski").otherwise("Snowboard").alias("sport_type"),
+        _pick((k % 3).cast("int"), ["beginner", "intermediate", "advanced"]).alias("skill_level"),
+        ((k % 3) + 1).cast("double").alias("duration_hours"),
+        (k % 40).alias("instructor_id"),
+        ((k % 6) + 1).cast("int").alias("group_size"),
+        money(F.col("value")).alias("lesson_amount"),
+        money(F.when(k % 2 == 0, 25)).alias("rental_amount"),
+        money(F.when(k % 3 == 0, 10)).alias("tip_amount"),
+        _pick((k % 3).cast("int"), ["online", "phone", "walk_in"]).alias("booking_channel"),
+        (k % 10 != 0).alias("completed"),
+        ((k % 5) + 1).cast("double").alias("student_rating"),
+        F.col("ts").alias("created_at"),
+    )
