@@ -403,3 +403,64 @@ FROM (SELECT CAST(date_trunc('month', feedback_date) AS DATE) AS MONTH, round(av
 FULL JOIN (SELECT CAST(date_trunc('month', incident_date) AS DATE) AS MONTH, count(*) AS INCIDENTS,
                   round(avg(patrol_response_minutes), 4) AS AVG_PATROL_RESPONSE FROM fact_incidents GROUP BY 1) b
   ON a.MONTH IS NOT DISTINCT FROM b.MONTH""")
+
+
+# -- forecasting ------------------------------------------------------------------------------
+TF_BODY = """
+SELECT d.full_date AS FULL_DATE, d.day_of_week AS DAY_OF_WEEK, d.month_num AS MONTH, d.is_weekend AS IS_WEEKEND,
+       d.is_holiday AS IS_HOLIDAY, v.CUSTOMER_SEGMENT, v.UNIQUE_VISITORS, w.SNOW_CONDITION, w.SNOWFALL_INCHES,
+       w.BASE_DEPTH_INCHES, w.AVG_TEMP_F, w.WIND_SPEED_MPH, w.IS_POWDER_DAY, w.IS_HIGH_WIND
+FROM dim_date d
+JOIN (SELECT f.date_key, c.customer_segment AS CUSTOMER_SEGMENT, count(DISTINCT f.customer_key) AS UNIQUE_VISITORS
+      FROM fact_pass_usage f LEFT JOIN dim_customer c ON f.customer_key = c.customer_key GROUP BY 1, 2) v
+  ON v.date_key = d.date_key
+JOIN (SELECT date_key, max(snow_condition) AS SNOW_CONDITION, sum(snowfall_inches) AS SNOWFALL_INCHES,
+             avg(base_depth_inches) AS BASE_DEPTH_INCHES, avg(avg_temp_f) AS AVG_TEMP_F,
+             max(wind_speed_mph) AS WIND_SPEED_MPH, max(CAST(is_powder_day AS INTEGER)) AS IS_POWDER_DAY,
+             max(CAST(is_high_wind AS INTEGER)) AS IS_HIGH_WIND FROM fact_weather GROUP BY 1) w
+  ON w.date_key = d.date_key
+WHERE v.UNIQUE_VISITORS > 0"""
+TF_CTES = ["dim_date", "fact_pass_usage", "dim_customer", "fact_weather"]
+TF_DOUBLES = ["SNOWFALL_INCHES", "BASE_DEPTH_INCHES", "AVG_TEMP_F", "WIND_SPEED_MPH"]
+ORACLE["p01_training_frame_by_segment"] = with_ctes(TF_CTES, rounded(TF_BODY, TF_DOUBLES))
+
+_W = "OVER (PARTITION BY CUSTOMER_SEGMENT ORDER BY FULL_DATE"
+ORACLE["p11_engineered_panel"] = with_ctes(TF_CTES, rounded(f"""
+SELECT CUSTOMER_SEGMENT, FULL_DATE, UNIQUE_VISITORS, day_of_week, month, is_weekend, is_holiday, snow_condition_encoded,
+       day_sin, day_0, day_6, lag_7, lag_14, lag_21, lag_28, rolling_7_mean, rolling_14_mean, rolling_30_mean
+FROM (
+  SELECT CUSTOMER_SEGMENT, FULL_DATE, UNIQUE_VISITORS,
+         CAST(isodow(FULL_DATE) - 1 AS INTEGER) AS day_of_week, CAST(month(FULL_DATE) AS INTEGER) AS month,
+         CAST(IS_WEEKEND AS INTEGER) AS is_weekend, CAST(IS_HOLIDAY AS INTEGER) AS is_holiday,
+         coalesce(CASE regexp_replace(lower(trim(SNOW_CONDITION)), '\\s+', '_', 'g') WHEN 'powder' THEN 3
+                  WHEN 'packed_powder' THEN 2 WHEN 'groomed' THEN 1 WHEN 'icy' THEN 0 END, 1) AS snow_condition_encoded,
+         sin(2 * pi() * (isodow(FULL_DATE) - 1) / 7.0) AS day_sin,
+         CASE WHEN isodow(FULL_DATE) - 1 = 0 THEN 1.0 ELSE 0.0 END AS day_0,
+         CASE WHEN isodow(FULL_DATE) - 1 = 6 THEN 1.0 ELSE 0.0 END AS day_6,
+         CAST(lag(UNIQUE_VISITORS, 7) {_W}) AS DOUBLE) AS lag_7, CAST(lag(UNIQUE_VISITORS, 14) {_W}) AS DOUBLE) AS lag_14,
+         CAST(lag(UNIQUE_VISITORS, 21) {_W}) AS DOUBLE) AS lag_21, CAST(lag(UNIQUE_VISITORS, 28) {_W}) AS DOUBLE) AS lag_28,
+         avg(UNIQUE_VISITORS) {_W} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS rolling_7_mean,
+         avg(UNIQUE_VISITORS) {_W} ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING) AS rolling_14_mean,
+         avg(UNIQUE_VISITORS) {_W} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS rolling_30_mean,
+         row_number() {_W}) AS rn
+  FROM tf
+) x WHERE rn > 30""", ["day_sin", "day_0", "day_6", "lag_7", "lag_14", "lag_21", "lag_28", "rolling_7_mean",
+                       "rolling_14_mean", "rolling_30_mean"]), extra=[("tf", TF_BODY)])
+ORACLE["p13_time_split_counts"] = with_ctes(TF_CTES, """
+SELECT CUSTOMER_SEGMENT, count(CASE WHEN is_train THEN 1 END) AS train_rows, count(CASE WHEN NOT is_train THEN 1 END) AS test_rows,
+       max(CASE WHEN is_train THEN FULL_DATE END) AS train_end
+FROM (SELECT *, row_number() OVER (PARTITION BY CUSTOMER_SEGMENT ORDER BY FULL_DATE)
+                  <= floor(count(*) OVER (PARTITION BY CUSTOMER_SEGMENT) * 0.8) AS is_train FROM tf) s GROUP BY 1""",
+                                            extra=[("tf", TF_BODY)])
+ORACLE["p19_weekday_means_january"] = with_ctes(TF_CTES, """
+SELECT CUSTOMER_SEGMENT, CAST(isodow(FULL_DATE) - 1 AS INTEGER) AS weekday, round(avg(UNIQUE_VISITORS), 4) AS weekday_mean
+FROM tf WHERE month(FULL_DATE) = 1 GROUP BY 1, 2""", extra=[("tf", TF_BODY)])
+ORACLE["p20_weather_normals_january"] = with_ctes(["fact_weather", "dim_date"], """
+SELECT round(coalesce(avg(snowfall_inches), 5.0), 4) AS snowfall_inches, round(coalesce(avg(base_depth_inches), 100.0), 4) AS base_depth_inches,
+       round(coalesce(avg(avg_temp_f), 28.0), 4) AS avg_temp_f, round(coalesce(avg(wind_speed_mph), 12.0), 4) AS wind_speed_mph,
+       CAST(coalesce(avg(CAST(is_powder_day AS INTEGER)), 0) > 0.3 AS INTEGER) AS is_powder_day, 0 AS is_high_wind
+FROM fact_weather w JOIN dim_date d ON w.date_key = d.date_key WHERE d.month_num = 1""")
+ORACLE["p24_weekday_weekend_profile"] = with_ctes(TF_CTES, """
+SELECT CUSTOMER_SEGMENT, IS_WEEKEND, round(avg(UNIQUE_VISITORS), 4) AS mean, round(stddev_samp(UNIQUE_VISITORS), 4) AS std,
+       count(*) AS days, round(median(UNIQUE_VISITORS), 4) AS median
+FROM tf GROUP BY 1, 2""", extra=[("tf", TF_BODY)])

@@ -259,3 +259,104 @@ for _name, _fn in (
     ("n13_monthly_trends", N.n13_monthly_trends),
 ):
     REGISTRY[_name] = _named(_fn)
+
+
+# -- forecasting features and evaluation (P01-P24) --------------------------------------------
+from piste.operators import features as FE  # noqa: E402
+from piste.operators import forecast as FC  # noqa: E402
+
+# the reference's visitor model configuration (groups, lags, windows), as a config dict
+VISITOR_MODEL = {
+    "target_column": "UNIQUE_VISITORS",
+    "include": ["date_features", "weather_features", "cyclical_features", "day_dummies"],
+    "exclude": [],
+    "override": {},
+    "lag_features": {"source": "UNIQUE_VISITORS", "lags": [7, 14, 21, 28]},
+    "rolling_features": {"source": "UNIQUE_VISITORS", "windows": [7, 14, 30], "aggregation": "mean"},
+}
+SEGMENT = "CUSTOMER_SEGMENT"
+
+
+def segment_training_frame(spark, sf_dir):
+    st = star_for(spark, sf_dir)
+    return FC.training_frame(st["dim_date"], st["fact_pass_usage"], st["fact_weather"],
+                             entity=(SEGMENT, st["dim_customer"], "customer_key"))
+
+
+def engineered_panel(spark, sf_dir):
+    """Configured features, per-segment lags and (non-leaking) rolling means."""
+    cfg = FE.build_config(VISITOR_MODEL)
+    e = FE.engineer(segment_training_frame(spark, sf_dir), cfg, "FULL_DATE", entity=SEGMENT)
+    return e.select(SEGMENT, "FULL_DATE", "UNIQUE_VISITORS", "day_of_week", "month", "is_weekend", "is_holiday",
+                    "snow_condition_encoded", "day_sin", "day_0", "day_6", "lag_7", "lag_14", "lag_21", "lag_28",
+                    "rolling_7_mean", "rolling_14_mean", "rolling_30_mean")
+
+
+def time_split_counts(spark, sf_dir):
+    s = FE.time_split(segment_training_frame(spark, sf_dir), "FULL_DATE", SEGMENT)
+    return s.groupBy(SEGMENT).agg(F.count(F.when(F.col("is_train"), 1)).alias("train_rows"),
+                                  F.count(F.when(~F.col("is_train"), 1)).alias("test_rows"),
+                                  F.max(F.when(F.col("is_train"), F.col("FULL_DATE"))).alias("train_end"))
+
+
+def weekday_means_january(spark, sf_dir):
+    return FC.weekday_means(segment_training_frame(spark, sf_dir), "FULL_DATE", "UNIQUE_VISITORS", 1, SEGMENT)
+
+
+def weather_normals_january(spark, sf_dir):
+    st = star_for(spark, sf_dir)
+    return FC.weather_normals(st["fact_weather"], st["dim_date"], 1)
+
+
+def weekday_weekend_profile(spark, sf_dir):
+    return FC.weekday_weekend_profile(segment_training_frame(spark, sf_dir), "UNIQUE_VISITORS", "IS_WEEKEND", SEGMENT)
+
+
+def _fit(spark, sf_dir):
+    cfg = FE.build_config(VISITOR_MODEL)
+    e = FE.engineer(segment_training_frame(spark, sf_dir), cfg, "FULL_DATE", entity=SEGMENT)
+    e = FE.time_split(e, "FULL_DATE", SEGMENT)
+    feats = FE.feature_columns(e, cfg)
+    # early stopping on the last tenth of each segment's training rows (72%-80% of the series)
+    e = FE.time_split(e.withColumnRenamed("is_train", "__tr"), "FULL_DATE", SEGMENT, 0.72)
+    e = e.withColumn("is_valid", F.col("__tr") & ~F.col("is_train")).withColumn("is_train", F.col("__tr")).drop("__tr")
+    model = FC.train_gbt(e.filter("is_train"), feats, "UNIQUE_VISITORS", validation_col="is_valid")
+    return model, e, feats, cfg
+
+
+def gbt_forecast_metrics(spark, sf_dir):
+    """GBT on the segment panel; MAE/RMSE/MAPE/R2 per split and the gate."""
+    model, e, feats, _ = _fit(spark, sf_dir)
+    pred = model.transform(e).withColumn("split", F.when(F.col("is_train"), "train").otherwise("test"))
+    return FC.quality_gate(FC.regression_metrics(pred, "UNIQUE_VISITORS", group=["split"]))
+
+
+def forecast_next_two_weeks(spark, sf_dir):
+    """Future rows per segment with lag/rolling look-ups and weather normals,
+    scored, clamped, banded, summarised."""
+    model, e, feats, cfg = _fit(spark, sf_dir)
+    st = star_for(spark, sf_dir)
+    hist = segment_training_frame(spark, sf_dir)
+    last = hist.agg(F.max("FULL_DATE")).first()[0]
+    start = (last + __import__("datetime").timedelta(days=1)).isoformat()
+    fut = FC.future_frame(hist, "FULL_DATE", "UNIQUE_VISITORS", start, 14, entity=SEGMENT)
+    normals = FC.weather_normals(st["fact_weather"], st["dim_date"], int(start[5:7]))
+    # one-row normals attached to every forecast row (broadcast of a single row)
+    n = normals.first().asDict()
+    fut = fut.select("*", *[F.lit(v).alias(k) for k, v in n.items()])
+    for c in feats:
+        if c not in fut.columns:
+            fut = fut.withColumn(c, F.lit(0.0))
+    scored = model.transform(fut).withColumn("predicted_visitors", FC.clamp_prediction(F.col("prediction")))
+    scored = scored.withColumn("staffing_level", FC.staffing_band(F.col("predicted_visitors")))
+    return FC.forecast_summary(scored, "FULL_DATE", "predicted_visitors", SEGMENT)
+
+
+REGISTRY["p01_training_frame_by_segment"] = lambda spark, sf_dir: round_doubles(segment_training_frame(spark, sf_dir))
+REGISTRY["p11_engineered_panel"] = lambda spark, sf_dir: round_doubles(engineered_panel(spark, sf_dir))
+REGISTRY["p13_time_split_counts"] = time_split_counts
+REGISTRY["p19_weekday_means_january"] = lambda spark, sf_dir: round_doubles(weekday_means_january(spark, sf_dir))
+REGISTRY["p20_weather_normals_january"] = lambda spark, sf_dir: round_doubles(weather_normals_january(spark, sf_dir))
+REGISTRY["p24_weekday_weekend_profile"] = lambda spark, sf_dir: round_doubles(weekday_weekend_profile(spark, sf_dir))
+REGISTRY["p14_gbt_forecast_metrics"] = gbt_forecast_metrics
+REGISTRY["p23_forecast_next_two_weeks"] = forecast_next_two_weeks
