@@ -425,7 +425,7 @@ TF_DOUBLES = ["SNOWFALL_INCHES", "BASE_DEPTH_INCHES", "AVG_TEMP_F", "WIND_SPEED_
 ORACLE["p01_training_frame_by_segment"] = with_ctes(TF_CTES, rounded(TF_BODY, TF_DOUBLES))
 
 _W = "OVER (PARTITION BY CUSTOMER_SEGMENT ORDER BY FULL_DATE"
-ORACLE["p11_engineered_panel"] = with_ctes(TF_CTES, rounded(f"""
+P11_SQL = f"""
 SELECT CUSTOMER_SEGMENT, FULL_DATE, UNIQUE_VISITORS, day_of_week, month, is_weekend, is_holiday, snow_condition_encoded,
        day_sin, day_0, day_6, lag_7, lag_14, lag_21, lag_28, rolling_7_mean, rolling_14_mean, rolling_30_mean
 FROM (
@@ -444,8 +444,10 @@ FROM (
          avg(UNIQUE_VISITORS) {_W} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS rolling_30_mean,
          row_number() {_W}) AS rn
   FROM tf
-) x WHERE rn > 30""", ["day_sin", "day_0", "day_6", "lag_7", "lag_14", "lag_21", "lag_28", "rolling_7_mean",
-                       "rolling_14_mean", "rolling_30_mean"]), extra=[("tf", TF_BODY)])
+) x WHERE rn > 30"""
+ORACLE["p11_engineered_panel"] = with_ctes(TF_CTES, rounded(P11_SQL, [
+    "day_sin", "day_0", "day_6", "lag_7", "lag_14", "lag_21", "lag_28", "rolling_7_mean", "rolling_14_mean",
+    "rolling_30_mean"]), extra=[("tf", TF_BODY)])
 ORACLE["p13_time_split_counts"] = with_ctes(TF_CTES, """
 SELECT CUSTOMER_SEGMENT, count(CASE WHEN is_train THEN 1 END) AS train_rows, count(CASE WHEN NOT is_train THEN 1 END) AS test_rows,
        max(CASE WHEN is_train THEN FULL_DATE END) AS train_end
@@ -464,3 +466,64 @@ ORACLE["p24_weekday_weekend_profile"] = with_ctes(TF_CTES, """
 SELECT CUSTOMER_SEGMENT, IS_WEEKEND, round(avg(UNIQUE_VISITORS), 4) AS mean, round(stddev_samp(UNIQUE_VISITORS), 4) AS std,
        count(*) AS days, round(median(UNIQUE_VISITORS), 4) AS median
 FROM tf GROUP BY 1, 2""", extra=[("tf", TF_BODY)])
+
+
+# -- monitoring ---------------------------------------------------------------------------------
+_LOG = """
+SELECT CUSTOMER_SEGMENT AS series, FULL_DATE AS forecast_date, CAST(FULL_DATE AS TIMESTAMP) - INTERVAL 1 DAY AS prediction_timestamp,
+       CASE WHEN year(FULL_DATE) % 2 = 0 THEN 'v1' ELSE 'v2' END AS model_version,
+       CAST(lag_7 AS BIGINT) AS predicted_visitors,
+       CASE WHEN FULL_DATE < (SELECT max(FULL_DATE) - 3 FROM panel) THEN UNIQUE_VISITORS END AS actual_visitors,
+       lag_7, lag_14, rolling_7_mean
+FROM panel"""
+_ERR = """
+SELECT *, CAST(predicted_visitors - actual_visitors AS DOUBLE) AS error,
+       CAST(abs(predicted_visitors - actual_visitors) AS DOUBLE) AS absolute_error,
+       CASE WHEN actual_visitors > 0 THEN abs(predicted_visitors - actual_visitors) / actual_visitors * 100 END
+         AS percentage_error
+FROM log"""
+_ASOF = "(SELECT CAST(max(FULL_DATE) - 3 AS TIMESTAMP) FROM panel)"
+
+
+def _mon_sql(body: str, doubles: list[str]) -> str:
+    return with_ctes(TF_CTES, rounded(body, doubles), extra=[("tf", TF_BODY), ("panel", P11_SQL), ("log", _LOG),
+                                                               ("err", _ERR)])
+
+
+ORACLE["o03_prediction_errors"] = _mon_sql("""SELECT series, forecast_date, model_version, predicted_visitors,
+       actual_visitors, error, absolute_error, percentage_error FROM err""", ["error", "absolute_error", "percentage_error"])
+ORACLE["o05_daily_performance"] = _mon_sql("""SELECT forecast_date, model_version, count(*) AS prediction_count,
+       avg(predicted_visitors) AS avg_predicted, avg(actual_visitors) AS avg_actual, avg(absolute_error) AS mae,
+       avg(percentage_error) AS mape, stddev_samp(percentage_error) AS mape_stddev
+FROM err WHERE actual_visitors IS NOT NULL GROUP BY 1, 2""", ["avg_predicted", "avg_actual", "mae", "mape", "mape_stddev"])
+ORACLE["o06_recent_performance"] = _mon_sql(f"""SELECT *, CASE WHEN mae IS NULL OR mape IS NULL THEN 'unknown'
+       WHEN mae > 250 OR mape > 40 THEN 'critical' WHEN mae > 150 OR mape > 25 THEN 'warning' ELSE 'healthy' END AS status
+FROM (SELECT count(*) AS prediction_count, avg(absolute_error) AS mae,
+             avg(CAST(abs(predicted_visitors - actual_visitors) * 100 AS DOUBLE) / NULLIF(CAST(actual_visitors AS DOUBLE), 0)) AS mape,
+             max(absolute_error) AS max_error
+      FROM err WHERE actual_visitors IS NOT NULL AND prediction_timestamp >= {_ASOF} - INTERVAL 7 DAY) a""",
+                                          ["mae", "mape", "max_error"])
+_DRIFT_PARTS = []
+for _f in ("lag_7", "lag_14", "rolling_7_mean"):
+    _DRIFT_PARTS.append(f"""SELECT '{_f}' AS feature,
+       avg(CASE WHEN prediction_timestamp >= {_ASOF} - INTERVAL 7 DAY THEN {_f} END) AS recent_mean,
+       avg(CASE WHEN prediction_timestamp >= {_ASOF} - INTERVAL 30 DAY AND prediction_timestamp < {_ASOF} - INTERVAL 7 DAY THEN {_f} END) AS baseline_mean,
+       stddev_samp(CASE WHEN prediction_timestamp >= {_ASOF} - INTERVAL 30 DAY AND prediction_timestamp < {_ASOF} - INTERVAL 7 DAY THEN {_f} END) AS baseline_std
+FROM log""")
+ORACLE["o07_feature_drift"] = _mon_sql("SELECT *, abs(recent_mean - baseline_mean) / NULLIF(baseline_std, 0) AS z_score_drift, "
+                                       "coalesce(abs(recent_mean - baseline_mean) / NULLIF(baseline_std, 0) > 2.0, FALSE) AS drift_alert FROM ("
+                                       + "\nUNION ALL\n".join(_DRIFT_PARTS) + ") d",
+                                       ["recent_mean", "baseline_mean", "baseline_std", "z_score_drift"])
+ORACLE["o08_metrics_by_version"] = _mon_sql("""SELECT model_version, count(*) AS predictions, avg(absolute_error) AS mae,
+       avg(percentage_error) AS mape, avg(error) AS mean_error FROM err WHERE actual_visitors IS NOT NULL GROUP BY 1""",
+                                            ["mae", "mape", "mean_error"])
+ORACLE["o09_retrain_decision"] = _mon_sql("""SELECT series, recent_mape, coalesce(older_mape, recent_mape) AS older_mape,
+       CASE WHEN recent_mape > 25 THEN 'retrain_required' WHEN recent_mape > coalesce(older_mape, recent_mape) * 1.5 THEN 'drift_detected'
+            WHEN recent_mape < 15 THEN 'healthy' ELSE 'monitor' END AS decision
+FROM (SELECT series, avg(CASE WHEN rn <= 7 THEN percentage_error END) AS recent_mape,
+             avg(CASE WHEN rn > 7 THEN percentage_error END) AS older_mape
+      FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY forecast_date DESC) AS rn
+            FROM err WHERE actual_visitors IS NOT NULL) r GROUP BY 1) a""", ["recent_mape", "older_mape"])
+ORACLE["o10_bias_check"] = _mon_sql("""SELECT series, avg(error) AS mean_error,
+       CASE WHEN avg(error) > 10 THEN 'overpredicts' WHEN avg(error) < -10 THEN 'underpredicts' ELSE 'minimal' END AS bias
+FROM err WHERE actual_visitors IS NOT NULL GROUP BY 1""", ["mean_error"])

@@ -360,3 +360,46 @@ REGISTRY["p20_weather_normals_january"] = lambda spark, sf_dir: round_doubles(we
 REGISTRY["p24_weekday_weekend_profile"] = lambda spark, sf_dir: round_doubles(weekday_weekend_profile(spark, sf_dir))
 REGISTRY["p14_gbt_forecast_metrics"] = gbt_forecast_metrics
 REGISTRY["p23_forecast_next_two_weeks"] = forecast_next_two_weeks
+
+
+# -- monitoring and drift (O01-O10) -----------------------------------------------------------
+from piste.operators import monitoring as MO  # noqa: E402
+
+MONITOR_AS_OF_LAG_DAYS = 3   # the last 3 days of the log have no actuals yet
+
+
+def prediction_log(spark, sf_dir):
+    """Naive seasonal (lag-7) predictions for every segment-day, backfilled with actuals
+    up to ``as_of``: a deterministic prediction log derived from the star."""
+    panel = engineered_panel(spark, sf_dir)
+    d = F.col("FULL_DATE")
+    log = MO.log_from_predictions(
+        panel.withColumn("naive", F.col("lag_7")), SEGMENT, "FULL_DATE", "naive", "VISITOR_FORECASTER",
+        F.when(F.year(d) % 2 == 0, "v1").otherwise("v2"), F.concat(F.lit("run-"), F.date_format(d, "yyyyMM")))
+    as_of = monitor_as_of(panel)
+    actuals = panel.select(F.col(SEGMENT).alias("series"), F.col("FULL_DATE").alias("forecast_date"),
+                           F.col("UNIQUE_VISITORS").alias("actual"))
+    return MO.backfill_actuals(log, actuals, as_of), as_of
+
+
+def monitor_as_of(panel) -> str:
+    last = panel.agg(F.max("FULL_DATE")).first()[0]
+    return (last - __import__("datetime").timedelta(days=MONITOR_AS_OF_LAG_DAYS)).isoformat()
+
+
+def _mon(fn):
+    def run(spark, sf_dir):
+        log, as_of = prediction_log(spark, sf_dir)
+        return round_doubles(fn(log, as_of))
+    return run
+
+
+REGISTRY["o03_prediction_errors"] = _mon(lambda log, as_of: MO.with_errors(log).select(
+    "series", "forecast_date", "model_version", "predicted_visitors", "actual_visitors", "error", "absolute_error",
+    "percentage_error"))
+REGISTRY["o05_daily_performance"] = _mon(lambda log, as_of: MO.daily_performance(log))
+REGISTRY["o06_recent_performance"] = _mon(lambda log, as_of: MO.recent_performance(log, as_of))
+REGISTRY["o07_feature_drift"] = _mon(lambda log, as_of: MO.feature_drift(log, as_of))
+REGISTRY["o08_metrics_by_version"] = _mon(lambda log, as_of: MO.metrics_by_version(log))
+REGISTRY["o09_retrain_decision"] = _mon(lambda log, as_of: MO.retrain_decision(log))
+REGISTRY["o10_bias_check"] = _mon(lambda log, as_of: MO.bias_check(log))
