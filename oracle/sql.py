@@ -527,3 +527,85 @@ FROM (SELECT series, avg(CASE WHEN rn <= 7 THEN percentage_error END) AS recent_
 ORACLE["o10_bias_check"] = _mon_sql("""SELECT series, avg(error) AS mean_error,
        CASE WHEN avg(error) > 10 THEN 'overpredicts' WHEN avg(error) < -10 THEN 'underpredicts' ELSE 'minimal' END AS bias
 FROM err WHERE actual_visitors IS NOT NULL GROUP BY 1""", ["mean_error"])
+
+
+# -- text and page mining -------------------------------------------------------------------------
+def _strip_noise(h: str) -> str:
+    for tag in ("script", "style", "nav", "footer"):
+        h = f"regexp_replace({h}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
+    return h
+
+
+def _html_text(t: str) -> str:
+    t = f"regexp_replace(regexp_replace({t}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+    for ent, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"),
+                    ("&apos;", "''"), ("&amp;", "&")):
+        t = f"replace({t}, '{ent}', '{ch}')"
+    return f"trim(regexp_replace({t}, '[\\s ]+', ' ', 'g'))"
+
+
+def _inner(h: str, tag: str) -> str:
+    return (f"CASE WHEN regexp_matches({h}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>') "
+            f"THEN regexp_extract({h}, '(?is)<{tag}\\b[^>]*>(.*?)</{tag}\\s*>', 1) END")
+
+
+_PRICE = [r"\$[\d,]+\.?\d*", r"€[\d,]+\.?\d*", r"£[\d,]+\.?\d*", r"USD\s*[\d,]+\.?\d*", r"EUR\s*[\d,]+\.?\d*"]
+_prices = "list_concat(" + ", ".join(f"regexp_extract_all(txt, '(?i){p}')[1:3]" for p in _PRICE) + ")"
+ORACLE["x01_page_extraction"] = f"""
+SELECT page_id, url, coalesce(regexp_matches(url, '^https?://') AND host <> '' AND host NOT IN ('localhost', '127.0.0.1')
+                              AND NOT starts_with(host, '192.168.'), FALSE) AS url_valid,
+       CASE WHEN title <> '' THEN title ELSE regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1) END AS title,
+       substr(txt, 1, 5000) AS content, length(txt) AS content_chars,
+       array_to_string(list_sort(list_distinct({_prices}))[1:5], '|') AS prices
+FROM (
+  SELECT page_id, url, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host,
+         {_html_text("regexp_extract(h, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1)")} AS title,
+         {_html_text(f"coalesce({_inner('h', 'main')}, {_inner('h', 'article')}, {_inner('h', 'body')}, h)")} AS txt
+  FROM (SELECT page_id, url, {_strip_noise('html')} AS h FROM pages) a
+) b"""
+ORACLE["x05_document_inventory"] = """
+SELECT lang, source, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS total_chars FROM documents GROUP BY 1, 2"""
+
+_TRIM = "regexp_replace(x, '^\\s+|\\s+$', '', 'g')"
+ORACLE["x06_conversation_key_points"] = f"""
+WITH m AS (
+  SELECT conv_id, turn,
+         list_filter(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_TRIM}),
+                     lambda x: starts_with(x, '- ') OR starts_with(x, '* ') OR starts_with(x, '• ') OR starts_with(x, '1.')
+                          OR starts_with(x, '2.') OR starts_with(x, '3.')),
+                     lambda x: regexp_replace(x, '^[-*•\\d.]+\\s*', '')),
+                     lambda x: length(x) > 10 AND length(x) < 200) AS bullets,
+         list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: {_TRIM}),
+                     lambda x: length(x) > 20 AND length(x) < 200) AS sentences
+  FROM conversations WHERE role = 'assistant'
+), e AS (
+  SELECT conv_id, turn, bullets, list_filter(sentences, lambda x: NOT list_contains(bullets, x)) AS ex FROM m
+), p AS (
+  SELECT conv_id, turn,
+         (CASE WHEN len(bullets) < 3 THEN list_concat(bullets, list_filter(ex, lambda x, i: list_position(ex, x) = i))
+               ELSE bullets END)[1:5] AS pts
+  FROM e
+)
+SELECT conv_id, turn, CAST(generate_subscripts(pts, 1) AS INTEGER) AS point_no, unnest(pts) AS point FROM p"""
+
+_TOK = "list_filter(string_split_regex(lower(text), '[^\\pL\\pN]+'), lambda t: t <> '')"
+ORACLE["x04_benchmark_keyword_search"] = f"""
+WITH post AS (SELECT doc_id AS doc, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) t
+              GROUP BY 1, 2),
+dl AS (SELECT doc, sum(tf) AS dl FROM post GROUP BY 1),
+st AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl),
+terms AS (SELECT term, count(*) AS df, ln(1.0 + ((SELECT n_docs FROM st) - count(*) + 0.5) / (count(*) + 0.5)) AS idf
+          FROM post GROUP BY 1),
+q AS (SELECT DISTINCT item_id AS q, unnest({_TOK}) AS term FROM benchmark),
+qt AS (SELECT q.q, q.term, t.idf, t.df FROM q LEFT JOIN terms t ON q.term = t.term),
+nq AS (SELECT q, count(*) AS n_terms, bool_and(df IS NOT NULL) AS all_known FROM qt GROUP BY 1),
+scored AS (
+  SELECT qt.q, p.doc, count(*) AS matched,
+         round(sum(qt.idf * p.tf * (1.2 + 1) / (p.tf + 1.2 * (1 - 0.75 + 0.75 * dl.dl / (SELECT avgdl FROM st)))), 6) AS score
+  FROM qt JOIN post p ON qt.term = p.term JOIN dl ON dl.doc = p.doc GROUP BY 1, 2
+)
+SELECT s.q AS query_id, s.doc AS doc_id, CAST(row_number() OVER (PARTITION BY s.q ORDER BY s.score DESC, s.doc) AS INTEGER) AS rank,
+       round(s.score, 4) AS score
+FROM scored s JOIN nq ON s.q = nq.q
+WHERE s.matched = nq.n_terms AND nq.all_known
+QUALIFY rank <= 10"""

@@ -403,3 +403,44 @@ REGISTRY["o07_feature_drift"] = _mon(lambda log, as_of: MO.feature_drift(log, as
 REGISTRY["o08_metrics_by_version"] = _mon(lambda log, as_of: MO.metrics_by_version(log))
 REGISTRY["o09_retrain_decision"] = _mon(lambda log, as_of: MO.retrain_decision(log))
 REGISTRY["o10_bias_check"] = _mon(lambda log, as_of: MO.bias_check(log))
+
+
+# -- text and page mining (X01-X08) --------------------------------------------------------------
+from piste.operators import text as TX  # noqa: E402
+from piste.sources.driver import DriverTables  # noqa: E402
+
+
+def page_extraction(spark, sf_dir):
+    p = TX.extract_pages(DriverTables(spark, sf_dir).pages)
+    return p.select("page_id", "url", "url_valid", "title", "content", "content_chars",
+                    F.array_join("prices", "|").alias("prices"))
+
+
+def document_inventory(spark, sf_dir):
+    return TX.document_inventory(DriverTables(spark, sf_dir).documents, "lang", "source")
+
+
+def conversation_key_points(spark, sf_dir):
+    c = DriverTables(spark, sf_dir).conversations.filter(F.col("role") == "assistant")
+    k = c.select("conv_id", "turn", F.posexplode(TX.key_points(F.col("text"))).alias("pos", "point"))
+    return k.select("conv_id", "turn", (F.col("pos") + 1).alias("point_no"), "point")
+
+
+def conversation_sections(spark, sf_dir):
+    c = DriverTables(spark, sf_dir).conversations.filter(F.col("role") == "assistant")
+    return TX.markdown_sections(c, ["conv_id", "turn"]).select("conv_id", "turn", "section_no", "title",
+                                                               F.length("content").alias("content_chars"))
+
+
+def benchmark_keyword_search(spark, sf_dir):
+    t = DriverTables(spark, sf_dir)
+    q = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
+    r = TX.keyword_search(t.documents, q, k=10)
+    return r.withColumn("score", F.round("score", 4))
+
+
+REGISTRY["x01_page_extraction"] = page_extraction
+REGISTRY["x05_document_inventory"] = document_inventory
+REGISTRY["x06_conversation_key_points"] = conversation_key_points
+REGISTRY["x07_conversation_sections"] = conversation_sections
+REGISTRY["x04_benchmark_keyword_search"] = benchmark_keyword_search
