@@ -609,3 +609,24 @@ SELECT s.q AS query_id, s.doc AS doc_id, CAST(row_number() OVER (PARTITION BY s.
 FROM scored s JOIN nq ON s.q = nq.q
 WHERE s.matched = nq.n_terms AND nq.all_known
 QUALIFY rank <= 10"""
+
+
+# -- ingest bookkeeping --------------------------------------------------------------------------
+_RC = ["dim_date", "dim_customer", "dim_lift", "dim_location", "dim_product", "dim_ticket_type", "fact_lift_scans",
+       "fact_pass_usage", "fact_ticket_sales", "fact_rentals", "fact_food_beverage", "fact_weather", "fact_staffing",
+       "fact_feedback", "fact_incidents", "fact_lessons"]
+ORACLE["src07_star_row_counts"] = with_ctes(_RC, "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in _RC))
+ORACLE["src08_star_freshness"] = with_ctes(
+    ["fact_lift_scans", "fact_pass_usage", "fact_ticket_sales", "fact_rentals", "fact_food_beverage", "fact_weather"],
+    "\nUNION ALL\n".join(f"SELECT '{t}' AS table_name, CAST({c} AS DATE) AS latest_date FROM {t}" for t, c in (
+        ("fact_lift_scans", "max(scan_timestamp)"), ("fact_pass_usage", "max(visit_date)"),
+        ("fact_ticket_sales", "max(purchase_date)"),
+        ("fact_rentals", "strptime(CAST(max(rental_date_key) AS VARCHAR), '%Y%m%d')"),
+        ("fact_food_beverage", "strptime(CAST(max(transaction_date_key) AS VARCHAR), '%Y%m%d')"),
+        ("fact_weather", "max(weather_date)"))))
+ORACLE["src06_idempotent_increment"] = """
+SELECT CAST(o_orderdate AS DATE) AS order_date, count(*) AS orders FROM orders
+WHERE CAST(o_orderdate AS DATE) NOT IN (SELECT DISTINCT CAST(o_orderdate AS DATE) FROM orders
+                                        WHERE CAST(o_orderdate AS DATE) < DATE '1998-01-01')
+GROUP BY 1"""

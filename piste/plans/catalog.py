@@ -444,3 +444,45 @@ REGISTRY["x05_document_inventory"] = document_inventory
 REGISTRY["x06_conversation_key_points"] = conversation_key_points
 REGISTRY["x07_conversation_sections"] = conversation_sections
 REGISTRY["x04_benchmark_keyword_search"] = benchmark_keyword_search
+
+
+# -- ingest bookkeeping (SRC06-SRC09) ---------------------------------------------------------------
+from piste.sources import io as IO  # noqa: E402
+
+
+def star_row_counts(spark, sf_dir):
+    st = star_for(spark, sf_dir)
+    return IO.row_counts({n: st[n] for n in ("dim_date", "dim_customer", "dim_lift", "dim_location", "dim_product",
+                                              "dim_ticket_type", "fact_lift_scans", "fact_pass_usage",
+                                              "fact_ticket_sales", "fact_rentals", "fact_food_beverage",
+                                              "fact_weather", "fact_staffing", "fact_feedback", "fact_incidents",
+                                              "fact_lessons")})
+
+
+def star_freshness(spark, sf_dir):
+    st = star_for(spark, sf_dir)
+    return IO.freshness({"fact_lift_scans": (st["fact_lift_scans"], "scan_timestamp"),
+                         "fact_pass_usage": (st["fact_pass_usage"], "visit_date"),
+                         "fact_ticket_sales": (st["fact_ticket_sales"], "purchase_date"),
+                         "fact_rentals": (st["fact_rentals"], "rental_date"),
+                         "fact_food_beverage": (st["fact_food_beverage"], "transaction_date"),
+                         "fact_weather": (st["fact_weather"], "weather_date")})
+
+
+def idempotent_increment(spark, sf_dir):
+    """SRC06: orders of dates not yet present in the loaded ticket sales (history before
+    the increment cut-off counts as loaded)."""
+    st = star_for(spark, sf_dir)
+    loaded = st["stg_ticket_sales"].filter(F.col("purchase_date") < F.lit(INCREMENT_CUTOFF).cast("date"))
+    new = IO.new_dates_only(st.t.orders, "o_orderdate", [loaded], ["purchase_date"])
+    return new.groupBy(F.to_date("o_orderdate").alias("order_date")).agg(F.count(F.lit(1)).alias("orders"))
+
+
+def order_sample(spark, sf_dir):
+    return IO.sample_rows(DriverTables(spark, sf_dir).orders, 0.1).select("o_orderkey", "o_custkey")
+
+
+REGISTRY["src07_star_row_counts"] = star_row_counts
+REGISTRY["src08_star_freshness"] = star_freshness
+REGISTRY["src06_idempotent_increment"] = idempotent_increment
+REGISTRY["src09_order_sample"] = order_sample
