@@ -117,8 +117,11 @@ def incremental_load(
 
     old = spark.read.parquet(target_path)
     old, new, schema_changed = _align(old, new, on_schema_change)
-    # one version per key within the increment (the latest by watermark wins)
-    new = new.dropDuplicates([unique_key]) if lookback is None else new
+    # one version per key within the increment: the latest by watermark wins
+    from pyspark.sql import Window
+
+    latest = Window.partitionBy(unique_key).orderBy(F.col(watermark_col).desc_nulls_last())
+    new = new.withColumn("__v", F.row_number().over(latest)).filter(F.col("__v") == 1).drop("__v")
     keys = new.select(unique_key).distinct()
     keys = bounded_broadcast(keys, KEY_BROADCAST_ROWS)
 
