@@ -200,12 +200,12 @@ def keyword_search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float =
     """
     post = postings(docs, doc_id, text)
     dl = post.groupBy("doc").agg(F.sum("tf").alias("dl"))
-    stats = dl.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    # corpus statistics: one small aggregate read on the driver (two numbers)
+    stats = dl.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")).first()
+    n, avgdl = F.lit(stats["n_docs"]), F.lit(stats["avgdl"])
     df_ = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n, avgdl = F.col("n_docs"), F.col("avgdl")
     idf = F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # corpus statistics are one row: attached by broadcasting that row to every term
-    terms = df_.join(F.broadcast(stats), F.lit(True)).select("term", "df", idf.alias("idf"))
+    terms = df_.select("term", "df", idf.alias("idf"))
 
     q = queries.select(F.col(query_id).alias("q"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
     q = q.join(terms, "term", "left")
@@ -215,7 +215,7 @@ def keyword_search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float =
     cand = nterms.filter(F.col("rare_df") > 0).join(
         post.select(F.col("term").alias("rare"), "doc"), "rare").select("q", "doc", "n_terms")
     hit = cand.join(q.select("q", "term", "idf"), "q").join(post, ["doc", "term"])
-    hit = hit.join(dl.join(F.broadcast(stats), F.lit(True)), "doc")
+    hit = hit.join(dl, "doc")
     tfc = F.col("tf").cast("double")
     w = F.col("idf") * tfc * (k1 + 1) / (tfc + k1 * (1 - b + b * F.col("dl") / avgdl))
     # scores are rounded to 1e-6 before ranking: sums of the same terms in a different
