@@ -251,9 +251,7 @@ def query(view: SemanticView, tables: dict[str, DataFrame], metrics: Sequence[st
             part = df.agg(*aggs)
         parts.append(part)
 
-    out = parts[0]
-    for p in parts[1:]:
-        out = _combine(out, p, dim_names)
+    out = combine_aggregates(parts, dim_names)
 
     if derived:
         env = {m.name.upper(): F.col(m.name.upper()) for m in base}
@@ -272,25 +270,29 @@ def query(view: SemanticView, tables: dict[str, DataFrame], metrics: Sequence[st
     return out
 
 
+def combine_aggregates(parts: list[DataFrame], dim_names: list[str]) -> DataFrame:
+    """Drill-across: stack per-fact aggregates and take each metric from the fact that
+    computed it, per dimension combination.
+
+    Each part has one row per dimension combination and its own metric columns, so a
+    ``unionByName`` followed by one aggregation on the dimensions (NULL keys group
+    together, like ``<=>``) is a full outer combine without any join -- one shuffle of
+    the (already small) aggregates, and no nested-loop plan when there are no dimensions.
+    """
+    if len(parts) == 1:
+        return parts[0]
+    metrics: list[str] = []
+    for p in parts:
+        metrics += [c for c in p.columns if c not in dim_names]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p, allowMissingColumns=True)
+    aggs = [F.first(F.col(m), ignorenulls=True).alias(m) for m in metrics]
+    return u.groupBy(*dim_names).agg(*aggs) if dim_names else u.agg(*aggs)
+
+
 def _combine(a: DataFrame, b: DataFrame, dim_names: list[str]) -> DataFrame:
-    """Drill-across: NULL-safe full outer join of two aggregates on shared dimensions."""
-    if not dim_names:
-        # Both sides are single-row aggregates: join on a constant key (1 x 1).
-        a1 = a.withColumn("__one", F.lit(1))
-        b1 = b.withColumn("__one", F.lit(1))
-        return a1.join(b1, "__one", "full_outer").drop("__one")
-    ra = a.select(*[F.col(n).alias(f"__a_{n}") for n in dim_names],
-                  *[c for c in a.columns if c not in dim_names])
-    rb = b.select(*[F.col(n).alias(f"__b_{n}") for n in dim_names],
-                  *[c for c in b.columns if c not in dim_names])
-    cond = None
-    for n in dim_names:
-        p = F.col(f"__a_{n}").eqNullSafe(F.col(f"__b_{n}"))
-        cond = p if cond is None else cond & p
-    j = ra.join(rb, cond, "full_outer")
-    keys = [F.coalesce(F.col(f"__a_{n}"), F.col(f"__b_{n}")).alias(n) for n in dim_names]
-    rest = [c for c in j.columns if not (c.startswith("__a_") or c.startswith("__b_"))]
-    return j.select(*keys, *rest)
+    return combine_aggregates([a, b], dim_names)
 
 
 def flat(view: SemanticView, tables: dict[str, DataFrame], fact: str, columns: Sequence[str],

@@ -23,15 +23,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, min_partitions: int
     ``min_partitions`` (default: the default parallelism).  On a cluster the inputs are
     thousands of files and the guard is a no-op.
     """
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
     if name in TINY_TABLES:
         return df
     target = min_partitions or spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < target:
+    if len(df.inputFiles()) < target and _bytes(spark, path) > GUARD_MIN_BYTES:
         df = df.repartition(target)
     return df
 
 
+GUARD_MIN_BYTES = 8 << 20
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(p).getLength())
+
+
 class DriverTables:
     """Lazy accessor: ``t.orders`` reads ``<sf_dir>/orders.parquet`` once per instance."""
 
