@@ -81,7 +81,7 @@ FROM (
               WHEN month(d) = 11 AND dayofweek(d) = 4 AND day(d) BETWEEN 22 AND 28 THEN 'Thanksgiving' END AS holiday_name,
          CASE WHEN month(d) IN (1, 2) THEN 'Excellent' WHEN month(d) IN (12, 3) THEN 'Good'
               WHEN month(d) IN (11, 4) THEN 'Fair' ELSE 'Closed' END AS snow_condition
-  FROM (SELECT CAST(DATE '1994-11-01' + CAST(i AS INTEGER) AS DATE) AS d FROM range(3650) t(i)) spine
+  FROM (SELECT CAST(DATE '1994-11-01' + CAST(i AS INTEGER) AS DATE) AS d FROM range(11000) t(i)) spine
 ) x
 WHERE ski_season IS NOT NULL AND full_date <= {AS_OF} + INTERVAL 24 MONTH""")
 
@@ -284,3 +284,37 @@ FROM (
   FROM events WHERE event_type = 'purchase'
 ) l LEFT JOIN a_customers c ON l.customer_id = c.customer_id
 LEFT JOIN supplier s ON l.instructor_id = s.s_suppkey""")
+
+
+# -- marketing and season passes -------------------------------------------------------------
+_CH = "CASE event_type WHEN 'click' THEN 'email' WHEN 'view' THEN 'social' WHEN 'purchase' THEN 'email' WHEN 'signup' THEN 'web' WHEN 'error' THEN 'sms' END"
+cte("fact_marketing", ["dim_date"], f"""
+SELECT {sk('touch_id')} AS marketing_key, d.date_key AS send_date_key, m.*,
+       CASE WHEN target_count > 0 THEN CAST(revenue_attributed AS DOUBLE) / target_count ELSE 0 END AS revenue_per_target
+FROM (
+  SELECT strftime(send_date, '%Y%m%d') || '-' || event_type AS touch_id, event_type AS campaign_id,
+         {_CH} AS campaign_channel, send_date, CAST(n * 10 AS INTEGER) AS target_count, CAST(conv AS INTEGER) AS conversion_count,
+         round(opened / n, 4) AS open_rate, round(clicked / n, 4) AS click_rate,
+         CAST(rev AS DOUBLE) AS revenue_attributed,
+         CASE WHEN conv > 0 THEN CAST(rev AS DOUBLE) / conv ELSE 0 END AS revenue_per_conversion,
+         CASE WHEN n * 10 > 0 THEN CAST(conv AS DOUBLE) / (n * 10) ELSE 0 END AS conversion_rate
+  FROM (SELECT CAST(ts AS DATE) AS send_date, event_type, count(*) AS n, count(*) FILTER (WHERE value > 100) AS conv,
+               count(*) FILTER (WHERE value > 5) AS opened, count(*) FILTER (WHERE value > 20) AS clicked,
+               sum(CAST(value AS DECIMAL(18,2))) AS rev
+        FROM events GROUP BY 1, 2) g
+) m LEFT JOIN dim_date d ON m.send_date = d.full_date""")
+
+cte("campaigns", [], """
+SELECT event_type AS campaign_id, upper(substr(event_type, 1, 1)) || substr(event_type, 2) || ' Campaign' AS campaign_name,
+       CAST(count(*) * CAST(2.5 AS DECIMAL(4,2)) AS DECIMAL(18,2)) AS actual_spend,
+       CAST(coalesce(sum(CASE WHEN value > 100 THEN CAST(value AS DECIMAL(18,2)) END), 0) AS DECIMAL(18,2)) AS revenue_attributed
+FROM events GROUP BY 1""")
+
+cte("fact_season_pass_sales", [], """
+SELECT o_orderkey AS sale_id,
+       CASE WHEN month(o_orderdate) >= 5 THEN CAST(year(o_orderdate) AS VARCHAR) || '-' || CAST(year(o_orderdate) + 1 AS VARCHAR)
+            ELSE CAST(year(o_orderdate) - 1 AS VARCHAR) || '-' || CAST(year(o_orderdate) AS VARCHAR) END AS valid_season,
+       CASE WHEN CAST(o_orderdate AS DATE) > f.first_date THEN 'Renewal' ELSE 'New' END AS customer_type
+FROM orders o JOIN (SELECT o_custkey AS c, min(CAST(o_orderdate AS DATE)) AS first_date FROM orders
+                    WHERE o_orderpriority = '1-URGENT' GROUP BY 1) f ON o.o_custkey = f.c
+WHERE o_orderpriority = '1-URGENT'""")

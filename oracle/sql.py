@@ -630,3 +630,33 @@ SELECT CAST(o_orderdate AS DATE) AS order_date, count(*) AS orders FROM orders
 WHERE CAST(o_orderdate AS DATE) NOT IN (SELECT DISTINCT CAST(o_orderdate AS DATE) FROM orders
                                         WHERE CAST(o_orderdate AS DATE) < DATE '1998-01-01')
 GROUP BY 1"""
+
+
+# -- marketing and season passes ---------------------------------------------------------------
+ORACLE["sem_marketing_by_channel_season"] = single(
+    "fact_marketing f LEFT JOIN dim_date d ON f.send_date_key = d.date_key",
+    {"CAMPAIGN_CHANNEL": "f.campaign_channel", "SKI_SEASON": "d.ski_season"},
+    {"TOTAL_TARGETED": "CAST(sum(f.target_count) AS BIGINT)", "TOTAL_CONVERSIONS": "CAST(sum(f.conversion_count) AS BIGINT)",
+     "TOTAL_REVENUE": "sum(f.revenue_attributed)", "AVG_OPEN_RATE": "avg(f.open_rate)", "AVG_CLICK_RATE": "avg(f.click_rate)",
+     "AVG_CONVERSION_RATE": "avg(f.conversion_rate)",
+     "REVENUE_PER_CONVERSION": "sum(f.revenue_attributed) / NULLIF(CAST(sum(f.conversion_count) AS DOUBLE), 0)",
+     "CAMPAIGN_COUNT": "count(f.marketing_key)"},
+    ["TOTAL_REVENUE", "AVG_OPEN_RATE", "AVG_CLICK_RATE", "AVG_CONVERSION_RATE", "REVENUE_PER_CONVERSION"],
+    ["fact_marketing", "dim_date"])
+ORACLE["n15_pass_renewal_rate"] = with_ctes(["fact_season_pass_sales"], """
+SELECT valid_season AS VALID_SEASON, count(*) AS PASSES_SOLD, count(CASE WHEN customer_type = 'Renewal' THEN 1 END) AS RENEWALS,
+       round(count(CASE WHEN customer_type = 'Renewal' THEN 1 END) / count(*) * 100, 4) AS RENEWAL_RATE_PCT
+FROM fact_season_pass_sales GROUP BY 1""")
+ORACLE["n16_campaign_roi"] = with_ctes(["campaigns"], """
+SELECT campaign_id AS CAMPAIGN_ID, campaign_name AS CAMPAIGN_NAME, round(CAST(actual_spend AS DOUBLE), 4) AS SPEND,
+       round(CAST(revenue_attributed AS DOUBLE), 4) AS REVENUE,
+       round((CAST(revenue_attributed AS DOUBLE) - CAST(actual_spend AS DOUBLE)) / NULLIF(CAST(actual_spend AS DOUBLE), 0), 4) AS ROI,
+       round(CAST(revenue_attributed AS DOUBLE) / NULLIF(CAST(actual_spend AS DOUBLE), 0), 4) AS ROAS
+FROM campaigns""")
+ORACLE["n17_campaign_funnel"] = """
+SELECT event_type AS CAMPAIGN_ID, count(*) AS TOUCHES, count(*) AS DELIVERED, count(*) FILTER (WHERE value > 5) AS OPENED,
+       count(*) FILTER (WHERE value > 20) AS CLICKED, count(*) FILTER (WHERE value > 100) AS CONVERTED,
+       round(count(*) FILTER (WHERE value > 5) / count(*), 4) AS OPEN_RATE,
+       round(count(*) FILTER (WHERE value > 20) / NULLIF(count(*) FILTER (WHERE value > 5), 0), 4) AS CLICK_THROUGH_RATE,
+       round(count(*) FILTER (WHERE value > 100) / NULLIF(count(*) FILTER (WHERE value > 20), 0), 4) AS CONVERSION_RATE
+FROM events GROUP BY 1"""

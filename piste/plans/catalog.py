@@ -486,3 +486,13 @@ REGISTRY["src07_star_row_counts"] = star_row_counts
 REGISTRY["src08_star_freshness"] = star_freshness
 REGISTRY["src06_idempotent_increment"] = idempotent_increment
 REGISTRY["src09_order_sample"] = order_sample
+
+
+# -- marketing and season passes ----------------------------------------------------------------
+REGISTRY["sem_marketing_by_channel_season"] = _sem(V.MARKETING, _all(V.MARKETING), ["CAMPAIGN_CHANNEL", "SKI_SEASON"])
+for _name, _fn in (
+    ("n15_pass_renewal_rate", N.n15_pass_renewal_rate),
+    ("n16_campaign_roi", N.n16_campaign_roi),
+    ("n17_campaign_funnel", N.n17_campaign_funnel),
+):
+    REGISTRY[_name] = _named(_fn)

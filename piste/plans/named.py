@@ -200,7 +200,7 @@ def n15_pass_renewal_rate(t: Tables) -> DataFrame:
 
 
 def n16_campaign_roi(t: Tables) -> DataFrame:
-    c = t["marketing_campaigns"]
+    c = t["stg_marketing_campaigns"]
     spend, rev = F.col("actual_spend").cast("double"), F.col("revenue_attributed").cast("double")
     return c.select(
         F.col("campaign_id").alias("CAMPAIGN_ID"), F.col("campaign_name").alias("CAMPAIGN_NAME"),

@@ -20,7 +20,7 @@ from piste.sources.driver import DriverTables
 
 # Spine covering the driver data (orders 1995-2001) and the as-of date.
 DRIVER_SPINE_START = "1994-11-01"
-DRIVER_SPINE_DAYS = 3650
+DRIVER_SPINE_DAYS = 11000   # 1994-11-01 .. 2024-11: orders/lineitem (1995-2001) and events (2024)
 AS_OF = A.AS_OF_DATE
 LOAD_TS = f"{AS_OF} 00:00:00"
 
@@ -41,7 +41,9 @@ class Star(Mapping):
         "stg_customers stg_lift_scans stg_pass_usage stg_ticket_sales stg_rentals stg_food_beverage "
         "fact_lift_scans fact_pass_usage fact_ticket_sales fact_rentals fact_food_beverage "
         "stg_weather_conditions stg_staffing_schedule stg_customer_feedback stg_incidents stg_ski_lessons "
-        "stg_instructors fact_weather fact_staffing fact_feedback fact_incidents fact_lessons"
+        "stg_instructors fact_weather fact_staffing fact_feedback fact_incidents fact_lessons "
+        "stg_marketing_touches stg_marketing_campaigns stg_campaign_touches stg_season_pass_sales "
+        "fact_marketing fact_season_pass_sales"
     ).split()
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -147,3 +149,23 @@ class Star(Mapping):
 
     def _build_fact_lessons(self):
         return FT.fact_lessons(self["stg_ski_lessons"], self["stg_customers"], self["stg_instructors"])
+
+    # -- marketing and season passes ------------------------------------------------
+    def _build_stg_marketing_touches(self):
+        return ST.stg_marketing_touches(A.marketing_touches(self.t))
+
+    def _build_stg_marketing_campaigns(self):
+        return ST.stg_marketing_campaigns(A.marketing_campaigns(self.t))
+
+    def _build_stg_campaign_touches(self):
+        return ST.stg_campaign_touches(A.campaign_touches(self.t))
+
+    def _build_stg_season_pass_sales(self):
+        return ST.stg_season_pass_sales(A.season_pass_sales(self.t))
+
+    def _build_fact_marketing(self):
+        return FT.fact_marketing(self["stg_marketing_touches"], self["dim_date"])
+
+    def _build_fact_season_pass_sales(self):
+        return FT.fact_season_pass_sales(self["stg_season_pass_sales"], self["stg_customers"],
+                                         self["stg_marketing_campaigns"])

@@ -386,3 +386,101 @@ def ski_lessons(t: DriverTables) -> DataFrame:
         ((k % 5) + 1).cast("double").alias("student_rating"),
         F.col("ts").alias("created_at"),
     )
+
+
+# -- marketing and season-pass tables derived from the driver data -----------------------
+EVENT_CHANNEL = {"click": "email", "view": "social", "purchase": "email", "signup": "web", "error": "sms"}
+
+
+def _event_channel(c: Column) -> Column:
+    expr = None
+    for k, v in EVENT_CHANNEL.items():
+        expr = F.when(c == k, v) if expr is None else expr.when(c == k, v)
+    return expr
+
+
+def marketing_touches(t: DriverTables) -> DataFrame:
+    """One campaign send per (event day, event type); engagement from event values."""
+    e = t.events
+    g = e.groupBy(F.to_date("ts").alias("send_date"), F.col("event_type")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(F.col("value") > 100, 1)).alias("conv"),
+        F.count(F.when(F.col("value") > 5, 1)).alias("opened"),
+        F.count(F.when(F.col("value") > 20, 1)).alias("clicked"),
+        F.sum(money(F.col("value"))).alias("revenue"))
+    return g.select(
+        F.concat_ws("-", F.date_format("send_date", "yyyyMMdd"), F.col("event_type")).alias("touch_id"),
+        F.col("event_type").alias("campaign_id"),
+        F.concat(F.initcap("event_type"), F.lit(" Campaign")).alias("campaign_name"),
+        _event_channel(F.col("event_type")).alias("campaign_channel"),
+        F.when(F.col("event_type").isin("purchase", "signup"), "Acquisition").otherwise("Engagement")
+        .alias("campaign_type"),
+        F.when(F.dayofweek("send_date").isin(1, 7), "weekend_warrior").otherwise("local_pass_holder")
+        .alias("audience_segment"),
+        "send_date",
+        (F.col("n") * 10).cast("bigint").alias("target_count"),
+        F.col("conv").cast("bigint").alias("conversion_count"),
+        F.round(F.col("opened") / F.col("n"), 4).alias("open_rate"),
+        F.round(F.col("clicked") / F.col("n"), 4).alias("click_rate"),
+        F.col("revenue").cast("decimal(18,2)").alias("revenue_attributed"),
+        F.col("send_date").cast("timestamp_ntz").alias("created_at"),
+    )
+
+
+def marketing_campaigns(t: DriverTables) -> DataFrame:
+    """One campaign per event type: spend from reach, revenue from converted events."""
+    e = t.events
+    g = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("start"), F.max("ts").alias("end"),
+                                    F.sum(F.when(F.col("value") > 100, money(F.col("value")))).alias("rev"))
+    return g.select(
+        F.col("event_type").alias("campaign_id"),
+        F.concat(F.initcap("event_type"), F.lit(" Campaign")).alias("campaign_name"),
+        F.when(F.col("event_type").isin("purchase", "signup"), "Acquisition").otherwise("Engagement")
+        .alias("campaign_type"),
+        _event_channel(F.col("event_type")).alias("channel"),
+        F.to_date("start").alias("start_date"), F.to_date("end").alias("end_date"),
+        (F.col("n") * F.lit(2.5).cast("decimal(4,2)")).cast("decimal(18,2)").alias("actual_spend"),
+        F.coalesce(F.col("rev"), money(F.lit(0))).cast("decimal(18,2)").alias("revenue_attributed"),
+    )
+
+
+def campaign_touches(t: DriverTables) -> DataFrame:
+    """Every event is a touch of its user by the campaign of its type."""
+    e = t.events
+    v = F.col("value")
+    return e.select(
+        F.col("event_id").alias("touch_id"), F.col("user_id").alias("customer_id"),
+        F.col("event_type").alias("campaign_id"), _event_channel(F.col("event_type")).alias("channel"),
+        F.col("ts").alias("touch_timestamp"), F.lit(True).alias("was_delivered"), (v > 5).alias("was_opened"),
+        (v > 20).alias("was_clicked"), (v > 100).alias("converted"),
+        F.when(v > 100, money(v)).alias("conversion_value"), F.col("ts").alias("created_at"),
+    )
+
+
+def pass_season(d: Column) -> Column:
+    """Season a pass bought on ``d`` is valid for (passes sold from May are for the next season)."""
+    y = F.year(d)
+    start = F.when(F.month(d) >= 5, y).otherwise(y - 1)
+    return F.concat(start.cast("string"), F.lit("-"), (start + 1).cast("string"))
+
+
+def season_pass_sales(t: DriverTables) -> DataFrame:
+    """Urgent-priority orders are season passes; a renewal is any purchase after the
+    customer's first pass (first purchase per customer by aggregation, not a window, so
+    a customer holding many rows never lands in one task)."""
+    o = t.orders.filter(F.col("o_orderpriority") == "1-URGENT")
+    d = F.to_date("o_orderdate")
+    first = o.groupBy(F.col("o_custkey").alias("__c")).agg(F.min(d).alias("__first"))
+    j = o.join(first, o.o_custkey == first.__c, "left")
+    amt = money(F.col("o_totalprice"))
+    orig = F.round(amt * F.lit(1.1).cast("decimal(3,1)"), 2).cast("decimal(18,2)")
+    return j.select(
+        F.col("o_orderkey").alias("sale_id"), F.col("o_custkey").alias("customer_id"),
+        F.col("o_orderpriority").alias("ticket_type_id"), d.alias("purchase_date"),
+        pass_season(d).alias("valid_season"), amt.alias("purchase_amount"), orig.alias("original_price"),
+        (orig - amt).alias("discount_amount"), F.lit("card").alias("payment_method"),
+        _channel(F.col("o_orderstatus")).alias("purchase_channel"), (d > F.col("__first")).alias("is_renewal"),
+        _pick((F.col("o_orderkey") % 5).cast("int"), ["click", "view", "purchase", "signup", "error"])
+        .alias("campaign_id"),
+        F.col("o_orderdate").alias("created_at"),
+    )
