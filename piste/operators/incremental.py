@@ -53,8 +53,13 @@ def high_water_mark(spark: SparkSession, target_path: str, col: str):
 
 
 def _write(df: DataFrame, path: str, partition_col: str | None, cluster_col: str | None, mode: str) -> None:
-    if cluster_col:
-        df = df.sortWithinPartitions(*( [partition_col] if partition_col else []), cluster_col)
+    """Clustered write: range-partitioned on (partition, cluster key) so each task holds a
+    contiguous key range -- it writes one or two partition folders with sorted files
+    (tight min/max statistics) instead of a small file in every folder; a big month is
+    split across tasks rather than sent to one."""
+    keys = ([partition_col] if partition_col else []) + ([cluster_col] if cluster_col else [])
+    if keys:
+        df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     w = df.write.mode(mode)
     if partition_col:
         w = w.partitionBy(partition_col)

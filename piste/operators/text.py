@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from piste.functions.core import bounded_broadcast
+
 # Elements removed before text extraction; entity table; price patterns.
 NOISE_TAGS = ("script", "style", "nav", "footer")
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
@@ -212,8 +214,10 @@ def keyword_search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float =
     nterms = q.groupBy("q").agg(F.count(F.lit(1)).alias("n_terms"),
                                 F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("rare"),
                                 F.min(F.coalesce("df", F.lit(0))).alias("rare_df"))
-    cand = nterms.filter(F.col("rare_df") > 0).join(
-        post.select(F.col("term").alias("rare"), "doc"), "rare").select("q", "doc", "n_terms")
+    # one row per query: broadcast (behind a size check) so the postings are probed in
+    # place and never shuffled by term, where a hot term would land in one task
+    rare = bounded_broadcast(nterms.filter(F.col("rare_df") > 0), 1_000_000)
+    cand = post.select(F.col("term").alias("rare"), "doc").join(rare, "rare").select("q", "doc", "n_terms")
     hit = cand.join(q.select("q", "term", "idf"), "q").join(post, ["doc", "term"])
     hit = hit.join(dl, "doc")
     tfc = F.col("tf").cast("double")

@@ -312,7 +312,18 @@ def weekday_weekend_profile(spark, sf_dir):
     return FC.weekday_weekend_profile(segment_training_frame(spark, sf_dir), "UNIQUE_VISITORS", "IS_WEEKEND", SEGMENT)
 
 
+_MODELS: dict = {}
+
+
 def _fit(spark, sf_dir):
+    """Train once per (session, input): the metrics and the forecast share one model."""
+    key = (id(spark), sf_dir)
+    if key not in _MODELS:
+        _MODELS[key] = _train(spark, sf_dir)
+    return _MODELS[key]
+
+
+def _train(spark, sf_dir):
     cfg = FE.build_config(VISITOR_MODEL)
     e = FE.engineer(segment_training_frame(spark, sf_dir), cfg, "FULL_DATE", entity=SEGMENT)
     e = FE.time_split(e, "FULL_DATE", SEGMENT)
