@@ -3,6 +3,7 @@ from piste.functions.core import (  # noqa: F401
     bounded_broadcast,
     date_key,
     dow0,
+    fround,
     hour_boundary_diff,
     round_doubles,
     safe_div,

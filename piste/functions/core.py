@@ -113,6 +113,18 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 2_000_000, known_small: boo
     return F.broadcast(df) if small else df
 
 
+def fround(c, scale: int) -> Column:
+    """Round a double to ``scale`` places as round-half-away-from-zero of ``x * 10^scale``.
+
+    Spark's ``round`` on doubles rounds the shortest decimal text of the value, which
+    differs from rounding the binary value at exact-looking ties (183112.82875 -> ...8288
+    vs ...8287).  Scaling first, rounding to an integer and scaling back gives the same
+    IEEE result in Spark and in other engines, so results compare exactly.
+    """
+    m = float(10 ** scale)
+    return F.round(_col(c).cast("double") * F.lit(m), 0) / F.lit(m)
+
+
 def round_doubles(df: DataFrame, scale: int = 4) -> DataFrame:
     """Round every double/float/decimal column (decimals become double) to ``scale`` places (stable result comparison)."""
     from pyspark.sql.types import DecimalType, DoubleType, FloatType
@@ -120,7 +132,7 @@ def round_doubles(df: DataFrame, scale: int = 4) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType, DecimalType)):
-            cols.append(F.round(F.col(f.name), scale).cast("double").alias(f.name))
+            cols.append(fround(F.col(f.name), scale).cast("double").alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from piste.functions.core import bounded_broadcast
+from piste.functions.core import bounded_broadcast, fround
 
 # Elements removed before text extraction; entity table; price patterns.
 NOISE_TAGS = ("script", "style", "nav", "footer")
@@ -225,7 +225,7 @@ def keyword_search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float =
     # scores are rounded to 1e-6 before ranking: sums of the same terms in a different
     # order must not reorder exact-duplicate documents (ties then break on doc id)
     scored = hit.groupBy("q", "doc").agg(F.count(F.lit(1)).alias("matched"), F.first("n_terms").alias("n_terms"),
-                                         F.round(F.sum(w), 6).alias("score"))
+                                         fround(F.sum(w), 6).alias("score"))
     scored = scored.filter(F.col("matched") == F.col("n_terms"))
     order = [F.col("score").desc(), F.col("doc")]
     part = scored.withColumn("__b", F.pmod(F.xxhash64("doc"), F.lit(buckets)))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from piste.functions.core import round_doubles
+from piste.functions.core import fround, round_doubles
 from piste.plans import views as V
 from piste.plans.semantic import query
 from piste.plans.star import Star
@@ -447,7 +447,7 @@ def benchmark_keyword_search(spark, sf_dir):
     t = DriverTables(spark, sf_dir)
     q = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
     r = TX.keyword_search(t.documents, q, k=10)
-    return r.withColumn("score", F.round("score", 4))
+    return r.withColumn("score", fround("score", 4))
 
 
 REGISTRY["x01_page_extraction"] = page_extraction

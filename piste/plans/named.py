@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from piste.functions.core import bounded_broadcast, safe_div, table_is_small
+from piste.functions.core import bounded_broadcast, fround, safe_div, table_is_small
 from piste.plans import views as V
 from piste.plans.semantic import _combine, query
 
@@ -28,14 +28,14 @@ def n01_avg_wait_by_lift_top5(t: Tables) -> DataFrame:
     f = t["fact_lift_scans"].select("lift_key", "wait_time_minutes")
     lifts = _dim(t["dim_lift"], "lift_key", "lift_name")
     g = f.join(lifts, "lift_key").groupBy("lift_name").agg(
-        F.round(F.avg(F.col("wait_time_minutes").cast("double")), 2).alias("AVG_WAIT"))
+        fround(F.avg(F.col("wait_time_minutes").cast("double")), 2).alias("AVG_WAIT"))
     return g.orderBy(F.col("AVG_WAIT").desc(), F.col("lift_name")).limit(5).withColumnRenamed("lift_name", "LIFT_NAME")
 
 
 def n02_coverage_by_department(t: Tables) -> DataFrame:
     """Departments by average coverage ratio, lowest first."""
     g = t["fact_staffing"].groupBy(F.col("department").alias("DEPARTMENT")).agg(
-        F.round(F.avg(F.col("coverage_ratio").cast("double")), 3).alias("AVG_COVERAGE"))
+        fround(F.avg(F.col("coverage_ratio").cast("double")), 3).alias("AVG_COVERAGE"))
     return g.orderBy("AVG_COVERAGE", "DEPARTMENT")
 
 
@@ -55,7 +55,7 @@ def n04_segment_visit_profile(t: Tables) -> DataFrame:
     return j.groupBy(F.col("customer_segment").alias("CUSTOMER_SEGMENT")).agg(
         F.countDistinct("customer_key").alias("CUSTOMERS"),
         F.count(F.lit(1)).alias("VISITS"),
-        F.round(F.avg(F.col("total_lift_rides").cast("double")), 1).alias("AVG_RIDES"),
+        fround(F.avg(F.col("total_lift_rides").cast("double")), 1).alias("AVG_RIDES"),
     ).orderBy(F.col("VISITS").desc(), "CUSTOMER_SEGMENT")
 
 
@@ -63,7 +63,7 @@ def n05_visits_per_customer_by_segment(t: Tables) -> DataFrame:
     j = _pass_with_customer(t, "customer_segment")
     return j.groupBy(F.col("customer_segment").alias("CUSTOMER_SEGMENT")).agg(
         F.countDistinct("customer_key").alias("CUSTOMERS"),
-        F.round(safe_div(F.count(F.lit(1)), F.countDistinct("customer_key")), 1).alias("VISITS_PER_CUSTOMER"),
+        fround(safe_div(F.count(F.lit(1)), F.countDistinct("customer_key")), 1).alias("VISITS_PER_CUSTOMER"),
     ).orderBy(F.col("VISITS_PER_CUSTOMER").desc(), "CUSTOMER_SEGMENT")
 
 
@@ -123,7 +123,7 @@ def n09_yoy_by_week_of_season(t: Tables) -> DataFrame:
     return out.select(
         F.col("ski_season").alias("SKI_SEASON"), F.col("week_of_season").alias("WEEK_OF_SEASON"), "VISITS",
         "PREV_SEASON_VISITS",
-        F.round(safe_div(F.col("VISITS") - F.col("PREV_SEASON_VISITS"), F.col("PREV_SEASON_VISITS")) * 100, 2)
+        fround(safe_div(F.col("VISITS") - F.col("PREV_SEASON_VISITS"), F.col("PREV_SEASON_VISITS")) * 100, 2)
         .alias("YOY_GROWTH_PCT"),
     )
 
@@ -133,13 +133,13 @@ def n10_weekend_vs_weekday_waits(t: Tables) -> DataFrame:
     d = _dim(t["dim_date"], "date_key", "is_weekend")
     return f.join(d, "date_key", "left").groupBy(F.col("is_weekend").alias("IS_WEEKEND")).agg(
         F.count(F.lit(1)).alias("SCANS"),
-        F.round(F.avg(F.col("wait_time_minutes").cast("double")), 4).alias("AVG_WAIT"))
+        fround(F.avg(F.col("wait_time_minutes").cast("double")), 4).alias("AVG_WAIT"))
 
 
 def n10_hourly_profile(t: Tables) -> DataFrame:
     return t["fact_lift_scans"].groupBy(F.col("scan_hour").alias("SCAN_HOUR")).agg(
         F.count(F.lit(1)).alias("SCANS"),
-        F.round(F.avg(F.col("wait_time_minutes").cast("double")), 4).alias("AVG_WAIT"),
+        fround(F.avg(F.col("wait_time_minutes").cast("double")), 4).alias("AVG_WAIT"),
     ).orderBy("SCAN_HOUR")
 
 
@@ -155,8 +155,8 @@ def n11_weather_vs_attendance(t: Tables) -> DataFrame:
     j = w.join(visits, "day")
     return j.groupBy(F.col("mountain_zone").alias("MOUNTAIN_ZONE")).agg(
         F.count(F.lit(1)).alias("DAYS"),
-        F.round(F.corr(F.col("snowfall_inches"), F.col("visitors").cast("double")), 4).alias("CORR_SNOW_VISITORS"),
-        F.round(F.corr(F.col("temp_high_f"), F.col("visitors").cast("double")), 4).alias("CORR_TEMP_VISITORS"),
+        fround(F.corr(F.col("snowfall_inches"), F.col("visitors").cast("double")), 4).alias("CORR_SNOW_VISITORS"),
+        fround(F.corr(F.col("temp_high_f"), F.col("visitors").cast("double")), 4).alias("CORR_TEMP_VISITORS"),
     )
 
 
@@ -166,18 +166,18 @@ def n12_snowfall_vs_revenue(t: Tables) -> DataFrame:
         F.max("snowfall_inches").alias("max_snowfall"))
     j = snow.join(rev, "day")
     return j.agg(F.count(F.lit(1)).alias("DAYS"),
-                 F.round(F.corr("max_snowfall", "revenue"), 4).alias("CORR_SNOW_REVENUE"))
+                 fround(F.corr("max_snowfall", "revenue"), 4).alias("CORR_SNOW_REVENUE"))
 
 
 def n13_monthly_trends(t: Tables) -> DataFrame:
     """Monthly NPS / satisfaction (feedback) and incident / patrol-response trends."""
     fb = t["fact_feedback"].groupBy(F.trunc("feedback_date", "month").alias("MONTH")).agg(
-        F.round(F.avg(F.col("nps_score").cast("double")), 4).alias("AVG_NPS"),
-        F.round(F.avg(F.col("rating").cast("double")), 4).alias("AVG_RATING"),
+        fround(F.avg(F.col("nps_score").cast("double")), 4).alias("AVG_NPS"),
+        fround(F.avg(F.col("rating").cast("double")), 4).alias("AVG_RATING"),
         F.count(F.lit(1)).alias("FEEDBACK_COUNT"))
     inc = t["fact_incidents"].groupBy(F.trunc("incident_date", "month").alias("MONTH")).agg(
         F.count(F.lit(1)).alias("INCIDENTS"),
-        F.round(F.avg(F.col("patrol_response_minutes").cast("double")), 4).alias("AVG_PATROL_RESPONSE"))
+        fround(F.avg(F.col("patrol_response_minutes").cast("double")), 4).alias("AVG_PATROL_RESPONSE"))
     return _combine(fb, inc, ["MONTH"])
 
 

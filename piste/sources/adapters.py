@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from piste.functions.core import bounded_broadcast
+from piste.functions.core import bounded_broadcast, fround
 from piste.sources.driver import DriverTables
 
 # Raw-table defaults used by the adapters.
@@ -302,7 +302,7 @@ def staffing_schedule(t: DriverTables) -> DataFrame:
         F.lit("Staff").alias("job_role"),
         sched.cast("int").alias("scheduled_employees"),
         actual.cast("int").alias("actual_employees"),
-        F.round(actual / sched, 2).alias("coverage_ratio"),
+        fround(actual / sched, 2).alias("coverage_ratio"),
         F.col("schedule_date").cast("timestamp_ntz").alias("created_at"),
     )
 
@@ -420,8 +420,8 @@ def marketing_touches(t: DriverTables) -> DataFrame:
         "send_date",
         (F.col("n") * 10).cast("bigint").alias("target_count"),
         F.col("conv").cast("bigint").alias("conversion_count"),
-        F.round(F.col("opened") / F.col("n"), 4).alias("open_rate"),
-        F.round(F.col("clicked") / F.col("n"), 4).alias("click_rate"),
+        fround(F.col("opened") / F.col("n"), 4).alias("open_rate"),
+        fround(F.col("clicked") / F.col("n"), 4).alias("click_rate"),
         F.col("revenue").cast("decimal(18,2)").alias("revenue_attributed"),
         F.col("send_date").cast("timestamp_ntz").alias("created_at"),
     )
