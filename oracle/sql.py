@@ -660,3 +660,20 @@ SELECT event_type AS CAMPAIGN_ID, count(*) AS TOUCHES, count(*) AS DELIVERED, co
        round(count(*) FILTER (WHERE value > 20) / NULLIF(count(*) FILTER (WHERE value > 5), 0), 4) AS CLICK_THROUGH_RATE,
        round(count(*) FILTER (WHERE value > 100) / NULLIF(count(*) FILTER (WHERE value > 20), 0), 4) AS CONVERSION_RATE
 FROM events GROUP BY 1"""
+
+
+# -- P02 / P03 ------------------------------------------------------------------------------------
+ORACLE["p03_simple_training_frame"] = with_ctes(["dim_date", "fact_pass_usage"], """
+SELECT d.full_date AS FULL_DATE, d.day_name AS DAY_NAME, d.day_of_week AS DAY_OF_WEEK, d.month_num AS MONTH_NUM,
+       d.month_name AS MONTH_NAME, d.ski_season AS SKI_SEASON, d.is_weekend AS IS_WEEKEND, d.is_holiday AS IS_HOLIDAY,
+       d.snow_condition AS SNOW_CONDITION, count(DISTINCT p.customer_key) AS UNIQUE_VISITORS, count(*) AS TOTAL_VISITS,
+       CAST(sum(p.total_lift_rides) AS BIGINT) AS TOTAL_LIFT_RIDES
+FROM dim_date d LEFT JOIN fact_pass_usage p ON p.date_key = d.date_key
+WHERE d.full_date >= DATE '1998-01-01' AND d.full_date < DATE '2001-01-01'
+GROUP BY ALL""")
+ORACLE["p02_history_for_lags"] = with_ctes(["dim_date", "fact_pass_usage"], """
+SELECT d.full_date AS FULL_DATE, d.day_of_week AS DAY_OF_WEEK, d.month_num AS MONTH_NUM, d.is_weekend AS IS_WEEKEND,
+       d.is_holiday AS IS_HOLIDAY, d.snow_condition AS SNOW_CONDITION, count(DISTINCT p.customer_key) AS UNIQUE_VISITORS
+FROM dim_date d LEFT JOIN fact_pass_usage p ON p.date_key = d.date_key
+WHERE d.full_date >= DATE '2001-01-01' - INTERVAL 365 DAY
+GROUP BY ALL""")

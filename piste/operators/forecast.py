@@ -72,6 +72,44 @@ def training_frame(dim_date: DataFrame, fact_pass_usage: DataFrame, fact_weather
     return out.drop("date_key")
 
 
+def _calendar_visits(dim_date: DataFrame, fact_pass_usage: DataFrame, lo, hi) -> DataFrame:
+    """Calendar rows in [lo, hi) left-joined to visits pre-aggregated per day (the fact is
+    reduced to one row per date before the join; the join never fans out)."""
+    d = dim_date.filter(F.col("full_date") >= lo)
+    if hi is not None:
+        d = d.filter(F.col("full_date") < hi)
+    agg = fact_pass_usage.groupBy("date_key").agg(
+        F.countDistinct("customer_key").alias("__uv"), F.count(F.lit(1)).alias("__n"),
+        F.sum("total_lift_rides").alias("__rides"))
+    return d.join(agg, "date_key", "left")
+
+
+def simple_training_frame(dim_date: DataFrame, fact_pass_usage: DataFrame, as_of: str, years_back: int) -> DataFrame:
+    """Every calendar day of the window with its visits; as the reference's LEFT JOIN
+    + COUNT(*), an empty day counts one visit row, zero visitors and NULL rides."""
+    hi = F.lit(as_of).cast("date")
+    j = _calendar_visits(dim_date, fact_pass_usage, F.add_months(hi, -12 * years_back), hi)
+    return j.select(
+        F.col("full_date").alias("FULL_DATE"), F.col("day_name").alias("DAY_NAME"),
+        F.col("day_of_week").alias("DAY_OF_WEEK"), F.col("month_num").alias("MONTH_NUM"),
+        F.col("month_name").alias("MONTH_NAME"), F.col("ski_season").alias("SKI_SEASON"),
+        F.col("is_weekend").alias("IS_WEEKEND"), F.col("is_holiday").alias("IS_HOLIDAY"),
+        F.col("snow_condition").alias("SNOW_CONDITION"),
+        F.coalesce("__uv", F.lit(0)).alias("UNIQUE_VISITORS"), F.coalesce("__n", F.lit(1)).alias("TOTAL_VISITS"),
+        F.col("__rides").alias("TOTAL_LIFT_RIDES"))
+
+
+def history_for_lags(dim_date: DataFrame, fact_pass_usage: DataFrame, as_of: str, days_back: int) -> DataFrame:
+    """Calendar-densified distinct visitors for the last ``days_back`` days (0 when none)."""
+    lo = F.date_sub(F.lit(as_of).cast("date"), days_back)
+    j = _calendar_visits(dim_date, fact_pass_usage, lo, None)
+    return j.select(
+        F.col("full_date").alias("FULL_DATE"), F.col("day_of_week").alias("DAY_OF_WEEK"),
+        F.col("month_num").alias("MONTH_NUM"), F.col("is_weekend").alias("IS_WEEKEND"),
+        F.col("is_holiday").alias("IS_HOLIDAY"), F.col("snow_condition").alias("SNOW_CONDITION"),
+        F.coalesce("__uv", F.lit(0)).alias("UNIQUE_VISITORS"))
+
+
 def daily_series(fact_pass_usage: DataFrame, date_col: str = "visit_date") -> DataFrame:
     """P02/P03 source: distinct visitors per calendar day."""
     return fact_pass_usage.groupBy(F.col(date_col).alias("FULL_DATE")).agg(

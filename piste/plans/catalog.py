@@ -507,3 +507,11 @@ for _name, _fn in (
     ("n17_campaign_funnel", N.n17_campaign_funnel),
 ):
     REGISTRY[_name] = _named(_fn)
+
+
+# Calendar-densified history and the simple training frame, at a fixed as-of
+FORECAST_AS_OF = "2001-01-01"
+REGISTRY["p03_simple_training_frame"] = lambda spark, sf_dir: FC.simple_training_frame(
+    star_for(spark, sf_dir)["dim_date"], star_for(spark, sf_dir)["fact_pass_usage"], FORECAST_AS_OF, 3)
+REGISTRY["p02_history_for_lags"] = lambda spark, sf_dir: FC.history_for_lags(
+    star_for(spark, sf_dir)["dim_date"], star_for(spark, sf_dir)["fact_pass_usage"], FORECAST_AS_OF, 365)
