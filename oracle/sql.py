@@ -677,3 +677,21 @@ SELECT d.full_date AS FULL_DATE, d.day_of_week AS DAY_OF_WEEK, d.month_num AS MO
 FROM dim_date d LEFT JOIN fact_pass_usage p ON p.date_key = d.date_key
 WHERE d.full_date >= DATE '2001-01-01' - INTERVAL 365 DAY
 GROUP BY ALL""")
+
+ORACLE["x07_conversation_sections"] = r"""
+WITH m AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+l AS (SELECT conv_id, turn, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
+      FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS parts FROM m) x),
+h AS (SELECT *, nullif(regexp_extract(line, '^(#{1,3})\s+(.+)$', 2), '') AS hdr FROM l),
+s AS (SELECT *, count(hdr) OVER (PARTITION BY conv_id, turn ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sec
+      FROM h),
+g AS (SELECT conv_id, turn, sec, coalesce(max(hdr), 'Overview') AS title,
+             string_agg(CASE WHEN hdr IS NULL THEN line END, chr(10) ORDER BY pos) || chr(10) AS content
+      FROM s GROUP BY 1, 2, 3),
+k AS (SELECT conv_id, turn, title, content,
+             CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY sec) AS INTEGER) AS section_no
+      FROM g WHERE regexp_replace(content, '^\s+|\s+$', '', 'g') <> '')
+SELECT conv_id, turn, section_no, title, length(content) AS content_chars FROM k
+UNION ALL
+SELECT conv_id, turn, 1 AS section_no, 'Response' AS title, length(text) AS content_chars FROM m
+WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.conv_id = m.conv_id AND k.turn = m.turn)"""
