@@ -48,5 +48,5 @@ def subscriptions(alerts: DataFrame, log: DataFrame, recipient: str | None = Non
 
 def cancel_matching(alerts: DataFrame, recipient: str, question_part: str) -> DataFrame:
     """Deactivate the recipient's alerts whose question contains the given text."""
-    hit = (F.col("recipient_email") == recipient) & F.col("question").ilike(F.lit(f"%{question_part}%"))
+    hit = (F.col("recipient_email") == recipient) & F.col("question").ilike(f"%{question_part}%")
     return alerts.withColumn("is_active", F.when(hit, F.lit(False)).otherwise(F.col("is_active")))

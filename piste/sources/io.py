@@ -18,13 +18,15 @@ def read_csv_strict(spark: SparkSession, path: str, schema: StructType) -> DataF
 def read_csv_tolerant(spark: SparkSession, path: str, schema: StructType, reject_path: str | None = None
                       ) -> DataFrame:
     """SRC03: gzip or plain CSV; malformed rows are skipped from the result and, when
-    ``reject_path`` is given, written there with their raw text."""
-    corrupt = "_corrupt_record"
+    ``reject_path`` is given, written there (JSON lines) with their raw text."""
+    corrupt = "_rejected_record"
     full = StructType(list(schema.fields) + [StructField(corrupt, StringType(), True)])
     df = (spark.read.schema(full).option("header", True).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", corrupt).csv(path))
     if reject_path:
-        df.filter(F.col(corrupt).isNotNull()).select(corrupt).write.mode("append").text(reject_path)
+        # rejected rows keep their raw text next to whatever fields did parse (a query may
+        # not read the corrupt-record column alone from a raw CSV scan)
+        df.filter(F.col(corrupt).isNotNull()).write.mode("append").json(reject_path)
     return df.filter(F.col(corrupt).isNull()).drop(corrupt)
 
 
