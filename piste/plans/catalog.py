@@ -382,7 +382,10 @@ MONITOR_AS_OF_LAG_DAYS = 3   # the last 3 days of the log have no actuals yet
 def prediction_log(spark, sf_dir):
     """Naive seasonal (lag-7) predictions for every segment-day, backfilled with actuals
     up to ``as_of``: a deterministic prediction log derived from the star."""
-    panel = engineered_panel(spark, sf_dir)
+    # the panel feeds both the as-of probe and the log: cut its lineage once with a
+    # reliable checkpoint (written under spark.checkpoint.dir) instead of computing it twice
+    checkpoint_root(spark)
+    panel = engineered_panel(spark, sf_dir).checkpoint(eager=True)
     d = F.col("FULL_DATE")
     log = MO.log_from_predictions(
         panel.withColumn("naive", F.col("lag_7")), SEGMENT, "FULL_DATE", "naive", "VISITOR_FORECASTER",
