@@ -369,7 +369,16 @@ REGISTRY["p13_time_split_counts"] = time_split_counts
 REGISTRY["p19_weekday_means_january"] = lambda spark, sf_dir: round_doubles(weekday_means_january(spark, sf_dir))
 REGISTRY["p20_weather_normals_january"] = lambda spark, sf_dir: round_doubles(weather_normals_january(spark, sf_dir))
 REGISTRY["p24_weekday_weekend_profile"] = lambda spark, sf_dir: round_doubles(weekday_weekend_profile(spark, sf_dir))
+def gbt_feature_importance(spark, sf_dir):
+    """Top-10 features of the fitted model (model metadata, not data, on the driver)."""
+    model, _, feats, _ = _fit(spark, sf_dir)
+    top = FC.feature_importance(model, feats, 10)
+    return spark.createDataFrame([(i + 1, f, float(round(v, 6))) for i, (f, v) in enumerate(top)],
+                                 "rank int, feature string, importance double")
+
+
 REGISTRY["p14_gbt_forecast_metrics"] = gbt_forecast_metrics
+REGISTRY["p17_gbt_feature_importance"] = gbt_feature_importance
 REGISTRY["p23_forecast_next_two_weeks"] = forecast_next_two_weeks
 
 

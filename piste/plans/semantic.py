@@ -244,7 +244,8 @@ def query(view: SemanticView, tables: dict[str, DataFrame], metrics: Sequence[st
         df = _fact_frame(view, tables, fact, r.used)
         for fc in filter_cols:
             df = df.filter(fc)
-        aggs = [c.alias(m.name.upper()) for c, m in zip(metric_cols, ms)]
+        aggs = [c.alias(m.name.upper(), metadata={"comment": m.comment, "base_fact": m.table}) if m.comment
+                else c.alias(m.name.upper()) for c, m in zip(metric_cols, ms)]
         if dims:
             part = df.groupBy(*[c.alias(n) for c, n in zip(dim_cols, dim_names)]).agg(*aggs)
         else:

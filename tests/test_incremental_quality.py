@@ -63,3 +63,16 @@ def test_quality_checks(spark):
                              spark.createDataFrame([(dt.date(2021, 1, 2),), (dt.date(2021, 1, 3),)], "d date"), "d")
     r = prof.first()
     assert (r.left_days, r.right_days, r.overlap_days) == (2, 2, 1)
+
+
+def test_sync_all_columns_full_refresh_and_stored_failures(spark, scratch):
+    base = _src(spark, [("a", 1, "2021-01-01 00:00:00")]).withColumn("old", F.lit("o"))
+    incremental_load(spark, lambda s: s, base, f"{scratch}/y", "id", "ts")
+    new = _src(spark, [("b", 2, "2021-01-02 00:00:00")])
+    incremental_load(spark, lambda s: s, new, f"{scratch}/y", "id", "ts", on_schema_change="sync_all_columns")
+    out = spark.read.parquet(f"{scratch}/y")
+    assert "old" not in out.columns and sorted(r.id for r in out.collect()) == ["a", "b"]
+    rep = incremental_load(spark, lambda s: s, new, f"{scratch}/y", "id", "ts", full_refresh=True)
+    assert rep["mode"] == "full" and spark.read.parquet(f"{scratch}/y").count() == 1
+    Q.store_failures(Q.not_null(base.withColumn("v", F.lit(None).cast("int")), "v"), f"{scratch}/failures")
+    assert spark.read.parquet(f"{scratch}/failures").count() == 1

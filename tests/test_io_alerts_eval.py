@@ -78,3 +78,15 @@ def test_evaluation_rollup_and_golden_versions(spark):
     out = EV.replace_version(golden, new)
     assert sorted(r.id for r in out.collect()) == [1, 3]
     assert EV.golden_summary(out).count() == 2
+
+
+def test_declared_raw_schemas(spark, scratch):
+    from piste.sources import schemas as S
+
+    assert len(S.RAW_DDL) == 25
+    assert S.schema("ticket_sales")["purchase_amount"].dataType.simpleString() == "decimal(10,2)"
+    spark.createDataFrame([("s1", "c1", 12.5)], "sale_id string, customer_id string, purchase_amount double").select(
+        "sale_id", "customer_id", F.col("purchase_amount").cast("decimal(10,2)")).write.parquet(f"{scratch}/ticket_sales")
+    df = S.read_raw(spark, scratch, "ticket_sales")
+    assert df.schema == S.schema("ticket_sales")
+    assert df.first().sale_id == "s1"
