@@ -1,4 +1,4 @@
-"""Data-quality checks Q01-Q07 (the dbt schema tests), as DataFrame jobs.
+"""Data-quality checks Q01-Q07 (the declared schema tests), as DataFrame jobs.
 
 Each check returns the *failing rows* (empty = pass), like a stored test failure table.
 ``run_suite`` evaluates many checks and returns one row per check; checks on the same
