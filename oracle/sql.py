@@ -13,11 +13,6 @@ def rounded(sql: str, cols: list[str]) -> str:
 
 
 # -- semantic views ---------------------------------------------------------------------
-def _revenue_parts(dims: dict[str, dict[str, str]], joins: dict[str, str]) -> dict[str, str]:
-    """Per-fact aggregates of sem_revenue; dims maps output name -> per-fact expression."""
-    return dims
-
-
 FTS_J = """fact_ticket_sales f
   LEFT JOIN dim_date d ON f.purchase_date_key = d.date_key
   LEFT JOIN dim_customer c ON f.customer_key = c.customer_key
