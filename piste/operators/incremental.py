@@ -86,6 +86,62 @@ def _align(old: DataFrame, new: DataFrame, on_schema_change: str) -> tuple[DataF
     return old, new.select(*old.columns), False
 
 
+def _literal_like(value, dtype: str):
+    """A literal of the column's own type (wall-clock text cast), independent of the
+    session time zone and of how the driver's Python renders datetimes."""
+    return F.lit(None).cast(dtype) if value is None else F.lit(str(value)).cast(dtype)
+
+
+def upsert(spark: SparkSession, new: DataFrame, target_path: str, unique_key, order_col: str | None = None,
+           partition_col: str | None = None, cluster_col: str | None = None,
+           on_schema_change: str = "append_new_columns") -> dict:
+    """Replace rows of ``target_path`` whose ``unique_key`` (a column or a list of
+    columns) re-arrives in ``new``.
+
+    One version per key wins within ``new`` (the latest by ``order_col``).  With a
+    partitioned target only the partitions holding new rows or superseded versions are
+    rewritten; the new content is staged next to the target and swapped in with dynamic
+    partition overwrite, so no plan reads and overwrites the same files.
+    """
+    from pyspark.sql import Window
+
+    kcols = [unique_key] if isinstance(unique_key, str) else list(unique_key)
+    if order_col:
+        latest = Window.partitionBy(*kcols).orderBy(F.col(order_col).desc_nulls_last())
+        new = new.withColumn("__v", F.row_number().over(latest)).filter(F.col("__v") == 1).drop("__v")
+    else:
+        new = new.dropDuplicates(kcols)
+    if not path_exists(spark, target_path):
+        _write(new, target_path, partition_col, cluster_col, "overwrite")
+        return {"mode": "full", "schema_changed": False}
+    old = spark.read.parquet(target_path)
+    old, new, schema_changed = _align(old, new, on_schema_change)
+    keys = bounded_broadcast(new.select(*kcols).distinct(), KEY_BROADCAST_ROWS)
+
+    # sibling of the target on the same (shared) storage; never inside the target, which
+    # an overwrite clears before writing
+    staging = f"{target_path.rstrip('/')}__staging_{uuid.uuid4().hex}"
+    if partition_col and not schema_changed:
+        hit_parts = new.select(partition_col).unionByName(
+            old.join(keys, kcols, "left_semi").select(partition_col)).distinct()
+        hit_parts = bounded_broadcast(hit_parts, 100_000)
+        kept = old.join(hit_parts, partition_col, "left_semi").join(keys, kcols, "left_anti")
+        _write(kept.unionByName(new), staging, partition_col, cluster_col, "overwrite")
+        staged = spark.read.parquet(staging).select(*old.columns)
+        prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        try:
+            _write(staged, target_path, partition_col, cluster_col, "overwrite")
+        finally:
+            spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    else:
+        kept = old.join(keys, kcols, "left_anti")
+        _write(kept.unionByName(new), staging, partition_col, cluster_col, "overwrite")
+        _write(spark.read.parquet(staging), target_path, partition_col, cluster_col, "overwrite")
+    delete_path(spark, staging)
+    return {"mode": "upsert", "schema_changed": schema_changed}
+
+
 def incremental_load(
     spark: SparkSession,
     build: Callable[[DataFrame], DataFrame],
@@ -106,50 +162,18 @@ def incremental_load(
     dimension joins) versus I02 (filter on the built rows; Catalyst still pushes it to
     the source when the column passes through).
     """
-    exists = path_exists(spark, target_path)
-    if full_refresh or not exists:
+    if full_refresh or not path_exists(spark, target_path):
         _write(build(source), target_path, partition_col, cluster_col, "overwrite")
         return {"mode": "full", "hwm": None}
 
     hwm = high_water_mark(spark, target_path, watermark_col)
-    bound = F.lit(hwm)
+    dtype = dict(spark.read.parquet(target_path).dtypes)[watermark_col]
+    bound = _literal_like(hwm, dtype)
     if lookback is not None and hwm is not None:
         bound = bound - lookback
     if filter_before_build:
         new = build(source.filter(F.col(watermark_col) > bound))
     else:
         new = build(source).filter(F.col(watermark_col) > bound)
-
-    old = spark.read.parquet(target_path)
-    old, new, schema_changed = _align(old, new, on_schema_change)
-    # one version per key within the increment: the latest by watermark wins
-    from pyspark.sql import Window
-
-    latest = Window.partitionBy(unique_key).orderBy(F.col(watermark_col).desc_nulls_last())
-    new = new.withColumn("__v", F.row_number().over(latest)).filter(F.col("__v") == 1).drop("__v")
-    keys = new.select(unique_key).distinct()
-    keys = bounded_broadcast(keys, KEY_BROADCAST_ROWS)
-
-    # sibling of the target on the same (shared) storage; never inside the target, which
-    # an overwrite clears before writing
-    staging = f"{target_path.rstrip('/')}__staging_{uuid.uuid4().hex}"
-    if partition_col and not schema_changed:
-        # partitions holding new rows or superseded versions of re-arriving keys
-        hit_parts = new.select(partition_col).unionByName(
-            old.join(keys, unique_key, "left_semi").select(partition_col)).distinct()
-        hit_parts = bounded_broadcast(hit_parts, 100_000)
-        kept = old.join(hit_parts, partition_col, "left_semi").join(keys, unique_key, "left_anti")
-        _write(kept.unionByName(new), staging, partition_col, cluster_col, "overwrite")
-        staged = spark.read.parquet(staging).select(*old.columns)
-        prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            _write(staged, target_path, partition_col, cluster_col, "overwrite")
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
-    else:
-        kept = old.join(keys, unique_key, "left_anti")
-        _write(kept.unionByName(new), staging, partition_col, cluster_col, "overwrite")
-        _write(spark.read.parquet(staging), target_path, partition_col, cluster_col, "overwrite")
-    delete_path(spark, staging)
-    return {"mode": "incremental", "hwm": hwm, "schema_changed": schema_changed}
+    rep = upsert(spark, new, target_path, unique_key, watermark_col, partition_col, cluster_col, on_schema_change)
+    return {"mode": "incremental", "hwm": hwm, "schema_changed": rep["schema_changed"]}

@@ -230,9 +230,11 @@ def stream_fact_lift_scans(spark, sf_dir):
         stg = STG.stg_lift_scans(raw)
         e = SF.enrich_with_current(stg, st["dim_customer"], "customer_id", ["customer_key"])
         return e.select(FT.surrogate_key(F.col("scan_id")).alias("scan_key"), "customer_key",
-                        FT.surrogate_key(F.col("lift_id")).alias("lift_key"), "scan_date", "wait_time_minutes")
+                        FT.surrogate_key(F.col("lift_id")).alias("lift_key"), "scan_date", "wait_time_minutes",
+                        F.date_format("scan_date", "yyyy-MM").alias("scan_month"))
 
-    q = SF.stream_fact(stream, build, f"{root}/fact", ["scan_key"], f"{root}/ckpt")
+    # month-partitioned target: each micro-batch rewrites only the months it touches
+    q = SF.stream_fact(stream, build, f"{root}/fact", ["scan_key"], f"{root}/ckpt", partition_col="scan_month")
     q.awaitTermination()
     f = spark.read.parquet(f"{root}/fact")
     return f.groupBy(FT.date_key("scan_date").alias("date_key")).agg(

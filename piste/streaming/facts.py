@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from piste.operators.incremental import delete_path, path_exists
+from piste.operators.incremental import upsert
 
 
 def file_stream(spark: SparkSession, src_dir: str, schema, glob: str | None = None,
@@ -34,30 +34,23 @@ def file_stream(spark: SparkSession, src_dir: str, schema, glob: str | None = No
     return r.load(src_dir)
 
 
-def upsert_batch(target_path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: replace rows of ``target_path`` whose keys re-arrive.
+def upsert_batch(target_path: str, keys: list[str], partition_col: str | None = None,
+                 order_col: str | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink: upsert each micro-batch on ``keys`` (I03 machinery).
 
-    Idempotent per epoch (re-running a failed epoch gives the same table): the batch is
-    deduplicated, the union is staged next to the target and swapped in.
+    Idempotent per epoch (re-running a failed epoch gives the same table).  With
+    ``partition_col`` only the partitions a batch touches are rewritten, so an epoch
+    costs the size of its partitions, not of the whole target.
     """
     def write(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(keys)
-        if not path_exists(spark, target_path):
-            new.write.mode("overwrite").parquet(target_path)
-            return
-        old = spark.read.parquet(target_path)
-        staging = f"{target_path.rstrip('/')}__epoch_{epoch_id}"
-        old.join(new.select(*keys), keys, "left_anti").unionByName(new).write.mode("overwrite").parquet(staging)
-        spark.read.parquet(staging).write.mode("overwrite").parquet(target_path)
-        delete_path(spark, staging)
+        upsert(batch.sparkSession, batch, target_path, keys, order_col, partition_col)
     return write
 
 
 def stream_fact(stream: DataFrame, build: Callable[[DataFrame], DataFrame], target_path: str, keys: list[str],
-                checkpoint: str, available_now: bool = True) -> StreamingQuery:
+                checkpoint: str, available_now: bool = True, partition_col: str | None = None) -> StreamingQuery:
     """Run ``build`` over each micro-batch and upsert the result on ``keys``."""
-    w = build(stream).writeStream.foreachBatch(upsert_batch(target_path, keys)).option(
+    w = build(stream).writeStream.foreachBatch(upsert_batch(target_path, keys, partition_col)).option(
         "checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
