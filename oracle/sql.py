@@ -690,3 +690,14 @@ SELECT conv_id, turn, section_no, title, length(content) AS content_chars FROM k
 UNION ALL
 SELECT conv_id, turn, 1 AS section_no, 'Response' AS title, length(text) AS content_chars FROM m
 WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.conv_id = m.conv_id AND k.turn = m.turn)"""
+
+ORACLE["x04_vector_prototype_search"] = """
+WITH e AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+p AS (SELECT label, pos, avg(x) AS m FROM e GROUP BY 1, 2),
+pn AS (SELECT label, sqrt(sum(m * m)) AS n FROM p GROUP BY 1),
+vn AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM e GROUP BY 1),
+dots AS (SELECT e.vec_id, p.label AS q, sum(e.x * p.m) AS d FROM e JOIN p ON e.pos = p.pos GROUP BY 1, 2),
+s AS (SELECT d.q AS label, d.vec_id, round(d.d / (vn.n * pn.n), 6) AS score
+      FROM dots d JOIN vn ON d.vec_id = vn.vec_id JOIN pn ON pn.label = d.q)
+SELECT label, vec_id, CAST(row_number() OVER (PARTITION BY label ORDER BY score DESC NULLS LAST, vec_id) AS INTEGER) AS rank, score
+FROM s QUALIFY rank <= 5"""

@@ -234,3 +234,50 @@ def keyword_search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float =
     top = part.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(*order))).filter(
         F.col("rank") <= k)
     return top.select(F.col("q").alias(query_id), F.col("doc").alias(doc_id), "rank", "score")
+
+
+# -- X04 vector variant ------------------------------------------------------------------------
+MAX_PROTOTYPES = 1_000   # prototypes travel in the plan as one literal array
+
+
+def label_prototypes(emb: DataFrame, vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    """Mean vector per label, computed element-wise (explode by position, one grouped
+    average, re-assembled in position order) -- no vector is collected to the driver."""
+    e = emb.select(label_col, F.posexplode(vec_col).alias("__pos", "__x"))
+    g = e.groupBy(label_col, "__pos").agg(F.avg(F.col("__x").cast("double")).alias("__m"))
+    return g.groupBy(label_col).agg(F.array_sort(F.collect_list(F.struct("__pos", "__m"))).alias("__s")).select(
+        label_col, F.transform("__s", lambda s: s["__m"]).alias("prototype"))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
+
+
+def vector_prototype_search(emb: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
+                            label_col: str = "label", buckets: int = 64) -> DataFrame:
+    """X04 (vector variant): the ``k`` vectors most cosine-similar to each label's prototype.
+
+    The query set is the label prototypes; its size is checked (at most MAX_PROTOTYPES)
+    and the prototypes are attached to every vector as one literal array, so each vector
+    is scored against L prototypes in place -- work N x L, no pair explosion, no shuffle
+    of the vectors.  Top-k runs in two phases (hashed vector bucket, then label).
+    """
+    protos = label_prototypes(emb, vec_col, label_col)
+    if protos.limit(MAX_PROTOTYPES + 1).count() > MAX_PROTOTYPES:
+        raise ValueError("too many labels for prototype search")
+    rows = protos.collect()   # bounded above: at most MAX_PROTOTYPES small vectors
+    lit = F.array(*[F.struct(F.lit(r[label_col]).alias("l"),
+                             F.array(*[F.lit(float(x)) for x in r["prototype"]]).alias("p")) for r in rows])
+    v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
+    nv = F.sqrt(_dot(v, v))
+    scored = emb.select(F.col(id_col).alias("__id"), F.explode(F.transform(lit, lambda c: F.struct(
+        c["l"].alias("q"),
+        fround(_dot(v, c["p"]) / (nv * F.sqrt(_dot(c["p"], c["p"]))), 6).alias("score")))).alias("__h"))
+    scored = scored.select("__id", F.col("__h.q").alias("q"), F.col("__h.score").alias("score"))
+    order = [F.col("score").desc_nulls_last(), F.col("__id")]
+    part = scored.withColumn("__b", F.pmod(F.xxhash64("__id"), F.lit(buckets)))
+    part = part.withColumn("__r", F.row_number().over(Window.partitionBy("q", "__b").orderBy(*order))).filter(
+        F.col("__r") <= k)
+    top = part.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(*order))).filter(
+        F.col("rank") <= k)
+    return top.select(F.col("q").alias(label_col), F.col("__id").alias(id_col), "rank", "score")

@@ -469,6 +469,8 @@ REGISTRY["x05_document_inventory"] = document_inventory
 REGISTRY["x06_conversation_key_points"] = conversation_key_points
 REGISTRY["x07_conversation_sections"] = conversation_sections
 REGISTRY["x04_benchmark_keyword_search"] = benchmark_keyword_search
+REGISTRY["x04_vector_prototype_search"] = lambda spark, sf_dir: TX.vector_prototype_search(
+    DriverTables(spark, sf_dir).embeddings, k=5)
 
 
 # -- ingest bookkeeping (SRC06-SRC09) ---------------------------------------------------------------
