@@ -701,3 +701,5 @@ s AS (SELECT d.q AS label, d.vec_id, round(d.d / (vn.n * pn.n), 6) AS score
       FROM dots d JOIN vn ON d.vec_id = vn.vec_id JOIN pn ON pn.label = d.q)
 SELECT label, vec_id, CAST(row_number() OVER (PARTITION BY label ORDER BY score DESC NULLS LAST, vec_id) AS INTEGER) AS rank, score
 FROM s QUALIFY rank <= 5"""
+
+ORACLE["sem_revenue_from_marts"] = ORACLE["sem_revenue_by_season_segment"]
