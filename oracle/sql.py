@@ -703,3 +703,13 @@ SELECT label, vec_id, CAST(row_number() OVER (PARTITION BY label ORDER BY score
 FROM s QUALIFY rank <= 5"""
 
 ORACLE["sem_revenue_from_marts"] = ORACLE["sem_revenue_by_season_segment"]
+
+ORACLE["r22_tail_7_mean_by_segment"] = with_ctes(TF_CTES, """
+SELECT CUSTOMER_SEGMENT, round(avg(UNIQUE_VISITORS), 4) AS tail_7_mean, max(FULL_DATE) AS last_date
+FROM (SELECT *, row_number() OVER (PARTITION BY CUSTOMER_SEGMENT ORDER BY FULL_DATE DESC) AS rn FROM tf) t
+WHERE rn <= 7 GROUP BY 1""", extra=[("tf", TF_BODY)])
+ORACLE["o01_prediction_log_features"] = with_ctes(TF_CTES, """
+SELECT CUSTOMER_SEGMENT AS series, FULL_DATE AS forecast_date, 'run-' || strftime(FULL_DATE, '%Y%m') AS run_id,
+       CASE WHEN year(FULL_DATE) % 2 = 0 THEN 'v1' ELSE 'v2' END AS model_version,
+       round(lag_7, 4) AS lag_7, round(lag_14, 4) AS lag_14, round(rolling_7_mean, 4) AS rolling_7_mean
+FROM panel""", extra=[("tf", TF_BODY), ("panel", P11_SQL)])

@@ -193,3 +193,13 @@ def feature_columns(df: DataFrame, cfg: FeatureConfig) -> list[str]:
     names += [f"lag_{k}" for k in cfg.lags if f"lag_{k}" in df.columns]
     names += [f"rolling_{n}_{cfg.aggregation}" for n in cfg.windows if f"rolling_{n}_{cfg.aggregation}" in df.columns]
     return names
+
+
+def tail_mean(df: DataFrame, date_col: str, value: str, n: int, entity: str | None = None) -> DataFrame:
+    """Mean of the last ``n`` rows of each entity's series (row_number desc <= n)."""
+    part = [F.col(entity)] if entity else []
+    w = Window.partitionBy(*part).orderBy(F.col(date_col).desc())
+    t = df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n)
+    keys = [entity] if entity else []
+    return t.groupBy(*keys).agg(F.avg(F.col(value).cast("double")).alias(f"tail_{n}_mean"),
+                                F.max(date_col).alias("last_date"))

@@ -551,3 +551,20 @@ def revenue_from_marts(spark, sf_dir):
 
 
 REGISTRY["sem_revenue_from_marts"] = revenue_from_marts
+
+
+# -- R22 tail mean, R30 JSON feature blob (O01 log content) ----------------------------------------
+REGISTRY["r22_tail_7_mean_by_segment"] = lambda spark, sf_dir: round_doubles(
+    FE.tail_mean(segment_training_frame(spark, sf_dir), "FULL_DATE", "UNIQUE_VISITORS", 7, SEGMENT))
+
+
+def prediction_log_features(spark, sf_dir):
+    """The logged feature blob parsed back (JSON round trip of the drift features)."""
+    log, _ = prediction_log(spark, sf_dir)
+    blob = F.from_json("features_json", "lag_7 double, lag_14 double, rolling_7_mean double")
+    return round_doubles(log.select("series", "forecast_date", "run_id", "model_version",
+                                    blob["lag_7"].alias("lag_7"), blob["lag_14"].alias("lag_14"),
+                                    blob["rolling_7_mean"].alias("rolling_7_mean")))
+
+
+REGISTRY["o01_prediction_log_features"] = prediction_log_features
