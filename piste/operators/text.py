@@ -201,10 +201,14 @@ def keyword_search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float =
     query's candidates never sit in a single task.
     """
     post = postings(docs, doc_id, text)
-    dl = post.groupBy("doc").agg(F.sum("tf").alias("dl"))
-    # corpus statistics: one small aggregate read on the driver (two numbers)
-    stats = dl.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")).first()
+    # corpus statistics (two numbers read on the driver) from a map-only pass over the
+    # token arrays -- no postings shuffle; documents without tokens have no postings
+    ntok = F.size(tokens(F.col(text)))
+    stats = docs.select(ntok.alias("n")).filter(F.col("n") > 0).agg(
+        F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avgdl")).first()
     n, avgdl = F.lit(stats["n_docs"]), F.lit(stats["avgdl"])
+    # document length from the same postings the plan already builds (exchange reused)
+    dl = post.groupBy("doc").agg(F.sum("tf").alias("dl"))
     df_ = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = df_.select("term", "df", idf.alias("idf"))
