@@ -307,3 +307,17 @@ def flat(view: SemanticView, tables: dict[str, DataFrame], fact: str, columns: S
     for fc in fcols:
         df = df.filter(fc)
     return df.select(*cols)
+
+
+def register_sql_view(view: SemanticView, tables, fact: str, name: str | None = None,
+                      columns: Sequence[str] | None = None) -> DataFrame:
+    """V08 for SQL users: expose a view's row-level join (one fact + the dimensions its
+    columns need) as a temporary view, e.g. ``SELECT customer_segment, COUNT(*) FROM
+    sem_customer_behavior GROUP BY 1``.  Defaults to every dimension and row-level fact
+    reachable from ``fact``."""
+    if columns is None:
+        reachable = {fact.upper()} | {r.dim.upper() for r in view.relationships if r.fact.upper() == fact.upper()}
+        columns = [d.name for d in list(view.dimensions) + list(view.facts) if d.table.upper() in reachable]
+    df = flat(view, tables, fact, columns)
+    df.createOrReplaceTempView(name or view.name)
+    return df

@@ -51,3 +51,14 @@ def test_empty_group_ratio_is_null(star):
 def test_flat_row_access(star):
     rows = flat(V.OPERATIONS, star, "FACT_LIFT_SCANS", ["LIFT_NAME", "WAIT_TIME_MINUTES"]).limit(3).collect()
     assert len(rows) == 3 and rows[0].LIFT_NAME is not None
+
+
+def test_sql_over_a_registered_view(spark, star):
+    from piste.plans.semantic import register_sql_view
+
+    register_sql_view(V.CUSTOMER_BEHAVIOR, star, "FACT_PASS_USAGE")
+    got = {r[0]: r[1] for r in spark.sql(
+        "SELECT customer_segment, COUNT(*) FROM sem_customer_behavior GROUP BY 1").collect()}
+    exp = {r.CUSTOMER_SEGMENT: r.TOTAL_VISITS for r in query(
+        V.CUSTOMER_BEHAVIOR, star, ["TOTAL_VISITS"], ["CUSTOMER_SEGMENT"]).collect()}
+    assert got == exp
