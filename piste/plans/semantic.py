@@ -7,8 +7,9 @@ dimensions, dimensions, row-level facts and metrics.  :func:`query` turns a requ
 * only the dimension tables a request touches are joined (join pruning, V03);
 * each dimension is narrowed to its key plus the used columns before the join and
   broadcast only behind a row-count check;
-* metrics of different facts are aggregated separately and combined on the requested
-  dimensions with a NULL-safe full outer join of the *aggregates* (drill-across, V04);
+* metrics of different facts are aggregated separately and the *aggregates* are
+  combined on the requested dimensions by ``unionByName`` + one aggregation, a full
+  outer combine in which NULL dimension values match (drill-across, V04);
   facts are never joined to each other, so there is no fan-out;
 * a dimension not reachable from a metric's fact raises ``ValueError`` (V05);
 * role-playing dimensions (one date table reached through different keys) resolve per
