@@ -58,3 +58,32 @@ def test_stream_dedup_and_hourly_windows(spark, scratch):
     q.awaitTermination()
     got = sorted((str(r.window_start), r.event_type, r.events, r.value_sum) for r in spark.read.parquet(f"{scratch}/out").collect())
     assert got == [("2024-01-01 00:00:00", "click", 2, 3.0), ("2024-01-01 01:00:00", "view", 1, 5.0)]
+
+
+def test_future_frame_fallbacks(spark):
+    from piste.operators import forecast as FC
+
+    # history: Jan 1-10 2021 for entity e (values 10..19), nothing for entity z before Jan 12
+    hist = [("e", dt.date(2021, 1, 1) + dt.timedelta(days=i), float(10 + i)) for i in range(10)]
+    hist += [("z", dt.date(2020, 12, 1), 5.0)]
+    h = spark.createDataFrame(hist, "ent string, d date, y double")
+    fut = {(r.ent, r.d): r for r in FC.future_frame(h, "d", "y", "2021-01-12", 3, entity="ent",
+                                                  lags=(7, 14), windows=(7,)).collect()}
+    e12 = fut[("e", dt.date(2021, 1, 12))]
+    assert e12.lag_7 == 14.0                       # Jan 5 is known
+    # Dec 29 unknown -> January weekday mean for that weekday (Tue): only Jan 5 -> 14.0
+    assert e12.lag_14 == 14.0
+    assert e12.rolling_7_mean == sum(range(14, 20)) / 6   # Jan 5..10 known within [d-7, d-1]
+    z12 = fut[("z", dt.date(2021, 1, 12))]
+    assert (z12.lag_7, z12.lag_14, z12.rolling_7_mean) == (400.0, 400.0, 400.0)   # nothing known -> default
+    assert len(fut) == 6 and e12.day_of_week == 1 and e12.month == 1
+
+
+def test_staffing_band_and_clamp(spark):
+    from piste.operators import forecast as FC
+
+    df = spark.createDataFrame([(-3.2,), (499.9,), (500.0,), (2999.0,), (3000.0,)], "p double")
+    rows = df.select(FC.clamp_prediction(F.col("p")).alias("v")).select(
+        "v", FC.staffing_band(F.col("v")).alias("band")).collect()
+    assert [(r.v, r.band) for r in rows] == [(0, "minimal"), (499, "minimal"), (500, "light"), (2999, "high"),
+                                             (3000, "peak")]
