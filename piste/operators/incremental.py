@@ -30,17 +30,30 @@ from piste.functions.core import bounded_broadcast
 KEY_BROADCAST_ROWS = 5_000_000
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    try:
+        p, fs = _fs(spark, path)
+    except Exception:  # noqa: BLE001 -- no JVM context: probe by reading the folder
+        try:
+            spark.read.parquet(path).schema
+            return True
+        except Exception:  # noqa: BLE001
+            return False
     return fs.exists(p)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    """Remove a staging folder (best effort; left in place when no JVM context exists)."""
+    try:
+        p, fs = _fs(spark, path)
+    except Exception:  # noqa: BLE001
+        return
     if fs.exists(p):
         fs.delete(p, True)
 

@@ -27,8 +27,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, min_partitions: int
     df = spark.read.parquet(path)
     if name in TINY_TABLES:
         return df
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < target and _bytes(spark, path) > GUARD_MIN_BYTES:
+    try:
+        target = min_partitions or spark.sparkContext.defaultParallelism
+        size = _bytes(spark, path)
+    except Exception:  # noqa: BLE001 -- no JVM context (e.g. a remote session): no guard
+        return df
+    if len(df.inputFiles()) < target and size > GUARD_MIN_BYTES:
         df = df.repartition(target)
     return df
 
