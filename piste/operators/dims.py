@@ -43,6 +43,8 @@ def dim_date(spark: SparkSession, start: str = SPINE_START, days: int = SPINE_DA
     y, m, dom, wd = F.year(d), F.month(d), F.dayofmonth(d), dow0(d)
     season_start = F.when(m >= 11, F.make_date(y, F.lit(11), F.lit(1))).when(
         m <= 4, F.make_date(y - 1, F.lit(11), F.lit(1)))
+    # Holiday windows -- Dec 20-31, Jan 1-5, MLK and Presidents' Mondays
+    # (third week of Jan / Feb), Mar 10-24.
     is_holiday = (
         ((m == 12) & dom.between(20, 31))
         | ((m == 1) & dom.between(1, 5))

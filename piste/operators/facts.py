@@ -272,6 +272,7 @@ def fact_feedback(stg: DataFrame, stg_customers: DataFrame) -> DataFrame:
 
 
 def occupancy_status(pct: Column) -> Column:
+    # Full >= 95, Near Full >= 80, Moderate >= 50, else Light.
     return F.when(pct >= 95, "Full").when(pct >= 80, "Near Full").when(pct >= 50, "Moderate").otherwise("Light")
 
 

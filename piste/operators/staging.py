@@ -176,6 +176,7 @@ def stg_marketing_touches(raw: DataFrame) -> DataFrame:
 
 
 def age_group(age: Column) -> Column:
+    # Age bands Child < 18, Young Adult 18-34, Adult 35-54, Senior >= 55.
     return (
         F.when(age < 18, "Child")
         .when(age.between(18, 34), "Young Adult")
@@ -198,6 +199,7 @@ def stg_customers(raw: DataFrame, as_of: str) -> DataFrame:
 
 
 def nps_category(nps: Column) -> Column:
+    # Promoter >= 9, Passive >= 7, else Detractor.
     # NULL falls through to the ELSE arm on purpose (reproduced as written).
     return F.when(nps >= 9, "Promoter").when(nps >= 7, "Passive").otherwise("Detractor")
 
@@ -265,6 +267,7 @@ def stg_grooming_logs(raw: DataFrame) -> DataFrame:
 
 
 def occupancy_tier(pct: Column) -> Column:
+    # Full >= 95, High >= 80, Moderate >= 50, Low >= 20, else Empty.
     return (
         F.when(pct >= 95, "Full").when(pct >= 80, "High").when(pct >= 50, "Moderate")
         .when(pct >= 20, "Low").otherwise("Empty")
