@@ -713,3 +713,20 @@ SELECT CUSTOMER_SEGMENT AS series, FULL_DATE AS forecast_date, 'run-' || strftim
        CASE WHEN year(FULL_DATE) % 2 = 0 THEN 'v1' ELSE 'v2' END AS model_version,
        round(lag_7, 4) AS lag_7, round(lag_14, 4) AS lag_14, round(rolling_7_mean, 4) AS rolling_7_mean
 FROM panel""", extra=[("tf", TF_BODY), ("panel", P11_SQL)])
+
+_FF_LAGS = ", ".join(
+    f"""round(coalesce((SELECT h.UNIQUE_VISITORS FROM tf h WHERE h.CUSTOMER_SEGMENT = f.seg AND h.FULL_DATE = f.d - {k}),
+                (SELECT avg(h.UNIQUE_VISITORS) FROM tf h WHERE h.CUSTOMER_SEGMENT = f.seg
+                   AND month(h.FULL_DATE) = month(f.start) AND isodow(h.FULL_DATE) = isodow(f.d - {k})), 400.0), 4) AS lag_{k}"""
+    for k in (7, 14, 21, 28))
+_FF_ROLL = ", ".join(
+    f"""round(coalesce((SELECT avg(h.UNIQUE_VISITORS) FROM tf h WHERE h.CUSTOMER_SEGMENT = f.seg
+                AND h.FULL_DATE BETWEEN f.d - {n} AND f.d - 1), 400.0), 4) AS rolling_{n}_mean"""
+    for n in (7, 14, 30))
+ORACLE["p18_future_frame_inputs"] = with_ctes(TF_CTES, f"""
+SELECT f.seg AS CUSTOMER_SEGMENT, f.d AS FULL_DATE, {_FF_LAGS}, {_FF_ROLL},
+       CAST(isodow(f.d) - 1 AS INTEGER) AS day_of_week, CAST(month(f.d) AS INTEGER) AS month,
+       CAST(dayofweek(f.d) IN (0, 6) AS INTEGER) AS is_weekend
+FROM (SELECT s.seg, CAST(st.start + INTERVAL (i) DAY AS DATE) AS d, st.start
+      FROM (SELECT DISTINCT CUSTOMER_SEGMENT AS seg FROM tf) s,
+           (SELECT CAST(max(FULL_DATE) + 1 AS DATE) AS start FROM tf) st, range(14) r(i)) f""", extra=[("tf", TF_BODY)])

@@ -568,3 +568,17 @@ def prediction_log_features(spark, sf_dir):
 
 
 REGISTRY["o01_prediction_log_features"] = prediction_log_features
+
+
+def future_frame_inputs(spark, sf_dir):
+    """P18-P20 inputs (deterministic part of the forecast): two weeks after the last
+    training day per segment, with looked-up lags and rolling means and their fallbacks."""
+    hist = segment_training_frame(spark, sf_dir)
+    last = hist.agg(F.max("FULL_DATE")).first()[0]
+    start = (last + __import__("datetime").timedelta(days=1)).isoformat()
+    fut = FC.future_frame(hist, "FULL_DATE", "UNIQUE_VISITORS", start, 14, entity=SEGMENT)
+    return round_doubles(fut.select(SEGMENT, "FULL_DATE", "lag_7", "lag_14", "lag_21", "lag_28", "rolling_7_mean",
+                                    "rolling_14_mean", "rolling_30_mean", "day_of_week", "month", "is_weekend"))
+
+
+REGISTRY["p18_future_frame_inputs"] = future_frame_inputs
