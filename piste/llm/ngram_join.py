@@ -109,8 +109,9 @@ def _verify(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thresho
     many = np.bincount(column)[column] > 1  # a shingle of one set is shared by none
     column, owner = np.cumsum(new & many)[many] - 1, owner[many]
     common = np.zeros((len(left), len(right)), np.float32)
-    wide = max(1, 4_000_000 // max(1, len(sets)))
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+    columns = int(column[-1]) + 1 if len(column) else 0
+    wide = max(1, min(columns, 4_000_000 // len(sets)))
+    for at in range(0, columns, wide):
         a, b = np.searchsorted(column, [at, at + wide])
         part = np.zeros((len(sets), wide), np.float32)
         part[owner[a:b], column[a:b] - at] = 1
@@ -163,7 +164,7 @@ def verified(docs: DataFrame, vertices: DataFrame, groups: DataFrame, n: int, th
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     keys = ["root", "first", "second"]
     dealt = (pairs.select("root", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "id", "block", "docs", "text")
-             .repartition(*keys).sortWithinPartitions(*keys, "id"))
+             .repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "id"))
 
     def run(batches):
         now, group = None, {}
