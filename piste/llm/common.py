@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from piste.session import checkpoint_root
 
@@ -37,6 +38,17 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def least_by_hash(df: DataFrame, keys: list[str], count: int) -> DataFrame:
+    """The ``count`` rows of least hash of ``keys``, ties by ``keys``: a repeatable sample.
+
+    Far larger tables are first cut by hash to about four times as many rows, so what meets in one
+    task is bounded however many partitions there are.
+    """
+    rows, key = df.count(), F.shiftrightunsigned(F.xxhash64(*keys), 33)
+    most = (4 * count << 31) // max(rows, 1)
+    return df.where(key <= most).orderBy(key, *keys).limit(count)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """64-bit finaliser; spreads every input bit over the output."""
     h = h ^ (h >> np.uint64(30))

@@ -113,12 +113,13 @@ def features(text: str, span: Span) -> list[float]:
     ]
 
 
-def train(docs: DataFrame, text: str = "text", training_candidates: int = 20_000, precision: float = 0.98) -> tuple[Boosted, dict] | None:
-    """Model and thresholds from at most ``training_candidates`` candidates.
-
-    Those of least hash (of kind, label and features) are taken from all documents: a bounded,
-    repeatable sample of the labelled rows.  A quarter is kept out for calibration.
+def train(docs: DataFrame, text: str = "text", training_docs: int = 100_000, training_candidates: int = 20_000,
+          precision: float = 0.98) -> tuple[Boosted, dict] | None:
+    """Model and thresholds from at most ``training_candidates`` candidates of a bounded, repeatable
+    sample of documents (about ``training_docs``, by hash of doc_id).  A quarter of the candidates
+    is kept out for calibration.
     """
+    share = F.shiftrightunsigned(F.xxhash64("doc_id"), 33) <= (training_docs << 31) // max(docs.count(), 1)
 
     def propose(batches):
         for batch in batches:
@@ -130,7 +131,7 @@ def train(docs: DataFrame, text: str = "text", training_candidates: int = 20_000
             kinds, labels, xs = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(labels, pa.bool_()), pa.array(xs, pa.list_(pa.float64()))], names=["kind", "label", "x"])
 
-    made = docs.select(text).mapInArrow(propose, "kind string, label boolean, x array<double>")
+    made = docs.where(share).select(text).mapInArrow(propose, "kind string, label boolean, x array<double>")
     rows = made.orderBy(F.xxhash64("kind", "label", "x"), "kind", "label", "x").limit(training_candidates).collect()
     if len({r["label"] for r in rows}) < 2:
         return None

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from piste.llm.common import PIECE, mix, words
+from piste.llm.common import PIECE, least_by_hash, words
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
@@ -86,7 +86,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, buckets: int, trainin
     and may be broadcast.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
-    half = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(training_docs // 2) for k in (0, 1)]
+    half = [least_by_hash(known.where(F.col("label") == k), ["doc_id"], training_docs // 2) for k in (0, 1)]
     chosen = F.broadcast(half[0].union(half[1]))
 
     def bags(batches):

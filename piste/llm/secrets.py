@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from piste.llm.common import staged
 from piste.llm.spans import Span, digest_rows, digest_schema
 
 BASE = ("assign", "access", "hex")
@@ -105,8 +106,10 @@ WORD = re.compile(r"[^\W\d_]{3,%d}" % LONGEST_WORD)
 def word_ranks(docs: DataFrame, text: str = "text", vocabulary: int = 20_000) -> dict[str, int]:
     """Rank by frequency of the ``vocabulary`` most frequent words of all documents, ties by word.
 
-    Every word of every document is counted: per batch in the task, then by a shuffled sum.  What
-    reaches the driver is bounded by ``vocabulary`` words of at most 24 characters.
+    Every word of every document is counted: per batch in the task, then by a shuffled sum.  A
+    histogram of the counts tells from which count on there are enough words, so few more than
+    those that reach the driver, at most ``vocabulary`` of 24 characters, are sorted.  A word seen
+    once is in no guesser's dictionary.
     """
 
     def count(batches):
@@ -117,8 +120,14 @@ def word_ranks(docs: DataFrame, text: str = "text", vocabulary: int = 20_000) ->
                     n.update(WORD.findall(t.lower()))
             yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["word", "n"])
 
-    top = (docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "word").limit(vocabulary).collect())
+    counted = staged(docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "words")
+    step = F.floor(F.log2("n") * 8).cast("int")
+    enough, seen = 0, 0
+    for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
+        enough, seen = r["step"], seen + r["words"]
+        if seen >= vocabulary:
+            break
+    top = counted.where(step >= enough).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
     return {r["word"]: i + 1 for i, r in enumerate(top)}
 
 
