@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from piste.llm.common import staged
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -55,7 +57,7 @@ def by_limit(hist: DataFrame, width: int = 4096) -> DataFrame:
     Running sums go in two steps, over blocks of ``width`` lengths and inside a block; the
     histogram has a row per distinct length, never one per document.
     """
-    h = hist.withColumn("block", F.floor(F.col("n_tokens") / width)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    h = staged(hist, "lengths").withColumn("block", F.floor(F.col("n_tokens") / width)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
     past, whole = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     blocks = blocks.select(

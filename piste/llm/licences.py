@@ -39,6 +39,7 @@ TEMPLATES = {
 }
 SHINGLE = 2
 SCHEMA = "doc_id long, template string, start long, end long, containment double"
+_PART = 1 << 14  # windows at a time
 HASHES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -65,17 +66,25 @@ class Templates:
             worst = min(containment * len(self.sets[i]) / (width + len(self.sets[i]) * (1 - containment)) for i in members)
             bands, table = band_count(worst, rows, probability), {}
             for i in members:
-                for b, key in enumerate(self.bands(self.sets[i][None, :], bands)[0]):
+                for b, key in enumerate(self.bands(self.sets[i], bands, len(self.sets[i]))[0]):
                     table.setdefault((b, int(key)), []).append(i)
             self.windows[size] = (bands, table, np.array(sorted({k for _, k in table}), np.uint64))
 
-    def bands(self, sets: np.ndarray, bands: int) -> np.ndarray:
-        """Band keys of each row of shingles."""
-        keys = np.empty((len(sets), bands), np.uint64)
+    def bands(self, g: np.ndarray, bands: int, step: int) -> np.ndarray:
+        """Band keys of every window of five steps; the last ones are cut short by the end.
+
+        Least hashes are taken once per step and then over five steps.
+        """
+        starts = np.arange(0, len(g), step)
+        keys = np.empty((len(starts), bands), np.uint64)
         for b in range(bands):
-            total = np.full(len(sets), b + 1, np.uint64)
+            total = np.full(len(starts), b + 1, np.uint64)
             for r in range(self.rows):
-                total = mix(total + (sets * HASHES[(b * self.rows + r) % 256]).min(1))
+                low = np.minimum.reduceat(g * HASHES[(b * self.rows + r) % 256], starts)
+                near = low.copy()
+                for k in range(1, 5):
+                    np.minimum(near[:-k], low[k:], out=near[:-k])
+                total = mix(total + near)
             keys[:, b] = total
         return keys
 
@@ -90,14 +99,11 @@ class Templates:
         found: dict[int, list[tuple[float, int, int]]] = {}
         for size, (bands, table, known) in self.windows.items():
             width, step = size + size // 4, size // 4
-            starts = np.arange(0, max(1, len(g) - width + step), step)
-            for at in range(0, len(starts), 4096):
-                some = starts[at : at + 4096]
-                sets = g[np.minimum(some[:, None] + np.arange(width), len(g) - 1)]
-                keys = self.bands(sets, bands)
+            for at in range(0, len(g), _PART * step):  # parts overlap by a window
+                keys = self.bands(g[at : at + _PART * step + width], bands, step)
                 for w, b in zip(*np.nonzero(np.isin(keys, known))):
                     for i in table.get((int(b), int(keys[w, b])), ()):
-                        self._verify(i, int(some[w]), width, g, found.setdefault(i, []))
+                        self._verify(i, at + int(w) * step, width, g, found.setdefault(i, []))
         spans = []
         for i, hits in found.items():
             free: list[tuple[int, int]] = []
