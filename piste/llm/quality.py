@@ -1,6 +1,6 @@
 """Quality classifier on supervised subword embeddings.
 
-A document is the mean of learned vectors of its hashed words and hashed character n-grams; a
+A document is the mean of learned vectors of its hashed words, word pairs and character n-grams; a
 softmax layer on that mean gives the class.  Vectors and layer are trained together by stochastic
 gradient descent in numpy on a bounded sample of labelled documents, whole texts.  Scoring
 uses that mean and layer are linear: the layer is applied to every vector once, and a document's
@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from piste.llm.common import PIECE, least_by_hash, words
+from piste.llm.common import PIECE, least_by_hash, mix, words
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
-NGRAMS = (3, 5)
+NGRAMS = (3,)
 
 
 @dataclass(frozen=True)
@@ -43,11 +43,14 @@ def _pieces(buf: np.ndarray):
 
 
 def feature_parts(text: str | None, buckets: int):
-    """Buckets of the words (between white space, case and punctuation kept) and of the byte
-    n-grams of a whole text, a piece at a time."""
+    """Buckets of the words (between white space, case and punctuation kept), of word pairs and of
+    the byte n-grams of a whole text, a piece at a time.  A pair is hashed by exclusive or, so
+    all immediate repeats, of whatever word, share a bucket."""
     buf = np.frombuffer((text or "").encode(), np.uint8)
     if len(buf):
-        yield (words(buf, ~_BLANK[buf])[0] % np.uint64(buckets)).astype(np.int64)
+        h = words(buf, ~_BLANK[buf])[0]
+        yield (h % np.uint64(buckets)).astype(np.int64)
+        yield (mix((h[1:] ^ h[:-1]) + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
     for part, own in _pieces(buf):
         wide = part.astype(np.uint32)
         for n in NGRAMS:
@@ -102,7 +105,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, buckets: int, trainin
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", buckets: int = 1 << 16, dim: int = 8,
-          training_docs: int = 3000, epochs: int = 12, rate: float = 1.5, seed: int = 7) -> Model:
+          training_docs: int = 3000, epochs: int = 12, rate: float = 0.3, seed: int = 7) -> Model:
     """Stochastic gradient descent, one document a step, rate falling to zero.
 
     Vectors start small and random.  The output starts at zero, so both train together.
@@ -131,8 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", buckets: i
             back = out @ p
             out -= eta * np.outer(mean, p)
             bias -= eta * p
-            # a share is about 1/n of the gradient; scaled as if every n-gram had weight 1
-            vectors[ids[i]] -= (eta * len(ids[i]) / 8) * np.outer(shares[i], back)
+            # divided by the sum of squared shares, a step moves the mean by eta * back at any length
+            vectors[ids[i]] -= np.outer(shares[i] * (eta / np.square(shares[i]).sum()), back)
     side = out[:, 1] - out[:, 0]
     return Model((vectors @ side).astype(np.float32), float(bias[1] - bias[0]), buckets)
 
