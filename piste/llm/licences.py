@@ -39,7 +39,7 @@ TEMPLATES = {
 }
 SHINGLE = 2
 SCHEMA = "doc_id long, template string, start long, end long, containment double"
-_PART = 1 << 14  # windows at a time
+_PART = 1 << 11  # windows at a time
 HASHES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -48,6 +48,13 @@ def band_count(similarity: float, rows: int, probability: float) -> int:
     return math.ceil(math.log(1 - probability) / math.log(1 - similarity**rows))
 
 
+def _bitmap(keys: set[int]) -> np.ndarray:
+    """Which leading 16 bits occur among the keys; asked before the exact table."""
+    out = np.zeros(1 << 16, bool)
+    out[[k >> 48 for k in keys]] = True
+    return out
+
+
 class Templates:
     """Shingles and band tables of the templates, by size class of window."""
 
@@ -68,25 +75,24 @@ class Templates:
             for i in members:
                 for b, key in enumerate(self.bands(self.sets[i], bands, len(self.sets[i]))[0]):
                     table.setdefault((b, int(key)), []).append(i)
-            self.windows[size] = (bands, table, np.array(sorted({k for _, k in table}), np.uint64))
+            self.windows[size] = (bands, table, _bitmap({k for _, k in table}))
 
     def bands(self, g: np.ndarray, bands: int, step: int) -> np.ndarray:
         """Band keys of every window of five steps; the last ones are cut short by the end.
 
         Least hashes are taken once per step and then over five steps.
         """
-        starts = np.arange(0, len(g), step)
-        keys = np.empty((len(starts), bands), np.uint64)
-        for b in range(bands):
-            total = np.full(len(starts), b + 1, np.uint64)
-            for r in range(self.rows):
-                low = np.minimum.reduceat(g * HASHES[(b * self.rows + r) % 256], starts)
-                near = low.copy()
-                for k in range(1, 5):
-                    np.minimum(near[:-k], low[k:], out=near[:-k])
-                total = mix(total + near)
-            keys[:, b] = total
-        return keys
+        count = -(-len(g) // step)
+        laid = np.concatenate([g, np.repeat(g[-1:], count * step - len(g))]).reshape(count, step).T.copy()
+        total = np.arange(1, bands + 1, dtype=np.uint64)[:, None]
+        for r in range(self.rows):
+            factors = HASHES[(np.arange(bands) * self.rows + r) % 256]
+            low = (laid * factors[:, None, None]).min(1)
+            near = low.copy()
+            for k in range(1, min(5, count)):
+                np.minimum(near[:, :-k], low[:, k:], out=near[:, :-k])
+            total = mix(total + near)
+        return total.T
 
     def find(self, text: str | None) -> Iterator[tuple[str, int, int, float]]:
         """(template, start, end, containment), by place; of overlapping finds of a template the best."""
@@ -101,7 +107,7 @@ class Templates:
             width, step = size + size // 4, size // 4
             for at in range(0, len(g), _PART * step):  # parts overlap by a window
                 keys = self.bands(g[at : at + _PART * step + width], bands, step)
-                for w, b in zip(*np.nonzero(np.isin(keys, known))):
+                for w, b in zip(*np.nonzero(known[(keys >> np.uint64(48)).astype(np.int64)])):
                     for i in table.get((int(b), int(keys[w, b])), ()):
                         self._verify(i, at + int(w) * step, width, g, found.setdefault(i, []))
         spans = []
