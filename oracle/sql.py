@@ -545,13 +545,13 @@ def _inner(h: str, tag: str) -> str:
 
 
 _PRICE = [r"\$[\d,]+\.?\d*", r"€[\d,]+\.?\d*", r"£[\d,]+\.?\d*", r"USD\s*[\d,]+\.?\d*", r"EUR\s*[\d,]+\.?\d*"]
-_prices = "list_concat(" + ", ".join(f"regexp_extract_all(txt, '(?i){p}')[1:3]" for p in _PRICE) + ")"
+_prices = "list_concat(" + ", ".join(f"regexp_extract_all(txt, '(?i){p}')" for p in _PRICE) + ")"
 ORACLE["x01_page_extraction"] = f"""
 SELECT page_id, url, coalesce(regexp_matches(url, '^https?://') AND host <> '' AND host NOT IN ('localhost', '127.0.0.1')
                               AND NOT starts_with(host, '192.168.'), FALSE) AS url_valid,
        CASE WHEN title <> '' THEN title ELSE regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1) END AS title,
-       substr(txt, 1, 5000) AS content, length(txt) AS content_chars,
-       array_to_string(list_sort(list_distinct({_prices}))[1:5], '|') AS prices
+       txt AS content, length(txt) AS content_chars,
+       array_to_string(list_sort(list_distinct({_prices})), '|') AS prices
 FROM (
   SELECT page_id, url, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host,
          {_html_text("regexp_extract(h, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1)")} AS title,
@@ -566,19 +566,18 @@ ORACLE["x06_conversation_key_points"] = f"""
 WITH m AS (
   SELECT conv_id, turn,
          list_filter(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_TRIM}),
-                     lambda x: starts_with(x, '- ') OR starts_with(x, '* ') OR starts_with(x, '• ') OR starts_with(x, '1.')
-                          OR starts_with(x, '2.') OR starts_with(x, '3.')),
-                     lambda x: regexp_replace(x, '^[-*•\\d.]+\\s*', '')),
-                     lambda x: length(x) > 10 AND length(x) < 200) AS bullets,
+                     lambda x: regexp_matches(x, '^([-*•]|[0-9]+\\.)\\s+')),
+                     lambda x: regexp_replace(x, '^([-*•]|[0-9]+\\.)\\s+', '')),
+                     lambda x: true) AS bullets,
          list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: {_TRIM}),
-                     lambda x: length(x) > 20 AND length(x) < 200) AS sentences
+                     lambda x: x <> '') AS sentences
   FROM conversations WHERE role = 'assistant'
 ), e AS (
   SELECT conv_id, turn, bullets, list_filter(sentences, lambda x: NOT list_contains(bullets, x)) AS ex FROM m
 ), p AS (
   SELECT conv_id, turn,
          (CASE WHEN len(bullets) < 3 THEN list_concat(bullets, list_filter(ex, lambda x, i: list_position(ex, x) = i))
-               ELSE bullets END)[1:5] AS pts
+               ELSE bullets END) AS pts
   FROM e
 )
 SELECT conv_id, turn, CAST(generate_subscripts(pts, 1) AS INTEGER) AS point_no, unnest(pts) AS point FROM p"""

@@ -1,6 +1,5 @@
 from piste.functions.core import (  # noqa: F401
     NULL_KEY_TOKEN,
-    bounded_broadcast,
     date_key,
     dow0,
     fround,

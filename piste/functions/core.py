@@ -76,43 +76,6 @@ def safe_div(num, den) -> Column:
     return F.try_divide(_col(num).cast("double"), _col(den).cast("double"))
 
 
-def row_bound_ok(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` provably has at most ``max_rows`` rows.
-
-    Runs ``limit(max_rows + 1).count()``, which stops once the bound is crossed, so the
-    check reads at most ``max_rows + 1`` rows however large the input is.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-_SMALL: dict[int, tuple[object, int, bool]] = {}
-
-
-def table_is_small(df: DataFrame, max_rows: int) -> bool:
-    """``row_bound_ok`` memoized per DataFrame object, so a dimension shared by several
-    joins (or queries) is checked once."""
-    import weakref
-
-    hit = _SMALL.get(id(df))
-    if hit is not None and hit[0]() is df and hit[1] == max_rows:
-        return hit[2]
-    ok = row_bound_ok(df, max_rows)
-    _SMALL[id(df)] = (weakref.ref(df), max_rows, ok)
-    return ok
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = 2_000_000, known_small: bool | None = None) -> DataFrame:
-    """Broadcast ``df`` only when its row count is proven below ``max_rows``.
-
-    ``known_small`` passes a check already made on the same rows (a projection of a
-    checked table has the same row count).  Beyond the bound the frame is returned
-    unchanged and the planner (with AQE's runtime size statistics) chooses a shuffle
-    join, whose skewed partitions AQE splits.
-    """
-    small = row_bound_ok(df, max_rows) if known_small is None else known_small
-    return F.broadcast(df) if small else df
-
-
 def fround(c, scale: int) -> Column:
     """Round a double to ``scale`` places as round-half-away-from-zero of ``x * 10^scale``.
 

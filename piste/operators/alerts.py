@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RESPONSE_LIMIT = 4000
-ERROR_LIMIT = 500
-
 
 def due_alerts(alerts: DataFrame, today: str) -> DataFrame:
     """Active subscriptions whose period has elapsed (frequency case-insensitive:
@@ -23,13 +20,13 @@ def due_alerts(alerts: DataFrame, today: str) -> DataFrame:
 
 
 def run_log(results: DataFrame, sent_at: str) -> DataFrame:
-    """One log row per processed alert; response and error text truncated."""
+    """One log row per processed alert; response and error text whole."""
     return results.select(
         F.md5(F.concat_ws("|", "alert_id", F.lit(sent_at))).alias("log_id"), "alert_id",
         F.lit(sent_at).cast("timestamp_ntz").alias("sent_at"), "question",
-        F.substring("response", 1, RESPONSE_LIMIT).alias("response"),
+        "response",
         F.when(F.col("error").isNull(), "success").otherwise("failed").alias("status"),
-        F.substring("error", 1, ERROR_LIMIT).alias("error_message"))
+        F.col("error").alias("error_message"))
 
 
 def mark_sent(alerts: DataFrame, log: DataFrame) -> DataFrame:

@@ -1,8 +1,7 @@
 """Dimensions D01-D07: date spine, conformed dimensions with SCD-2 columns, SCD-2 merge.
 
-Dimensions are small next to the facts, but none is assumed small: joins against them
-go through :func:`piste.functions.bounded_broadcast`, which broadcasts only behind a
-row-count check and otherwise leaves the choice to the planner.
+Dimensions are small next to the facts, but none is assumed small: joins against them are
+plain, and the planner broadcasts a side whose bytes are below its threshold.
 """
 
 from __future__ import annotations

@@ -13,9 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from piste.functions.core import NULL_KEY_TOKEN, bounded_broadcast, date_key, surrogate_key, table_is_small
+from piste.functions.core import NULL_KEY_TOKEN, date_key, surrogate_key
 
-DIM_BROADCAST_ROWS = 1_000_000
 
 
 def _sel(df: DataFrame, *cols) -> DataFrame:
@@ -30,10 +29,10 @@ def _lit_ts(s: str) -> Column:
 
 
 def _current(dim: DataFrame, id_col: str, cols: dict[str, str]) -> DataFrame:
-    """Narrow the current version of a dimension to ``id`` + renamed columns, size-checked."""
+    """Narrow the current version of a dimension to ``id`` + renamed columns."""
     d = dim.filter(F.col("is_current")) if "is_current" in dim.columns else dim
     d = d.select(F.col(id_col).alias(f"__{id_col}"), *[F.col(k).alias(v) for k, v in cols.items()])
-    return bounded_broadcast(d, known_small=table_is_small(dim, DIM_BROADCAST_ROWS))
+    return d
 
 
 def _version_key(natural: str, dim_key: str) -> Column:
@@ -165,8 +164,7 @@ def fact_weather(stg: DataFrame, dim_date: DataFrame) -> DataFrame:
 # F07
 def fact_staffing(stg: DataFrame, dim_date: DataFrame, dim_location: DataFrame) -> DataFrame:
     s = _date_lookup(stg, dim_date, "schedule_date")
-    loc = bounded_broadcast(dim_location.select(F.col("location_id").alias("__location_id"), "location_key"),
-                            known_small=table_is_small(dim_location, DIM_BROADCAST_ROWS))
+    loc = dim_location.select(F.col("location_id").alias("__location_id"), "location_key")
     s = s.join(loc, s.location_id == loc.__location_id, "left")
     return _sel(s, 
         surrogate_key(F.col("schedule_id")).alias("staffing_key"),
@@ -196,16 +194,15 @@ def fact_marketing(stg: DataFrame, dim_date: DataFrame) -> DataFrame:
 
 
 def _segment_lookup(df: DataFrame, stg_customers: DataFrame) -> DataFrame:
-    c = bounded_broadcast(stg_customers.select(F.col("customer_id").alias("__customer_id"), "customer_segment"),
-                          known_small=table_is_small(stg_customers, DIM_BROADCAST_ROWS))
+    c = stg_customers.select(F.col("customer_id").alias("__customer_id"), "customer_segment")
     return df.join(c, df.customer_id == c.__customer_id, "left").drop("__customer_id")
 
 
 # F09
 def fact_season_pass_sales(stg: DataFrame, stg_customers: DataFrame, campaigns: DataFrame) -> DataFrame:
     s = _segment_lookup(stg, stg_customers)
-    camp = bounded_broadcast(campaigns.select(F.col("campaign_id").alias("__campaign_id"), "campaign_name",
-                                              "campaign_type"), DIM_BROADCAST_ROWS)
+    camp = campaigns.select(F.col("campaign_id").alias("__campaign_id"), "campaign_name",
+                                              "campaign_type")
     s = s.join(camp, s.campaign_id == camp.__campaign_id, "left")
     op, amt = F.col("original_price"), F.col("purchase_amount")
     return _sel(s, 
@@ -222,10 +219,10 @@ def fact_season_pass_sales(stg: DataFrame, stg_customers: DataFrame, campaigns:
 # F10
 def fact_lessons(stg: DataFrame, stg_customers: DataFrame, instructors: DataFrame) -> DataFrame:
     s = _segment_lookup(stg, stg_customers)
-    ins = bounded_broadcast(instructors.select(
+    ins = instructors.select(
         F.col("instructor_id").alias("__instructor_id"), "instructor_name",
         F.col("certification_level").alias("instructor_certification"),
-        F.col("avg_rating").alias("instructor_rating")), DIM_BROADCAST_ROWS)
+        F.col("avg_rating").alias("instructor_rating"))
     s = s.join(ins, s.instructor_id == ins.__instructor_id, "left")
     total = F.col("lesson_amount") + F.coalesce(F.col("rental_amount"), F.lit(0)) + F.coalesce(
         F.col("tip_amount"), F.lit(0))
@@ -278,10 +275,10 @@ def occupancy_status(pct: Column) -> Column:
 
 # F13
 def fact_parking(stg: DataFrame, stg_lots: DataFrame) -> DataFrame:
-    lots = bounded_broadcast(stg_lots.select(
+    lots = stg_lots.select(
         F.col("lot_id").alias("__lot_id"), F.col("lot_name").alias("lot_name_dim"), "lot_type",
         F.col("total_spaces").alias("lot_capacity"), F.col("daily_max").alias("daily_rate"), "has_shuttle",
-        "distance_to_lifts_feet"), DIM_BROADCAST_ROWS)
+        "distance_to_lifts_feet")
     s = stg.join(lots, stg.lot_id == lots.__lot_id, "left")
     return _sel(s, 
         "record_id", "record_date", "record_hour", "lot_id", "lot_name_dim", "lot_type", "lot_capacity",

@@ -156,6 +156,26 @@ def _feature(df: DataFrame, spec: dict, date_col: str) -> Column | None:
     return out.cast(DTYPES.get(dtype, dtype)) if dtype else out
 
 
+def future_features(df: DataFrame, cfg: FeatureConfig, date_col: str, needed: list[str]) -> DataFrame:
+    """The configured features on forecast rows that already carry lags and rolling means.
+
+    A category that no forecast knows takes its declared default; any other input that is
+    missing is an error, never a constant.
+    """
+    for spec in cfg.features:
+        name = spec["name"]
+        if name in df.columns:
+            continue
+        made = _feature(df, spec, date_col)
+        if made is None and spec.get("type") == "categorical" and spec.get("default") is not None:
+            made = F.lit(spec["default"])
+        if made is not None:
+            df = df.withColumn(name, made)
+    if missing := sorted(set(needed) - set(df.columns)):
+        raise ValueError(f"forecast rows lack model inputs: {missing}")
+    return df
+
+
 def engineer(df: DataFrame, cfg: FeatureConfig, date_col: str, entity: str | None = None,
              leaky: bool = False, drop_warmup: bool = True) -> DataFrame:
     """Add configured features, lags and rolling statistics to a panel."""

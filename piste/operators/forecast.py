@@ -15,7 +15,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from piste.functions.core import bounded_broadcast, dow0, safe_div
+from piste.functions.core import dow0, safe_div
 from piste.operators.features import FeatureConfig, feature_columns
 
 # Fallbacks of the reference's forecast path.
@@ -183,7 +183,7 @@ def future_frame(history: DataFrame, date_col: str, target: str, start: str, day
         m = wk.select(F.col(ekey).alias("__we"), F.col("weekday").alias(f"__wd{k}"), F.col("weekday_mean").alias(f"__wm{k}"))
         # weekday means: 7 rows per entity -- broadcast only while the entity count is bounded
         out = out.withColumn(f"__wdk{k}", wd).join(
-            bounded_broadcast(m, 1_000_000), (F.col(ekey) == F.col("__we")) & (F.col(f"__wdk{k}") == F.col(f"__wd{k}")),
+            m, (F.col(ekey) == F.col("__we")) & (F.col(f"__wdk{k}") == F.col(f"__wd{k}")),
             "left").drop(
             "__we", f"__wd{k}", f"__wdk{k}")
         out = out.withColumn(f"lag_{k}", F.coalesce(F.col(f"__lag_{k}"), F.col(f"__wm{k}"), F.lit(DEFAULT_LAG_VALUE)))

@@ -25,9 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from piste.functions.core import bounded_broadcast
 
-KEY_BROADCAST_ROWS = 5_000_000
 
 
 def _fs(spark: SparkSession, path: str):
@@ -65,7 +63,8 @@ def high_water_mark(spark: SparkSession, target_path: str, col: str):
     return spark.read.parquet(target_path).agg(F.max(col)).first()[0]
 
 
-def _write(df: DataFrame, path: str, partition_col: str | None, cluster_col: str | None, mode: str) -> None:
+def _write(df: DataFrame, path: str, partition_col: str | None, cluster_col: str | None, mode: str,
+           dynamic: bool = False) -> None:
     """Clustered write: range-partitioned on (partition, cluster key) so each task holds a
     contiguous key range -- it writes one or two partition folders with sorted files
     (tight min/max statistics) instead of a small file in every folder; a big month is
@@ -76,6 +75,8 @@ def _write(df: DataFrame, path: str, partition_col: str | None, cluster_col: str
     w = df.write.mode(mode)
     if partition_col:
         w = w.partitionBy(partition_col)
+    if dynamic:
+        w = w.option("partitionOverwriteMode", "dynamic")
     w.parquet(path)
 
 
@@ -129,24 +130,29 @@ def upsert(spark: SparkSession, new: DataFrame, target_path: str, unique_key, or
         return {"mode": "full", "schema_changed": False}
     old = spark.read.parquet(target_path)
     old, new, schema_changed = _align(old, new, on_schema_change)
-    keys = bounded_broadcast(new.select(*kcols).distinct(), KEY_BROADCAST_ROWS)
+    keys = new.select(*kcols).distinct()
 
     # sibling of the target on the same (shared) storage; never inside the target, which
     # an overwrite clears before writing
     staging = f"{target_path.rstrip('/')}__staging_{uuid.uuid4().hex}"
     if partition_col and not schema_changed:
-        hit_parts = new.select(partition_col).unionByName(
-            old.join(keys, kcols, "left_semi").select(partition_col)).distinct()
-        hit_parts = bounded_broadcast(hit_parts, 100_000)
+        superseded = old.join(keys, kcols, "left_semi").select(partition_col)
+        hit_parts = new.select(partition_col).unionByName(superseded).distinct()
+        located = spark.read.parquet(target_path)
+        old_parts = (located.select(*kcols, F.col(partition_col).alias("__part"), F.url_decode(
+            F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")).alias("__dir"))
+            .join(keys, kcols, "left_semi").select("__part", "__dir").distinct())
         kept = old.join(hit_parts, partition_col, "left_semi").join(keys, kcols, "left_anti")
         _write(kept.unionByName(new), staging, partition_col, cluster_col, "overwrite")
         staged = spark.read.parquet(staging).select(*old.columns)
-        prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            _write(staged, target_path, partition_col, cluster_col, "overwrite")
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+        # partitions whose every row was superseded by one in another partition: no staged row
+        # would overwrite them, so their folders are found now and dropped after the swap
+        filled = staged.select(partition_col).distinct()
+        parts = old_parts.join(filled, old_parts["__part"].eqNullSafe(filled[partition_col]), "left_anti")
+        emptied = [r["__dir"] for r in parts.select("__dir").distinct().collect()]
+        _write(staged, target_path, partition_col, cluster_col, "overwrite", dynamic=True)
+        for folder in emptied:
+            delete_path(spark, folder)
     else:
         kept = old.join(keys, kcols, "left_anti")
         _write(kept.unionByName(new), staging, partition_col, cluster_col, "overwrite")
@@ -180,6 +186,9 @@ def incremental_load(
         return {"mode": "full", "hwm": None}
 
     hwm = high_water_mark(spark, target_path, watermark_col)
+    if hwm is None:  # the target exists but holds no mark: everything is new
+        rep = upsert(spark, build(source), target_path, unique_key, watermark_col, partition_col, cluster_col, on_schema_change)
+        return {"mode": "incremental", "hwm": None, "schema_changed": rep["schema_changed"]}
     dtype = dict(spark.read.parquet(target_path).dtypes)[watermark_col]
     bound = _literal_like(hwm, dtype)
     if lookback is not None and hwm is not None:

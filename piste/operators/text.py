@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from piste.functions.core import bounded_broadcast, fround
+from piste.functions.core import fround
 
 # Elements removed before text extraction; entity table; price patterns.
 NOISE_TAGS = ("script", "style", "nav", "footer")
@@ -19,7 +19,6 @@ ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&
             ("&amp;", "&"))
 PRICE_PATTERNS = (r"\$[\d,]+\.?\d*", r"€[\d,]+\.?\d*", r"£[\d,]+\.?\d*", r"USD\s*[\d,]+\.?\d*",
                   r"EUR\s*[\d,]+\.?\d*")
-CONTENT_LIMIT = 5000
 WS = r"[\s ]+"
 
 
@@ -60,16 +59,16 @@ def url_host(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)", 1)
 
 
-def price_mentions(text: Column, per_pattern: int = 3, limit: int = 5) -> Column:
-    """Up to ``per_pattern`` matches of each currency pattern, distinct, at most
-    ``limit`` -- sorted before the cut so the result is deterministic (B18 fixed)."""
-    parts = [F.slice(F.regexp_extract_all(text, F.lit("(?i)" + p), 0), 1, per_pattern) for p in PRICE_PATTERNS]
-    return F.slice(F.array_sort(F.array_distinct(F.concat(*parts))), 1, limit)
+def price_mentions(text: Column) -> Column:
+    """Every distinct match of the currency patterns, sorted."""
+    parts = [F.regexp_extract_all(text, F.lit("(?i)" + p), 0) for p in PRICE_PATTERNS]
+    return F.array_sort(F.array_distinct(F.concat(*parts)))
 
 
-def extract_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def extract_pages(pages: DataFrame, url: str = "url", html: str = "html",
+                  content_limit: int | None = None) -> DataFrame:
     """Title (fallback: host), main -> article -> body -> whole-page text, collapsed
-    whitespace, cut to 5000 characters; prices mined from the full text."""
+    whitespace, whole unless ``content_limit`` is given; prices mined from the full text."""
     h = strip_noise(F.col(html))
     title = html_text(F.regexp_extract(h, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))
     main = F.coalesce(_inner(h, "main"), _inner(h, "article"), _inner(h, "body"), h)
@@ -78,7 +77,7 @@ def extract_pages(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
     return out.select(
         "*",
         F.when(title != "", title).otherwise(url_host(F.col(url))).alias("title"),
-        F.substring("__text", 1, CONTENT_LIMIT).alias("content"),
+        (F.col("__text") if content_limit is None else F.substring("__text", 1, content_limit)).alias("content"),
         F.length("__text").alias("content_chars"),
         price_mentions(F.col("__text")).alias("prices"),
         valid_url(F.col(url)).alias("url_valid"),
@@ -92,32 +91,23 @@ def document_inventory(docs: DataFrame, *keys: str) -> DataFrame:
 
 
 # -- X06 key points --------------------------------------------------------------------
-BULLET_PREFIXES = ("- ", "* ", "• ", "1.", "2.", "3.")
+# a list item: a dash, star or dot, or a number with a full stop, then white space
+LIST_MARKER = r"^([-*•]|[0-9]+\.)\s+"
 
 
 def _strip(x: Column) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
-def key_points(text: Column, limit: int = 5) -> Column:
-    """Bullet lines (10-200 chars after the marker) first; when fewer than three,
-    add distinct sentences (20-200 chars) not already chosen; at most ``limit``."""
+def key_points(text: Column, limit: int | None = None) -> Column:
+    """The text's list items, in order; a text with fewer than three gives its other
+    distinct sentences after them.  ``limit`` cuts the list, by default nothing does."""
     lines = F.transform(F.split(text, "\n"), _strip)
-
-    def is_bullet(x):
-        cond = x.startswith(BULLET_PREFIXES[0])
-        for p in BULLET_PREFIXES[1:]:
-            cond = cond | x.startswith(p)
-        return cond
-
-    bullets = F.filter(
-        F.transform(F.filter(lines, is_bullet), lambda x: F.regexp_replace(x, r"^[-*•\d.]+\s*", "")),
-        lambda x: (F.length(x) > 10) & (F.length(x) < 200))
-    sentences = F.filter(F.transform(F.split(text, "[.!?]+"), _strip),
-                         lambda x: (F.length(x) > 20) & (F.length(x) < 200))
-    extra = F.array_distinct(F.filter(sentences, lambda x: ~F.array_contains(bullets, x)))
-    chosen = F.when(F.size(bullets) < 3, F.concat(bullets, extra)).otherwise(bullets)
-    return F.slice(chosen, 1, limit)
+    items = F.transform(F.filter(lines, lambda x: x.rlike(LIST_MARKER)), lambda x: F.regexp_replace(x, LIST_MARKER, ""))
+    sentences = F.filter(F.transform(F.split(text, "[.!?]+"), _strip), lambda x: x != "")
+    rest = F.array_distinct(F.filter(sentences, lambda x: ~F.array_contains(items, x)))
+    points = F.when(F.size(items) < 3, F.concat(items, rest)).otherwise(items)
+    return points if limit is None else F.slice(points, 1, limit)
 
 
 # -- X07 / X08 markdown sections and tables ----------------------------------------------
@@ -220,7 +210,7 @@ def keyword_search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float =
                                 F.min(F.coalesce("df", F.lit(0))).alias("rare_df"))
     # one row per query: broadcast (behind a size check) so the postings are probed in
     # place and never shuffled by term, where a hot term would land in one task
-    rare = bounded_broadcast(nterms.filter(F.col("rare_df") > 0), 1_000_000)
+    rare = nterms.filter(F.col("rare_df") > 0)
     cand = post.select(F.col("term").alias("rare"), "doc").join(rare, "rare").select("q", "doc", "n_terms")
     hit = cand.join(q.select("q", "term", "idf"), "q").join(post, ["doc", "term"])
     hit = hit.join(dl, "doc")
@@ -241,7 +231,7 @@ def keyword_search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float =
 
 
 # -- X04 vector variant ------------------------------------------------------------------------
-MAX_PROTOTYPES = 1_000   # prototypes travel in the plan as one literal array
+PROTOTYPE_BLOCK = 256   # prototypes that travel in a plan together
 
 
 def label_prototypes(emb: DataFrame, vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -261,17 +251,27 @@ def vector_prototype_search(emb: DataFrame, k: int = 5, id_col: str = "vec_id",
                             label_col: str = "label", buckets: int = 64) -> DataFrame:
     """X04 (vector variant): the ``k`` vectors most cosine-similar to each label's prototype.
 
-    The query set is the label prototypes; its size is checked (at most MAX_PROTOTYPES)
-    and the prototypes are attached to every vector as one literal array, so each vector
-    is scored against L prototypes in place -- work N x L, no pair explosion, no shuffle
-    of the vectors.  Top-k runs in two phases (hashed vector bucket, then label).
+    The query set is the label prototypes, taken in blocks of PROTOTYPE_BLOCK: a block is
+    attached to every vector as one literal array, so vectors are scored in place, without
+    a shuffle of the vectors.  Top-k runs in two phases (hashed vector bucket, then label).
     """
-    protos = label_prototypes(emb, vec_col, label_col)
-    if protos.limit(MAX_PROTOTYPES + 1).count() > MAX_PROTOTYPES:
-        raise ValueError("too many labels for prototype search")
-    rows = protos.collect()   # bounded above: at most MAX_PROTOTYPES small vectors
+    block, out = [], None
+    for r in label_prototypes(emb, vec_col, label_col).toLocalIterator():
+        block.append(r)
+        if len(block) == PROTOTYPE_BLOCK:
+            out, block = _search_block(emb, block, out, k, id_col, vec_col, label_col, buckets), []
+    if block or out is None:
+        out = _search_block(emb, block, out, k, id_col, vec_col, label_col, buckets)
+    return out
+
+
+def _search_block(emb: DataFrame, rows: list, before: DataFrame | None, k: int, id_col: str, vec_col: str,
+                  label_col: str, buckets: int) -> DataFrame:
+    label_type = dict(emb.dtypes)[label_col]
     lit = F.array(*[F.struct(F.lit(r[label_col]).alias("l"),
                              F.array(*[F.lit(float(x)) for x in r["prototype"]]).alias("p")) for r in rows])
+    if not rows:
+        lit = F.array().cast(f"array<struct<l:{label_type},p:array<double>>>")
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     nv = F.sqrt(_dot(v, v))
     scored = emb.select(F.col(id_col).alias("__id"), F.explode(F.transform(lit, lambda c: F.struct(
@@ -284,4 +284,5 @@ def vector_prototype_search(emb: DataFrame, k: int = 5, id_col: str = "vec_id",
         F.col("__r") <= k)
     top = part.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(*order))).filter(
         F.col("rank") <= k)
-    return top.select(F.col("q").alias(label_col), F.col("__id").alias(id_col), "rank", "score")
+    top = top.select(F.col("q").alias(label_col), F.col("__id").alias(id_col), "rank", "score")
+    return top if before is None else before.unionByName(top)

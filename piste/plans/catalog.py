@@ -205,8 +205,7 @@ def stream_hourly_event_load(spark, sf_dir):
     """T02+T03: events as a file stream, deduplicated on event_id within the watermark,
     aggregated into tumbling hours per event type, upserted by (window, type)."""
     root = _stream_root(spark)
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    s = SF.file_stream(spark, sf_dir, schema, glob="events.parquet")
+    s = SF.table_stream(spark, sf_dir, "events")
     s = SF.dedup_within_watermark(s, "ts", ["event_id"], "2 hours")
     agg = SF.hourly_load(s, "ts", "event_type", "value", None)
     q = (agg.writeStream.outputMode("update")
@@ -221,8 +220,7 @@ def stream_fact_lift_scans(spark, sf_dir):
     with the current customer dimension -> fact rows upserted on scan_key."""
     st = star_for(spark, sf_dir)
     root = _stream_root(spark)
-    li_schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
-    stream = SF.file_stream(spark, sf_dir, li_schema, glob="lineitem.parquet")
+    stream = SF.table_stream(spark, sf_dir, "lineitem")
     orders = st.t.orders.select("o_orderkey", "o_custkey")
 
     def build(li):
@@ -320,9 +318,9 @@ _MODELS: dict = {}
 def _fit(spark, sf_dir):
     """Train once per (session, input): the metrics and the forecast share one model."""
     key = (id(spark), sf_dir)
-    if key not in _MODELS:
-        _MODELS[key] = _train(spark, sf_dir)
-    return _MODELS[key]
+    if key not in _MODELS or _MODELS[key][0] is not spark:
+        _MODELS[key] = (spark, _train(spark, sf_dir))
+    return _MODELS[key][1]
 
 
 def _train(spark, sf_dir):
@@ -357,12 +355,11 @@ def forecast_next_two_weeks(spark, sf_dir):
     # one-row normals attached to every forecast row (broadcast of a single row)
     n = normals.first().asDict()
     fut = fut.select("*", *[F.lit(v).alias(k) for k, v in n.items()])
-    for c in feats:
-        if c not in fut.columns:
-            fut = fut.withColumn(c, F.lit(0.0))
+    calendar = st["dim_date"].select(F.col("full_date").alias("FULL_DATE"), F.col("is_holiday").cast("int").alias("IS_HOLIDAY"))
+    fut = FE.future_features(fut.join(calendar, "FULL_DATE", "left"), cfg, "FULL_DATE", feats)
     scored = model.transform(fut).withColumn("predicted_visitors", FC.clamp_prediction(F.col("prediction")))
-    scored = scored.withColumn("staffing_level", FC.staffing_band(F.col("predicted_visitors")))
-    return FC.forecast_summary(scored, "FULL_DATE", "predicted_visitors", SEGMENT)
+    summary = FC.forecast_summary(scored, "FULL_DATE", "predicted_visitors", SEGMENT)
+    return summary.withColumn("peak_staffing_level", FC.staffing_band(F.col("peak_visitors")))
 
 
 REGISTRY["p01_training_frame_by_segment"] = lambda spark, sf_dir: round_doubles(segment_training_frame(spark, sf_dir))

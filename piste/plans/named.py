@@ -11,16 +11,15 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from piste.functions.core import bounded_broadcast, fround, safe_div, table_is_small
+from piste.functions.core import fround, safe_div
 from piste.plans import views as V
 from piste.plans.semantic import _combine, query
 
 Tables = Mapping[str, DataFrame]
-DIM_ROWS = 1_000_000
 
 
 def _dim(df: DataFrame, *cols: str) -> DataFrame:
-    return bounded_broadcast(df.select(*cols), known_small=table_is_small(df, DIM_ROWS))
+    return df.select(*cols)
 
 
 def n01_avg_wait_by_lift_top5(t: Tables) -> DataFrame:

@@ -27,10 +27,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from piste.functions.core import bounded_broadcast, table_is_small
 
 Expr = Callable[["Resolver"], Column]
-DIM_BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -197,7 +195,6 @@ def _fact_frame(view: SemanticView, tables: dict[str, DataFrame], fact: str,
         src = tables[dim_t.source]
         d = src.select(F.col(dim_t.primary_key).alias(pk),
                        *[F.col(c).alias(Resolver.name(dim_t.alias, c)) for c in sorted(cols)])
-        d = bounded_broadcast(d, known_small=table_is_small(src, DIM_BROADCAST_ROWS))
         df = df.join(d, F.col(Resolver.name(fact, rel.fact_key)) == F.col(pk), "left").drop(pk)
     return df
 

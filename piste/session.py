@@ -53,6 +53,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         sc = None
     if not path and sc is not None:
         path = sc.getCheckpointDir()
+    if not path and sc is not None and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="piste-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from piste.functions.core import bounded_broadcast, fround
+from piste.functions.core import fround
 from piste.sources.driver import DriverTables
 
 # Raw-table defaults used by the adapters.
@@ -42,7 +42,7 @@ def _line_id(prefix: str = "") -> Column:
 
 
 def customers(t: DriverTables) -> DataFrame:
-    nation = bounded_broadcast(t.nation.select("n_nationkey", "n_name"), known_small=t.small("nation", 100_000))
+    nation = t.nation.select("n_nationkey", "n_name")
     c = t.customer
     k = F.col("c_custkey")
     return c.join(nation, c.c_nationkey == nation.n_nationkey, "left").select(
@@ -59,8 +59,8 @@ def customers(t: DriverTables) -> DataFrame:
 
 
 def lifts(t: DriverTables) -> DataFrame:
-    nation = bounded_broadcast(t.nation.select("n_nationkey", "n_regionkey"), known_small=t.small("nation", 100_000))
-    region = bounded_broadcast(t.region.select("r_regionkey", "r_name"), known_small=t.small("region", 100_000))
+    nation = t.nation.select("n_nationkey", "n_regionkey")
+    region = t.region.select("r_regionkey", "r_name")
     s = t.supplier
     k = F.col("s_suppkey")
     j = s.join(nation, s.s_nationkey == nation.n_nationkey, "left").join(
@@ -84,7 +84,7 @@ def lifts(t: DriverTables) -> DataFrame:
 
 
 def locations(t: DriverTables) -> DataFrame:
-    region = bounded_broadcast(t.region.select("r_regionkey", "r_name"), known_small=t.small("region", 100_000))
+    region = t.region.select("r_regionkey", "r_name")
     n = t.nation
     return n.join(region, n.n_regionkey == region.r_regionkey, "left").select(
         F.col("n_nationkey").cast("bigint").alias("location_id"),

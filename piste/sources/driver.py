@@ -1,4 +1,4 @@
-"""Readers for the driver's parquet tables (one file per table)."""
+"""Readers for the driver's parquet tables."""
 
 from __future__ import annotations
 
@@ -10,41 +10,9 @@ DRIVER_TABLES = (
 ).split()
 
 
-# Lookup tables with a fixed, tiny cardinality (TPC-H: 5 regions, 25 nations).
-TINY_TABLES = {"region", "nation"}
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, min_partitions: int | None = None) -> DataFrame:
-    """Read one driver table.
-
-    Scan parallelism guard: a table stored in fewer files than the cluster has cores
-    (here: one file with a single row group) is read by one task, which then does all
-    row-level work before the first shuffle.  Such a table is spread round-robin over
-    ``min_partitions`` (default: the default parallelism).  On a cluster the inputs are
-    thousands of files and the guard is a no-op.
-    """
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if name in TINY_TABLES:
-        return df
-    try:
-        target = min_partitions or spark.sparkContext.defaultParallelism
-        size = _bytes(spark, path)
-    except Exception:  # noqa: BLE001 -- no JVM context (e.g. a remote session): no guard
-        return df
-    if len(df.inputFiles()) < target and size > GUARD_MIN_BYTES:
-        df = df.repartition(target)
-    return df
-
-
-GUARD_MIN_BYTES = 8 << 20
-
-
-def _bytes(spark: SparkSession, path: str) -> int:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(p).getLength())
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read one driver table; scan parallelism is the reader's own (file splits)."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 class DriverTables:
@@ -54,7 +22,6 @@ class DriverTables:
         self.spark = spark
         self.sf_dir = sf_dir
         self._cache: dict[str, DataFrame] = {}
-        self._small: dict[tuple[str, int], bool] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in DRIVER_TABLES:
@@ -65,12 +32,3 @@ class DriverTables:
 
     def __getitem__(self, name: str) -> DataFrame:
         return getattr(self, name)
-
-    def small(self, name: str, max_rows: int) -> bool:
-        """Memoized row-count bound check of a driver table (see ``row_bound_ok``)."""
-        from piste.functions.core import row_bound_ok
-
-        key = (name, max_rows)
-        if key not in self._small:
-            self._small[key] = row_bound_ok(self[name], max_rows)
-        return self._small[key]

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from piste.functions.core import bounded_broadcast
 
 
 def read_csv_strict(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -30,9 +29,9 @@ def read_csv_tolerant(spark: SparkSession, path: str, schema: StructType, reject
     return df.filter(F.col(corrupt).isNull()).drop(corrupt)
 
 
-def read_seed(spark: SparkSession, path: str, schema: StructType, max_rows: int = 100_000) -> DataFrame:
-    """SRC04: small reference CSV, broadcast behind a row-count check."""
-    return bounded_broadcast(read_csv_strict(spark, path, schema), max_rows)
+def read_seed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """SRC04: small reference CSV; joins broadcast it if its bytes are below the threshold."""
+    return read_csv_strict(spark, path, schema)
 
 
 def load_documents_json(spark: SparkSession, path: str, target: str, schema: StructType | None = None) -> None:
@@ -73,7 +72,7 @@ def new_dates_only(incoming: DataFrame, date_col: str, loaded: list[DataFrame],
     for df, c in zip(loaded, loaded_cols):
         d = df.select(F.to_date(F.col(c)).alias("__d")).distinct()
         seen = d if seen is None else seen.unionByName(d)
-    seen = bounded_broadcast(seen.distinct(), 1_000_000)
+    seen = seen.distinct()
     return incoming.join(seen, F.to_date(F.col(date_col)) == F.col("__d"), "left_anti")
 
 

@@ -24,6 +24,16 @@ from pyspark.sql.streaming import StreamingQuery
 from piste.operators.incremental import upsert
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """A table as a file stream, stored as one file or as a folder of part files."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return file_stream(spark, path, schema, None, max_files_per_trigger)
+    return file_stream(spark, sf_dir, schema, f"{name}.parquet", max_files_per_trigger)
+
+
 def file_stream(spark: SparkSession, src_dir: str, schema, glob: str | None = None,
                 max_files_per_trigger: int | None = None) -> DataFrame:
     r = spark.readStream.schema(schema).format("parquet")
