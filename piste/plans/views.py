@@ -71,15 +71,15 @@ def ilike(t, c, pattern):
 
 
 # -- shared tables ------------------------------------------------------------------
-DIM_DATE = Table("DIM_DATE", "dim_date", "date_key", ("calendar",), "Calendar dimension with ski season awareness")
+DIM_DATE = Table("DIM_DATE", "dim_date", "date_key", ("calendar",), "One row per day, with its season, weekday and holiday flags")
 DIM_CUSTOMER = Table("DIM_CUSTOMER", "dim_customer", "customer_key", ("customers",),
-                     "Customer dimension with persona and geography")
+                     "Current and past versions of a customer: segment, age band, home state")
 DIM_LIFT = Table("DIM_LIFT", "dim_lift", "lift_key", ("lifts",), "Lift attributes")
 DIM_LOCATION = Table("DIM_LOCATION", "dim_location", "location_key", ("venues", "points_of_sale"),
-                     "On-mountain venues for sales and services")
+                     "Places where something is sold, by type")
 DIM_TICKET_TYPE = Table("DIM_TICKET_TYPE", "dim_ticket_type", "ticket_type_key", ("ticket_products",),
-                        "Ticket and pass catalog with pricing")
-DIM_PRODUCT = Table("DIM_PRODUCT", "dim_product", "product_key", ("sku",), "Rental and food & beverage products")
+                        "Kinds of ticket and pass, with their price")
+DIM_PRODUCT = Table("DIM_PRODUCT", "dim_product", "product_key", ("sku",), "What is rented out, eaten or drunk, by category")
 
 FPU, FLS, FTS, FR, FFB = "FACT_PASS_USAGE", "FACT_LIFT_SCANS", "FACT_TICKET_SALES", "FACT_RENTALS", "FACT_FOOD_BEVERAGE"
 
