@@ -38,6 +38,16 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores appended as keep it apart from every column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def least_by_hash(df: DataFrame, keys: list[str], count: int) -> DataFrame:
     """The ``count`` rows of least hash of ``keys``, ties by ``keys``: a repeatable sample.
 

@@ -14,7 +14,8 @@ one edge per vertex leave the task, never the pairs.  Verified edges give the cl
 
 Null, empty and wordless texts have no shingle and are linked to nothing.  Repeated rows are copies.
 Other columns are ignored.  A class is named by its least doc_id, or, if all its ids are null, by a
-negative hash.  An empty table gives an empty result.
+negative hash.  A doc_id of several different texts names only the vertex of its least text hash;
+a vertex left without a name has a negative hash.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from piste.llm.common import grams, mix, staged, word_hashes
+from piste.llm.common import grams, mix, staged, unused, word_hashes
 from piste.llm.graph import components
 
 _STEP = 4096  # shingles hashed at a time
@@ -194,13 +195,19 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 16, d
     included), copies (documents of its shingle set), th (hash of its text), stays (it names its
     class; true of wordless documents)."""
     made = staged(prints(docs, n, trees, depth, adaptive_depth(threshold, trees, depth, recall)), "prints")
+    worded = made.where("size > 0")
+    # one vertex to each doc_id, in narrow rows that meet the vertices in the same grouping
+    owners = worded.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("th", "one", "two")).alias("o")).select("o.one", "o.two", F.col("doc_id").alias("owned"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
-    merged = made.where("size > 0").groupBy("one", "two").agg(least.alias("l"), F.count("*").alias("docs"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
-    name = F.coalesce("l.doc_id", -F.shiftrightunsigned("one", 2) - 1)
-    vertices = staged(merged.select(name.alias("id"), "one", "two", "l.doc_id", "l.th", "docs", "size", "sig", "keys"), "vertices")
+    merged = (worded.unionByName(owners, allowMissingColumns=True).groupBy("one", "two")
+              .agg(least.alias("l"), F.min("owned").alias("owned"), F.count("size").alias("docs"), *[F.first(c, ignorenulls=True).alias(c) for c in ("size", "sig", "keys")]))
+    name = F.coalesce("owned", -F.shiftrightunsigned("one", 2) - 1)
+    vertices = staged(merged.select(name.alias("id"), "owned", "one", "two", "l.doc_id", "l.th", "docs", "size", "sig", "keys"), "vertices")
     groups = staged(candidate_groups(vertices, cut), "groups")
     checked = staged(verified(docs, vertices, groups, n, threshold, block, block_shingles), "verified")
-    classes = components(checked.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    linked = components(checked.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    names = linked.join(vertices.select("id", "owned"), "id").groupBy("root").agg(F.min("owned").alias("name"))
+    classes = linked.join(names, "root").select("id", F.coalesce("name", "root").alias("root"))
     links = checked.groupBy("id").agg(F.sum("links").alias("links"))
     known = (vertices.select("one", "two", "id", F.col("doc_id").alias("least_id"), F.col("th").alias("least_th"), "docs").join(classes, "id", "left").join(links, "id", "left")
              .select("one", "two", "id", "least_id", "least_th", F.coalesce("root", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("links"), "docs"))
@@ -216,7 +223,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 16, d
 def representatives(docs: DataFrame, **join_options) -> DataFrame:
     """One document of each class, the one of least doc_id, with all its columns; of repeated rows
     (equal doc_id and text) one stays.  Wordless documents stay."""
-    stays = join(docs, **join_options).where("stays").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    th = F.xxhash64(docs["text"])
-    kept = docs.withColumn("_h", th).join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_h"]).drop("_h")
+    own, its_id, its_hash = unused(docs, "own_hash", "stays_id", "stays_hash")
+    stays = join(docs, **join_options).where("stays").select(F.col("doc_id").alias(its_id), F.col("th").alias(its_hash)).distinct()
+    kept = docs.withColumn(own, F.xxhash64("text")).join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col(its_id)) & (F.col(own) == F.col(its_hash)), "left_semi")
+    return kept.dropDuplicates(["doc_id", own]).drop(own)

@@ -63,6 +63,28 @@ def test_join_edges(spark, documents, edge_rows):
     assert ngram_join.join(documents([])).count() == 0
 
 
+def test_a_doc_id_of_several_texts_loses_no_link(documents):
+    rows = [(1, "one two three four five six seven eight"), (2, "one two three four five six seven eight"), (1, "one two three four five six seven eight nine"), (1, "other words of no one else here at all")]
+    got = sorted((r["doc_id"], r["links"], r["copies"]) for r in ngram_join.join(documents(rows)).collect())
+    assert got == [(1, 0, 1), (1, 2, 1), (1, 2, 2), (2, 2, 2)]
+    assert len({r["class_id"] for r in ngram_join.join(documents(rows)).collect()}) == 2
+    assert ngram_join.representatives(documents(rows)).count() == 2
+
+
+def test_null_ids_do_not_name_a_class_of_others(documents):
+    base = [f"w{i}" for i in range(40)]
+    rows = [(9, " ".join(base)), (None, " ".join([*base, "more"])), (4, " ".join(["first", *base]))]
+    assert {r["class_id"] for r in ngram_join.join(documents(rows)).collect()} == {4}
+
+
+def test_columns_of_any_name_pass_through(documents):
+    docs = documents([(1, "a b c d e f"), (2, "a b c d e f")])
+    for name in ("own_hash", "STAYS_ID", "stays_hash", "_id", "th", "sig"):
+        docs = docs.withColumn(name, docs["doc_id"])
+    kept = ngram_join.representatives(docs)
+    assert kept.columns == docs.columns and [r["sig"] for r in kept.collect()] == [1]
+
+
 def test_prefix_shortens_until_the_recall_is_reached():
     assert ngram_join.adaptive_depth(0.8, 16, 8, 0.99) == 6
     assert ngram_join.adaptive_depth(0.8, 16, 8, 0.5) == 8
@@ -114,3 +136,10 @@ def test_reordered_passages_are_caught_and_clean_ones_kept(spark, documents, edg
     left = tiling.clean(docs, bench)
     assert left.columns == docs.columns and left.count() == docs.count() - 2
     assert tiling.contaminated(docs, bench.where("false")).count() == 0
+
+
+def test_a_passage_repeated_many_times_is_one_match(documents, spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = tiling.contaminated(documents([(1, " ".join([item] * 5000)), (2, " ".join(["q1 q2 q3 q4 q5"] * 3000))]), bench).collect()
+    assert [(r["doc_id"], r["coverage"], r["tiles"]) for r in got] == [(1, 1.0, 1)]
