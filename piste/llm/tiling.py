@@ -31,11 +31,12 @@ SCHEMA = "doc_id long, item_id long, coverage double, tiles int"
 _BITS = 20
 
 
-def tiles(pairs: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+def tiles(pairs: np.ndarray, least: int, size: int | None = None) -> list[tuple[int, int, int]]:
     """Greedy tiling from seed pairs (place in item, place in document): (item, document, length).
 
     Seeds on a diagonal that follow one another are one maximal match.  The longest match is
-    taken first, ties by place; what marking leaves of a match goes back in line.
+    taken first, ties by place; what marking leaves of a match goes back in line.  Once all
+    ``size`` words of the item are marked nothing can follow.
     """
     order = np.lexsort((pairs[:, 0], pairs[:, 1] - pairs[:, 0]))
     a, b = pairs[order, 0], pairs[order, 1]
@@ -44,7 +45,7 @@ def tiles(pairs: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     line = [(-int(n), int(i), int(j)) for n, i, j in zip(length, a[first], b[first])]
     heapq.heapify(line)
     in_item, in_doc, out = set(), set(), []
-    while line:
+    while line and len(in_item) != size:
         n, i, j = heapq.heappop(line)
         free = [i + k not in in_item and j + k not in in_doc for k in range(-n)]
         if all(free):
@@ -88,18 +89,18 @@ class Block:
             g = grams(h, n)
             at = np.flatnonzero(self.bitmap[(g >> np.uint64(64 - _BITS)).astype(np.int64)])
             left, right = np.searchsorted(self.seed, g[at], "left"), np.searchsorted(self.seed, g[at], "right")
-            hit = np.flatnonzero(right > left)
-            for k in hit:
-                for s in range(left[k], right[k]):
-                    if self.length[self.item[s]] == n:
-                        found.append((self.item[s], self.place[s], at[k]))
-        if not found:
+            each = right - left
+            seed = np.arange(each.sum()) + np.repeat(left - (np.cumsum(each) - each), each)
+            place = np.repeat(at, each)
+            same = self.length[self.item[seed]] == n
+            found.append(np.stack([self.item[seed][same], self.place[seed][same], place[same]], 1))
+        rows = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+        if not len(rows):
             return
-        rows = np.array(found, np.int64)
         rows = rows[np.argsort(rows[:, 0], kind="stable")]
         for part in np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1):
             item = int(part[0, 0])
-            made = tiles(part[:, 1:], int(self.length[item]))
+            made = tiles(part[:, 1:], int(self.length[item]), self.sizes[item])
             yield self.ids[item], sum(n for _, _, n in made) / self.sizes[item], len(made)
 
 
