@@ -269,11 +269,12 @@ FROM r FULL JOIN v ON r.SKI_SEASON IS NOT DISTINCT FROM v.SKI_SEASON""", extra=[
 
 
 # -- data-quality suite ------------------------------------------------------------------
-def _check_rows():
-    from piste.plans.catalog import STAR_CHECKS
+from piste.plans.catalog import MART_CHECKS, PROBE_CHECKS, STAR_CHECKS  # noqa: E402
 
+
+def _check_rows(checks):
     rows = []
-    for c in STAR_CHECKS:
+    for c in checks:
         col = c.column
         if c.kind == "unique":
             q = f"SELECT count(*) FROM (SELECT {col} FROM {c.table} WHERE {col} IS NOT NULL GROUP BY 1 HAVING count(*) > 1)"
@@ -288,13 +289,30 @@ def _check_rows():
         rows.append(f"SELECT '{c.name}' AS check_name, '{c.kind}' AS kind, '{c.table}' AS table_name, "
                     f"'{col}' AS column_name, ({q}) AS failures")
     body = "\nUNION ALL\n".join(rows)
-    tables = sorted({c.table for c in STAR_CHECKS} | {c.parent for c in STAR_CHECKS if c.parent})
-    return with_ctes(tables, f"""SELECT check_name, kind, table_name, column_name, CAST(failures AS BIGINT) AS failures,
+    return with_ctes(_check_tables(checks), f"""SELECT check_name, kind, table_name, column_name, CAST(failures AS BIGINT) AS failures,
        CASE WHEN failures = 0 THEN 'pass' ELSE 'fail' END AS status FROM (
 {body}) s""")
 
 
-ORACLE["q06_star_quality_suite"] = _check_rows()
+def _check_tables(checks):
+    return sorted({c.table for c in checks} | {c.parent for c in checks if c.parent})
+
+
+def _failing_values(checks):
+    rows = []
+    for c in checks:
+        where = {"unique": f"{c.column} IS NOT NULL", "not_null": f"{c.column} IS NULL",
+                 "accepted_values": f"{c.column} NOT IN ({', '.join(repr(v) for v in c.values) or 'NULL'})",
+                 "relationships": f"{c.column} IS NOT NULL AND {c.column} NOT IN (SELECT {c.parent_column} FROM {c.parent} WHERE {c.parent_column} IS NOT NULL)"}[c.kind]
+        rows.append(f"SELECT '{c.name}' AS check_name, '{c.table}' AS table_name, '{c.column}' AS column_name, "
+                    f"coalesce(CAST({c.column} AS VARCHAR), '') AS value, count(*) AS n_records FROM {c.table} WHERE {where} GROUP BY {c.column}"
+                    + (" HAVING count(*) > 1" if c.kind == "unique" else ""))
+    return with_ctes(_check_tables(checks), "\nUNION ALL\n".join(rows))
+
+
+ORACLE["q06_star_quality_suite"] = _check_rows(STAR_CHECKS)
+ORACLE["q06_declared_mart_tests"] = _check_rows(MART_CHECKS)
+ORACLE["q05_stored_failures"] = _failing_values(PROBE_CHECKS)
 ORACLE["q07_visits_calendar_overlap"] = with_ctes(["fact_pass_usage", "dim_date"], """
 SELECT (SELECT min(visit_date) FROM fact_pass_usage) AS left_min, (SELECT max(visit_date) FROM fact_pass_usage) AS left_max,
        (SELECT count(DISTINCT visit_date) FROM fact_pass_usage) AS left_days,
@@ -457,6 +475,15 @@ SELECT round(coalesce(avg(snowfall_inches), 5.0), 4) AS snowfall_inches, round(c
        round(coalesce(avg(avg_temp_f), 28.0), 4) AS avg_temp_f, round(coalesce(avg(wind_speed_mph), 12.0), 4) AS wind_speed_mph,
        CAST(coalesce(avg(CAST(is_powder_day AS INTEGER)), 0) > 0.3 AS INTEGER) AS is_powder_day, 0 AS is_high_wind
 FROM fact_weather w JOIN dim_date d ON w.date_key = d.date_key WHERE d.month_num = 1""")
+ORACLE["p19_weekday_means_by_month"] = with_ctes(TF_CTES, """
+SELECT CUSTOMER_SEGMENT, CAST(month(FULL_DATE) AS INTEGER) AS month, CAST(isodow(FULL_DATE) - 1 AS INTEGER) AS weekday,
+       round(avg(UNIQUE_VISITORS), 4) AS weekday_mean
+FROM tf GROUP BY 1, 2, 3""", extra=[("tf", TF_BODY)])
+ORACLE["p20_weather_normals_by_month"] = with_ctes(["fact_weather", "dim_date"], """
+SELECT d.month_num AS month, round(coalesce(avg(snowfall_inches), 5.0), 4) AS snowfall_inches, round(coalesce(avg(base_depth_inches), 100.0), 4) AS base_depth_inches,
+       round(coalesce(avg(avg_temp_f), 28.0), 4) AS avg_temp_f, round(coalesce(avg(wind_speed_mph), 12.0), 4) AS wind_speed_mph,
+       CAST(coalesce(avg(CAST(is_powder_day AS INTEGER)), 0) > 0.3 AS INTEGER) AS is_powder_day, 0 AS is_high_wind
+FROM fact_weather w JOIN dim_date d ON w.date_key = d.date_key GROUP BY 1""")
 ORACLE["p24_weekday_weekend_profile"] = with_ctes(TF_CTES, """
 SELECT CUSTOMER_SEGMENT, IS_WEEKEND, round(avg(UNIQUE_VISITORS), 4) AS mean, round(stddev_samp(UNIQUE_VISITORS), 4) AS std,
        count(*) AS days, round(median(UNIQUE_VISITORS), 4) AS median

@@ -133,21 +133,31 @@ def weekday_means(history: DataFrame, date_col: str, target: str, month: int | N
     return h.groupBy(*keys).agg(F.avg(F.col(target).cast("double")).alias("weekday_mean"))
 
 
+def weekday_means_by_month(history: DataFrame, date_col: str, target: str, entity: str | None = None) -> DataFrame:
+    """P19 for every month in one pass: mean target by month and weekday (Monday = 0)."""
+    keys = ([entity] if entity else []) + [F.month(date_col).alias("month"), ((F.dayofweek(date_col) + 5) % 7).alias("weekday")]
+    return history.groupBy(*keys).agg(F.avg(F.col(target).cast("double")).alias("weekday_mean"))
+
+
+#: Columns whose monthly mean is a normal.
+NORMALS = ("snowfall_inches", "base_depth_inches", "avg_temp_f", "wind_speed_mph")
+
+
+def _normals(grouped) -> DataFrame:
+    return grouped.agg(*[F.coalesce(F.avg(c), F.lit(WEATHER_DEFAULTS[c])).alias(c) for c in NORMALS],
+                       (F.coalesce(F.avg(F.col("is_powder_day").cast("int")), F.lit(0.0)) > POWDER_RATE_THRESHOLD).cast("int").alias("is_powder_day"),
+                       F.lit(0).alias("is_high_wind"))
+
+
 def weather_normals(fact_weather: DataFrame, dim_date: DataFrame, month: int) -> DataFrame:
     """P20: one-row monthly weather normals with the reference's defaults."""
     d = dim_date.filter(F.col("month_num") == month).select("date_key")
-    w = fact_weather.join(F.broadcast(d), "date_key")
-    agg = w.agg(F.avg("snowfall_inches").alias("s"), F.avg("base_depth_inches").alias("b"),
-                F.avg("avg_temp_f").alias("t"), F.avg("wind_speed_mph").alias("w"),
-                F.avg(F.col("is_powder_day").cast("int")).alias("p"))
-    return agg.select(
-        F.coalesce("s", F.lit(WEATHER_DEFAULTS["snowfall_inches"])).alias("snowfall_inches"),
-        F.coalesce("b", F.lit(WEATHER_DEFAULTS["base_depth_inches"])).alias("base_depth_inches"),
-        F.coalesce("t", F.lit(WEATHER_DEFAULTS["avg_temp_f"])).alias("avg_temp_f"),
-        F.coalesce("w", F.lit(WEATHER_DEFAULTS["wind_speed_mph"])).alias("wind_speed_mph"),
-        (F.coalesce("p", F.lit(0.0)) > POWDER_RATE_THRESHOLD).cast("int").alias("is_powder_day"),
-        F.lit(0).alias("is_high_wind"),
-    )
+    return _normals(fact_weather.join(d, "date_key").groupBy())
+
+
+def weather_normals_by_month(fact_weather: DataFrame, dim_date: DataFrame) -> DataFrame:
+    """P20 for every month that has observations, in one pass: month and its normals."""
+    return _normals(fact_weather.join(dim_date.select("date_key", F.col("month_num").alias("month")), "date_key").groupBy("month"))
 
 
 def future_frame(history: DataFrame, date_col: str, target: str, start: str, days: int,

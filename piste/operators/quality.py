@@ -43,6 +43,25 @@ def store_failures(failures: DataFrame, path: str, mode: str = "overwrite") -> N
     failures.write.mode(mode).parquet(path)
 
 
+def failing_rows(tables, checks: Sequence[Check]) -> DataFrame:
+    """Q05: (check_name, table_name, column_name, value, n_records): what fails, by value, for
+    storing.  Rows that break one check with the same value are counted, never listed one by one."""
+    out = None
+    for c in checks:
+        cols = [c.column] if isinstance(c.column, str) else list(c.column)
+        if c.kind == "unique":
+            bad = unique(tables[c.table], *cols)
+        else:
+            bad = (not_null(tables[c.table], c.column) if c.kind == "not_null"
+                   else accepted_values(tables[c.table], c.column, c.values) if c.kind == "accepted_values"
+                   else relationships(tables[c.table], c.column, tables[c.parent], c.parent_column))
+            bad = bad.groupBy(*cols).agg(F.count(F.lit(1)).alias("n_records"))
+        part = bad.select(F.lit(c.name).alias("check_name"), F.lit(c.table).alias("table_name"), F.lit(",".join(cols)).alias("column_name"),
+                          F.concat_ws(",", *[F.col(x).cast("string") for x in cols]).alias("value"), "n_records")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @dataclass
 class Check:
     name: str

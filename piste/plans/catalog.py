@@ -133,6 +133,30 @@ def _overlap(spark, sf_dir):
     return Q.overlap_profile(st["fact_pass_usage"], "visit_date", st["dim_date"], "full_date")
 
 
+# Every declared test of the star's dimensions and facts; two facts also get a check that real data
+# breaks (one sales channel only, one visit a day), so that stored failures are not always empty.
+from piste.plans.declared_tests import declared  # noqa: E402
+
+MART_CHECKS = [c for c in declared() if c.table.startswith(("dim_", "fact_"))]
+PROBE_CHECKS = [c for c in MART_CHECKS if c.kind == "relationships"] + [
+    Q.Check("accepted_values_fact_ticket_sales_online_only", "accepted_values", "fact_ticket_sales", "purchase_channel", values=("online",)),
+    Q.Check("unique_fact_pass_usage_date_key", "unique", "fact_pass_usage", "date_key"),
+]
+
+
+def _declared_suite(spark, sf_dir):
+    return Q.run_suite(star_for(spark, sf_dir), MART_CHECKS)
+
+
+def _stored_failures(spark, sf_dir):
+    """Q05: failing values written as a table in the shared folder and read back."""
+    path = f"{checkpoint_root(spark)}/piste-failures-{uuid.uuid4().hex}"
+    Q.store_failures(Q.failing_rows(star_for(spark, sf_dir), PROBE_CHECKS), path)
+    return spark.read.parquet(path)
+
+
+REGISTRY["q05_stored_failures"] = _stored_failures
+REGISTRY["q06_declared_mart_tests"] = _declared_suite
 REGISTRY["q06_star_quality_suite"] = _quality_suite
 REGISTRY["q07_visits_calendar_overlap"] = _overlap
 
@@ -303,6 +327,15 @@ def weekday_means_january(spark, sf_dir):
     return FC.weekday_means(segment_training_frame(spark, sf_dir), "FULL_DATE", "UNIQUE_VISITORS", 1, SEGMENT)
 
 
+def weekday_means_by_month(spark, sf_dir):
+    return FC.weekday_means_by_month(segment_training_frame(spark, sf_dir), "FULL_DATE", "UNIQUE_VISITORS", SEGMENT)
+
+
+def weather_normals_by_month(spark, sf_dir):
+    st = star_for(spark, sf_dir)
+    return FC.weather_normals_by_month(st["fact_weather"], st["dim_date"])
+
+
 def weather_normals_january(spark, sf_dir):
     st = star_for(spark, sf_dir)
     return FC.weather_normals(st["fact_weather"], st["dim_date"], 1)
@@ -367,6 +400,8 @@ REGISTRY["p11_engineered_panel"] = lambda spark, sf_dir: round_doubles(engineere
 REGISTRY["p13_time_split_counts"] = time_split_counts
 REGISTRY["p19_weekday_means_january"] = lambda spark, sf_dir: round_doubles(weekday_means_january(spark, sf_dir))
 REGISTRY["p20_weather_normals_january"] = lambda spark, sf_dir: round_doubles(weather_normals_january(spark, sf_dir))
+REGISTRY["p19_weekday_means_by_month"] = lambda spark, sf_dir: round_doubles(weekday_means_by_month(spark, sf_dir))
+REGISTRY["p20_weather_normals_by_month"] = lambda spark, sf_dir: round_doubles(weather_normals_by_month(spark, sf_dir))
 REGISTRY["p24_weekday_weekend_profile"] = lambda spark, sf_dir: round_doubles(weekday_weekend_profile(spark, sf_dir))
 def gbt_feature_importance(spark, sf_dir):
     """Top-10 features of the fitted model (model metadata, not data, on the driver)."""

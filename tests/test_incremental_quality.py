@@ -76,3 +76,14 @@ def test_sync_all_columns_full_refresh_and_stored_failures(spark, scratch):
     assert rep["mode"] == "full" and spark.read.parquet(f"{scratch}/y").count() == 1
     Q.store_failures(Q.not_null(base.withColumn("v", F.lit(None).cast("int")), "v"), f"{scratch}/failures")
     assert spark.read.parquet(f"{scratch}/failures").count() == 1
+
+
+def test_failing_rows_are_counted_by_value(spark):
+    from piste.operators import quality as Q
+
+    child = spark.createDataFrame([(1, "a"), (1, "b"), (2, "x"), (None, "x"), (9, None)], "k int, v string")
+    tables = {"child": child, "parent": spark.createDataFrame([(1,), (2,)], "p int")}
+    checks = [Q.Check("u", "unique", "child", "k"), Q.Check("n", "not_null", "child", "k"), Q.Check("a", "accepted_values", "child", "v", values=("a", "b")),
+              Q.Check("r", "relationships", "child", "k", "parent", "p")]
+    got = sorted((r["check_name"], r["value"], r["n_records"]) for r in Q.failing_rows(tables, checks).collect())
+    assert got == [("a", "x", 2), ("n", "", 1), ("r", "9", 1), ("u", "1", 2)]
