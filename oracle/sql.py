@@ -327,6 +327,9 @@ ORACLE["i03_incremental_ticket_sales"] = with_ctes(["fact_ticket_sales"], """
 SELECT sale_key, purchase_date_key, customer_key, ticket_type_key, CAST(purchase_amount AS DOUBLE) AS purchase_amount,
        ticket_category FROM fact_ticket_sales""")
 
+for _name in ("i02_filter_after_build", "i03_upsert_moved_keys", "i05_full_refresh"):  # every way equals a full build
+    ORACLE[_name] = ORACLE["i03_incremental_ticket_sales"]
+
 _SCD_TS = "TIMESTAMP '2021-11-01 00:00:00'"
 ORACLE["d07_scd2_customer_snapshot"] = with_ctes(["dim_customer"], f"""
 SELECT CASE WHEN changed THEN {sk('customer_id', ts('valid_from'))} ELSE customer_key END AS customer_key,

@@ -166,34 +166,55 @@ import uuid  # noqa: E402
 
 from piste.operators import dims as DM  # noqa: E402
 from piste.operators import facts as FT  # noqa: E402
-from piste.operators.incremental import incremental_load  # noqa: E402
+from piste.operators.incremental import incremental_load, upsert  # noqa: E402
 from piste.session import checkpoint_root  # noqa: E402
 from piste.sources import adapters as AD  # noqa: E402
 
 INCREMENT_CUTOFF = "1998-01-01"   # first load: sales before this date; second load: the rest
 
 
-def incremental_ticket_sales(spark, sf_dir):
-    """Two incremental loads (history, then the rest) into a partitioned target; the
-    result must equal a full build of the fact (metamorphic check)."""
+TICKET_LOAD = dict(unique_key="sale_key", watermark_col="purchase_timestamp", partition_col="purchase_month",
+                   cluster_col="purchase_date_key")
+
+
+def _ticket_loads(spark, sf_dir, second):
+    """Sales before the cut-off loaded into a partitioned target, then ``second(build, staged sales,
+    target)``; whatever the way, the result must equal a full build of the fact."""
     st = star_for(spark, sf_dir)
     target = f"{checkpoint_root(spark)}/piste-incremental-{uuid.uuid4().hex}/fact_ticket_sales"
 
-    def build(stg):
+    def build(stg, months=0):
         f = FT.fact_ticket_sales(stg, st["dim_customer"], st["dim_ticket_type"])
-        return f.withColumn("purchase_month", F.date_format("purchase_date", "yyyy-MM"))
+        return f.withColumn("purchase_month", F.date_format(F.add_months("purchase_date", months), "yyyy-MM"))
 
     stg = st["stg_ticket_sales"]
-    kw = dict(unique_key="sale_key", watermark_col="purchase_timestamp", partition_col="purchase_month",
-              cluster_col="purchase_date_key")
-    incremental_load(spark, build, stg.filter(F.col("purchase_date") < F.lit(INCREMENT_CUTOFF).cast("date")),
-                     target, **kw)
-    incremental_load(spark, build, stg, target, **kw)
+    history = stg.filter(F.col("purchase_date") < F.lit(INCREMENT_CUTOFF).cast("date"))
+    second(build, history, stg, target)
     out = spark.read.parquet(target)
     return out.select("sale_key", "purchase_date_key", "customer_key", "ticket_type_key",
                       F.col("purchase_amount").cast("double").alias("purchase_amount"), "ticket_category")
 
 
+def _loads(**options):
+    """The history, then everything, both by ``incremental_load`` with these options for the second."""
+    def query(spark, sf_dir):
+        def second(build, history, stg, target):
+            incremental_load(spark, build, history, target, **TICKET_LOAD)
+            incremental_load(spark, build, stg, target, **TICKET_LOAD, **options)
+        return _ticket_loads(spark, sf_dir, second)
+    return query
+
+
+def moved_keys(spark, sf_dir):
+    """Every sale first stands one month early, so each key of the upsert changes partition and
+    the first partitions end empty."""
+    def second(build, history, stg, target):
+        incremental_load(spark, lambda s: build(s, -1), history, target, **TICKET_LOAD)
+        upsert(spark, build(stg), target, TICKET_LOAD["unique_key"], TICKET_LOAD["watermark_col"],
+               TICKET_LOAD["partition_col"], TICKET_LOAD["cluster_col"])
+    return _ticket_loads(spark, sf_dir, second)
+
+
 SCD_CHANGE_TS = "2021-11-01 00:00:00"
 
 
@@ -212,7 +233,10 @@ def scd2_customer_snapshot(spark, sf_dir):
     return merged
 
 
-REGISTRY["i03_incremental_ticket_sales"] = incremental_ticket_sales
+REGISTRY["i02_filter_after_build"] = _loads(filter_before_build=False)
+REGISTRY["i03_incremental_ticket_sales"] = _loads()
+REGISTRY["i03_upsert_moved_keys"] = moved_keys
+REGISTRY["i05_full_refresh"] = _loads(full_refresh=True)
 REGISTRY["d07_scd2_customer_snapshot"] = scd2_customer_snapshot
 
 
