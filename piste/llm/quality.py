@@ -86,7 +86,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, buckets: int, trainin
     where there are enough: those of least hash of doc_id.
 
     The labelled ids are cut before their texts are joined, so the join's small side is bounded
-    and may be broadcast.
+    and may be broadcast.  A doc_id on several rows gives one text, that of least hash, so a
+    repeated id does not outgrow the sample.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
     half = [least_by_hash(known.where(F.col("label") == k), ["doc_id"], training_docs // 2) for k in (0, 1)]
@@ -99,7 +100,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, buckets: int, trainin
                 [batch.column(0), batch.column(2), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1].astype(np.float32) for m in made], pa.list_(pa.float32()))],
                 names=["doc_id", "label", "ids", "shares"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id").select("doc_id", "text", F.col("label").cast("int"))
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), "text", F.col("label").cast("int").alias("label")))
+    rows = (docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id")
+            .groupBy("doc_id").agg(least.alias("l")).select("doc_id", "l.text", "l.label"))
     table = rows.mapInArrow(bags, "doc_id long, label int, ids array<int>, shares array<float>").toArrow()
     return table.sort_by([("doc_id", "ascending")])
 

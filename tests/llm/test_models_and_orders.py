@@ -28,6 +28,13 @@ def test_quality_edges(spark, documents, edge_rows):
     assert len(got) == len(edge_rows) and all(0 <= s <= 1 for s in got)
 
 
+def test_repeated_ids_do_not_outgrow_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(1, None), (2, "other words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    got = quality.sample(docs, labels, "quality", 1 << 10, 10)
+    assert got["doc_id"].to_pylist() == [1, 2] and got["label"].to_pylist() == [0, 1]
+
+
 def brute_targets(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
     """Share out, stop at the cap, reshare the excess, until none is above."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
