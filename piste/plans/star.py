@@ -9,8 +9,10 @@ request touches are ever planned.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from piste.operators import dims as D
 from piste.operators import facts as FT
@@ -18,9 +20,11 @@ from piste.operators import staging as ST
 from piste.sources import adapters as A
 from piste.sources.driver import DriverTables
 
-# Spine covering the driver data (orders 1995-2001) and the as-of date.
+# Least span of the calendar; it grows to every date that a fact carries (Star.span).
 DRIVER_SPINE_START = "1994-11-01"
-DRIVER_SPINE_DAYS = 11000   # 1994-11-01 .. 2024-11: orders/lineitem (1995-2001) and events (2024)
+DRIVER_SPINE_DAYS = 11000
+DATED = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"}
+AHEAD_DAYS = 60             # days after the last fact: future frames and return dates
 AS_OF = A.AS_OF_DATE
 LOAD_TS = f"{AS_OF} 00:00:00"
 
@@ -63,8 +67,19 @@ class Star(Mapping):
         return self
 
     # -- dimensions ---------------------------------------------------------------
+    def span(self) -> tuple[str, int]:
+        """First day and number of days of the calendar: the configured span, widened to the least
+        and greatest date of the raw tables.  Two scalars, read once per star."""
+        days = [self.t[table].select(F.col(c).cast("date").alias("day")) for table, c in DATED.items()]
+        first, least = F.min("day"), F.lit(self.spine_start).cast("date")
+        last, most = F.date_add(F.max("day"), AHEAD_DAYS), F.date_add(least, self.spine_days - 1)
+        found = reduce(DataFrame.union, days).agg(
+            F.least(first, least).cast("string").alias("start"),
+            (F.datediff(F.greatest(last, most), F.least(first, least)) + 1).alias("days")).first()
+        return found["start"], found["days"]
+
     def _build_dim_date(self):
-        return D.dim_date(self.spark, self.spine_start, self.spine_days, self.as_of)
+        return D.dim_date(self.spark, *self.span(), self.as_of)
 
     def _build_dim_customer(self):
         return D.dim_customer(A.customers(self.t), self.as_of)

@@ -95,3 +95,11 @@ def test_scd2_merge_versions(spark):
     assert rows == [("c1", "gold", True, "2020-01-01"), ("c2", "gold", True, "2021-01-01"),
                     ("c2", "silver", False, "2020-01-01"), ("c3", "bronze", True, "2021-01-01")]
     assert out.select("k").distinct().count() == 4
+
+
+def test_calendar_reaches_every_fact(spark):
+    from piste.plans.star import Star
+    star = Star(spark, "/root/testdata/sf0.001", spine_start="2001-01-01", spine_days=10)
+    days = star["dim_date"].agg(F.min("full_date"), F.max("full_date")).first()
+    raw = star.t.orders.agg(F.min("o_orderdate").cast("date")).first()[0], star.t.events.agg(F.max("ts").cast("date")).first()[0]
+    assert days[0] <= raw[0] and days[1] >= raw[1]
