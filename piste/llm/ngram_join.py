@@ -6,7 +6,9 @@ further.  Each vertex has ``trees`` signatures of ``depth`` MinHash values, read
 tries.  The prefix that must match is shortened from the full depth, one value at a time, until the
 recall that the remaining depth promises for pairs at the threshold reaches the target.  In every
 trie each vertex is linked to the least vertex below its prefix; a link whose signatures disagree
-widely is cut.  The components of these links are the candidate groups.
+widely is cut, and the members unlike the least one are compared with each other by signature, so
+every pair that shares a prefix and may reach the threshold stays a candidate.  The components of
+these links are the candidate groups.
 
 Inside a group all pairs are verified on the exact sets, in blocks of at most about ``block``
 vertices or ``block_shingles`` shingles, each block pair a task of its own; only counts of links and
@@ -81,11 +83,81 @@ def prints(docs: DataFrame, n: int, trees: int, depth: int, prefix: int) -> Data
     return rows.mapInArrow(make, "doc_id long, th long, one long, two long, size long, sig binary, keys array<long>")
 
 
-def candidate_groups(vertices: DataFrame, cut: float) -> DataFrame:
-    """(id, root): the components of trie links whose signatures agree in ``cut`` of all values."""
+def near_agreement(threshold: float, values: int) -> float:
+    """Share of equal signature values that a pair at the threshold all but surely (5.5 deviations)
+    reaches."""
+    return max(0.0, threshold - 5.5 * (threshold * (1 - threshold) / values) ** 0.5)
+
+
+def _agreeing(group: dict, first: int, second: int, near: float) -> Iterator[tuple[int, int]]:
+    """(id, root) of a block pair of one trie node: the components of its pairs that agree in ``near``."""
+    left, right = ([i for i in group if group[i][1] == k] for k in (first, second))
+    if not left or not right:
+        return
+    matrix = np.stack([np.frombuffer(group[i][0], np.uint32) for i in right])
+    parent = {i: i for i in group}
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for a in left:
+        same = (matrix == np.frombuffer(group[a][0], np.uint32)).mean(1) >= near
+        for k in np.flatnonzero(same):
+            x, y = sorted((top(a), top(right[k])))
+            parent[y] = x
+    for i in group:
+        if top(i) != i:
+            yield i, top(i)
+
+
+def unlike_members(vertices: DataFrame, rest: DataFrame, near: float, block: int) -> DataFrame:
+    """(a, b): links among the members ``rest`` (id, tree, key) of every trie node, all pairs compared
+    by signature in blocks, each block pair a group of its own; the pairs never leave the task."""
+    sizes = rest.groupBy("tree", "key").agg(F.ceil(F.count("*") / block).alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    own = rest.join(sizes, ["tree", "key"]).withColumn("block", F.expr("pmod(xxhash64(id), blocks)"))
+    dealt = own.join(vertices.select("id", "sig"), "id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    keys = ["tree", "key", "first", "second"]
+    dealt = (dealt.select("tree", "key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "id", "block", "sig")
+             .repartition(int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "id"))
+
+    def run(batches):
+        now, group = None, {}
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                at = tuple(r[k] for k in keys)
+                if at != now:
+                    if now is not None:
+                        out += _agreeing(group, now[2], now[3], near)
+                    now, group = at, {}
+                group[r["id"]] = (r["sig"], r["block"])
+            yield rows(out)
+        if now is not None:
+            yield rows(list(_agreeing(group, now[2], now[3], near)))
+
+    def rows(out: list) -> pa.RecordBatch:
+        cols = list(zip(*out)) or [(), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def candidate_groups(vertices: DataFrame, cut: float, near: float, block: int = 256) -> DataFrame:
+    """(id, root): the components of the trie links.
+
+    A member is linked to the head of its node if their signatures agree in ``cut`` of all values.
+    Members that agree with the head in less than ``1 + cut - near`` are compared with each other as
+    well, and linked from ``near`` on.  So any two members of a node that agree in ``near`` are in one
+    group: the share of unlike values is a metric, so if one of them is as near to the head as that,
+    the other one is linked to the head too.
+    """
+    cut = min(cut, near)
     leaves = vertices.select("id", F.posexplode("keys").alias("tree", "key"))
     heads = leaves.groupBy("tree", "key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    linked = leaves.join(heads, ["tree", "key"]).where("id <> head").select("id", "head").distinct()
+    linked = (leaves.join(heads, ["tree", "key"]).where("id <> head")
+              .groupBy("id", "head").agg(F.collect_list(F.struct("tree", "key")).alias("nodes")))
 
     @F.pandas_udf("double")
     def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -93,7 +165,10 @@ def candidate_groups(vertices: DataFrame, cut: float) -> DataFrame:
 
     sigs = vertices.select("id", "sig")
     both = linked.join(sigs, "id").join(sigs.select(F.col("id").alias("head"), F.col("sig").alias("head_sig")), "head")
-    return components(both.where(agreement("sig", "head_sig") >= cut).select(F.col("id").alias("a"), F.col("head").alias("b")))
+    likeness = staged(both.select("id", "head", agreement("sig", "head_sig").alias("agrees"), "nodes"), "likeness")
+    rest = likeness.where(F.col("agrees") < 1 + cut - near).select("id", F.explode("nodes").alias("node")).select("id", "node.tree", "node.key")
+    to_head = likeness.where(F.col("agrees") >= cut).select(F.col("id").alias("a"), F.col("head").alias("b"))
+    return components(to_head.unionByName(unlike_members(vertices, rest, near, block)))
 
 
 def _verify(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
@@ -203,7 +278,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 16, d
               .agg(least.alias("l"), F.min("owned").alias("owned"), F.count("size").alias("docs"), *[F.first(c, ignorenulls=True).alias(c) for c in ("size", "sig", "keys")]))
     name = F.coalesce("owned", -F.shiftrightunsigned("one", 2) - 1)
     vertices = staged(merged.select(name.alias("id"), "owned", "one", "two", "l.doc_id", "l.th", "docs", "size", "sig", "keys"), "vertices")
-    groups = staged(candidate_groups(vertices, cut), "groups")
+    groups = staged(candidate_groups(vertices, cut, near_agreement(threshold, trees * depth), block), "groups")
     checked = staged(verified(docs, vertices, groups, n, threshold, block, block_shingles), "verified")
     linked = components(checked.select(F.col("id").alias("a"), F.col("root").alias("b")))
     names = linked.join(vertices.select("id", "owned"), "id").groupBy("root").agg(F.min("owned").alias("name"))
