@@ -5,7 +5,7 @@ its format and its context; a threshold per kind, calibrated on candidates kept
 selects those to redact beside the base spans (fixed formats with their validity rules).
 
 The candidates' training labels are the validity rules themselves: a candidate is positive if it
-is a valid base span.  The features hold its shape and surroundings but no rule's result, so what
+is a valid base span, or would be one if it stood alone and no base span holds a part of it.  The features hold its shape and surroundings but no rule's result, so what
 is added are spans that look like, and stand like, valid ones.
 
 Null text counts as empty; an empty text has no span; repeated rows each get their row; other
@@ -15,6 +15,7 @@ columns are ignored; an empty table, or one without candidates of both classes,
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,9 +41,14 @@ _DIGITS = re.compile(r"[0-9]")
 WIDE = {
     "email": re.compile(r"[^\s@<>,;:()]{1,64}+(?:\x20?(?:@|\(at\)|\[at\])\x20?)[^\s@<>,;:()]{3,255}+"),
     "ip": re.compile(r"(?<![0-9.])[0-9]{1,4}(?:[.:][0-9]{1,4}){3}(?![0-9])"),
-    "card": re.compile(r"(?<![0-9])[0-9](?:[\x20.-]?[0-9]){10,20}+(?![0-9])"),
-    "phone": re.compile(r"(?:\+|\b00|\(|(?<![0-9]))[0-9](?:[\x20()./-]{0,2}[0-9]){6,16}+(?![0-9])"),
 }
+#: Runs of digit groups that a card or phone may stand in, with its least and most digits.  Every
+#: stretch of whole groups is proposed, so a number beside another one, or a date, is among them.
+RUNS = {
+    "card": (re.compile(r"[0-9]++(?:[\x20.-][0-9]++)*+"), 11, 21),
+    "phone": (re.compile(r"[+(]?[0-9]++(?:[\x20()./-]{1,2}+[0-9]++)*+"), 7, 17),
+}
+_GROUP = re.compile(r"[0-9]+")
 #: Words that announce a kind, in the corpus's languages.
 CUES = {
     "email": ("mail", "contact", "write", "correo", "courriel"),
@@ -51,6 +57,7 @@ CUES = {
     "phone": ("phone", "tel", "call", "fax", "mobile", "anruf"),
 }
 CONTEXT = 24
+SCORED = 4096  # candidates scored at a time, so that memory does not follow a text's length
 
 
 def _luhn(digits: str) -> bool:
@@ -88,6 +95,24 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def _stretches(kind: str, text: str) -> Iterator[Span]:
+    """Every stretch of whole digit groups of a run with a number of digits in the kind's range; a
+    phone starts at the plus or bracket before it."""
+    pattern, least, most = RUNS[kind]
+    for run in pattern.finditer(text):
+        groups = [m.span() for m in _GROUP.finditer(text, *run.span())]
+        for i, (a, _) in enumerate(groups):
+            start = a - 1 if kind == "phone" and a > run.start() and text[a - 1] in "+(" else a
+            digits = 0
+            for k in range(i, len(groups)):
+                first, end = groups[k]
+                digits += end - first
+                if digits > most:
+                    break
+                if digits >= least:
+                    yield kind, start, end
+
+
 def candidates(text: str) -> list[Span]:
     """Every span that a wide generator or a base format proposes, each once."""
     found = set(base_spans(text))
@@ -95,9 +120,40 @@ def candidates(text: str) -> list[Span]:
     for kind, pattern in WIDE.items():
         if marked if kind == "email" else numbered:
             found.update((kind, *m.span()) for m in pattern.finditer(text))
+    if numbered:
+        for kind in RUNS:
+            found.update(_stretches(kind, text))
     return sorted(found, key=lambda s: (s[1], s[2], s[0]))
 
 
+class _Taken:
+    """Places of the text that spans hold, as disjoint ranges in order."""
+
+    def __init__(self, spans: list[Span] = ()):
+        self.starts, self.ends = [], []
+        for _, a, b in sorted(spans, key=lambda s: s[1:]):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        at = bisect_left(self.starts, b) - 1
+        return at >= 0 and self.ends[at] > a
+
+    def add(self, a: int, b: int) -> None:
+        at = bisect_left(self.starts, a)
+        self.starts.insert(at, a)
+        self.ends.insert(at, b)
+
+
+def _valid(text: str, span: Span, own: set[Span], taken: _Taken) -> bool:
+    """Whether the span, taken alone, is a base span; a part of a longer base span is not."""
+    kind, a, b = span
+    return span in own or not taken.meets(a, b) and (kind, 0, b - a) in base_spans(text[a:b])
+
+
 def features(text: str, span: Span) -> list[float]:
     """Format of the span and its context; no validity rule enters."""
     kind, a, b = span
@@ -126,8 +182,9 @@ def train(docs: DataFrame, text: str = "text", training_docs: int = 100_000, tra
             rows = []
             for t in batch.column(0):
                 t = t.as_py() or ""
-                valid = set(base_spans(t))
-                rows += [(s[0], s in valid, list(map(float, features(t, s)))) for s in candidates(t)]
+                own = set(base_spans(t))
+                taken = _Taken(own)
+                rows += [(s[0], _valid(t, s, own, taken), list(map(float, features(t, s)))) for s in candidates(t)]
             kinds, labels, xs = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(labels, pa.bool_()), pa.array(xs, pa.list_(pa.float64()))], names=["kind", "label", "x"])
 
@@ -151,15 +208,18 @@ def all_spans(text: str, trained: tuple[Boosted, dict] | None) -> tuple[list[Spa
     if trained is None:
         return own, []
     model, thresholds = trained
-    taken = [(a, b) for _, a, b in own]
-    fixed = set(own)
-    free = [s for s in candidates(text) if s not in fixed and not any(a < s[2] and s[1] < b for a, b in taken)]
-    if not free:
-        return own, []
-    score, added = model.score(np.array([features(text, s) for s in free], np.float64)), []
-    for i in np.lexsort((np.arange(len(free)), -score)):
+    taken, fixed = _Taken(own), set(own)
+    free = [s for s in candidates(text) if s not in fixed and not taken.meets(s[1], s[2])]
+    best = []
+    for at in range(0, len(free), SCORED):
+        some = free[at : at + SCORED]
+        score = model.score(np.array([features(text, s) for s in some], np.float64))
+        best += [(-score[i], at + i) for i, s in enumerate(some) if score[i] >= thresholds[s[0]]]
+    added, held = [], _Taken()
+    for _, i in sorted(best):
         kind, a, b = free[i]
-        if score[i] >= thresholds[kind] and not any(x < b and a < y for _, x, y in added):
+        if not held.meets(a, b):
+            held.add(a, b)
             added.append(free[i])
     return own, added
 

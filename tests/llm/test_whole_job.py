@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from piste.llm import ngram_join
+from piste.llm import ngram_join, pii
 
 
 def test_pairs_under_an_unlike_head_stay_candidates(spark):
@@ -28,3 +28,25 @@ def test_short_copies_of_a_passage_that_a_longer_text_heads(spark, documents):
     heads = [(k, passage + " " + " ".join(f"own{k}x{i}" for i in range(90))) for k in range(60)]
     got = {r["doc_id"]: r for r in ngram_join.join(documents(heads + pairs + [(200, f"{passage} last")])).collect()}
     assert got[100]["copies"] == 2 and got[100]["links"] == got[200]["links"] == 2 and got[200]["class_id"] == 100
+
+
+def test_numbers_that_stand_together_are_each_proposed():
+    card, other = "4111 1111 1111 1111", "5500 0000 0000 0004"
+    for text, spans in ((f"{card} {other}", [("card", 0, 19), ("card", 20, 39)]), (f"{card} 12 2027 123", [("card", 0, 19)]),
+                        ("call +49 30 1234567 2024-11-30 12:15", [("phone", 5, 19)]), ("x(030) 1234567 5000.00 17.50 881234", [("phone", 1, 14)])):
+        assert set(spans) <= set(pii.candidates(text))
+    assert len(pii.candidates("1 " * 100_000)) < 3_000_000
+
+
+def test_cards_beside_other_numbers_are_redacted(spark, documents):
+    def card(k):
+        d = f"4{k:014d}"
+        full = next(d + c for c in "0123456789" if pii._luhn(d + c))
+        return " ".join(full[i : i + 4] for i in range(0, 16, 4))
+
+    rows = [(i, f"paid by card {card(7919 * i)} on time") for i in range(200)]
+    rows += [(i, f"paid by card {card(104729 * i)} {card(7919 * i + 1)} on time") for i in range(200, 400)]
+    texts = {r["doc_id"]: r["text"] for r in pii.redact(documents(rows)).collect()}
+    assert all(sum(c.isdigit() for c in t) == 0 for k, t in texts.items() if k < 200)
+    left = [sum(c.isdigit() for c in t) for k, t in texts.items() if k >= 200]
+    assert sum(n == 0 for n in left) >= 100, left
