@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,9 +30,13 @@ KINDS = (*BASE, "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: Names that credentials go by, then a separator or copula, then a value without white space.
-CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credentials?|auth(?:orization)?|private[_-]?key|access[_-]?key|pin)["']?\x20{0,8}(?:[:=]>?|\bis\b|->)\x20{0,8}["']?([^\s"'<>,;]{4,})""", re.I)
+#: Names that credentials go by, in any longer name (``DB_PASSWORD``); the short ones only where a
+#: word of the name ends with them (``userpass``, not ``passenger``).
+NAME = re.compile(
+    r"""pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|credential|authorization|private[_-]?key|access[_-]?key|(?:pass|auth|pin)(?![^\W\d_])|(?:pass|auth|pin)(?-i:(?<=[a-z])(?=[A-Z]))""", re.I)
+#: The rest of the name, a separator or copula, and a value without white space.
+REST = re.compile(r"(?:[A-Za-z0-9_]|-(?!>))*+")
+VALUE = re.compile(r"""["']?[\x20\t]*+(?:[:=]>?|\bis\b|->)[\x20\t]*+["']?([^\s"'<>,;]{4,})""", re.I)
 
 #: Rows of common keyboards.
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "yxcvbnm", "azertyuiop", "qsdfghjklm")
@@ -88,16 +93,29 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
     return best[n]
 
 
-def added_spans(text: str, own: list[Span], ranks: dict[str, int], min_cost: float) -> list[Span]:
-    """Values in credential context that no base span covers and that are hard to guess."""
-    out = []
-    for m in CONTEXT.finditer(text):
-        a, b = m.span(1)
+def in_context(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of every value in credential context; a name is read once, however many of its
+    parts are credential names."""
+    at = 0
+    while m := NAME.search(text, at):
+        at = REST.match(text, m.end()).end()
+        if value := VALUE.match(text, at):
+            yield value.span(1)
+            at = value.end()
+
+
+def uncovered(text: str, own: list[Span]) -> Iterator[tuple[int, int]]:
+    """Values in credential context, without closing marks, that no base span covers."""
+    for a, b in in_context(text):
         while b > a and text[b - 1] in ".:!?)]}":
             b -= 1
-        if b - a >= 4 and not any(s <= a and b <= e for _, s, e in own) and guess_cost(text[a:b], ranks) >= min_cost:
-            out.append(("guess", a, b))
-    return out
+        if b - a >= 4 and not any(s <= a and b <= e for _, s, e in own):
+            yield a, b
+
+
+def added_spans(text: str, own: list[Span], ranks: dict[str, int], min_cost: float) -> list[Span]:
+    """Values in credential context that no base span covers and that are hard to guess."""
+    return [("guess", a, b) for a, b in uncovered(text, own) if guess_cost(text[a:b], ranks) >= min_cost]
 
 
 WORD = re.compile(r"[^\W\d_]{3,%d}" % LONGEST_WORD)

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from piste.llm import ngram_join, pii
+from piste.llm import ngram_join, pii, secrets
 
 
 def test_pairs_under_an_unlike_head_stay_candidates(spark):
@@ -50,3 +50,14 @@ def test_cards_beside_other_numbers_are_redacted(spark, documents):
     assert all(sum(c.isdigit() for c in t) == 0 for k, t in texts.items() if k < 200)
     left = [sum(c.isdigit() for c in t) for k, t in texts.items() if k >= 200]
     assert sum(n == 0 for n in left) >= 100, left
+
+
+def test_credential_context_in_longer_names_and_wide_blanks():
+    hard = "P@ss!9xQ#v2L"
+    for text in (f"DB_PASSWORD={hard}", f"client_secret: {hard}", f"password{' ' * 11}= {hard}", f"password\t=\t{hard}", f"userpass={hard}",
+                 f"dbPassword => '{hard}'", f"token_prod -> {hard}", f"auth={hard}", f"passKey={hard}", f"credentials: {hard}", f"the passcode is {hard}"):
+        at = text.index(hard)
+        assert secrets.added_spans(text, secrets.base_spans(text), {}, 10) == [("guess", at, at + len(hard))], text
+    for text in (f"passenger: {hard}", f"shopping is {hard}", f"author: {hard}"):
+        assert secrets.added_spans(text, [], {}, 10) == []
+    assert list(secrets.in_context("pass" * 100_000 + " " * 100_000)) == []
