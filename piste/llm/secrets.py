@@ -3,7 +3,7 @@
 The guess cost of a value is the least sum, over all ways to cut it into words, dates, repeats,
 keyboard walks and brute-force spans, of the log10 of the guesses that each part needs; a
 dynamic program over cut points finds it in time linear in the value's length.  Word ranks are
-those of the whole corpus.  A value in credential context whose cost reaches ``min_cost`` is
+those of all words of the whole corpus.  A value in credential context whose cost reaches ``min_cost`` is
 a span of kind ``guess``, unless a base span covers it.
 
 Null text counts as empty; an empty text has no span; repeated rows each get their row; other
@@ -17,12 +17,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from piste.llm.common import staged
-from piste.llm.spans import Span, digest_rows, digest_schema
+from piste.llm.spans import Span, digest_rows, digest_schema, joined
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "guess")
@@ -119,15 +120,16 @@ def added_spans(text: str, own: list[Span], ranks: dict[str, int], min_cost: flo
 
 
 WORD = re.compile(r"[^\W\d_]{3,%d}" % LONGEST_WORD)
+LETTERS = re.compile(r"[^\W\d_]{3,}")
+GUESS = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("value", pa.string())])
 
 
-def word_ranks(docs: DataFrame, text: str = "text", vocabulary: int = 20_000) -> dict[str, int]:
-    """Rank by frequency of the ``vocabulary`` most frequent words of all documents, ties by word.
+def word_ranks(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, rank): rank by frequency of every word seen more than once in the documents, ties by word.
 
-    Every word of every document is counted: per batch in the task, then by a shuffled sum.  A
-    histogram of the counts tells from which count on there are enough words, so few more than
-    those that reach the driver, at most ``vocabulary`` of 24 characters, are sorted.  A word seen
-    once is in no guesser's dictionary.
+    Every word of every document is counted: per batch in the task, then by a shuffled sum.  The
+    words are sorted by range, and a word's rank is its place in its range after the ranges before;
+    only the lengths of the ranges reach the driver.  A word seen once is in no guesser's dictionary.
     """
 
     def count(batches):
@@ -139,28 +141,71 @@ def word_ranks(docs: DataFrame, text: str = "text", vocabulary: int = 20_000) ->
             yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["word", "n"])
 
     counted = staged(docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "words")
-    step = F.floor(F.log2("n") * 8).cast("int")
-    enough, seen = 0, 0
-    for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
-        enough, seen = r["step"], seen + r["words"]
-        if seen >= vocabulary:
-            break
-    top = counted.where(step >= enough).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    return {r["word"]: i + 1 for i, r in enumerate(top)}
+    placed = staged(counted.orderBy(F.desc("n"), "word").select("word", F.monotonically_increasing_id().alias("at")), "ranks")
+    placed = placed.select("word", F.shiftright("at", 33).alias("range"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+    before, offsets = 0, []
+    for r in placed.groupBy("range").agg(F.count("*").alias("n")).orderBy("range").collect():
+        offsets.append((r["range"], before))
+        before += r["n"]
+    firsts = docs.sparkSession.createDataFrame(offsets, "range long, before long")
+    return placed.join(firsts, "range").select("word", (F.col("before") + F.col("place") + 1).alias("rank"))
 
 
-def scan(docs: DataFrame, text: str = "text", vocabulary: int = 20_000, min_cost: float = 10.0) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text, vocabulary))
+def hard_values(values: DataFrame, ranks: DataFrame, min_cost: float) -> DataFrame:
+    """The distinct ``value`` that cost ``min_cost`` or more, by the ranks of all words inside them."""
+    each = staged(values.distinct().select("value", F.monotonically_increasing_id().alias("vid")), "values")
 
-    def find(batches):
+    def parts(batches):
+        for batch in batches:
+            vid, word = [], []
+            for i, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                low = value.lower()
+                inside = {low[a:b] for m in LETTERS.finditer(low) for a in range(m.start(), m.end()) for b in range(a + 3, min(m.end(), a + LONGEST_WORD) + 1)}
+                vid += [i] * len(inside)
+                word += inside
+            yield pa.RecordBatch.from_arrays([pa.array(vid, pa.int64()), pa.array(word, pa.string())], names=["vid", "word"])
+
+    known = (each.select("vid", "value").mapInArrow(parts, "vid long, word string").join(ranks, "word")
+             .groupBy("vid").agg(F.collect_list(F.struct("word", "rank")).alias("words")))
+
+    def hard(batches):
         for batch in batches:
-            def each():
-                for t in batch.column(1):
-                    t = t.as_py() or ""
-                    own = base_spans(t)
-                    yield own, added_spans(t, own, ranks.value, min_cost)
+            out = [r["value"] for r in batch.to_pylist()
+                   if guess_cost(r["value"], {w["word"]: w["rank"] for w in r["words"] or ()}) >= min_cost]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+
+    return each.join(known, "vid", "left").select("value", "words").mapInArrow(hard, "value string")
+
 
-            yield digest_rows(batch.column(0), each(), BASE, KINDS)
+def scan(docs: DataFrame, text: str = "text", min_cost: float = 10.0) -> DataFrame:
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
-    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(find, digest_schema(BASE))
+    Values that are cheap without any word are dropped at once, as words only make them cheaper.
+    """
+
+    def find(batches):
+        for batch in batches:
+            own, guesses = [], []
+            for t in batch.column(1):
+                t = t.as_py() or ""
+                own.append(base_spans(t))
+                guesses.append([{"a": a, "b": b, "value": t[a:b]} for a, b in uncovered(t, own[-1]) if guess_cost(t[a:b], {}) >= min_cost])
+            rows = digest_rows(batch.column(0), ((s, []) for s in own), BASE, KINDS)
+            yield rows.append_column("guesses", pa.array(guesses, pa.list_(GUESS)))
+
+    made = docs.select(F.col("doc_id").cast("long"), text).mapInArrow(find, digest_schema(BASE) + ", guesses array<struct<a: int, b: int, value: string>>")
+    rows = staged(made.withColumn("row", F.monotonically_increasing_id()), "guesses")
+    each = rows.where(F.size("guesses") > 0).select("row", F.explode("guesses").alias("g")).select("row", "g.*")
+    hard = hard_values(each.select("value"), word_ranks(docs, text), min_cost)
+    found = each.join(hard, "value").groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("found"))
+
+    @F.pandas_udf("string")
+    def merged(spans: pd.Series, found: pd.Series) -> pd.Series:
+        def one(text, more):
+            parts = [x.split(":") for x in text.split(",") if x]
+            return joined([(k, int(a), int(b)) for k, a, b in parts] + [("guess", r["a"], r["b"]) for r in more], KINDS)
+
+        return pd.Series([s if f is None else one(s, f) for s, f in zip(spans, found)], dtype=object)
+
+    return (rows.drop("guesses").join(found, "row", "left").withColumn("spans", F.when(F.col("found").isNull(), F.col("spans")).otherwise(merged("spans", "found")))
+            .drop("row", "found"))

@@ -61,3 +61,14 @@ def test_credential_context_in_longer_names_and_wide_blanks():
     for text in (f"passenger: {hard}", f"shopping is {hard}", f"author: {hard}"):
         assert secrets.added_spans(text, [], {}, 10) == []
     assert list(secrets.in_context("pass" * 100_000 + " " * 100_000)) == []
+
+
+def test_every_counted_word_has_a_rank_and_lowers_the_cost(spark, documents):
+    name = lambda k: "w" + "".join(chr(97 + k // 26**j % 26) for j in range(4))
+    common = " ".join(f"{name(k)} {name(k)} {name(k)}" for k in range(25_000))
+    rows = [(1, common), (2, "qzxjvkwpfq"), (3, "token is qzxjvkwpfq"), (4, "pin is bvxjvkwpfq"), (4, "password=aaaaaaaa1 pwd is hgtrplmnzq!x"), (5, None)]
+    ranks = {r["word"]: r["rank"] for r in secrets.word_ranks(documents(rows)).collect()}
+    assert sorted(ranks.values()) == list(range(1, 25_002))  # qzxjvkwpfq is the one more
+    assert ranks[min(name(k) for k in range(25_000))] <= 3 and ranks["qzxjvkwpfq"] > 25_000
+    got = sorted((r["doc_id"], r["n_assign"], r["spans"]) for r in secrets.scan(documents(rows)).collect())
+    assert got == [(1, 0, ""), (2, 0, ""), (3, 0, ""), (4, 0, "guess:7:17"), (4, 1, "assign:0:18,guess:26:38"), (5, 0, "")]
