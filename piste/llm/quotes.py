@@ -2,11 +2,12 @@
 
 A message's lines are parsed into levels by their leading ``>`` marks.  Lines of level 0 are its
 own text; runs of quoted lines of one level are passages.  Text is normalised (white space, case)
-and hashed by sentence, so re-wrapped and partly quoted passages still match.  Every quoted
-sentence is joined to its original: the first message of the same conversation that says it as
-its own text, else the first one anywhere.
+and hashed by sentence, line, paragraph and run, so re-wrapped and partly quoted passages and
+unpunctuated lines still match.  Every quoted unit is joined to its original: the first message of
+the same conversation that says it as its own text, if that is earlier, else the first one of the
+least other conversation.
 
-A message answers the message of its conversation from which most of its level 1 sentences come
+A message answers the message of its conversation from which most of its level 1 units come
 (ties: the later one), if that is earlier; without such a quote, the message before it; the first
 one answers nothing.  Replies never precede what they answer, so (thread, turn) is a reply order.
 
@@ -25,8 +26,11 @@ from piste.llm.common import staged
 
 MARKS = r"^(?:\s{0,3}>)+"
 BLOCK = 1024  # turns of a conversation that one window holds
-#: Shorter normalised sentences ("ok", "thanks") say nothing about where they come from.
+#: Shorter normalised units ("ok", "thanks") are linked inside a conversation only, as they say nothing
+#: about which other one they come from.
 LEAST_CHARS = 12
+#: Where sentences end: marks of several scripts before white space, and those that need none.
+ENDS = r"(?<=[.!?\u2026\u061f\u06d4\u0964\u0965\u1362]) |(?<=[\u3002\uff01\uff1f\uff61])"
 
 
 def _lines(text: Column) -> Column:
@@ -44,23 +48,40 @@ def own_text(text: str | Column) -> Column:
     return F.when(text.isNotNull(), F.btrim(F.array_join(own, "\n"), F.lit(" \t\n")))
 
 
-def _sentences(text: Column) -> Column:
-    plain = F.lower(F.btrim(F.regexp_replace(text, r"\s+", " ")))
-    return F.filter(F.split(plain, r"(?<=[.!?]) "), lambda s: F.length(s) >= LEAST_CHARS)
+def _runs(messages: DataFrame) -> DataFrame:
+    """The messages with ``runs``: structs (depth, text) of neighbouring lines of one level, 0 for own lines."""
+    lines = F.transform(_lines(F.col("text")), lambda line: F.struct(level(line).alias("depth"), F.regexp_replace(line, MARKS + r"\s?", "").alias("text")))
+    starts = F.expr("filter(sequence(1, size(lines)), i -> i = 1 or lines[i - 1].depth <> lines[i - 2].depth)")
+    runs = F.expr("""transform(starts, (s, k) -> struct(lines[s - 1].depth as depth,
+        array_join(transform(slice(lines, s, coalesce(get(starts, k + 1), size(lines) + 1) - s), x -> x.text), '\n') as text))""")
+    return messages.withColumn("lines", lines).withColumn("starts", starts).withColumn("runs", runs).drop("lines", "starts")
+
+
+def _units(texts: Column) -> Column:
+    """Structs (hash, long) of the passages ``texts``, their paragraphs and lines, and the sentences in
+    each of these; ``long``: of ``LEAST_CHARS`` or more."""
+    parts = F.flatten(F.transform(texts, lambda t: F.concat(F.array(t), F.split(t, r"\n\s*\n"), F.split(t, r"\n"))))
+    plain = F.array_distinct(F.transform(parts, lambda t: F.lower(F.btrim(F.regexp_replace(t, r"\s+", " ")))))
+    said = F.flatten(F.transform(plain, lambda t: F.concat(F.array(t), F.transform(F.split(t, ENDS), lambda s: F.btrim(s)))))
+    said = F.array_distinct(F.filter(said, lambda s: s != ""))
+    return F.transform(said, lambda s: F.struct(F.xxhash64(s).alias("hash"), (F.length(s) >= LEAST_CHARS).alias("long")))
+
+
+def _at(depth: Column) -> Column:
+    return F.transform(F.filter("runs", lambda r: r["depth"] == depth), lambda r: r["text"])
 
 
 def quoted(messages: DataFrame) -> DataFrame:
-    """(id, conv_id, turn, depth, hash): every quoted sentence, its quote level and its hash.
+    """(id, conv_id, turn, depth, hash, long): every quoted unit, its quote level and its hash.
 
-    A message's quoted lines of one level are joined, so a sentence may span lines.
+    Units are those of the runs of quoted lines, so a sentence may span lines, and of all lines of a
+    level together, for a passage that other levels interrupt.
     """
-    deep = F.filter(_lines(F.col("text")), lambda line: line.rlike(MARKS))
-    lines = F.transform(deep, lambda line: F.struct(level(line).alias("depth"), F.regexp_replace(line, MARKS + r"\s?", "").alias("text")))
-    runs = messages.where(F.col("text").rlike("(?m)" + MARKS)).withColumn("lines", lines)
-    depths = F.array_distinct(F.transform("lines", lambda x: x["depth"]))
-    each = runs.select("id", "conv_id", "turn", "lines", F.explode(depths).alias("depth"))
-    passage = F.array_join(F.transform(F.filter("lines", lambda x: x["depth"] == F.col("depth")), lambda x: x["text"]), " ")
-    return each.select("id", "conv_id", "turn", "depth", F.explode(F.array_distinct(F.transform(_sentences(passage), lambda s: F.xxhash64(s)))).alias("hash"))
+    runs = _runs(messages.where(F.col("text").rlike("(?m)" + MARKS)))
+    depths = F.array_distinct(F.filter(F.transform("runs", lambda r: r["depth"]), lambda d: d > 0))
+    each = runs.select("id", "conv_id", "turn", "runs", F.explode(depths).alias("depth")).withColumn("texts", _at(F.col("depth")))
+    units = _units(F.concat("texts", F.array(F.array_join("texts", "\n"))))
+    return each.select("id", "conv_id", "turn", "depth", F.explode(units).alias("u")).select("id", "conv_id", "turn", "depth", "u.*")
 
 
 def _conv(c: str = "conv_id") -> Column:
@@ -72,22 +93,26 @@ def links(messages: DataFrame) -> DataFrame:
     """(id, turn, depth, source, source_turn, same, sentences): quoted message per quoting message and
     level; ``same``: of the same conversation.
 
-    Originals are reduced to the first sayer per hash before any join, so a sentence that a third of
-    all messages say or quote joins many to one.
+    Originals are reduced to the first sayer per hash and conversation before any join, and to the two
+    least conversations per hash, so a sentence that a third of all messages say or quote joins many
+    to one, and a hash of the own conversation is still found in another one.
     """
     asked = staged(quoted(messages), "quoted")
-    said = (messages.where(F.col("own") != "")
-            .select("id", "conv_id", "turn", F.explode(F.array_distinct(F.transform(_sentences(F.col("own")), lambda s: F.xxhash64(s)))).alias("hash"))
+    units = _units(F.concat(_at(F.lit(0)), F.array(F.col("own"))))
+    said = (_runs(messages.where(F.col("own") != "")).select("id", "conv_id", "turn", F.explode(F.transform(units, lambda u: u["hash"])).alias("hash"))
             .join(asked.select("hash").distinct(), "hash", "left_semi"))
     who = F.struct(F.col("turn").isNull().alias("unplaced"), "turn", "id")
-    here = said.groupBy(_conv().alias("c"), "hash").agg(F.min(who).alias("here"))
-    anywhere = said.groupBy("hash").agg(F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id", who.alias("w"))).alias("first"))
-    found = asked.withColumn("c", _conv()).join(here, ["c", "hash"], "left").join(anywhere, "hash", "left")
+    here = staged(said.groupBy(_conv().alias("c"), "hash").agg(F.min(who).alias("here")), "said")
+    place = F.struct("c", F.col("here").alias("w"))
+    first = here.groupBy("hash").agg(F.min(place).alias("first"))
+    second = here.join(first, "hash").where(F.col("c") != F.col("first.c")).groupBy("hash").agg(F.min(place).alias("second"))
+    found = (asked.withColumn("c", _conv()).join(here, ["c", "hash"], "left").join(first, "hash", "left").join(second, "hash", "left")
+             .withColumn("other", F.when(F.col("first.c") != F.col("c"), F.col("first.w")).otherwise(F.col("second.w"))))
     earlier = F.coalesce(F.col("here.turn") < F.col("turn"), F.lit(False))
-    elsewhere = F.col("first").isNotNull() & (F.col("first.w.id") != F.col("id")) & ~F.col("first.conv_id").eqNullSafe(F.col("conv_id"))
+    elsewhere = F.col("other").isNotNull() & F.col("long")
     return (found.withColumn("same", earlier)
-            .withColumn("source", F.when(earlier, F.col("here.id")).when(elsewhere, F.col("first.w.id")))
-            .withColumn("source_turn", F.when(earlier, F.col("here.turn")).when(elsewhere, F.col("first.w.turn")))
+            .withColumn("source", F.when(earlier, F.col("here.id")).when(elsewhere, F.col("other.id")))
+            .withColumn("source_turn", F.when(earlier, F.col("here.turn")).when(elsewhere, F.col("other.turn")))
             .where("source is not null").groupBy("id", "depth", "source", "source_turn", "same").agg(F.count("*").alias("sentences")))
 
 

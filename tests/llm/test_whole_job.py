@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from piste.llm import ngram_join, pii, secrets
+from piste.llm import ngram_join, pii, quotes, secrets
 
 
 def test_pairs_under_an_unlike_head_stay_candidates(spark):
@@ -72,3 +72,19 @@ def test_every_counted_word_has_a_rank_and_lowers_the_cost(spark, documents):
     assert ranks[min(name(k) for k in range(25_000))] <= 3 and ranks["qzxjvkwpfq"] > 25_000
     got = sorted((r["doc_id"], r["n_assign"], r["spans"]) for r in secrets.scan(documents(rows)).collect())
     assert got == [(1, 0, ""), (2, 0, ""), (3, 0, ""), (4, 0, "guess:7:17"), (4, 1, "assign:0:18,guess:26:38"), (5, 0, "")]
+
+
+def test_quotes_of_lines_short_sentences_and_other_scripts(spark):
+    rows = [(1, 0, "u", "first point\nsecond point\nthird one"), (1, 1, "a", "Why not? It is late."), (1, 2, "u", "私は行く。明日は雨です。"),
+            (1, 3, "a", "unrelated"),
+            (1, 4, "u", "> first point\nyes\n> second point\nno"), (1, 5, "u", "> Why not?\nbecause"), (1, 6, "u", "> 明日は雨です。\nso"),
+            (1, 7, "u", "> first point second point third one\nre-wrapped"),
+            (2, 0, "u", "> a sentence said elsewhere too.\nok"), (2, 1, "a", "A sentence said elsewhere too."), (3, 5, "a", "A sentence said elsewhere too."),
+            (4, 0, "u", "> yes\nok")]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.conversations(m).collect()}
+    ids = {k: r["id"] for k, r in got.items()}
+    for turn, parent in ((4, 0), (5, 1), (6, 2), (7, 0)):
+        assert got[1, turn]["parent"] == ids[1, parent] and got[1, turn]["by"] == "quote"
+    assert got[2, 0]["quoted"] == [ids[3, 5]]  # said later in its own conversation, which comes first
+    assert got[4, 0]["quoted"] is None and got[1, 3]["by"] == "turn"
