@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from piste.llm import lengths, licences, mixing, ngram_join, order_minhash, pii, quality, quotes, secrets, tiling
+from piste.llm import (hard_negatives, lengths, licences, mixing, multi_index, ngram_join, order_minhash, pii, quality, quotes, secrets, tiling,
+                       whitening)
 from piste.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -58,9 +59,22 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_quality_classifier, op3_curriculum_mix, op4_quotation_links, op5_pii_candidates,
-    op6_secret_guess_cost, op7_length_histogram, op8_license_windows, op9_string_tiling, op10_order_minhash)}
+    op6_secret_guess_cost, op7_length_histogram, op8_license_windows, op9_string_tiling, op10_order_minhash,
+    op11_multi_index, op12_hard_negatives, op13_whitening)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 #: Waterfilling in SQL: sources by size cap over weight; one level up to which the weights share.
@@ -83,4 +97,26 @@ SELECT doc_id, size, source_size, target,
        (least(size, greatest(floor(target) - place, 0)) + least(size, greatest(floor(target) - place - source_size, 0)))::BIGINT AS taken
 FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
 """
-ORACLE: dict[str, str] = {"op3_curriculum_mix": _OP3}
+#: Every query with all rows; the search measures its margin on up to 256 queries, so it is exact on small tables.
+_OP11 = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL
+           AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.x, c.x) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+_OP12 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda e: floor(e::DOUBLE * 256)) AS x FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.x, c.x)::BIGINT AS score
+      FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND p.place <= 5
+       AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+ORACLE: dict[str, str] = {"op3_curriculum_mix": _OP3, "op11_multi_index": _OP11, "op12_hard_negatives": _OP12}
