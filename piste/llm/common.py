@@ -1,7 +1,10 @@
 """Shared helpers: table access, staged tables, vectorised word hashing.
 
-Words are maximal runs of ASCII letters, digits, ``_`` and any non-ASCII character, after
-lower-casing; ASCII punctuation and white space separate them.  Null text counts as empty.
+Words are maximal runs of letters, marks, digits and connecting punctuation of any script, after
+lower-casing; everything else separates them.  Scripts written without blanks between words
+(Chinese, Japanese, Thai, Lao, Khmer, Burmese) have a word for every letter with its marks.  Where byte
+offsets are asked for (``spanned_words``), any non-ASCII character belongs to a word.  Null text
+counts as empty.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ import uuid
 from functools import lru_cache
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,9 +114,16 @@ def words(buf: np.ndarray, word: np.ndarray | None = None) -> tuple[np.ndarray,
     return (hashes[0], firsts[0], lasts[0]) if len(hashes) == 1 else tuple(map(np.concatenate, (hashes, firsts, lasts)))
 
 
+_APART = regex.compile(r"[^\x00-\x7f\p{L}\p{M}\p{N}\p{Pc}]+")
+_UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*")
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """Hashes of the lower-cased words of a text, in order."""
-    return words(np.frombuffer((text or "").lower().encode(), np.uint8))[0]
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _UNSPACED.sub(r" \g<0> ", _APART.sub(" ", text))
+    return words(np.frombuffer(text.encode(), np.uint8))[0]
 
 
 def spanned_words(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

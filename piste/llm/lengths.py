@@ -4,12 +4,16 @@ Every document is encoded whole; documents are aggregated by length, and suffix
 lengths answer totals, shares and truncated totals for every context limit.  Between two
 lengths of the result the truncated total is linear, so the result answers any limit.
 
-Null and empty texts have length 0.  An empty table gives an empty result.
+Null and empty texts have length 0.  Repeated rows count each; other columns, of any name, are
+ignored.  An empty table gives an empty result.  A run of blanks of any length is encoded: long ones
+are taken out of the text before the pattern, which would need a step of its stack for each, and
+encoded as the pieces that the pattern makes of them.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +25,10 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Fixed value: the characters that the pattern's blank class matches.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = re.compile(f"[{BLANKS}]{{1024,}}+")
+
 _ENCODERS: dict = {}
 
 
@@ -35,11 +43,27 @@ def encoder(path: str, pattern: str):
     return _ENCODERS[path, pattern]
 
 
+def encoded_length(text: str | None, encoder) -> int:
+    """Tokens of a whole text.
+
+    The pattern makes one piece of a run of blanks but for its last one, which goes to what follows
+    (at the end of the text there is none to spare), so a long run can be cut there without changing
+    any piece.
+    """
+    total, at = 0, 0
+    for run in LONG_RUN.finditer(text or ""):
+        end = run.end() - (run.end() < len(text))
+        total += len(encoder.encode_ordinary(text[at : run.start()])) + len(encoder._encode_single_piece(text[run.start() : end].encode()))
+        at = end
+    return total + len(encoder.encode_ordinary(text[at:])) if text else 0
+
+
 def token_count(text: str | Column, path: str = RANKS, pattern: str = PATTERN) -> Column:
+    """Encoded length; another ``pattern`` must treat runs of blanks as this vocabulary's does."""
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        encode = encoder(path, pattern).encode_ordinary
-        return pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int64")
+        own = encoder(path, pattern)
+        return pd.Series([encoded_length(t, own) for t in texts], dtype="int64")
 
     return count(text)
 

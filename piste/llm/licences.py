@@ -40,7 +40,11 @@ TEMPLATES = {
 SHINGLE = 2
 SCHEMA = "doc_id long, template string, start long, end long, containment double"
 _PART = 1 << 11  # windows at a time
-HASHES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def factors(count: int) -> np.ndarray:
+    """As many independent hash functions, by their odd multipliers."""
+    return mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def band_count(similarity: float, rows: int, probability: float) -> int:
@@ -84,10 +88,9 @@ class Templates:
         """
         count = -(-len(g) // step)
         laid = np.concatenate([g, np.repeat(g[-1:], count * step - len(g))]).reshape(count, step).T.copy()
-        total = np.arange(1, bands + 1, dtype=np.uint64)[:, None]
+        total, multiply = np.arange(1, bands + 1, dtype=np.uint64)[:, None], factors(bands * self.rows).reshape(bands, self.rows)
         for r in range(self.rows):
-            factors = HASHES[(np.arange(bands) * self.rows + r) % 256]
-            low = (laid * factors[:, None, None]).min(1)
+            low = (laid * multiply[:, r, None, None]).min(1)
             near = low.copy()
             for k in range(1, min(5, count)):
                 np.minimum(near[:, :-k], low[:, k:], out=near[:, :-k])

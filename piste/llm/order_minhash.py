@@ -7,9 +7,12 @@ Two texts agree in a range when they keep the same k-mers in the same order ther
 and moved passages both undo: the share of agreeing ranges follows edit distance, not only the
 set of k-mers.
 
-A text of fewer than k words has one k-mer, of all its words; null, empty and blank texts have none,
+Words stand between blanks; in scripts written without them every letter is a word.  A text of fewer
+than k words has one k-mer, of all its words; null, empty and blank texts have none,
 and are alike only with each other (likeness 1).  Equal texts have equal fingerprints.  A range
-without k-mers is written as dashes and counts only where the other text has some.
+without k-mers is written as dashes and counts only where the other text has some.  Null ids come
+last in the order of documents, and ids may lie anywhere in their type.  Other columns are ignored;
+an empty table gives an empty result; the only document of a table is its own next.
 """
 
 from __future__ import annotations
@@ -17,10 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from piste.llm.common import staged
+
 K, SKETCH_BITS, WIDTH = 3, 5, 2
 _DIGITS = 8  # hex digits of a range in a fingerprint
 _PLACE_BITS = 26  # of a sort key, for a k-mer's place; the rest is hash
 _BLANK = "-" * _DIGITS
+#: Letters of scripts written without blanks between words, each a word with its marks.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]\p{M}*+"
 
 
 def _let(value: Column, body) -> Column:
@@ -72,7 +79,9 @@ def _numbered(kmers: Column) -> Column:
 def fingerprint(text: str | Column, k: int = K, sketch_bits: int = SKETCH_BITS, width: int = WIDTH) -> Column:
     """Fingerprint of a whole text: ``2 ** sketch_bits`` ranges of eight hex digits (or dashes)."""
     text = F.col(text) if isinstance(text, str) else text
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    text = F.coalesce(text, F.lit(""))
+    spaced = F.when(text.rlike(UNSPACED), F.regexp_replace(text, f"({UNSPACED})", " $1 ")).otherwise(text)
+    words = F.filter(F.split(spaced, r"\s+"), lambda w: w != "")
     least = 64 - sketch_bits
     place = (1 << _PLACE_BITS) - 1
 
@@ -105,46 +114,87 @@ def likeness(a: Column, b: Column, sketch_bits: int = SKETCH_BITS) -> Column:
         F.size(F.filter(u, lambda p: p["x"] == p["y"])).cast("double") / F.size(u)))
 
 
-def with_next(docs: DataFrame, columns: list[str], per_block: int = 2048, most_blocks: int = 1 << 18) -> DataFrame:
-    """Each row with ``next_<column>`` of the row after it by (doc_id, text), nulls last; the last
-    row's next is the first.
+def _by_key(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows joined to ``keys`` on (doc_id, hash), where a null id equals itself."""
+    own = lambda c: F.col(f"{c}.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col(f"{c}.hash") == F.col("k.hash"))
+    out = rows.alias("r").join(keys.alias("k"), own("r"), how)
+    return out if how == "left_anti" else out.select("r.*", *[F.col(f"k.{c}") for c in keys.columns if c not in ("doc_id", "hash")])
+
+
+def _literal(numbers: list[int]) -> Column:
+    """A constant array of longs, as one literal of the plan."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
+
 
-    doc_id is cut into blocks of equal width, about ``per_block`` rows each.  The first id of every
-    block also goes to the block before, so one shuffle by block suffices.  That list holds at
-    most ``most_blocks`` ids of 24 bytes and may be broadcast.
+def blocked(keys: DataFrame, per_block: int, most_blocks: int) -> tuple[Column, DataFrame]:
+    """The block of a row by its (doc_id, hash), and the first key of every block.
+
+    Blocks are ranges of distinct keys of about equal number, whatever part of their type the ids
+    crowd in.  Their first keys, ``most_blocks`` at most, are read by the driver and searched bit by
+    bit in every row.
+    """
+    many = max(1, min(most_blocks, -(-keys.count() // per_block)))
+    order = [F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0).cast("bigint")), F.col("hash")]
+    names = ["none", "id", "hash"]
+    dealt = keys.select(*[c.alias(n) for c, n in zip(order, names)]).repartitionByRange(many, *names)
+    heads = sorted(tuple(r["head"]) for r in dealt.groupBy(F.spark_partition_id()).agg(F.min(F.struct(*names)).alias("head")).collect())
+    none, ids, hashes = (_literal([int(h[i]) for h in heads] or [0]) for i in range(3))
+
+    def at_most(i: Column) -> Column:
+        """Whether the i-th first key is not past the row's key."""
+        a, b, c = (F.get(x, i) for x in (none, ids, hashes))
+        own = [order[0].cast("bigint"), *order[1:]]
+        return (a < own[0]) | ((a == own[0]) & ((b < own[1]) | ((b == own[1]) & (c <= own[2]))))
+
+    steps = F.array(*[F.lit(1 << p) for p in range(max(1, len(heads)).bit_length() - 1, -1, -1)])
+    block = F.aggregate(steps, F.lit(0), lambda d, p: F.when((d + p < len(heads)) & at_most(d + p), d + p).otherwise(d))
+    rows = [(None if h[0] else h[1], h[2], (i - 1) % len(heads)) for i, h in enumerate(heads)]
+    return block, keys.sparkSession.createDataFrame(rows, "doc_id long, hash long, before int")
+
+
+def with_next(docs: DataFrame, keys: DataFrame, columns: list[str], per_block: int = 2048, most_blocks: int = 1 << 16) -> DataFrame:
+    """Each row with ``next_<column>`` of the row after it by (doc_id, hash), nulls last; the last
+    row's next is the first.  ``keys`` has the rows' (doc_id, hash), each once.
+
+    The first row of every block also goes to the block before, so one shuffle by block suffices.
     """
-    span = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).first()
-    low, high = (0, 0) if span["a"] is None else (span["a"], span["b"])
-    many = max(1, min(most_blocks, -(-span["n"] // per_block)))
-    wide = (high - low) // many + 1
-    block = F.coalesce(F.expr(f"(doc_id - {low}L) div {wide}L"), F.lit(many).cast("bigint"))
+    block, heads = blocked(keys, per_block, most_blocks)
     rows = docs.withColumn("block", block)
-    heads = docs.select("doc_id", block.alias("block")).groupBy("block").agg(F.min("doc_id").alias("doc_id"))
-    around = F.max(F.struct("block")).over(Window.partitionBy())["block"]
-    heads = heads.select("doc_id", F.coalesce(F.lag("block").over(Window.orderBy("block")), around).alias("before"))
-    copies = rows.join(F.broadcast(heads), rows["doc_id"].eqNullSafe(heads["doc_id"]), "inner").select(
-        rows["doc_id"], *[rows[c] for c in columns], F.col("before").alias("block"), F.lit(True).alias("copy"))
-    both = rows.select("doc_id", *columns, "block", F.lit(False).alias("copy")).unionByName(copies)
-    order = Window.partitionBy("block").orderBy("copy", F.col("doc_id").asc_nulls_last(), "text")
+    copies = _by_key(docs, heads, "inner").withColumnRenamed("before", "block")
+    both = rows.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)))
+    order = Window.partitionBy("block").orderBy("copy", F.col("doc_id").asc_nulls_last(), "hash")
     return both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("not copy").drop("block", "copy")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def edited(rows: DataFrame) -> DataFrame:
+    """The result of rows (doc_id, text, fingerprint, next_text, next_fingerprint, n), with n."""
+    n = F.char_length("text")
+    half = F.floor(n / 2).cast("int")
+    made = rows.select("doc_id", n.cast("long").alias("n_chars"), "fingerprint", "next_fingerprint", "n",
+                       F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
+    marked = made.select("*", F.sha2("edited", 256).alias("edited_sha256"), fingerprint("edited").alias("edited_fingerprint"))
+    return marked.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+                         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+                         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), "n")
+
+
+def fingerprints(docs: DataFrame, copies_at_once: int = 1024) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first
-    as many (or all) of the next document's.  One row per document; repeated ids order by text.
+    as many (or all) of the next document's.  One row per document, by doc_id; rows of one id
+    follow one another by hash of text.  Rows equal in id and text are worked on once, and written as
+    often as they stand, ``copies_at_once`` a task: but for one of them the next is an equal row.
     """
     text = F.coalesce("text", F.lit(""))
-    own = docs.select(F.col("doc_id").cast("long"), text.alias("text"), fingerprint(text).alias("fingerprint"))
-    both = with_next(own, ["text", "fingerprint"])
-    n = F.char_length("text")
-    half = F.floor(n / 2).cast("int")
-    edited = both.select(
-        "doc_id", n.cast("long").alias("n_chars"), "fingerprint", "next_fingerprint",
-        F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
-    marked = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "next_fingerprint",
-                           fingerprint("edited").alias("edited_fingerprint"))
-    return marked.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-                         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-                         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    keys = staged(own.groupBy("doc_id", "hash").agg(F.count("*").alias("n")), "keys")
+    again = keys.where("n > 1")
+    copied = _by_key(own, again, "inner").groupBy("doc_id", "hash").agg(F.first("text").alias("text"), F.first("n").alias("n"))
+    once = _by_key(own, again, "left_anti").withColumn("n", F.lit(1).cast("bigint"))
+    made = once.unionByName(copied).withColumn("fingerprint", fingerprint("text"))
+    result = edited(with_next(made, keys, ["text", "fingerprint"])).drop("n")
+    repeats = copied.withColumn("fingerprint", fingerprint("text")).withColumns({"next_text": F.col("text"), "next_fingerprint": F.col("fingerprint")})
+    spread = edited(repeats).withColumn("from", F.explode(F.sequence(F.lit(2).cast("bigint"), "n", F.lit(copies_at_once).cast("bigint")))).repartition("doc_id", "from")
+    upto = F.least(F.col("n"), F.col("from") + copies_at_once - 1)
+    return result.unionByName(spread.withColumn("i", F.explode(F.sequence("from", upto))).drop("from", "i", "n"))

@@ -5,8 +5,9 @@ its format and its context; a threshold per kind, calibrated on candidates kept
 selects those to redact beside the base spans (fixed formats with their validity rules).
 
 The candidates' training labels are the validity rules themselves: a candidate is positive if it
-is a valid base span, or would be one if it stood alone and no base span holds a part of it.  The features hold its shape and surroundings but no rule's result, so what
-is added are spans that look like, and stand like, valid ones.
+is a valid base span, or would be one if it stood alone and no base span holds a part of it.  The
+features hold its shape and surroundings but no rule's result, so what is added are spans that look
+like, and stand like, valid ones.
 
 Null text counts as empty; an empty text has no span; repeated rows each get their row; other
 columns are ignored; an empty table, or one without candidates of both classes, adds nothing.
@@ -14,9 +15,11 @@ columns are ignored; an empty table, or one without candidates of both classes,
 
 from __future__ import annotations
 
+import heapq
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -25,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from piste.llm.boosting import Boosted, calibrated, fit
+from piste.llm.common import mix
 from piste.llm.spans import Span, digest_rows, digest_schema
 
 BASE = ("email", "ip", "card", "phone")
@@ -57,6 +61,7 @@ CUES = {
     "phone": ("phone", "tel", "call", "fax", "mobile", "anruf"),
 }
 CONTEXT = 24
+FEATURES = 25
 SCORED = 4096  # candidates scored at a time, so that memory does not follow a text's length
 
 
@@ -113,17 +118,26 @@ def _stretches(kind: str, text: str) -> Iterator[Span]:
                     yield kind, start, end
 
 
-def candidates(text: str) -> list[Span]:
-    """Every span that a wide generator or a base format proposes, each once."""
-    found = set(base_spans(text))
+def proposed(text: str, own: set[Span]) -> Iterator[Span]:
+    """Every span that a wide generator proposes beside the base spans, each once, one at a time."""
     marked, numbered = "@" in text or "at)" in text or "at]" in text, bool(_DIGITS.search(text))
     for kind, pattern in WIDE.items():
         if marked if kind == "email" else numbered:
-            found.update((kind, *m.span()) for m in pattern.finditer(text))
+            yield from (s for m in pattern.finditer(text) if (s := (kind, *m.span())) not in own)
     if numbered:
         for kind in RUNS:
-            found.update(_stretches(kind, text))
-    return sorted(found, key=lambda s: (s[1], s[2], s[0]))
+            yield from (s for s in _stretches(kind, text) if s not in own)
+
+
+def candidates(text: str) -> list[Span]:
+    """Every span that a wide generator or a base format proposes, each once, in order."""
+    own = set(base_spans(text))
+    return sorted([*own, *proposed(text, own)], key=lambda s: (s[1], s[2], s[0]))
+
+
+def _batches(spans: Iterator[Span]) -> Iterator[list[Span]]:
+    while some := list(islice(spans, SCORED)):
+        yield some
 
 
 class _Taken:
@@ -154,73 +168,132 @@ def _valid(text: str, span: Span, own: set[Span], taken: _Taken) -> bool:
     return span in own or not taken.meets(a, b) and (kind, 0, b - a) in base_spans(text[a:b])
 
 
-def features(text: str, span: Span) -> list[float]:
-    """Format of the span and its context; no validity rule enters."""
-    kind, a, b = span
-    s, before, after = text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]
-    digits, groups = sum(c.isdigit() for c in s), re.findall(r"[0-9]+", s)
-    near = (before + " " + after).lower()
-    return [
-        BASE.index(kind), len(s), digits, digits / len(s), sum(c.isalpha() for c in s), s.count("."), s.count("-"),
-        s.count(" "), s.count("("), s.startswith("+"), s.startswith("00"), "@" in s, len(groups),
-        max(map(len, groups), default=0), min(map(len, groups), default=0), len(set(s)), s.rfind(".") / len(s),
-        sum(c in near for c in CUES[kind]), before[-1:].isspace() or not before, before[-1:].isalnum(),
-        after[:1].isspace() or not after, after[:1].isalnum(), after[:1] in ".,;", sum(c.isdigit() for c in before), sum(c.isdigit() for c in after),
-    ]
+def features(text: str, spans: list[Span]) -> np.ndarray:
+    """A row per span: its format and its context; no validity rule enters."""
+    if not spans:
+        return np.zeros((0, FEATURES))
+    own = [text[a:b] for _, a, b in spans]
+    before, after = [text[max(0, a - CONTEXT) : a] for _, a, _ in spans], [text[b : b + CONTEXT] for *_, b in spans]
+    near = [f"{x} {y}".lower() for x, y in zip(before, after)]
+    size = np.array([len(s) for s in own])
+    owner, each = np.repeat(np.arange(len(own)), size), np.frombuffer("".join(own).encode("utf-32-le"), np.uint32)
+
+    def share(test) -> np.ndarray:
+        """How many characters of every span pass the test."""
+        seen, place = np.unique(each, return_inverse=True)
+        return np.bincount(owner, np.array([test(chr(c)) for c in seen], float)[place], len(own))
+
+    digit = (each >= 48) & (each <= 57)
+    starts = digit & ~np.concatenate([[False], digit[:-1] & (owner[1:] == owner[:-1])])
+    group_owner, lengths = owner[starts], np.bincount(np.cumsum(starts)[digit] - 1) if starts.any() else np.zeros(0, np.int64)
+    longest, shortest = np.zeros(len(own)), np.full(len(own), np.inf)
+    np.maximum.at(longest, group_owner, lengths)
+    np.minimum.at(shortest, group_owner, lengths)
+    digits, last = share(str.isdigit), [s[-1:] for s in before]
+    first = [s[:1] for s in after]
+    return np.array([
+        [BASE.index(k) for k, _, _ in spans], size, digits, digits / size, share(str.isalpha), *[share(c.__eq__) for c in ".- ("],
+        [s.startswith("+") for s in own], [s.startswith("00") for s in own], share("@".__eq__) > 0, np.bincount(group_owner, minlength=len(own)),
+        longest, np.where(np.isinf(shortest), 0, shortest), [len(set(s)) for s in own], np.array([s.rfind(".") for s in own]) / size,
+        [sum(c in n for c in CUES[k]) for (k, _, _), n in zip(spans, near)], [c.isspace() or not c for c in last], [c.isalnum() for c in last],
+        [c.isspace() or not c for c in first], [c.isalnum() for c in first], [c in ".,;" for c in first],
+        [sum(map(str.isdigit, s)) for s in before], [sum(map(str.isdigit, s)) for s in after],
+    ], float).T
+
+
+def _keys(seed: int, spans: list[Span]) -> np.ndarray:
+    """A hash of each span of a document."""
+    place = np.array([(BASE.index(k), a, b) for k, a, b in spans], np.uint64)
+    h = np.uint64(seed & (2**64 - 1))
+    for column in place.T:
+        h = mix((h ^ column) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    return (h >> np.uint64(1)).astype(np.int64)
+
+
+class _Least:
+    """Training rows of least key, ``count`` at most; memory for twice as many, whatever the texts hold."""
+
+    def __init__(self, count: int):
+        self.count, self.rows, self.limit = count, [], np.iinfo(np.int64).max
+
+    def add(self, rows: list[tuple]) -> None:
+        self.rows += rows
+        if len(self.rows) > 2 * self.count:
+            self.cut()
+
+    def cut(self) -> list[tuple]:
+        self.rows = heapq.nsmallest(self.count, self.rows)
+        if len(self.rows) == self.count:
+            self.limit = self.rows[-1][0]
+        return self.rows
 
 
 def train(docs: DataFrame, text: str = "text", training_docs: int = 100_000, training_candidates: int = 20_000,
           precision: float = 0.98) -> tuple[Boosted, dict] | None:
     """Model and thresholds from at most ``training_candidates`` candidates of a bounded, repeatable
-    sample of documents (about ``training_docs``, by hash of doc_id).  A quarter of the candidates
-    is kept out for calibration.
+    sample of documents (about ``training_docs``, by hash of doc_id): those of least hash of document
+    and place, of which a task keeps no more than that many.  The candidates of a quarter of all
+    texts are kept out for calibration, so copies of a document stand on one side.
     """
     share = F.shiftrightunsigned(F.xxhash64("doc_id"), 33) <= (training_docs << 31) // max(docs.count(), 1)
+    names, kinds_ = ["key", "held", "kind", "label", "x"], "key long, held boolean, kind string, label boolean, x array<double>"
 
     def propose(batches):
+        least = _Least(training_candidates)
         for batch in batches:
-            rows = []
-            for t in batch.column(0):
-                t = t.as_py() or ""
-                own = set(base_spans(t))
-                taken = _Taken(own)
-                rows += [(s[0], _valid(t, s, own, taken), list(map(float, features(t, s)))) for s in candidates(t)]
-            kinds, labels, xs = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(labels, pa.bool_()), pa.array(xs, pa.list_(pa.float64()))], names=["kind", "label", "x"])
-
-    made = docs.where(share).select(text).mapInArrow(propose, "kind string, label boolean, x array<double>")
-    rows = made.orderBy(F.xxhash64("kind", "label", "x"), "kind", "label", "x").limit(training_candidates).collect()
-    if len({r["label"] for r in rows}) < 2:
-        return None
-    kinds = np.array([r["kind"] for r in rows])
+            for seed, fold, t in zip(*(c.to_pylist() for c in batch.columns)):
+                own = set(base_spans(t or ""))
+                taken = None
+                for spans in _batches(chain(sorted(own), proposed(t or "", own))):
+                    keys = _keys(seed, spans)
+                    some = np.flatnonzero(keys <= least.limit)
+                    if not len(some):
+                        continue
+                    taken = taken or _Taken(own)
+                    kept = [spans[i] for i in some]
+                    x = features(t, kept)
+                    least.add([(int(keys[i]), fold == 0, s[0], _valid(t, s, own, taken), tuple(v)) for i, s, v in zip(some, kept, x.tolist())])
+        cols = list(zip(*least.cut())) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.bool_(), pa.string(), pa.bool_(), pa.list_(pa.float64())))], names=names)
+
+    asked = docs.where(share).select(F.xxhash64("doc_id", text).alias("seed"), F.expr(f"pmod(xxhash64(`{text}`), 4)").alias("fold"), text)
+    rows = asked.mapInArrow(propose, kinds_).orderBy(*names).limit(training_candidates).collect()
+    kinds, held = np.array([r["kind"] for r in rows]), np.array([r["held"] for r in rows], bool)
     x, y = np.array([r["x"] for r in rows], np.float64), np.array([r["label"] for r in rows], bool)
-    held = np.arange(len(rows)) % 4 == 0
-    if len(set(y[~held])) < 2:
+    if len(rows) == 0 or len(set(y[~held])) < 2:
         return None
     model = fit(x[~held], y[~held])
-    score = model.score(x[held])
+    score = model.score(x[held]) if held.any() else np.zeros(0)
     return model, {k: calibrated(score[kinds[held] == k], y[held][kinds[held] == k], precision) for k in BASE}
 
 
+_BY_NAME = sorted(BASE)
+
+
 def all_spans(text: str, trained: tuple[Boosted, dict] | None) -> tuple[list[Span], list[Span]]:
-    """Base spans, and the selected candidates that overlap neither them nor a better one."""
+    """Base spans, and the selected candidates that overlap neither them nor a better one (of equal
+    score the first by start, end and kind).
+
+    Candidates are scored as they are proposed; of those that reach their threshold four numbers
+    each are kept.
+    """
     own = base_spans(text)
     if trained is None:
         return own, []
     model, thresholds = trained
-    taken, fixed = _Taken(own), set(own)
-    free = [s for s in candidates(text) if s not in fixed and not taken.meets(s[1], s[2])]
-    best = []
-    for at in range(0, len(free), SCORED):
-        some = free[at : at + SCORED]
-        score = model.score(np.array([features(text, s) for s in some], np.float64))
-        best += [(-score[i], at + i) for i, s in enumerate(some) if score[i] >= thresholds[s[0]]]
+    taken, best = _Taken(own), []
+    for some in _batches(s for s in proposed(text, set(own)) if not taken.meets(s[1], s[2])):
+        score = model.score(features(text, some))
+        ok = np.flatnonzero(score >= np.array([thresholds[s[0]] for s in some]))
+        best.append(np.array([(-score[i], some[i][1], some[i][2], _BY_NAME.index(some[i][0])) for i in ok], float).reshape(-1, 4))
     added, held = [], _Taken()
-    for _, i in sorted(best):
-        kind, a, b = free[i]
-        if not held.meets(a, b):
-            held.add(a, b)
-            added.append(free[i])
+    if best:
+        found = np.concatenate(best)
+        for i in np.lexsort(found.T[::-1]):
+            a, b, kind = map(int, found[i, 1:])
+            if not held.meets(a, b):
+                held.add(a, b)
+                added.append((_BY_NAME[kind], a, b))
     return own, added
 
 

@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from piste.llm.common import staged
 
-MARKS = r"^(?:\s{0,3}>)+"
+#: Blanks and marks at a line's start; marks stand at most three blanks apart, the first one too.
+LEAD = r"^[\s>]*+"
+APART = r"\s{4}"
 BLOCK = 1024  # turns of a conversation that one window holds
 #: Shorter normalised units ("ok", "thanks") are linked inside a conversation only, as they say nothing
 #: about which other one they come from.
@@ -37,20 +39,33 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), r"\r?\n")
 
 
+def marks(line: Column) -> Column:
+    """The leading quote marks with the blanks before and between them.  No pattern repeats a group,
+    so a line of any number of marks is parsed in constant stack."""
+    near = F.split(F.regexp_extract(line, LEAD, 0), APART, 2)[0]
+    return F.regexp_extract(near, r"^[\s>]*>", 0)
+
+
 def level(line: Column) -> Column:
-    return F.length(F.regexp_replace(F.regexp_extract(line, MARKS, 0), r"\s", ""))
+    return F.length(F.regexp_replace(marks(line), r"\s+", ""))
+
+
+def unmarked(line: Column) -> Column:
+    """The line without its quote marks and the blank after them."""
+    rest = F.substring(line, F.length(marks(line)) + 1, F.length(line))
+    return F.when(marks(line) == "", line).otherwise(F.regexp_replace(rest, r"^\s", ""))
 
 
 def own_text(text: str | Column) -> Column:
     """The message without its quoted lines and the blank lines left at its ends."""
     text = F.col(text) if isinstance(text, str) else text
-    own = F.filter(_lines(text), lambda line: ~line.rlike(MARKS))
+    own = F.filter(_lines(text), lambda line: marks(line) == "")
     return F.when(text.isNotNull(), F.btrim(F.array_join(own, "\n"), F.lit(" \t\n")))
 
 
 def _runs(messages: DataFrame) -> DataFrame:
     """The messages with ``runs``: structs (depth, text) of neighbouring lines of one level, 0 for own lines."""
-    lines = F.transform(_lines(F.col("text")), lambda line: F.struct(level(line).alias("depth"), F.regexp_replace(line, MARKS + r"\s?", "").alias("text")))
+    lines = F.transform(_lines(F.col("text")), lambda line: F.struct(level(line).alias("depth"), unmarked(line).alias("text")))
     starts = F.expr("filter(sequence(1, size(lines)), i -> i = 1 or lines[i - 1].depth <> lines[i - 2].depth)")
     runs = F.expr("""transform(starts, (s, k) -> struct(lines[s - 1].depth as depth,
         array_join(transform(slice(lines, s, coalesce(get(starts, k + 1), size(lines) + 1) - s), x -> x.text), '\n') as text))""")
@@ -77,7 +92,7 @@ def quoted(messages: DataFrame) -> DataFrame:
     Units are those of the runs of quoted lines, so a sentence may span lines, and of all lines of a
     level together, for a passage that other levels interrupt.
     """
-    runs = _runs(messages.where(F.col("text").rlike("(?m)" + MARKS)))
+    runs = _runs(messages.where(F.col("text").contains(">")))
     depths = F.array_distinct(F.filter(F.transform("runs", lambda r: r["depth"]), lambda d: d > 0))
     each = runs.select("id", "conv_id", "turn", "runs", F.explode(depths).alias("depth")).withColumn("texts", _at(F.col("depth")))
     units = _units(F.concat("texts", F.array(F.array_join("texts", "\n"))))

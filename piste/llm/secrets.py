@@ -43,7 +43,6 @@ VALUE = re.compile(r"""["']?[\x20\t]*+(?:[:=]>?|\bis\b|->)[\x20\t]*+["']?([^\s"'
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "yxcvbnm", "azertyuiop", "qsdfghjklm")
 NEXT_KEY = {(a, b) for row in KEY_ROWS for line in (row, row[::-1]) for a, b in zip(line, line[1:])}
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?[01]\d[-/.]?[0-3]\d)?|[0-3]?\d[-/.][01]?\d[-/.](?:19|20)?\d\d")
-LONGEST_WORD = 24
 
 
 def base_spans(text: str) -> list[Span]:
@@ -71,6 +70,7 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
             repeat[i] = repeat[i - 1] + 1
         if (low[i - 1], low[i]) in NEXT_KEY:
             walk[i] = walk[i - 1] + 1
+    sizes = sorted({len(w) for w in ranks})
     dates: dict[int, list[int]] = {}
     for i in range(n):
         if value[i].isdigit() and (m := DATE.match(value, i)):
@@ -85,7 +85,7 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
             cost = min(cost, best[end - run] + math.log10(4 * len(KEY_ROWS) * run) + switch)
         for start in dates.get(end, ()):
             cost = min(cost, best[start] + math.log10(365 * 100) + switch)
-        for start in range(max(0, end - LONGEST_WORD), end - 2):
+        for start in (end - k for k in sizes if k <= end):
             if (rank := ranks.get(low[start:end])) is not None:
                 upper = sum(c.isupper() for c in value[start:end])
                 case = 0 if upper == 0 else switch if upper in (1, end - start) else math.log10(math.comb(end - start, upper))
@@ -119,7 +119,6 @@ def added_spans(text: str, own: list[Span], ranks: dict[str, int], min_cost: flo
     return [("guess", a, b) for a, b in uncovered(text, own) if guess_cost(text[a:b], ranks) >= min_cost]
 
 
-WORD = re.compile(r"[^\W\d_]{3,%d}" % LONGEST_WORD)
 LETTERS = re.compile(r"[^\W\d_]{3,}")
 GUESS = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("value", pa.string())])
 
@@ -137,7 +136,7 @@ def word_ranks(docs: DataFrame, text: str = "text") -> DataFrame:
             n: Counter = Counter()
             for t in batch.column(0):
                 if t := t.as_py():
-                    n.update(WORD.findall(t.lower()))
+                    n.update(LETTERS.findall(t.lower()))
             yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["word", "n"])
 
     counted = staged(docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "words")
@@ -152,7 +151,12 @@ def word_ranks(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def hard_values(values: DataFrame, ranks: DataFrame, min_cost: float) -> DataFrame:
-    """The distinct ``value`` that cost ``min_cost`` or more, by the ranks of all words inside them."""
+    """The distinct ``value`` that cost ``min_cost`` or more, by the ranks of all words inside them.
+
+    Of a value's letters the stretches are looked up that are as long as some ranked word; the distinct
+    lengths are few, as a corpus of n letters has at most the square root of 2n of them.
+    """
+    sizes = sorted(r[0] for r in ranks.select(F.length("word")).distinct().collect())
     each = staged(values.distinct().select("value", F.monotonically_increasing_id().alias("vid")), "values")
 
     def parts(batches):
@@ -160,7 +164,8 @@ def hard_values(values: DataFrame, ranks: DataFrame, min_cost: float) -> DataFra
             vid, word = [], []
             for i, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 low = value.lower()
-                inside = {low[a:b] for m in LETTERS.finditer(low) for a in range(m.start(), m.end()) for b in range(a + 3, min(m.end(), a + LONGEST_WORD) + 1)}
+                inside = {low[a:b] for m in LETTERS.finditer(low) for k in sizes if k <= m.end() - m.start()
+                          for a in range(m.start(), m.end() - k + 1) for b in (a + k,)}
                 vid += [i] * len(inside)
                 word += inside
             yield pa.RecordBatch.from_arrays([pa.array(vid, pa.int64()), pa.array(word, pa.string())], names=["vid", "word"])

@@ -1,8 +1,12 @@
 """What the operators once left out: each of these failed before it was added."""
 
+import hashlib
+from collections import Counter
+
 import numpy as np
+from pyspark.sql import functions as F
 
-from piste.llm import ngram_join, pii, quotes, secrets
+from piste.llm import lengths, licences, ngram_join, order_minhash, pii, quotes, secrets
 
 
 def test_pairs_under_an_unlike_head_stay_candidates(spark):
@@ -88,3 +92,131 @@ def test_quotes_of_lines_short_sentences_and_other_scripts(spark):
         assert got[1, turn]["parent"] == ids[1, parent] and got[1, turn]["by"] == "quote"
     assert got[2, 0]["quoted"] == [ids[3, 5]]  # said later in its own conversation, which comes first
     assert got[4, 0]["quoted"] is None and got[1, 3]["by"] == "turn"
+
+
+def test_lines_of_a_million_marks_and_blanks(spark):
+    deep = ">" * 1_000_000 + " far down"
+    rows = [(1, 0, "user", "far down"), (1, 1, "user", deep), (1, 2, "user", " " * 1_000_000 + "x\n" + "> " * 100_000 + "y"), (1, 3, "user", "    > four blanks\n>    > x")]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["turn"]: r for r in quotes.conversations(m).collect()}
+    assert got[1]["quoted"] == [got[0]["id"]] and got[1]["own"] == ""
+    assert got[3]["own"].strip() == "> four blanks"
+    lines = m.select("turn", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("turn", "i", quotes.level(F.col("line")).alias("level"))
+    levels = [r["level"] for r in lines.orderBy("turn", "i").collect()]
+    assert levels == [0, 1_000_000, 0, 100_000, 0, 1]
+
+
+def plain_length(text):
+    own = lengths.encoder(lengths.RANKS, lengths.PATTERN)
+    return len(own.encode_ordinary(text))
+
+
+def test_long_runs_are_encoded_as_by_the_pattern():
+    own = lengths.encoder(lengths.RANKS, lengths.PATTERN)
+    for run in (" " * 2000, "\n" * 2000, " \n\t　\xa0" * 400, " " * 1024):
+        for before in ("", "word", "a.", "x "):
+            for after in ("", "word", " ", "\x1c", "7", "'s", "\n"):
+                text = before + run + after
+                assert lengths.encoded_length(text, own) == plain_length(text), (before, run[:3], after)
+                assert lengths.encoded_length(text + "mid" + text, own) == plain_length(text + "mid" + text)
+
+
+def test_texts_of_one_character_a_million_times(spark, documents):
+    rows = [(i, c * n) for i, (c, n) in enumerate([(" ", 10**6), ("\n", 10**6), ("x", 10**6), ("7", 10**6), ("-", 10**6), (" ", 10**7)])]
+    got = {r["n_tokens"]: r["n_docs"] for r in lengths.histogram(documents(rows)).collect()}
+    assert sum(got.values()) == 6 and max(got) == 10**7
+
+
+def test_personal_data_in_a_number_table(spark, documents):
+    import random
+
+    rng = random.Random(2)
+    table = "\n".join(" ".join(str(rng.randrange(10)) for _ in range(40)) for _ in range(500))
+    rows = [(i, f"mail me at user{i}@example{i % 7}.org or call +49 30 {1234567 + i}") for i in range(200)] + [(900, table), (901, table)]
+    got = {r["doc_id"]: r for r in pii.scan(documents(rows), training_candidates=500).collect()}
+    assert len(got) == 202 and got[900]["spans"] == got[901]["spans"] and got[5]["n_email"] == got[5]["n_phone"] == 1
+
+
+def test_a_task_keeps_no_more_training_rows_than_asked_for():
+    least = pii._Least(10)
+    keys = np.random.default_rng(1).permutation(1000).tolist()
+    for at in range(0, 1000, 100):
+        least.add([(k,) for k in keys[at : at + 100] if k <= least.limit])
+        assert len(least.rows) <= 20
+    assert least.cut() == [(k,) for k in range(10)]
+
+
+def brute_selection(text, trained):
+    """Every candidate scored alone, then taken greedily."""
+    own, (model, thresholds) = pii.base_spans(text), trained
+    scored = []
+    for s in pii.candidates(text):
+        if s not in own and not any(a < s[2] and s[1] < b for _, a, b in own):
+            score = model.score(pii.features(text, [s]))[0]
+            if score >= thresholds[s[0]]:
+                scored.append((-score, s[1], s[2], s[0]))
+    out = []
+    for _, a, b, k in sorted(scored):
+        if not any(x < b and a < y for _, x, y in out):
+            out.append((k, a, b))
+    return own, out
+
+
+def test_selected_spans_equal_a_plain_loop(spark, documents):
+    rows = [(i, f"call (030) {7000000 + 37 * i} or +49 30 {1234567 + i}, host 10.0.{i}.7 and 10.0.{i}.700, user(at)site{i}.org a@b{i}.de 4111 1111 1111 {1000 + i} {i} 2027")
+            for i in range(150)]
+    trained = pii.train(documents(rows))
+    assert trained is not None
+    model, _ = trained
+    loose = (model, dict.fromkeys(pii.BASE, 0.05))
+    for _, t in rows[:20]:
+        assert pii.all_spans(t, trained) == brute_selection(t, trained)
+        assert pii.all_spans(t, loose) == brute_selection(t, loose) and pii.all_spans(t, loose)[1]
+
+
+def test_words_of_any_length_have_ranks(spark, documents):
+    word = "donaudampfschifffahrtsgesellschaftskapitaen"
+    docs = documents([(i, f"der {word} kommt") for i in range(40)] + [(99, f"password: {word}")])
+    ranks = {r["word"]: r["rank"] for r in secrets.word_ranks(docs).collect()}
+    assert ranks[word] <= 4 and secrets.guess_cost(word, ranks) < 2 < secrets.guess_cost(word, {})
+    assert "guess" not in {r["doc_id"]: r["spans"] for r in secrets.scan(docs).collect()}[99]
+
+
+def test_license_bands_of_several_rows_use_functions_of_their_own(documents):
+    assert len(set(licences.factors(1000).tolist())) == 1000
+    text = "intro words here " + licences.TEMPLATES["MIT-grant"] + " and more words after it"
+    got = licences.scan(documents([(1, text)]), rows=3).collect()
+    assert [r["template"] for r in got] == ["MIT-grant"] and got[0]["containment"] == 1.0
+
+
+def test_texts_without_blanks_are_compared_by_character(spark, documents):
+    rng = np.random.default_rng(8)
+    sentences = ["".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 12)) + "。" for _ in range(61)]
+    one, two = "".join(sentences[:60]), "".join(sentences[:59] + sentences[60:])
+    got = {r["doc_id"]: r for r in ngram_join.join(documents([(1, one), (2, two)])).collect()}
+    assert got[1]["links"] == got[2]["links"] == 1
+    changed = one[:400] + "字" + one[400:]
+    f = order_minhash.fingerprint("text")
+    docs = documents([(1, one), (2, changed)]).select("doc_id", f.alias("f"))
+    a, b = [r["f"] for r in docs.orderBy("doc_id").collect()]
+    assert sum(a[i : i + 8] == b[i : i + 8] for i in range(0, len(a), 8)) > 20
+
+
+def test_next_documents_of_ids_at_both_ends_and_of_repeated_rows(spark, documents):
+    rng = np.random.default_rng(9)
+    rows = [(-(2**63), "first text of all"), (2**63 - 1, "the last id there is"), (None, "no id"), (None, "no id either")]
+    rows += [(2**62 + i, f"crowded text number {i} with words {int(rng.integers(9))}") for i in range(300)]
+    rows += [(5, f"one id of many texts {i}") for i in range(200)] + [(7, "the same row again")] * 150
+    docs = documents(rows)
+    got = order_minhash.fingerprints(docs, copies_at_once=40).collect()
+    hashes = dict(docs.select("text", F.xxhash64("text")).distinct().collect())
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashes[r[1]]))
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        nxt, half = order[(k + 1) % len(order)][1], len(t) // 2
+        want[i, len(t), hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
+    keys = spark.createDataFrame([(i, j) for i in range(100) for j in range(3)], "doc_id long, hash long")
+    block, heads = order_minhash.blocked(keys, 20, 64)
+    sizes = Counter(r[0] for r in keys.select(block).collect())
+    assert len(sizes) == heads.count() >= 10 and max(sizes.values()) <= 60
