@@ -613,7 +613,7 @@ WITH m AS (
 SELECT conv_id, turn, CAST(generate_subscripts(pts, 1) AS INTEGER) AS point_no, unnest(pts) AS point FROM p"""
 
 _TOK = "list_filter(string_split_regex(lower(text), '[^\\pL\\pN]+'), lambda t: t <> '')"
-ORACLE["x04_benchmark_keyword_search"] = f"""
+_SEARCH = f"""
 WITH post AS (SELECT doc_id AS doc, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) t
               GROUP BY 1, 2),
 dl AS (SELECT doc, sum(tf) AS dl FROM post GROUP BY 1),
@@ -631,8 +631,15 @@ scored AS (
 SELECT s.q AS query_id, s.doc AS doc_id, CAST(row_number() OVER (PARTITION BY s.q ORDER BY s.score DESC, s.doc) AS INTEGER) AS rank,
        round(s.score, 4) AS score
 FROM scored s JOIN nq ON s.q = nq.q
-WHERE s.matched = nq.n_terms AND nq.all_known
+WHERE %s
 QUALIFY rank <= 10"""
+ORACLE["x04_benchmark_keyword_search"] = _SEARCH % "true"
+ORACLE["x04_benchmark_keyword_search_all"] = _SEARCH % "s.matched = nq.n_terms AND nq.all_known"
+ORACLE["x07_conversation_tables"] = f"""
+WITH l AS (SELECT conv_id, turn, unnest(parts) AS text, generate_subscripts(parts, 1) AS n
+           FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS parts FROM conversations) c)
+SELECT conv_id, turn, 0 AS table_no, n::INT AS row_no, 'line|characters|words' AS headers, n::BIGINT AS line,
+       length(text)::BIGINT AS characters, len({_TOK})::BIGINT AS words FROM l"""
 
 
 # -- ingest bookkeeping --------------------------------------------------------------------------

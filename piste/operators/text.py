@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from piste.functions.core import fround
+from piste.session import staged
 
 # Elements removed before text extraction; entity table; price patterns.
 NOISE_TAGS = ("script", "style", "nav", "footer")
@@ -111,6 +112,16 @@ def key_points(text: Column, limit: int | None = None) -> Column:
 
 
 # -- X07 / X08 markdown sections and tables ----------------------------------------------
+# a header line: one to three number signs, blanks, a title
+HEADER_MARK = r"^#{1,3}[ \t]+"
+
+
+def header_title(line: Column) -> Column:
+    """The title of a header line, null for any other line."""
+    title = F.regexp_replace(line, HEADER_MARK, "")
+    return F.when(line.rlike(HEADER_MARK) & (title != ""), title)
+
+
 def markdown_sections(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Split each message at '#'..'###' headers into (section_no, title, content).
 
@@ -120,9 +131,8 @@ def markdown_sections(df: DataFrame, keys: list[str], text: str = "text") -> Dat
     section with the whole text.
     """
     lines = df.select(*keys, F.posexplode(F.split(F.col(text), "\n")).alias("__pos", "__line"))
-    hdr = F.regexp_extract("__line", r"^(#{1,3})\s+(.+)$", 2)
     w = Window.partitionBy(*keys).orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("__hdr", F.when(hdr != "", hdr)).withColumn(
+    lines = lines.withColumn("__hdr", header_title(F.col("__line"))).withColumn(
         "__sec", F.count("__hdr").over(w))
     sec = lines.groupBy(*keys, "__sec").agg(
         F.max("__hdr").alias("__title"),
@@ -139,21 +149,51 @@ def markdown_sections(df: DataFrame, keys: list[str], text: str = "text") -> Dat
     return sec.unionByName(empty)
 
 
-TABLE_RE = r"\|(.+)\|\n\|[-:\s|]+\|\n((?:\|.+\|\n?)+)"
+def _cells(line: Column) -> Column:
+    return F.filter(F.transform(F.split(line, r"\|"), _strip), lambda c: c != "")
+
 
+def table_blocks(lines: Column) -> Column:
+    """Array of (header, first, last): line numbers (from 0) of the tables in an array of lines.
 
-def _cells(row: Column) -> Column:
-    return F.filter(F.transform(F.split(row, r"\|"), _strip), lambda c: c != "")
+    Lines that begin and end with a bar form runs; a run's table starts at its first line that a rule
+    (bars, dashes, colons, blanks) and at least one more line follow.  Runs and rules are found by
+    comparing neighbouring entries, so the work is linear in the lines and nothing recurses.
+    """
+    bar = F.transform(lines, lambda x: (F.length(x) > 2) & x.startswith("|") & x.endswith("|"))
+    rule = F.transform(lines, lambda x: (F.length(x) > 2) & x.startswith("|") & x.endswith("|") & (F.translate(x, "|-: \t", "") == "") & x.contains("-"))
+    kinds = F.transform(F.arrays_zip(bar.alias("bar"), rule.alias("rule")), lambda k, i: F.struct(i.alias("i"), k["bar"].alias("bar"), k["rule"].alias("rule")))
+
+    def runs(k: Column) -> Column:
+        edge = lambda i, at: ~F.coalesce(F.get(k, at)["bar"], F.lit(False))
+        starts = F.transform(F.filter(k, lambda x: x["bar"] & ((x["i"] == 0) | edge(x["i"], F.greatest(x["i"] - 1, F.lit(0))))), lambda x: x["i"])
+        ends = F.transform(F.filter(k, lambda x: x["bar"] & edge(x["i"], x["i"] + 1)), lambda x: x["i"])
+        # a rule that is not the first line of its run heads a table if a line of the run follows
+        rules = F.filter(k, lambda x: x["rule"] & ~edge(x["i"], x["i"] + 1) & (x["i"] > 0) & ~edge(x["i"], F.greatest(x["i"] - 1, F.lit(0))))
+        spans = F.arrays_zip(starts.alias("s"), ends.alias("e"))
+        # both lists ascend: a rule's run is the last one that starts before it, found bit by bit
+        steps = F.array(*[F.lit(1 << p) for p in range(30, -1, -1)])
+        place = lambda i: F.aggregate(steps, F.lit(0), lambda d, p: F.when(
+            (d + p < F.size(spans)) & (F.get(spans, d + p)["s"] <= i), d + p).otherwise(d))
+        heads = F.transform(rules, lambda x: F.struct(place(x["i"]).alias("run"), x["i"].alias("rule")))
+        first = F.filter(heads, lambda h, j: (j == 0) | (F.get(heads, F.greatest(j - 1, F.lit(0)))["run"] != h["run"]))
+        return F.transform(first, lambda h: F.struct((h["rule"] - 1).alias("header"), (h["rule"] + 1).alias("first"), F.get(spans, h["run"])["e"].alias("last")))
+
+    return F.element_at(F.transform(F.array(kinds), runs), 1)
 
 
 def markdown_tables(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Markdown tables -> one row per body row: (table_no, row_no, headers, cells)."""
-    tables = df.select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(TABLE_RE), 0)).alias(
-        "table_no", "__t"))
-    header = F.regexp_extract("__t", r"^\|(.+)\|\n", 1)
-    body = F.regexp_extract("__t", TABLE_RE, 2)
-    rows = tables.select(*keys, "table_no", _cells(header).alias("headers"),
-                         F.posexplode(F.split(_strip(body), "\n")).alias("row_no", "__r"))
+    lines = F.transform(F.split(F.col(text), "\n"), lambda x: F.rtrim(F.regexp_replace(x, "[\r\t]+$", "")))
+
+    def cut(held: Column) -> Column:
+        """Each table with its own lines, so that no row carries the whole text on."""
+        return F.transform(table_blocks(held), lambda t: F.struct(
+            F.get(held, t["header"]).alias("header"), F.slice(held, t["first"] + 1, t["last"] - t["first"] + 1).alias("body")))
+
+    tables = df.where(F.col(text).contains("|")).select(*keys, F.posexplode(F.element_at(F.transform(F.array(lines), cut), 1)).alias("table_no", "__t"))
+    rows = tables.select(*keys, "table_no", _cells(F.col("__t.header")).alias("headers"), F.col("__t.body").alias("__body"))
+    rows = rows.select(*keys, "table_no", "headers", F.posexplode("__body").alias("row_no", "__r"))
     rows = rows.withColumn("cells", _cells(F.col("__r"))).drop("__r")
     return rows.filter((F.size("cells") > 0) & (F.size("headers") > 0))
 
@@ -165,73 +205,93 @@ def parse_number(cell: Column) -> Column:
 
 # -- X04 keyword search ------------------------------------------------------------------
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
+_NEAR = 1e-5  # scores are ranked after rounding to 1e-6: bounds are kept this far from them
+SEED_FACTOR = 20  # a query's first bound comes from the postings of its rarest terms, about this many per result
 
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda t: t != "")
 
 
-def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Inverted index: (doc, term, tf) plus document length. One shuffle on (doc, term),
-    partial-aggregated map side (hot terms are pre-counted per task)."""
+def postings(docs: DataFrame, vocabulary: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Inverted index of the terms in ``vocabulary``: (doc, term, tf).
+
+    Other terms are dropped before the shuffle, which is on (doc, term) and partial-aggregated map side.
+    """
     t = docs.select(F.col(doc_id).alias("doc"), F.explode(tokens(F.col(text))).alias("term"))
-    return t.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return t.join(vocabulary, "term", "left_semi").groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best documents of a query; every task keeps its own ``k`` before the shuffle."""
+    order = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("doc"))
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def keyword_search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75,
                    doc_id: str = "doc_id", query_id: str = "query_id", text: str = "text",
-                   buckets: int = 64) -> DataFrame:
-    """Conjunctive keyword search ranked by BM25, top-k per query.
-
-    A document matches a query when it contains every query term (AND semantics, as a
-    keyword search engine does).  Candidates come from the query's *rarest* term only,
-    so the fan-out per query is that term's document frequency; the other terms are
-    verified with an equi-join on (doc, term).  No query x document cross product is
-    formed.  Top-k runs in two phases (per hashed doc bucket, then per query), so one
-    query's candidates never sit in a single task.
+                   match: str = "any") -> DataFrame:
+    """Keyword search ranked by BM25, top-k per query.
+
+    ``match="any"`` scores documents that hold any query term, ``"all"`` those that hold every one.
+    Any-term search prunes by score bounds (MaxScore).  The postings of a query's rarest terms give
+    candidates whose k-th score is a lower bound for the result.  A term's score is at most its idf
+    times its largest weight in any document; the terms whose bounds together stay below the
+    query's k-th score cannot bring a document in by themselves, so frequent words create no
+    candidates: documents come from the postings of the other terms, and those that their partial
+    score and the remaining bounds cannot lift to the k-th score are dropped before the
+    frequent terms are looked up.  No query x document product is formed, and no query is cut short:
+    every document outside the candidates is proven to rank below k.
     """
-    post = postings(docs, doc_id, text)
-    # corpus statistics (two numbers read on the driver) from a map-only pass over the
-    # token arrays -- no postings shuffle; documents without tokens have no postings
-    ntok = F.size(tokens(F.col(text)))
-    stats = docs.select(ntok.alias("n")).filter(F.col("n") > 0).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avgdl")).first()
+    lens = staged(docs.select(F.col(doc_id).alias("doc"), F.size(tokens(F.col(text))).alias("n")).filter("n > 0")
+                  .groupBy("doc").agg(F.sum("n").alias("dl")), "lengths")
+    stats = lens.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = F.lit(stats["n_docs"]), F.lit(stats["avgdl"])
-    # document length from the same postings the plan already builds (exchange reused)
-    dl = post.groupBy("doc").agg(F.sum("tf").alias("dl"))
-    df_ = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    q = staged(queries.select(F.col(query_id).alias("q"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).distinct(), "terms")
+    found = postings(docs, q.select("term").distinct(), doc_id, text).join(lens, "doc")
+    tf = F.col("tf").cast("double")
+    post = staged(found.select("doc", "term", (tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / avgdl))).alias("w")), "postings")
+    known = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("top"))
     idf = F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = df_.select("term", "df", idf.alias("idf"))
-
-    q = queries.select(F.col(query_id).alias("q"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
-    q = q.join(terms, "term", "left")
-    nterms = q.groupBy("q").agg(F.count(F.lit(1)).alias("n_terms"),
-                                F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("rare"),
-                                F.min(F.coalesce("df", F.lit(0))).alias("rare_df"))
-    # one row per query: broadcast (behind a size check) so the postings are probed in
-    # place and never shuffled by term, where a hot term would land in one task
-    rare = nterms.filter(F.col("rare_df") > 0)
-    cand = post.select(F.col("term").alias("rare"), "doc").join(rare, "rare").select("q", "doc", "n_terms")
-    hit = cand.join(q.select("q", "term", "idf"), "q").join(post, ["doc", "term"])
-    hit = hit.join(dl, "doc")
-    tfc = F.col("tf").cast("double")
-    w = F.col("idf") * tfc * (k1 + 1) / (tfc + k1 * (1 - b + b * F.col("dl") / avgdl))
-    # scores are rounded to 1e-6 before ranking: sums of the same terms in a different
-    # order must not reorder exact-duplicate documents (ties then break on doc id)
-    scored = hit.groupBy("q", "doc").agg(F.count(F.lit(1)).alias("matched"), F.first("n_terms").alias("n_terms"),
-                                         fround(F.sum(w), 6).alias("score"))
-    scored = scored.filter(F.col("matched") == F.col("n_terms"))
-    order = [F.col("score").desc(), F.col("doc")]
-    part = scored.withColumn("__b", F.pmod(F.xxhash64("doc"), F.lit(buckets)))
-    part = part.withColumn("__r", F.row_number().over(Window.partitionBy("q", "__b").orderBy(*order)))
-    part = part.filter(F.col("__r") <= k)
-    top = part.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(*order))).filter(
-        F.col("rank") <= k)
-    return top.select(F.col("q").alias(query_id), F.col("doc").alias(doc_id), "rank", "score")
+    known = known.select("term", "df", idf.alias("idf"), (idf * F.col("top")).alias("bound"))
+    rising = Window.partitionBy("q").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    every = F.count(F.lit(1)).over(Window.partitionBy("q"))
+    terms = q.join(known, "term", "left").withColumn("n_terms", every).withColumn("rarer", F.coalesce(F.sum("df").over(rising), F.lit(0)))
+    terms = staged(terms.filter("df is not null"), "weights")
+
+    def partial(asked: DataFrame) -> DataFrame:
+        """Documents of the terms' postings, with the sum of these terms' scores."""
+        hits = asked.select("q", "term", "idf").join(post, "term")
+        return hits.groupBy("q", "doc").agg(F.sum(F.col("idf") * F.col("w")).alias("part"), F.count(F.lit(1)).alias("matched"))
+
+    def completed(candidates: DataFrame, rest: DataFrame) -> DataFrame:
+        """Candidates with the scores of further terms of their query added."""
+        more = candidates.select("q", "doc").join(rest.select("q", "term", "idf"), "q").join(post, ["doc", "term"])
+        added = more.groupBy("q", "doc").agg(F.sum(F.col("idf") * F.col("w")).alias("more"), F.count(F.lit(1)).alias("further"))
+        return candidates.join(added, ["q", "doc"], "left").select(
+            "q", "doc", fround(F.col("part") + F.coalesce("more", F.lit(0.0)), 6).alias("score"), (F.col("matched") + F.coalesce("further", F.lit(0))).alias("matched"))
+
+    if match == "all":
+        rarest = F.row_number().over(Window.partitionBy("q").orderBy("df", "term")) == 1
+        marked = terms.withColumn("lead", rarest)
+        all_known = terms.groupBy("q").agg(F.first("n_terms").alias("n_terms"), F.count(F.lit(1)).alias("known")).filter("known = n_terms")
+        scored = completed(partial(marked.filter("lead")), marked.filter("not lead")).join(all_known, "q").filter("matched = n_terms")
+    else:
+        seeds = partial(terms.filter(F.col("rarer") < SEED_FACTOR * k)).withColumn("score", F.col("part"))
+        first = completed(_best(seeds, 2 * k), terms.filter(F.col("rarer") >= SEED_FACTOR * k))
+        reach = _best(first, k).groupBy("q").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
+        weak = Window.partitionBy("q").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
+        split = terms.join(reach.select("q", "kth"), "q", "left").withColumn("upto", F.sum("bound").over(weak))
+        split = staged(split.withColumn("lead", F.coalesce(F.col("upto") >= F.col("kth") - _NEAR, F.lit(True))), "split")
+        slack = split.groupBy("q").agg(F.first("kth").alias("kth"), F.coalesce(F.sum(F.when(~F.col("lead"), F.col("bound"))), F.lit(0.0)).alias("rest"))
+        hopeful = partial(split.filter("lead")).join(slack, "q").filter(F.coalesce(F.col("part") + F.col("rest") >= F.col("kth") - _NEAR, F.lit(True)))
+        scored = completed(hopeful.select("q", "doc", "part", "matched"), split.filter("not lead"))
+    return _best(scored, k).select(F.col("q").alias(query_id), F.col("doc").alias(doc_id), "rank", "score")
 
 
 # -- X04 vector variant ------------------------------------------------------------------------
-PROTOTYPE_BLOCK = 256   # prototypes that travel in a plan together
+PROTOTYPE_BLOCK = 256            # prototypes that one row of the block table holds
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def label_prototypes(emb: DataFrame, vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -248,41 +308,27 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def vector_prototype_search(emb: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
-                            label_col: str = "label", buckets: int = 64) -> DataFrame:
+                            label_col: str = "label") -> DataFrame:
     """X04 (vector variant): the ``k`` vectors most cosine-similar to each label's prototype.
 
-    The query set is the label prototypes, taken in blocks of PROTOTYPE_BLOCK: a block is
-    attached to every vector as one literal array, so vectors are scored in place, without
-    a shuffle of the vectors.  Top-k runs in two phases (hashed vector bucket, then label).
+    The query set is the label prototypes, in a table of blocks of about PROTOTYPE_BLOCK; every vector
+    meets every block once and is scored against its prototypes in place.  The block table is
+    broadcast if it takes at most BROADCAST_BYTES, and joined by block number otherwise.  Each task
+    keeps ``k`` vectors a label before the shuffle.
     """
-    block, out = [], None
-    for r in label_prototypes(emb, vec_col, label_col).toLocalIterator():
-        block.append(r)
-        if len(block) == PROTOTYPE_BLOCK:
-            out, block = _search_block(emb, block, out, k, id_col, vec_col, label_col, buckets), []
-    if block or out is None:
-        out = _search_block(emb, block, out, k, id_col, vec_col, label_col, buckets)
-    return out
-
-
-def _search_block(emb: DataFrame, rows: list, before: DataFrame | None, k: int, id_col: str, vec_col: str,
-                  label_col: str, buckets: int) -> DataFrame:
-    label_type = dict(emb.dtypes)[label_col]
-    lit = F.array(*[F.struct(F.lit(r[label_col]).alias("l"),
-                             F.array(*[F.lit(float(x)) for x in r["prototype"]]).alias("p")) for r in rows])
-    if not rows:
-        lit = F.array().cast(f"array<struct<l:{label_type},p:array<double>>>")
+    protos = staged(label_prototypes(emb, vec_col, label_col), "prototypes")
+    size = protos.agg(F.count(F.lit(1)).alias("labels"), F.coalesce(F.max(F.size("prototype")), F.lit(0)).alias("dims")).first()
+    many = max(1, -(-size["labels"] // PROTOTYPE_BLOCK))
+    one = F.struct(F.col(label_col).alias("l"), F.col("prototype").alias("p"), F.sqrt(_dot(F.col("prototype"), F.col("prototype"))).alias("n"))
+    table = protos.groupBy(F.pmod(F.xxhash64(label_col), F.lit(many)).alias("__block")).agg(F.collect_list(one).alias("__held"))
+    if size["labels"] * (size["dims"] * 8 + 64) <= BROADCAST_BYTES:
+        table = F.broadcast(table)
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
-    nv = F.sqrt(_dot(v, v))
-    scored = emb.select(F.col(id_col).alias("__id"), F.explode(F.transform(lit, lambda c: F.struct(
-        c["l"].alias("q"),
-        fround(_dot(v, c["p"]) / (nv * F.sqrt(_dot(c["p"], c["p"]))), 6).alias("score")))).alias("__h"))
-    scored = scored.select("__id", F.col("__h.q").alias("q"), F.col("__h.score").alias("score"))
-    order = [F.col("score").desc_nulls_last(), F.col("__id")]
-    part = scored.withColumn("__b", F.pmod(F.xxhash64("__id"), F.lit(buckets)))
-    part = part.withColumn("__r", F.row_number().over(Window.partitionBy("q", "__b").orderBy(*order))).filter(
-        F.col("__r") <= k)
-    top = part.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(*order))).filter(
-        F.col("rank") <= k)
-    top = top.select(F.col("q").alias(label_col), F.col("__id").alias(id_col), "rank", "score")
-    return top if before is None else before.unionByName(top)
+    met = emb.select(F.col(id_col).alias("__id"), v.alias("__v")).withColumn("__n", F.sqrt(_dot(F.col("__v"), F.col("__v"))))
+    met = met.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(many - 1).cast("bigint")))).join(table, "__block")
+    scored = met.select("__id", F.explode(F.transform("__held", lambda c: F.struct(
+        c["l"].alias("q"), fround(_dot(F.col("__v"), c["p"]) / (F.col("__n") * c["n"]), 6).alias("score")))).alias("__h"))
+    scored = scored.select(F.col("__id").alias("doc"), F.col("__h.q").alias("q"), F.col("__h.score").alias("score"))
+    order = Window.partitionBy("q").orderBy(F.col("score").desc_nulls_last(), F.col("doc"))
+    top = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return top.select(F.col("q").alias(label_col), F.col("doc").alias(id_col), "rank", "score")

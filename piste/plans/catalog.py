@@ -513,18 +513,36 @@ def conversation_sections(spark, sf_dir):
                                                                F.length("content").alias("content_chars"))
 
 
-def benchmark_keyword_search(spark, sf_dir):
-    t = DriverTables(spark, sf_dir)
-    q = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
-    r = TX.keyword_search(t.documents, q, k=10)
-    return r.withColumn("score", fround("score", 4))
+def conversation_tables(spark, sf_dir):
+    """Every message with a table of its lines (number, characters, words) below it; the
+    tables are found again in the text and their cells read as numbers."""
+    lines = F.split("text", "\n")
+    number = lambda c: F.format_number(c, 0)
+    body = F.transform(lines, lambda x, i: F.concat(F.lit("| "), number(i + 1), F.lit(" | "), number(F.length(x)), F.lit(" | "),
+                                                    number(F.size(TX.tokens(x))), F.lit(" |")))
+    report = F.concat(F.col("text"), F.lit("\n\n| line | characters | words |\n|---|:---:|---:|\n"), F.array_join(body, "\n"), F.lit("\n\nEnd."))
+    reports = DriverTables(spark, sf_dir).conversations.select("conv_id", "turn", report.alias("text"))
+    rows = TX.markdown_tables(reports, ["conv_id", "turn"])
+    values = [TX.parse_number(F.get("cells", F.lit(j))).cast("bigint").alias(c) for j, c in enumerate(("line", "characters", "words"))]
+    return rows.select("conv_id", "turn", "table_no", (F.col("row_no") + 1).alias("row_no"), F.array_join("headers", "|").alias("headers"), *values)
+
+
+def _keyword_search(match):
+    def run(spark, sf_dir):
+        t = DriverTables(spark, sf_dir)
+        q = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
+        r = TX.keyword_search(t.documents, q, k=10, match=match)
+        return r.withColumn("score", fround("score", 4))
+    return run
 
 
 REGISTRY["x01_page_extraction"] = page_extraction
 REGISTRY["x05_document_inventory"] = document_inventory
 REGISTRY["x06_conversation_key_points"] = conversation_key_points
 REGISTRY["x07_conversation_sections"] = conversation_sections
-REGISTRY["x04_benchmark_keyword_search"] = benchmark_keyword_search
+REGISTRY["x07_conversation_tables"] = conversation_tables
+REGISTRY["x04_benchmark_keyword_search"] = _keyword_search("any")
+REGISTRY["x04_benchmark_keyword_search_all"] = _keyword_search("all")
 REGISTRY["x04_vector_prototype_search"] = lambda spark, sf_dir: TX.vector_prototype_search(
     DriverTables(spark, sf_dir).embeddings, k=5)
 

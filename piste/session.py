@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job in the library assumes.
 BASE_CONF = {
@@ -53,7 +54,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         sc = None
     if not path and sc is not None:
         path = sc.getCheckpointDir()
-    if not path and sc is not None and not sc.master.startswith("local"):
+    if not path and (sc is None or not sc.master.startswith("local")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="piste-ckpt-")
@@ -61,3 +62,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     if sc is not None:
         sc.setCheckpointDir(path)
     return path
+
+
+def staged(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: what several plans need is computed
+    once, and its lineage ends in files that outlive any executor."""
+    path = f"{checkpoint_root(df.sparkSession)}/piste-{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -34,6 +34,8 @@ def test_keyword_search_with_a_term_in_every_document(spark):
     docs = spark.createDataFrame([(i, "the " + ("powder " if i % 10 == 0 else "rain ") + f"doc{i}") for i in range(500)],
                                  "doc_id long, text string")
     q = spark.createDataFrame([(1, "the powder"), (2, "the")], "query_id long, text string")
-    res = TX.keyword_search(docs, q, k=1000).collect()
+    res = TX.keyword_search(docs, q, k=1000, match="all").collect()
     assert sorted(r.doc_id for r in res if r.query_id == 1) == list(range(0, 500, 10))
     assert len([r for r in res if r.query_id == 2]) == 500          # every match kept, none capped
+    best = TX.keyword_search(docs, q, k=1000).collect()
+    assert len(best) == 1000 and {r.doc_id for r in best if r.query_id == 1 and r.rank <= 50} == set(range(0, 500, 10))
