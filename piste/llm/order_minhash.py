@@ -26,7 +26,9 @@ K, SKETCH_BITS, WIDTH = 3, 5, 2
 _DIGITS = 8  # hex digits of a range in a fingerprint
 _PLACE_BITS = 26  # of a sort key, for a k-mer's place; the rest is hash
 _BLANK = "-" * _DIGITS
-#: Letters of scripts written without blanks between words, each a word with its marks.
+#: Letters of scripts written without blanks between words, each a word with its marks; before them
+#: the ranges that all of them lie in, which are cheaper to look for.
+MAY_BE_UNSPACED = r"[\u0E00-\u1FFF\u2E80-\uFAFF\x{20000}-\x{3FFFF}]"
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]\p{M}*+"
 
 
@@ -80,7 +82,7 @@ def fingerprint(text: str | Column, k: int = K, sketch_bits: int = SKETCH_BITS,
     """Fingerprint of a whole text: ``2 ** sketch_bits`` ranges of eight hex digits (or dashes)."""
     text = F.col(text) if isinstance(text, str) else text
     text = F.coalesce(text, F.lit(""))
-    spaced = F.when(text.rlike(UNSPACED), F.regexp_replace(text, f"({UNSPACED})", " $1 ")).otherwise(text)
+    spaced = F.when(text.rlike(MAY_BE_UNSPACED), F.regexp_replace(text, f"({UNSPACED})", " $1 ")).otherwise(text)
     words = F.filter(F.split(spaced, r"\s+"), lambda w: w != "")
     least = 64 - sketch_bits
     place = (1 << _PLACE_BITS) - 1
@@ -152,15 +154,17 @@ def blocked(keys: DataFrame, per_block: int, most_blocks: int) -> tuple[Column,
     return block, keys.sparkSession.createDataFrame(rows, "doc_id long, hash long, before int")
 
 
-def with_next(docs: DataFrame, keys: DataFrame, columns: list[str], per_block: int = 2048, most_blocks: int = 1 << 16) -> DataFrame:
+def with_next(docs: DataFrame, keys: DataFrame, columns: list[str], finish=lambda rows: rows, per_block: int = 2048,
+              most_blocks: int = 1 << 16) -> DataFrame:
     """Each row with ``next_<column>`` of the row after it by (doc_id, hash), nulls last; the last
     row's next is the first.  ``keys`` has the rows' (doc_id, hash), each once.
 
     The first row of every block also goes to the block before, so one shuffle by block suffices.
+    ``finish`` adds columns to rows once it is known where they go.
     """
     block, heads = blocked(keys, per_block, most_blocks)
-    rows = docs.withColumn("block", block)
-    copies = _by_key(docs, heads, "inner").withColumnRenamed("before", "block")
+    rows = finish(docs.withColumn("block", block))
+    copies = finish(_by_key(docs, heads, "inner").withColumnRenamed("before", "block"))
     both = rows.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)))
     order = Window.partitionBy("block").orderBy("copy", F.col("doc_id").asc_nulls_last(), "hash")
     return both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("not copy").drop("block", "copy")
@@ -189,12 +193,14 @@ def fingerprints(docs: DataFrame, copies_at_once: int = 1024) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
     keys = staged(own.groupBy("doc_id", "hash").agg(F.count("*").alias("n")), "keys")
+    printed = lambda rows: rows.withColumn("fingerprint", fingerprint("text"))
     again = keys.where("n > 1")
+    if again.isEmpty():
+        return edited(with_next(own.withColumn("n", F.lit(1).cast("bigint")), keys, ["text", "fingerprint"], printed)).drop("n")
     copied = _by_key(own, again, "inner").groupBy("doc_id", "hash").agg(F.first("text").alias("text"), F.first("n").alias("n"))
     once = _by_key(own, again, "left_anti").withColumn("n", F.lit(1).cast("bigint"))
-    made = once.unionByName(copied).withColumn("fingerprint", fingerprint("text"))
-    result = edited(with_next(made, keys, ["text", "fingerprint"])).drop("n")
-    repeats = copied.withColumn("fingerprint", fingerprint("text")).withColumns({"next_text": F.col("text"), "next_fingerprint": F.col("fingerprint")})
+    result = edited(with_next(once.unionByName(copied), keys, ["text", "fingerprint"], printed)).drop("n")
+    repeats = printed(copied).withColumns({"next_text": F.col("text"), "next_fingerprint": F.col("fingerprint")})
     spread = edited(repeats).withColumn("from", F.explode(F.sequence(F.lit(2).cast("bigint"), "n", F.lit(copies_at_once).cast("bigint")))).repartition("doc_id", "from")
     upto = F.least(F.col("n"), F.col("from") + copies_at_once - 1)
     return result.unionByName(spread.withColumn("i", F.explode(F.sequence("from", upto))).drop("from", "i", "n"))
