@@ -176,10 +176,17 @@ OPS = {
     "EARLY_MORNING_SCANS": "count(CASE WHEN f.scan_hour < 10 THEN 1 END)",
     "PASS_HOLDER_SHARE_PCT": "count(CASE WHEN c.is_pass_holder THEN 1 END) / NULLIF(count(f.scan_key), 0) * 100",
     "CAPACITY_UTILIZATION_PCT": "count(f.scan_key) / NULLIF(sum(lt.capacity_per_hour), 0) * 100",
+    "P95_WAIT_MINUTES_APPROX": "quantile_disc(f.wait_time_minutes, 0.95)",
 }
+ORACLE["r14_wait_percentiles_from_sketches"] = with_ctes(["fact_lift_scans", "dim_lift", "dim_date"], """
+SELECT 'lift_type' AS slice, lt.lift_type AS member, count(f.wait_time_minutes) AS scans, 0.009::DOUBLE AS rank_bound, TRUE AS within
+FROM fact_lift_scans f LEFT JOIN dim_lift lt ON f.lift_key = lt.lift_key GROUP BY 2
+UNION ALL
+SELECT 'ski_season', d.ski_season, count(f.wait_time_minutes), 0.009::DOUBLE, TRUE
+FROM fact_lift_scans f LEFT JOIN dim_date d ON f.date_key = d.date_key GROUP BY 2""")
 ORACLE["sem_operations_by_lift_type"] = single(
     LS_J, {"LIFT_TYPE": "lt.lift_type", "TERRAIN_TYPE": "lt.terrain_type"}, OPS,
-    ["AVG_WAIT_MINUTES", "P95_WAIT_MINUTES", "MAX_WAIT_MINUTES", "WEEKEND_WAIT_DELTA", "PASS_HOLDER_SHARE_PCT",
+    ["AVG_WAIT_MINUTES", "P95_WAIT_MINUTES", "P95_WAIT_MINUTES_APPROX", "MAX_WAIT_MINUTES", "WEEKEND_WAIT_DELTA", "PASS_HOLDER_SHARE_PCT",
      "CAPACITY_UTILIZATION_PCT"], ["fact_lift_scans", "dim_date", "dim_lift", "dim_customer"])
 
 PASS_PU = {
@@ -327,9 +334,17 @@ ORACLE["i03_incremental_ticket_sales"] = with_ctes(["fact_ticket_sales"], """
 SELECT sale_key, purchase_date_key, customer_key, ticket_type_key, CAST(purchase_amount AS DOUBLE) AS purchase_amount,
        ticket_category FROM fact_ticket_sales""")
 
-for _name in ("i02_filter_after_build", "i03_upsert_moved_keys", "i05_full_refresh"):  # every way equals a full build
+for _name in ("i02_filter_after_build", "i03_upsert_moved_keys", "i04_full_refresh"):  # every way equals a full build
     ORACLE[_name] = ORACLE["i03_incremental_ticket_sales"]
 
+for _mode, _channel, _payment, _columns in (
+        ("append", "purchase_date >= DATE '1998-01-01'", "purchase_date < DATE '1998-01-01'", "purchase_amount,purchase_channel,purchase_date,purchase_timestamp,sale_id"),
+        ("sync", "purchase_date >= DATE '1998-01-01'", "FALSE", "purchase_channel,purchase_date,purchase_timestamp,sale_id")):
+    ORACLE[f"i05_schema_change_{_mode}"] = with_ctes(["fact_ticket_sales"], f"""
+SELECT CAST(year(purchase_date) AS INTEGER) AS year, count(*) AS sales, count(purchase_amount) FILTER (WHERE {_payment}) AS n_purchase_amount,
+       count(purchase_channel) FILTER (WHERE {_channel}) AS n_purchase_channel, '{_columns}' AS columns
+FROM fact_ticket_sales GROUP BY 1""")
+
 _SCD_TS = "TIMESTAMP '2021-11-01 00:00:00'"
 ORACLE["d07_scd2_customer_snapshot"] = with_ctes(["dim_customer"], f"""
 SELECT CASE WHEN changed THEN {sk('customer_id', ts('valid_from'))} ELSE customer_key END AS customer_key,
@@ -351,6 +366,13 @@ FROM (
 ORACLE["t03_stream_hourly_event_load"] = """
 SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS value_sum
 FROM (SELECT DISTINCT ON (event_id) * FROM events) e GROUP BY 1, 2"""
+ORACLE["t03_stream_late_events"] = """
+WITH e AS (SELECT DISTINCT ON (event_id) * FROM events),
+b AS (SELECT epoch_us(min(ts)) AS a, (epoch_us(max(ts)) - epoch_us(min(ts))) / 4 AS step FROM events),
+p AS (SELECT e.*, date_trunc('hour', ts) AS window_start, least(floor((epoch_us(ts) - a) / step), 3) AS part, max(ts) OVER () AS newest FROM e, b)
+SELECT window_start, event_type, count(*) AS events, round(sum(value), 4) AS value_sum,
+       count(*) FILTER (WHERE part < 3 AND window_start + INTERVAL 1 HOUR <= newest - INTERVAL 2 HOUR) AS late_events
+FROM p GROUP BY 1, 2"""
 ORACLE["t01_stream_fact_lift_scans"] = with_ctes(["fact_lift_scans"], """
 SELECT date_key, count(*) AS scans, count(DISTINCT customer_key) AS riders, round(sum(wait_time_minutes), 4) AS wait_sum
 FROM (SELECT DISTINCT ON (scan_key) * FROM fact_lift_scans) f GROUP BY 1""")

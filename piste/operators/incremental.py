@@ -9,8 +9,9 @@
   mark are dropped, defect B16); a lookback re-reads a window and the upsert dedups it.
 * I03 upsert on ``unique_key``: rows of the target whose key re-arrives are replaced.
   Only partitions touched by the increment (or holding superseded keys) are rewritten:
-  the new content is staged under the target's folder, then swapped in with dynamic
-  partition overwrite, so the job never reads and overwrites the same files in one plan.
+  the new content is staged beside the target, noted in a ledger, then swapped in with dynamic
+  partition overwrite, so the job never reads and overwrites the same files in one plan and a
+  failed swap is finished, not lost.
 * I04 full refresh; I05 schema change (``append_new_columns`` keeps old columns and
   adds new ones, ``sync_all_columns`` rewrites to exactly the new schema);
 * I06 clustering: ``partition_col`` (e.g. month) + ``sortWithinPartitions(cluster_col)``
@@ -19,6 +20,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -26,8 +28,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
-
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -106,59 +106,111 @@ def _literal_like(value, dtype: str):
     return F.lit(None).cast(dtype) if value is None else F.lit(str(value)).cast(dtype)
 
 
+# -- epoch ledger ---------------------------------------------------------------------------
+def _ledger(target_path: str) -> str:
+    return f"{target_path.rstrip('/')}__ledger"
+
+
+def _mark(spark: SparkSession, path: str, text: str = "") -> None:
+    """A marker of the ledger; it exists once its success file does."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def _marked(spark: SparkSession, path: str) -> bool:
+    return path_exists(spark, f"{path}/_SUCCESS")
+
+
+def committed(spark: SparkSession, target_path: str, epoch: int) -> bool:
+    """Whether the epoch's rows are in the target."""
+    return _marked(spark, f"{_ledger(target_path)}/epoch-{epoch}")
+
+
+def _swap(spark: SparkSession, target_path: str, plan: dict) -> None:
+    """Bring staged content into the target.  Doing it again gives the same target: the staged files
+    are complete, and replace whole partitions (or the whole table)."""
+    staging, part = plan["staging"], plan["partition_col"]
+    content = spark.read.parquet(f"{staging}/content")
+    keys = [c for c in (part, plan["cluster_col"]) if c]
+    writer = (content.sortWithinPartitions(*keys) if keys else content).write.mode("overwrite")
+    if part:
+        writer = writer.partitionBy(part)
+    if plan["dynamic"]:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer.parquet(target_path)
+    if plan["dynamic"]:
+        for r in spark.read.parquet(f"{staging}/emptied").toLocalIterator():
+            delete_path(spark, r["folder"])
+    if plan["epoch"] is not None:
+        _mark(spark, f"{_ledger(target_path)}/epoch-{plan['epoch']}")
+    delete_path(spark, f"{_ledger(target_path)}/pending")
+    delete_path(spark, staging)
+
+
+def recover(spark: SparkSession, target_path: str) -> bool:
+    """Finish a swap that a failure cut short; run before every upsert.  Rows of the target that were
+    to be kept then come from the staged files, not from partitions that may be half written."""
+    pending = f"{_ledger(target_path)}/pending"
+    if not _marked(spark, pending):
+        return False
+    _swap(spark, target_path, json.loads(spark.read.text(pending).first()[0]))
+    return True
+
+
 def upsert(spark: SparkSession, new: DataFrame, target_path: str, unique_key, order_col: str | None = None,
            partition_col: str | None = None, cluster_col: str | None = None,
-           on_schema_change: str = "append_new_columns") -> dict:
+           on_schema_change: str = "append_new_columns", epoch: int | None = None) -> dict:
     """Replace rows of ``target_path`` whose ``unique_key`` (a column or a list of
     columns) re-arrives in ``new``.
 
-    One version per key wins within ``new`` (the latest by ``order_col``).  With a
-    partitioned target only the partitions holding new rows or superseded versions are
-    rewritten; the new content is staged next to the target and swapped in with dynamic
-    partition overwrite, so no plan reads and overwrites the same files.
+    One version per key wins within ``new`` (the latest by ``order_col``).  ``new`` is staged once
+    next to the target, so its joins run once.  With a partitioned target only the partitions
+    holding new rows or superseded versions are rewritten.  The new content is staged as well, the
+    ledger notes that it is complete, and only then is it swapped in: a failure before the note
+    leaves the target as it was, one after it is finished by the next call (``recover``).  With an
+    ``epoch``, content of an epoch that the ledger has is not applied again.
     """
     from pyspark.sql import Window
 
+    recover(spark, target_path)
+    if epoch is not None and committed(spark, target_path, epoch):
+        return {"mode": "skipped", "schema_changed": False}
     kcols = [unique_key] if isinstance(unique_key, str) else list(unique_key)
     if order_col:
         latest = Window.partitionBy(*kcols).orderBy(F.col(order_col).desc_nulls_last())
         new = new.withColumn("__v", F.row_number().over(latest)).filter(F.col("__v") == 1).drop("__v")
     else:
         new = new.dropDuplicates(kcols)
-    if not path_exists(spark, target_path):
-        _write(new, target_path, partition_col, cluster_col, "overwrite")
-        return {"mode": "full", "schema_changed": False}
-    old = spark.read.parquet(target_path)
-    old, new, schema_changed = _align(old, new, on_schema_change)
-    keys = new.select(*kcols).distinct()
-
     # sibling of the target on the same (shared) storage; never inside the target, which
     # an overwrite clears before writing
     staging = f"{target_path.rstrip('/')}__staging_{uuid.uuid4().hex}"
-    if partition_col and not schema_changed:
-        superseded = old.join(keys, kcols, "left_semi").select(partition_col)
-        hit_parts = new.select(partition_col).unionByName(superseded).distinct()
-        located = spark.read.parquet(target_path)
-        old_parts = (located.select(*kcols, F.col(partition_col).alias("__part"), F.url_decode(
-            F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")).alias("__dir"))
-            .join(keys, kcols, "left_semi").select("__part", "__dir").distinct())
-        kept = old.join(hit_parts, partition_col, "left_semi").join(keys, kcols, "left_anti")
-        _write(kept.unionByName(new), staging, partition_col, cluster_col, "overwrite")
-        staged = spark.read.parquet(staging).select(*old.columns)
+    plan = {"staging": staging, "partition_col": partition_col, "cluster_col": cluster_col, "dynamic": False, "epoch": epoch}
+    new.write.parquet(f"{staging}/new")
+    new = spark.read.schema(new.schema).parquet(f"{staging}/new")
+    report = {"mode": "full", "schema_changed": False}
+    if path_exists(spark, target_path):
+        old, new, changed = _align(spark.read.parquet(target_path), new, on_schema_change)
+        report = {"mode": "upsert", "schema_changed": changed}
+        keys = new.select(*kcols).distinct()
+        if partition_col and not changed:
+            plan["dynamic"] = True
+            folder = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""))
+            located = spark.read.parquet(target_path).select(*kcols, F.col(partition_col).alias("__part"), folder.alias("folder"))
+            located.join(keys, kcols, "left_semi").select("__part", "folder").distinct().write.parquet(f"{staging}/hit")
+            hit = spark.read.schema(located.select("__part", "folder").schema).parquet(f"{staging}/hit")
+            parts = new.select(F.col(partition_col).alias("__part")).unionByName(hit.select("__part")).distinct()
+            kept = old.join(parts, old[partition_col].eqNullSafe(parts["__part"]), "left_semi").join(keys, kcols, "left_anti")
+        else:
+            kept = old.join(keys, kcols, "left_anti")
+        new = kept.unionByName(new)
+    _write(new, f"{staging}/content", partition_col, cluster_col, "overwrite")
+    if plan["dynamic"]:
         # partitions whose every row was superseded by one in another partition: no staged row
-        # would overwrite them, so their folders are found now and dropped after the swap
-        filled = staged.select(partition_col).distinct()
-        parts = old_parts.join(filled, old_parts["__part"].eqNullSafe(filled[partition_col]), "left_anti")
-        emptied = [r["__dir"] for r in parts.select("__dir").distinct().collect()]
-        _write(staged, target_path, partition_col, cluster_col, "overwrite", dynamic=True)
-        for folder in emptied:
-            delete_path(spark, folder)
-    else:
-        kept = old.join(keys, kcols, "left_anti")
-        _write(kept.unionByName(new), staging, partition_col, cluster_col, "overwrite")
-        _write(spark.read.parquet(staging), target_path, partition_col, cluster_col, "overwrite")
-    delete_path(spark, staging)
-    return {"mode": "upsert", "schema_changed": schema_changed}
+        # overwrites them, so their folders are dropped with the swap
+        filled = spark.read.parquet(f"{staging}/content").select(partition_col).distinct()
+        hit.join(filled, hit["__part"].eqNullSafe(filled[partition_col]), "left_anti").select("folder").write.parquet(f"{staging}/emptied")
+    _mark(spark, f"{_ledger(target_path)}/pending", json.dumps(plan))
+    _swap(spark, target_path, plan)
+    return report
 
 
 def incremental_load(

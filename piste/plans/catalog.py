@@ -64,7 +64,7 @@ REGISTRY["sem_customer_behavior_by_segment_age"] = _sem(
 REGISTRY["sem_daily_summary_by_season_month"] = _sem(
     V.DAILY_SUMMARY, _all(V.DAILY_SUMMARY), ["SKI_SEASON", "MONTH_NAME"])
 REGISTRY["sem_operations_by_lift_type"] = _sem(
-    V.OPERATIONS, [m for m in _all(V.OPERATIONS) if not m.endswith("_APPROX")], ["LIFT_TYPE", "TERRAIN_TYPE"])
+    V.OPERATIONS, _all(V.OPERATIONS), ["LIFT_TYPE", "TERRAIN_TYPE"])
 REGISTRY["sem_passholder_by_season"] = _sem(V.PASSHOLDER, _all(V.PASSHOLDER), ["SKI_SEASON"])
 REGISTRY["sem_revenue_totals"] = _sem(V.REVENUE, ["TICKET_REVENUE", "RENTAL_REVENUE", "FNB_REVENUE", "TOTAL_REVENUE"],
                                       [])
@@ -215,6 +215,24 @@ def moved_keys(spark, sf_dir):
     return _ticket_loads(spark, sf_dir, second)
 
 
+def schema_change(mode):
+    """The history is loaded without the sales channel and with the amount, the rest the
+    other way round; ``mode`` decides which of the two columns the target has in the end."""
+    def run(spark, sf_dir):
+        st = star_for(spark, sf_dir)
+        target = f"{checkpoint_root(spark)}/piste-schema-{uuid.uuid4().hex}/sales"
+        early = F.col("purchase_date") < F.lit(INCREMENT_CUTOFF).cast("date")
+        sales = st["stg_ticket_sales"].select("sale_id", "purchase_date", "purchase_timestamp", "purchase_amount", "purchase_channel")
+        load = dict(unique_key="sale_id", watermark_col="purchase_timestamp", on_schema_change=mode)
+        incremental_load(spark, lambda s: s.drop("purchase_channel"), sales.filter(early), target, **load)
+        incremental_load(spark, lambda s: s.drop("purchase_amount"), sales, target, **load)
+        loaded = spark.read.parquet(target)
+        present = ",".join(sorted(loaded.columns))
+        values = [F.count(c).alias(f"n_{c}") if c in loaded.columns else F.lit(0).cast("bigint").alias(f"n_{c}") for c in ("purchase_amount", "purchase_channel")]
+        return loaded.groupBy(F.year("purchase_date").alias("year")).agg(F.count(F.lit(1)).alias("sales"), *values).withColumn("columns", F.lit(present))
+    return run
+
+
 SCD_CHANGE_TS = "2021-11-01 00:00:00"
 
 
@@ -236,12 +254,15 @@ def scd2_customer_snapshot(spark, sf_dir):
 REGISTRY["i02_filter_after_build"] = _loads(filter_before_build=False)
 REGISTRY["i03_incremental_ticket_sales"] = _loads()
 REGISTRY["i03_upsert_moved_keys"] = moved_keys
-REGISTRY["i05_full_refresh"] = _loads(full_refresh=True)
+REGISTRY["i04_full_refresh"] = _loads(full_refresh=True)
+REGISTRY["i05_schema_change_append"] = schema_change("append_new_columns")
+REGISTRY["i05_schema_change_sync"] = schema_change("sync_all_columns")
 REGISTRY["d07_scd2_customer_snapshot"] = scd2_customer_snapshot
 
 
 # -- Structured Streaming (T01-T04) ---------------------------------------------------------
 from piste.operators import staging as STG  # noqa: E402
+from piste.sources.driver import DriverTables  # noqa: E402
 from piste.streaming import facts as SF  # noqa: E402
 
 
@@ -288,7 +309,29 @@ def stream_fact_lift_scans(spark, sf_dir):
         F.sum("wait_time_minutes").alias("wait_sum"))
 
 
+EVENT_PARTS = 4
+
+
+def stream_late_events(spark, sf_dir):
+    """T02+T03 with late rows: the events stand in part files of equal spans of time, the newest file
+    first, and the stream takes one file per micro-batch, so all but the first batch come late."""
+    events = DriverTables(spark, sf_dir).events
+    span = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    step = (F.unix_micros(F.col("b").cast("timestamp")) - F.unix_micros(F.col("a").cast("timestamp"))) / EVENT_PARTS
+    start, step = span.select(F.unix_micros(F.col("a").cast("timestamp")), step).first()
+    root = _stream_root(spark)
+    part = F.least(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - start) / (step or 1)), F.lit(EVENT_PARTS - 1))
+    for k in reversed(range(EVENT_PARTS)):
+        events.where(part == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = SF.file_stream(spark, f"{root}/in", events.schema, max_files_per_trigger=1)
+    q = (stream.writeStream.foreachBatch(SF.merge_hours(f"{root}/hours", "ts", "event_id", "event_type", "value", "2 hours"))
+         .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return round_doubles(SF.merged_hours(spark, f"{root}/hours", "event_type"))
+
+
 REGISTRY["t03_stream_hourly_event_load"] = stream_hourly_event_load
+REGISTRY["t03_stream_late_events"] = stream_late_events
 REGISTRY["t01_stream_fact_lift_scans"] = stream_fact_lift_scans
 
 
@@ -488,7 +531,6 @@ REGISTRY["o10_bias_check"] = _mon(lambda log, as_of: MO.bias_check(log))
 
 # -- text and page mining (X01-X08) --------------------------------------------------------------
 from piste.operators import text as TX  # noqa: E402
-from piste.sources.driver import DriverTables  # noqa: E402
 
 
 def page_extraction(spark, sf_dir):
@@ -608,6 +650,7 @@ REGISTRY["p02_history_for_lags"] = lambda spark, sf_dir: FC.history_for_lags(
 
 
 # -- materialized marts ---------------------------------------------------------------------------
+from piste.operators import sketches as SK  # noqa: E402
 from piste.plans import marts as MT  # noqa: E402
 
 REVENUE_MARTS = ["dim_date", "dim_customer", "dim_location", "dim_product", "dim_ticket_type", "fact_ticket_sales",
@@ -627,6 +670,28 @@ def revenue_from_marts(spark, sf_dir):
 REGISTRY["sem_revenue_from_marts"] = revenue_from_marts
 
 
+def wait_percentiles_from_sketches(spark, sf_dir):
+    """R14/M048: 95th percentile waits by lift type and by season, both merged from one written mart of
+    daily sketches; a row says whether the estimate's true rank keeps to the sketch's bound."""
+    st = star_for(spark, sf_dir)
+    scans = st["fact_lift_scans"].select("date_key", "lift_key", "wait_time_minutes")
+    root = f"{checkpoint_root(spark)}/piste-marts-{uuid.uuid4().hex}"
+    MT.materialize({"lift_wait_sketches": SK.sketched(scans, ["date_key", "lift_key"], "wait_time_minutes")}, root, ["lift_wait_sketches"])
+    mart = MT.Marts(spark, root, ["lift_wait_sketches"])["lift_wait_sketches"]
+    lifts, days = st["dim_lift"].select("lift_key", "lift_type"), st["dim_date"].select("date_key", "ski_season")
+    out = None
+    for by, dim, key in (("lift_type", lifts, "lift_key"), ("ski_season", days, "date_key")):
+        asked = SK.merged(mart.join(dim, key, "left"), by).select(by, "values", SK.quantile("sketch", 0.95).alias("p95"))
+        ok = SK.within_bound(scans.join(dim, key, "left"), [by], "wait_time_minutes", asked, "p95", 0.95, SK.rank_bound())
+        part = asked.join(ok, asked[by].eqNullSafe(ok[by])).select(
+            F.lit(by).alias("slice"), asked[by].alias("member"), F.col("values").alias("scans"), F.lit(SK.rank_bound()).alias("rank_bound"), "within")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+REGISTRY["r14_wait_percentiles_from_sketches"] = wait_percentiles_from_sketches
+
+
 # -- R22 tail mean, R30 JSON feature blob (O01 log content) ----------------------------------------
 REGISTRY["r22_tail_7_mean_by_segment"] = lambda spark, sf_dir: round_doubles(
     FE.tail_mean(segment_training_frame(spark, sf_dir), "FULL_DATE", "UNIQUE_VISITORS", 7, SEGMENT))

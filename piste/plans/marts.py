@@ -19,7 +19,7 @@ from piste.operators.incremental import _write
 FACT_DATE_KEYS = {
     "fact_lift_scans": "date_key", "fact_pass_usage": "date_key", "fact_ticket_sales": "purchase_date_key",
     "fact_rentals": "rental_date_key", "fact_food_beverage": "transaction_date_key", "fact_weather": "date_key",
-    "fact_staffing": "date_key", "fact_marketing": "send_date_key",
+    "fact_staffing": "date_key", "fact_marketing": "send_date_key", "lift_wait_sketches": "date_key",
 }
 
 

@@ -180,8 +180,8 @@ OPERATIONS = SemanticView(
         Metric("TOTAL_SCANS", FLS, count_(FLS, "scan_key")),
         Metric("UNIQUE_RIDERS", FLS, count_distinct(FLS, "customer_key")),
         Metric("AVG_WAIT_MINUTES", FLS, avg_(FLS, "wait_time_minutes")),
-        # Exact interpolated percentile (equal to the oracle's quantile_cont); the
-        # approximate variant is P95_WAIT_MINUTES_APPROX below.
+        # Exact interpolated percentile (state: a count per distinct value of the group); the bounded
+        # variants are P95_WAIT_MINUTES_APPROX below and the daily sketches of operators/sketches.py.
         Metric("P95_WAIT_MINUTES", FLS, lambda r: F.percentile(r(FLS, "wait_time_minutes"), F.lit(0.95))),
         Metric("MAX_WAIT_MINUTES", FLS, max_(FLS, "wait_time_minutes")),
         Metric("POWDER_DAY_SCANS", FLS, count_when(equals("DIM_DATE", "snow_condition", "Excellent"))),
