@@ -321,3 +321,42 @@ SELECT o_orderkey AS sale_id,
 FROM orders o JOIN (SELECT o_custkey AS c, min(CAST(o_orderdate AS DATE)) AS first_date FROM orders
                     WHERE o_orderpriority = '1-URGENT' GROUP BY 1) f ON o.o_custkey = f.c
 WHERE o_orderpriority = '1-URGENT'""")
+
+
+# -- staging tables: the columns that declared tests look at ------------------------------------
+cte("stg_lift_scans", ["line_orders"], f"""
+SELECT {LINE_ID} AS scan_id, o_custkey AS customer_id, l_suppkey AS lift_id,
+       l_shipdate + to_hours(CAST(8 + (l_partkey + l_linenumber) % 9 AS INTEGER)) AS scan_timestamp
+FROM line_orders WHERE o_custkey IS NOT NULL AND l_suppkey IS NOT NULL AND l_shipdate IS NOT NULL""")
+cte("stg_pass_usage", ["a_pass_usage"], "SELECT usage_id FROM a_pass_usage WHERE usage_id IS NOT NULL AND customer_id IS NOT NULL AND visit_date IS NOT NULL")
+cte("stg_ticket_sales", [], "SELECT o_orderkey AS sale_id FROM orders WHERE o_orderkey IS NOT NULL")
+cte("stg_rentals", ["line_orders"], f"SELECT {LINE_ID} AS rental_id FROM line_orders WHERE l_returnflag = 'R'")
+cte("stg_food_beverage", ["line_orders"], f"SELECT {LINE_ID} AS transaction_id FROM line_orders")
+cte("stg_weather_conditions", ["a_weather"], "SELECT weather_date, mountain_zone FROM a_weather")
+cte("stg_staffing_schedule", [], """
+SELECT DISTINCT strftime(CAST(o_orderdate AS DATE), '%Y%m%d') || '-' || o_orderpriority AS schedule_id FROM orders""")
+cte("stg_marketing_touches", [], "SELECT DISTINCT strftime(CAST(ts AS DATE), '%Y%m%d') || '-' || event_type AS touch_id FROM events")
+cte("stg_marketing_campaigns", [], "SELECT DISTINCT event_type AS campaign_id FROM events")
+cte("stg_campaign_touches", [], "SELECT event_id AS touch_id FROM events")
+cte("stg_season_pass_sales", [], "SELECT o_orderkey AS sale_id FROM orders WHERE o_orderpriority = '1-URGENT'")
+cte("stg_ski_lessons", [], "SELECT event_id AS lesson_id FROM events WHERE event_type = 'purchase'")
+cte("stg_incidents", ["fact_incidents"], "SELECT incident_id, incident_type, severity FROM fact_incidents")
+cte("stg_customer_feedback", ["fact_feedback"], "SELECT feedback_id, sentiment FROM fact_feedback")
+cte("stg_instructors", [], "SELECT s_suppkey AS instructor_id FROM supplier")
+
+cte("stg_parking_occupancy", [], """
+SELECT *, total_spaces - occupied_spaces AS available_spaces, round(occupied_spaces * 100.0::DOUBLE / total_spaces, 2) AS occupancy_percent
+FROM (SELECT CAST(ts AS DATE) AS record_date, hour(ts)::INT AS record_hour, user_id % 25 AS lot_id, count(*) AS vehicles_entered,
+             (user_id % 25 * 10 + 40)::INT AS total_spaces, least(user_id % 25 * 10 + 40, count(*) * 8)::INT AS occupied_spaces,
+             sum(CAST(value AS DECIMAL(18,2))) AS revenue_collected
+      FROM events GROUP BY 1, 2, 3, user_id % 25) g""")
+cte("fact_parking", ["stg_parking_occupancy"], """
+SELECT p.*, r_name AS lot_type, (n_nationkey * 10 + 40)::INT AS lot_capacity, occupied_spaces >= p.total_spaces AS overflow_active,
+       CASE WHEN occupancy_percent >= 95 THEN 'Full' WHEN occupancy_percent >= 80 THEN 'Near Full' WHEN occupancy_percent >= 50 THEN 'Moderate'
+            ELSE 'Light' END AS occupancy_status
+FROM stg_parking_occupancy p LEFT JOIN nation ON n_nationkey = lot_id LEFT JOIN region ON n_regionkey = r_regionkey""")
+cte("stg_grooming_logs", [], """
+SELECT *, CASE machine_id % 2 WHEN 0 THEN 'night' ELSE 'early' END AS shift, n * 15 AS duration_minutes,
+       quantity % 4 IN (0, 1, 2) AND n % 3 IN (0, 1) AS condition_improved
+FROM (SELECT CAST(l_shipdate AS DATE) AS grooming_date, l_linenumber AS machine_id, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity
+      FROM lineitem GROUP BY 1, 2) g""")

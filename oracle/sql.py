@@ -277,6 +277,7 @@ FROM r FULL JOIN v ON r.SKI_SEASON IS NOT DISTINCT FROM v.SKI_SEASON""", extra=[
 
 # -- data-quality suite ------------------------------------------------------------------
 from piste.plans.catalog import MART_CHECKS, PROBE_CHECKS, STAR_CHECKS  # noqa: E402
+from piste.plans.declared_tests import declared  # noqa: E402
 
 
 def _check_rows(checks):
@@ -319,6 +320,7 @@ def _failing_values(checks):
 
 ORACLE["q06_star_quality_suite"] = _check_rows(STAR_CHECKS)
 ORACLE["q06_declared_mart_tests"] = _check_rows(MART_CHECKS)
+ORACLE["q06_declared_tests"] = _check_rows(declared())
 ORACLE["q05_stored_failures"] = _failing_values(PROBE_CHECKS)
 ORACLE["q07_visits_calendar_overlap"] = with_ctes(["fact_pass_usage", "dim_date"], """
 SELECT (SELECT min(visit_date) FROM fact_pass_usage) AS left_min, (SELECT max(visit_date) FROM fact_pass_usage) AS left_max,
@@ -329,6 +331,27 @@ SELECT (SELECT min(visit_date) FROM fact_pass_usage) AS left_min, (SELECT max(vi
           JOIN (SELECT DISTINCT full_date FROM dim_date) b ON a.visit_date = b.full_date) AS overlap_days""")
 
 
+# -- parking, grooming, employees --------------------------------------------------------
+ORACLE["f13_parking_by_status"] = with_ctes(["fact_parking"], """
+SELECT lot_type, occupancy_status, count(*) AS records, CAST(sum(vehicles_entered) AS BIGINT) AS entered,
+       round(CAST(sum(revenue_collected) AS DOUBLE), 4) AS revenue, max(lot_capacity) AS largest_lot, count(*) FILTER (WHERE overflow_active) AS overflows
+FROM fact_parking GROUP BY 1, 2""")
+ORACLE["st13_parking_by_tier"] = with_ctes(["stg_parking_occupancy"], """
+SELECT record_hour, CASE WHEN occupancy_percent >= 95 THEN 'Full' WHEN occupancy_percent >= 80 THEN 'High' WHEN occupancy_percent >= 50 THEN 'Moderate'
+                         WHEN occupancy_percent >= 20 THEN 'Low' ELSE 'Empty' END AS occupancy_tier, count(*) AS records,
+       CAST(sum(available_spaces) AS BIGINT) AS available FROM stg_parking_occupancy GROUP BY 1, 2""")
+ORACLE["st12_grooming_by_shift"] = with_ctes(["stg_grooming_logs"], """
+SELECT shift, CAST(year(grooming_date) AS INTEGER) AS year, count(*) AS runs, CAST(sum(duration_minutes) AS BIGINT) AS minutes,
+       count(*) FILTER (WHERE condition_improved) AS improved, round(avg(quantity::DOUBLE), 4) AS mean_depth
+FROM stg_grooming_logs GROUP BY 1, 2""")
+ORACLE["st18_staff_by_department"] = """
+SELECT CASE s_suppkey % 5 WHEN 0 THEN 'Lift Operations' WHEN 1 THEN 'Ticketing' WHEN 2 THEN 'Rental Services' WHEN 3 THEN 'Food & Beverage'
+            ELSE 'Guest Services' END AS department, CASE s_suppkey % 3 WHEN 0 THEN 'Attendant' WHEN 1 THEN 'Operator' ELSE 'Lead' END AS job_title,
+       count(*) AS employees, round(avg(s_suppkey % 15 + 18), 4) AS mean_rate, count(*) FILTER (WHERE s_suppkey % 3 <> 2) AS with_supervisor,
+       count(*) FILTER (WHERE s_suppkey % 3 = 2) AS supervisors
+FROM supplier GROUP BY 1, 2"""
+
+
 # -- incremental load and SCD-2 -----------------------------------------------------------
 ORACLE["i03_incremental_ticket_sales"] = with_ctes(["fact_ticket_sales"], """
 SELECT sale_key, purchase_date_key, customer_key, ticket_type_key, CAST(purchase_amount AS DOUBLE) AS purchase_amount,

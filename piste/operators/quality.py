@@ -1,15 +1,15 @@
 """Data-quality checks Q01-Q07 (the declared schema tests), as DataFrame jobs.
 
 Each check returns the *failing rows* (empty = pass), like a stored test failure table.
-``run_suite`` evaluates many checks and returns one row per check; checks on the same
-table are answered by a single aggregation pass where possible (not-null and
-accepted-values counts), so a suite does not rescan a table per test.
+``run_suite`` evaluates many checks and returns one row per check, ``failing_rows`` what fails;
+both expand every table once for all of its checks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,25 +43,6 @@ def store_failures(failures: DataFrame, path: str, mode: str = "overwrite") -> N
     failures.write.mode(mode).parquet(path)
 
 
-def failing_rows(tables, checks: Sequence[Check]) -> DataFrame:
-    """Q05: (check_name, table_name, column_name, value, n_records): what fails, by value, for
-    storing.  Rows that break one check with the same value are counted, never listed one by one."""
-    out = None
-    for c in checks:
-        cols = [c.column] if isinstance(c.column, str) else list(c.column)
-        if c.kind == "unique":
-            bad = unique(tables[c.table], *cols)
-        else:
-            bad = (not_null(tables[c.table], c.column) if c.kind == "not_null"
-                   else accepted_values(tables[c.table], c.column, c.values) if c.kind == "accepted_values"
-                   else relationships(tables[c.table], c.column, tables[c.parent], c.parent_column))
-            bad = bad.groupBy(*cols).agg(F.count(F.lit(1)).alias("n_records"))
-        part = bad.select(F.lit(c.name).alias("check_name"), F.lit(c.table).alias("table_name"), F.lit(",".join(cols)).alias("column_name"),
-                          F.concat_ws(",", *[F.col(x).cast("string") for x in cols]).alias("value"), "n_records")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 @dataclass
 class Check:
     name: str
@@ -73,45 +54,73 @@ class Check:
     values: tuple = field(default_factory=tuple)
 
 
+def _columns(check: Check) -> list[str]:
+    return [check.column] if isinstance(check.column, str) else list(check.column)
+
+
+def observations(tables, checks: Sequence[Check]) -> DataFrame:
+    """(check, key, rows, parents): what all checks need to know, from one pass over each table.
+
+    Every table is read once and expanded to a row per check and key: the key of a unique check, the
+    foreign key of a relationship on the child's side and the key it refers to on the parent's, the
+    value of a row that a not-null or accepted-values check rejects (nothing for rows that pass).
+    One shuffle on (check, key) counts them; equal keys of a task are counted before it, so a
+    hot foreign key or a column that is null throughout is a row per task.
+    """
+    wanted: dict[str, list] = {}
+
+    def expect(table: str, i: int, use, key, rows: int, parents: int) -> None:
+        entry = F.struct(F.lit(i).alias("check"), key.alias("key"), F.lit(rows).cast("bigint").alias("rows"), F.lit(parents).cast("bigint").alias("parents"))
+        wanted.setdefault(table, []).append(F.when(use, entry))
+
+    for i, c in enumerate(checks):
+        cols = _columns(c)
+        key, known = F.concat_ws(",", *[F.col(x).cast("string") for x in cols]), reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in cols])
+        if c.kind == "not_null":
+            expect(c.table, i, ~known, F.lit(""), 1, 0)
+        elif c.kind == "accepted_values":
+            expect(c.table, i, known & ~F.col(c.column).isin(list(c.values)), key, 1, 0)
+        else:
+            expect(c.table, i, known, key, 1, 0)
+        if c.kind == "relationships":
+            expect(c.parent, i, F.col(c.parent_column).isNotNull(), F.col(c.parent_column).cast("string"), 0, 1)
+    parts = [tables[t].select(F.explode(F.array(*entries)).alias("e")).where("e is not null").select("e.*") for t, entries in wanted.items()]
+    seen = reduce(DataFrame.unionByName, parts)
+    return seen.groupBy("check", "key").agg(F.sum("rows").alias("rows"), F.sum("parents").alias("parents"))
+
+
+def _failing(tables, checks: Sequence[Check]) -> DataFrame:
+    """(check, key, rows): the keys or values that fail, with the number of rows that have them."""
+    of = lambda kind: F.col("check").isin([i for i, c in enumerate(checks) if c.kind == kind])
+    bad = F.when(of("unique"), F.col("rows") > 1).when(of("relationships"), (F.col("rows") > 0) & (F.col("parents") == 0)).otherwise(F.col("rows") > 0)
+    return observations(tables, checks).where(bad).drop("parents")
+
+
+def failing_rows(tables, checks: Sequence[Check]) -> DataFrame:
+    """Q05: (check_name, table_name, column_name, value, n_records): what fails, by value, for
+    storing.  Rows that break one check with the same value are counted, never listed one by one."""
+    meta = _meta(tables, checks)
+    return _failing(tables, checks).join(meta, "check").select("check_name", "table_name", "column_name", F.col("key").alias("value"), F.col("rows").alias("n_records"))
+
+
+def _meta(tables, checks: Sequence[Check]) -> DataFrame:
+    spark = tables[checks[0].table].sparkSession
+    return spark.createDataFrame([(i, c.name, c.kind, c.table, ",".join(_columns(c))) for i, c in enumerate(checks)],
+                                 "check int, check_name string, kind string, table_name string, column_name string")
+
+
 def run_suite(tables, checks: Sequence[Check]) -> DataFrame:
     """Q06: one row per check -> (check_name, kind, table_name, column_name, failures, status).
 
-    Not-null and accepted-values checks of one table share a single conditional
-    aggregation; unique and relationships checks each need their own shuffle.
+    A unique check counts the keys that repeat, any other check the rows that fail.  All checks
+    share one pass over each table and one shuffle (``observations``).
     """
-    parts: list[DataFrame] = []
-    by_table: dict[str, list[Check]] = {}
-    for c in checks:
-        if c.kind in ("not_null", "accepted_values"):
-            by_table.setdefault(c.table, []).append(c)
-    for tname, cs in by_table.items():
-        aggs = []
-        for c in cs:
-            col = F.col(c.column)
-            bad = col.isNull() if c.kind == "not_null" else (col.isNotNull() & ~col.isin(list(c.values)))
-            aggs.append(F.count(F.when(bad, 1)).alias(c.name))
-        wide = tables[tname].agg(*aggs)
-        stack = ", ".join(f"'{c.name}', `{c.name}`" for c in cs)
-        parts.append(wide.selectExpr(f"stack({len(cs)}, {stack}) AS (check_name, failures)"))
-    for c in checks:
-        if c.kind == "unique":
-            cols = (c.column,) if isinstance(c.column, str) else tuple(c.column)
-            n = unique(tables[c.table], *cols).agg(F.count(F.lit(1)).alias("failures"))
-        elif c.kind == "relationships":
-            n = relationships(tables[c.table], c.column, tables[c.parent], c.parent_column).agg(
-                F.count(F.lit(1)).alias("failures"))
-        else:
-            continue
-        parts.append(n.select(F.lit(c.name).alias("check_name"), "failures"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    meta = out.sparkSession.createDataFrame(
-        [(c.name, c.kind, c.table, c.column if isinstance(c.column, str) else ",".join(c.column)) for c in checks],
-        "check_name string, kind string, table_name string, column_name string")
-    return meta.join(out, "check_name").select(
-        "check_name", "kind", "table_name", "column_name", F.col("failures").cast("bigint").alias("failures"),
-        F.when(F.col("failures") == 0, "pass").otherwise("fail").alias("status"))
+    unique_ids = [i for i, c in enumerate(checks) if c.kind == "unique"]
+    counted = _failing(tables, checks).groupBy("check").agg(
+        F.sum(F.when(F.col("check").isin(unique_ids), F.lit(1)).otherwise(F.col("rows"))).alias("failures"))
+    return _meta(tables, checks).join(counted, "check", "left").select(
+        "check_name", "kind", "table_name", "column_name", F.coalesce("failures", F.lit(0)).cast("bigint").alias("failures"),
+        F.when(F.coalesce("failures", F.lit(0)) == 0, "pass").otherwise("fail").alias("status"))
 
 
 def overlap_profile(left: DataFrame, left_date: str, right: DataFrame, right_date: str) -> DataFrame:

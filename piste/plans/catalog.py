@@ -155,7 +155,13 @@ def _stored_failures(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+def _all_declared(spark, sf_dir):
+    """Q06: every declared check, of staging tables, dimensions and facts, in one pass."""
+    return Q.run_suite(star_for(spark, sf_dir), declared())
+
+
 REGISTRY["q05_stored_failures"] = _stored_failures
+REGISTRY["q06_declared_tests"] = _all_declared
 REGISTRY["q06_declared_mart_tests"] = _declared_suite
 REGISTRY["q06_star_quality_suite"] = _quality_suite
 REGISTRY["q07_visits_calendar_overlap"] = _overlap
@@ -352,6 +358,39 @@ for _name, _fn in (
     REGISTRY[_name] = _named(_fn)
 
 
+# -- parking, grooming, employees (F13, ST12-ST14, ST18) --------------------------------------
+def parking_by_status(spark, sf_dir):
+    f = star_for(spark, sf_dir)["fact_parking"]
+    return f.groupBy("lot_type", "occupancy_status").agg(
+        F.count(F.lit(1)).alias("records"), F.sum("vehicles_entered").alias("entered"), F.sum("revenue_collected").cast("double").alias("revenue"),
+        F.max("lot_capacity").alias("largest_lot"), F.sum(F.col("overflow_active").cast("int")).alias("overflows"))
+
+
+def parking_by_tier(spark, sf_dir):
+    p = star_for(spark, sf_dir)["stg_parking_occupancy"]
+    return p.groupBy("record_hour", "occupancy_tier").agg(F.count(F.lit(1)).alias("records"), F.sum("available_spaces").alias("available"))
+
+
+def grooming_by_shift(spark, sf_dir):
+    g = star_for(spark, sf_dir)["stg_grooming_logs"]
+    return g.groupBy("shift", F.year("grooming_date").alias("year")).agg(
+        F.count(F.lit(1)).alias("runs"), F.sum("duration_minutes").alias("minutes"), F.sum(F.col("condition_improved").cast("int")).alias("improved"),
+        F.avg("snow_depth_inches").alias("mean_depth"))
+
+
+def staff_by_department(spark, sf_dir):
+    e = star_for(spark, sf_dir)["stg_employees"]
+    return e.groupBy("department", "job_title").agg(
+        F.count(F.lit(1)).alias("employees"), F.avg(F.col("hourly_rate").cast("double")).alias("mean_rate"),
+        F.count("reports_to").alias("with_supervisor"), F.sum(F.col("is_supervisor").cast("int")).alias("supervisors"))
+
+
+REGISTRY["f13_parking_by_status"] = lambda spark, sf_dir: round_doubles(parking_by_status(spark, sf_dir))
+REGISTRY["st13_parking_by_tier"] = parking_by_tier
+REGISTRY["st12_grooming_by_shift"] = lambda spark, sf_dir: round_doubles(grooming_by_shift(spark, sf_dir))
+REGISTRY["st18_staff_by_department"] = lambda spark, sf_dir: round_doubles(staff_by_department(spark, sf_dir))
+
+
 # -- forecasting features and evaluation (P01-P24) --------------------------------------------
 from piste.operators import features as FE  # noqa: E402
 from piste.operators import forecast as FC  # noqa: E402

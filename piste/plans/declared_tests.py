@@ -1,7 +1,5 @@
 """The declared data tests of the tables that the star builds, as a specification from which the
 checks are made: key columns (unique and not null), required columns, foreign keys, value domains.
-
-Parking, grooming and employees have no source among the given tables and are not listed.
 """
 
 from __future__ import annotations

@@ -47,7 +47,8 @@ class Star(Mapping):
         "stg_weather_conditions stg_staffing_schedule stg_customer_feedback stg_incidents stg_ski_lessons "
         "stg_instructors fact_weather fact_staffing fact_feedback fact_incidents fact_lessons "
         "stg_marketing_touches stg_marketing_campaigns stg_campaign_touches stg_season_pass_sales "
-        "fact_marketing fact_season_pass_sales"
+        "fact_marketing fact_season_pass_sales "
+        "stg_parking_lots stg_parking_occupancy stg_grooming_logs stg_employees fact_parking"
     ).split()
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -184,3 +185,19 @@ class Star(Mapping):
     def _build_fact_season_pass_sales(self):
         return FT.fact_season_pass_sales(self["stg_season_pass_sales"], self["stg_customers"],
                                          self["stg_marketing_campaigns"])
+
+    # -- parking, grooming, employees ---------------------------------------------------
+    def _build_stg_parking_lots(self):
+        return ST.stg_parking_lots(A.parking_lots(self.t))
+
+    def _build_stg_parking_occupancy(self):
+        return ST.stg_parking_occupancy(A.parking_occupancy(self.t))
+
+    def _build_stg_grooming_logs(self):
+        return ST.stg_grooming_logs(A.grooming_logs(self.t))
+
+    def _build_stg_employees(self):
+        return ST.stg_employees(A.employees(self.t))
+
+    def _build_fact_parking(self):
+        return FT.fact_parking(self["stg_parking_occupancy"], self["stg_parking_lots"])

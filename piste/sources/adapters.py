@@ -484,3 +484,52 @@ def season_pass_sales(t: DriverTables) -> DataFrame:
         .alias("campaign_id"),
         F.col("o_orderdate").alias("created_at"),
     )
+
+
+# -- parking, grooming, employees -----------------------------------------------------------
+def parking_lots(t: DriverTables) -> DataFrame:
+    """Every nation is a lot of its region's type."""
+    n = t.nation
+    k = F.col("n_nationkey")
+    return n.join(t.region, n.n_regionkey == F.col("r_regionkey"), "left").select(
+        k.cast("bigint").alias("lot_id"), F.concat(F.initcap("n_name"), F.lit(" Lot")).alias("lot_name"), F.col("r_name").alias("lot_type"),
+        (k * 10 + 40).cast("int").alias("total_spaces"), money(k % 5 + 2).alias("hourly_rate"), money(k % 7 * 3 + 15).alias("daily_max"),
+        (k * 120).cast("int").alias("distance_to_lifts_feet"), (k % 2 == 0).alias("has_shuttle"))
+
+
+def parking_occupancy(t: DriverTables) -> DataFrame:
+    """Events of a day and hour by user lot: each event stands for eight cars."""
+    lot = (F.col("user_id") % 25).cast("bigint")
+    g = t.events.groupBy(F.to_date("ts").alias("record_date"), F.hour("ts").alias("record_hour"), lot.alias("lot_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("value") > 5, 1)).alias("left"), F.sum(money(F.col("value"))).alias("revenue"))
+    spaces = (F.col("lot_id") * 10 + 40).cast("int")
+    occupied = F.least(spaces, (F.col("n") * 8).cast("int"))
+    return g.select(
+        F.concat_ws("-", F.date_format("record_date", "yyyyMMdd"), F.col("record_hour").cast("string"), F.col("lot_id").cast("string")).alias("record_id"),
+        "lot_id", "record_date", "record_hour", F.concat(F.lit("Lot "), F.col("lot_id").cast("string")).alias("lot_name"), spaces.alias("total_spaces"),
+        occupied.alias("occupied_spaces"), fround(occupied.cast("double") * 100 / spaces, 2).alias("occupancy_percent"), F.col("n").alias("vehicles_entered"),
+        F.col("left").alias("vehicles_exited"), F.col("revenue").cast("decimal(18,2)").alias("revenue_collected"), (occupied >= spaces).alias("overflow_active"),
+        F.col("record_date").cast("timestamp_ntz").alias("created_at"))
+
+
+def grooming_logs(t: DriverTables) -> DataFrame:
+    """Lines of a ship date by line number are a machine's run of that night."""
+    g = t.lineitem.groupBy(F.to_date("l_shipdate").alias("grooming_date"), F.col("l_linenumber").alias("machine_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"))
+    before = _pick((F.col("quantity") % 4).cast("int"), ["poor", "fair", "icy", "good"])
+    after = _pick((F.col("n") % 3).cast("int"), ["excellent", "good", "fair"])
+    return g.select(
+        F.concat_ws("-", F.date_format("grooming_date", "yyyyMMdd"), F.col("machine_id").cast("string")).alias("log_id"),
+        (F.col("quantity") % 50).alias("groomer_id"), "machine_id", "grooming_date", _pick((F.col("machine_id") % 2).cast("int"), ["night", "early"]).alias("shift"),
+        F.concat(F.lit("Trail "), (F.col("quantity") % 12).cast("string")).alias("trail_name"), (F.col("n") * 15).alias("duration_minutes"),
+        F.col("quantity").cast("double").alias("snow_depth_inches"), before.alias("conditions_before"), after.alias("conditions_after"),
+        F.col("grooming_date").cast("timestamp_ntz").alias("created_at"))
+
+
+def employees(t: DriverTables) -> DataFrame:
+    """Every supplier is an employee."""
+    k = F.col("s_suppkey")
+    return t.supplier.select(
+        k.alias("employee_id"), F.col("s_name").alias("employee_name"), _pick((k % 5).cast("int"), DEPARTMENTS).alias("department"),
+        _pick((k % 3).cast("int"), ["Attendant", "Operator", "Lead"]).alias("job_title"), F.when(k % 4 == 0, "seasonal").otherwise("full_time").alias("employment_type"),
+        money(k % 15 + 18).alias("hourly_rate"), (k % 3 == 2).alias("is_supervisor"), F.when(k % 3 != 2, k - k % 3 + 2).alias("reports_to"))
