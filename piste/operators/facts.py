@@ -28,11 +28,23 @@ def _lit_ts(s: str) -> Column:
     return F.lit(s).cast("timestamp_ntz")
 
 
-def _current(dim: DataFrame, id_col: str, cols: dict[str, str]) -> DataFrame:
+Need = set[str] | None
+Carry = dict[str, dict[str, str]] | None
+
+#: The dimensions that a fact looks up by natural id, with the fact's key column of each.
+CARRIES = {
+    "fact_lift_scans": {"dim_customer": "customer_key"},
+    "fact_pass_usage": {"dim_customer": "customer_key"},
+    "fact_ticket_sales": {"dim_customer": "customer_key", "dim_ticket_type": "ticket_type_key"},
+    "fact_rentals": {"dim_customer": "customer_key", "dim_product": "product_key"},
+    "fact_food_beverage": {"dim_customer": "customer_key", "dim_product": "product_key"},
+}
+
+
+def _current(dim: DataFrame, id_col: str, cols: list[tuple[str, str]]) -> DataFrame:
     """Narrow the current version of a dimension to ``id`` + renamed columns."""
     d = dim.filter(F.col("is_current")) if "is_current" in dim.columns else dim
-    d = d.select(F.col(id_col).alias(f"__{id_col}"), *[F.col(k).alias(v) for k, v in cols.items()])
-    return d
+    return d.select(F.col(id_col).alias(f"__{id_col}"), *[F.col(k).alias(v) for k, v in cols])
 
 
 def _version_key(natural: str, dim_key: str) -> Column:
@@ -47,8 +59,15 @@ def _version_key(natural: str, dim_key: str) -> Column:
     return F.coalesce(F.col(dim_key), dangling)
 
 
-def _lookup(df: DataFrame, dim: DataFrame, id_col: str, cols: dict[str, str]) -> DataFrame:
-    d = _current(dim, id_col, cols)
+def _lookup(df: DataFrame, dim: DataFrame, id_col: str, cols: dict[str, str], uses: set[str], need: Need, carry: dict[str, str] | None) -> DataFrame:
+    """``df`` with columns of the dimension's current version, and those to ``carry`` beside.
+
+    Left out altogether when none of the fact's columns that use it is needed: a left join on a
+    dimension's id adds no rows, but no planner may assume that.
+    """
+    if need is not None and not carry and not need & uses:
+        return df
+    d = _current(dim, id_col, [*cols.items(), *(carry or {}).items()])
     return df.join(d, df[id_col] == d[f"__{id_col}"], "left").drop(f"__{id_col}")
 
 
@@ -56,91 +75,75 @@ def _customer_key() -> Column:
     return _version_key("customer_id", "__c_key")
 
 
+def _with_customer(stg: DataFrame, dim_customer: DataFrame, need: Need, carry: Carry) -> DataFrame:
+    return _lookup(stg, dim_customer, "customer_id", {"customer_key": "__c_key"}, {"customer_key"}, need, (carry or {}).get("dim_customer"))
+
+
+def _columns(df: DataFrame, need: Need, carry: Carry, plain: str, **computed: Column) -> DataFrame:
+    """The fact's ``computed`` and ``plain`` (passed through) columns, or those needed, and what it carries."""
+    out = computed | {c: F.col(c) for c in plain.split()}
+    return df.select(*[c.alias(n) for n, c in out.items() if need is None or n in need], *[a for spec in (carry or {}).values() for a in spec.values()])
+
+
 # F01
-def fact_lift_scans(stg: DataFrame, dim_customer: DataFrame, load_ts: str) -> DataFrame:
-    s = _lookup(stg, dim_customer, "customer_id", {"customer_key": "__c_key"})
-    return s.select(
-        surrogate_key(F.col("scan_id")).alias("scan_key"),
-        date_key("scan_date").alias("date_key"),
-        _customer_key().alias("customer_key"),
-        surrogate_key(F.col("lift_id")).alias("lift_key"),
-        "scan_id", "customer_id", "lift_id", "scan_timestamp", "wait_time_minutes", "temperature_f",
-        "weather_condition", "scan_hour", "day_of_week",
-        _lit_ts(load_ts).alias("created_at"),
-    )
+def fact_lift_scans(stg: DataFrame, dim_customer: DataFrame, load_ts: str, need: Need = None, carry: Carry = None) -> DataFrame:
+    return _columns(
+        _with_customer(stg, dim_customer, need, carry), need, carry,
+        "scan_id customer_id lift_id scan_timestamp wait_time_minutes temperature_f weather_condition scan_hour day_of_week",
+        scan_key=surrogate_key(F.col("scan_id")), date_key=date_key("scan_date"), customer_key=_customer_key(),
+        lift_key=surrogate_key(F.col("lift_id")), created_at=_lit_ts(load_ts))
 
 
 # F02
-def fact_pass_usage(stg: DataFrame, dim_customer: DataFrame, load_ts: str) -> DataFrame:
-    s = _lookup(stg, dim_customer, "customer_id", {"customer_key": "__c_key"})
-    return s.select(
-        surrogate_key(F.col("usage_id")).alias("usage_key"),
-        date_key("visit_date").alias("date_key"),
-        _customer_key().alias("customer_key"),
-        "usage_id", "customer_id", "visit_date", "first_scan_time", "last_scan_time", "total_lift_rides",
-        "hours_on_mountain", "is_weekend",
-        _lit_ts(load_ts).alias("created_at"),
-    )
+def fact_pass_usage(stg: DataFrame, dim_customer: DataFrame, load_ts: str, need: Need = None, carry: Carry = None) -> DataFrame:
+    return _columns(
+        _with_customer(stg, dim_customer, need, carry), need, carry,
+        "usage_id customer_id visit_date first_scan_time last_scan_time total_lift_rides hours_on_mountain is_weekend",
+        usage_key=surrogate_key(F.col("usage_id")), date_key=date_key("visit_date"), customer_key=_customer_key(), created_at=_lit_ts(load_ts))
 
 
 # F03
-def fact_ticket_sales(stg: DataFrame, dim_customer: DataFrame, dim_ticket_type: DataFrame) -> DataFrame:
-    s = _lookup(stg, dim_customer, "customer_id", {"customer_key": "__c_key"})
-    s = _lookup(s, dim_ticket_type, "ticket_type_id",
-                {"ticket_type_key": "__tt_key", "ticket_category": "ticket_category",
-                 "access_level": "access_level", "price": "list_price"})
-    return s.select(
-        surrogate_key(F.col("sale_id")).alias("sale_key"),
-        date_key("purchase_date").alias("purchase_date_key"),
-        _customer_key().alias("customer_key"),
-        surrogate_key(F.col("location_id")).alias("location_key"),
-        _version_key("ticket_type_id", "__tt_key").alias("ticket_type_key"),
-        "sale_id", "customer_id", "ticket_type_id", "location_id", "purchase_timestamp", "purchase_date",
-        "purchase_hour", "valid_from_date", "valid_to_date", "days_until_valid", "purchase_amount",
-        "payment_method", "purchase_channel", "is_advance_purchase", "created_at",
-        "ticket_category", "access_level", "list_price",
-        (F.col("list_price") - F.col("purchase_amount")).alias("discount_amount"),
-    )
+def fact_ticket_sales(stg: DataFrame, dim_customer: DataFrame, dim_ticket_type: DataFrame, need: Need = None, carry: Carry = None) -> DataFrame:
+    s = _lookup(_with_customer(stg, dim_customer, need, carry), dim_ticket_type, "ticket_type_id",
+                {"ticket_type_key": "__tt_key", "ticket_category": "ticket_category", "access_level": "access_level", "price": "list_price"},
+                {"ticket_type_key", "ticket_category", "access_level", "list_price", "discount_amount"}, need, (carry or {}).get("dim_ticket_type"))
+    return _columns(
+        s, need, carry,
+        "sale_id customer_id ticket_type_id location_id purchase_timestamp purchase_date purchase_hour valid_from_date valid_to_date "
+        "days_until_valid purchase_amount payment_method purchase_channel is_advance_purchase created_at ticket_category access_level list_price",
+        sale_key=surrogate_key(F.col("sale_id")), purchase_date_key=date_key("purchase_date"), customer_key=_customer_key(),
+        location_key=surrogate_key(F.col("location_id")), ticket_type_key=_version_key("ticket_type_id", "__tt_key"),
+        discount_amount=F.col("list_price") - F.col("purchase_amount"))
+
+
+_PRODUCT = {"product_key": "__p_key", "product_category": "product_category", "product_type": "product_type", "price": "list_price"}
+_OF_PRODUCT = {"product_key", "product_category", "product_type", "list_price"}
 
 
 # F04
-def fact_rentals(stg: DataFrame, dim_customer: DataFrame, dim_product: DataFrame) -> DataFrame:
-    s = _lookup(stg, dim_customer, "customer_id", {"customer_key": "__c_key"})
-    s = _lookup(s, dim_product, "product_id",
-                {"product_key": "__p_key", "product_category": "product_category",
-                 "product_type": "product_type", "price": "list_price"})
-    return s.select(
-        surrogate_key(F.col("rental_id")).alias("rental_key"),
-        date_key("rental_date").alias("rental_date_key"),
-        date_key("return_date").alias("return_date_key"),
-        _customer_key().alias("customer_key"),
-        surrogate_key(F.col("location_id")).alias("location_key"),
-        _version_key("product_id", "__p_key").alias("product_key"),
-        "rental_id", "customer_id", "location_id", "product_id", "rental_timestamp", "rental_date",
-        "rental_hour", "return_timestamp", "return_date", "return_hour", "returned_same_day",
-        "rental_duration_hours", "rental_amount", "created_at", "product_category", "product_type",
-        "list_price",
-        (F.col("rental_amount") - F.col("list_price")).alias("rental_markup"),
-    )
+def fact_rentals(stg: DataFrame, dim_customer: DataFrame, dim_product: DataFrame, need: Need = None, carry: Carry = None) -> DataFrame:
+    s = _lookup(_with_customer(stg, dim_customer, need, carry), dim_product, "product_id", _PRODUCT, _OF_PRODUCT | {"rental_markup"}, need,
+                (carry or {}).get("dim_product"))
+    return _columns(
+        s, need, carry,
+        "rental_id customer_id location_id product_id rental_timestamp rental_date rental_hour return_timestamp return_date return_hour "
+        "returned_same_day rental_duration_hours rental_amount created_at product_category product_type list_price",
+        rental_key=surrogate_key(F.col("rental_id")), rental_date_key=date_key("rental_date"), return_date_key=date_key("return_date"),
+        customer_key=_customer_key(), location_key=surrogate_key(F.col("location_id")), product_key=_version_key("product_id", "__p_key"),
+        rental_markup=F.col("rental_amount") - F.col("list_price"))
 
 
 # F05
-def fact_food_beverage(stg: DataFrame, dim_customer: DataFrame, dim_product: DataFrame) -> DataFrame:
-    s = _lookup(stg, dim_customer, "customer_id", {"customer_key": "__c_key"})
-    s = _lookup(s, dim_product, "product_id",
-                {"product_key": "__p_key", "product_category": "product_category",
-                 "product_type": "product_type", "price": "list_price"})
-    return s.select(
-        surrogate_key(F.col("transaction_id")).alias("transaction_key"),
-        date_key("transaction_date").alias("transaction_date_key"),
-        _customer_key().alias("customer_key"),
-        surrogate_key(F.col("location_id")).alias("location_key"),
-        _version_key("product_id", "__p_key").alias("product_key"),
-        "transaction_id", "customer_id", "location_id", "product_id", "transaction_timestamp",
-        "transaction_date", "transaction_hour", "quantity", "unit_price", "total_amount", "payment_method",
-        "created_at", "product_category", "product_type", "list_price",
-        (F.col("total_amount") - F.col("quantity") * F.col("list_price")).alias("upsell_amount"),
-    )
+def fact_food_beverage(stg: DataFrame, dim_customer: DataFrame, dim_product: DataFrame, need: Need = None, carry: Carry = None) -> DataFrame:
+    s = _lookup(_with_customer(stg, dim_customer, need, carry), dim_product, "product_id", _PRODUCT, _OF_PRODUCT | {"upsell_amount"}, need,
+                (carry or {}).get("dim_product"))
+    return _columns(
+        s, need, carry,
+        "transaction_id customer_id location_id product_id transaction_timestamp transaction_date transaction_hour quantity unit_price "
+        "total_amount payment_method created_at product_category product_type list_price",
+        transaction_key=surrogate_key(F.col("transaction_id")), transaction_date_key=date_key("transaction_date"), customer_key=_customer_key(),
+        location_key=surrogate_key(F.col("location_id")), product_key=_version_key("product_id", "__p_key"),
+        upsell_amount=F.col("total_amount") - F.col("quantity") * F.col("list_price"))
 
 
 def _date_lookup(df: DataFrame, dim_date: DataFrame, on: str, out: str = "date_key") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from piste.functions.core import fround, safe_div
 from piste.plans import views as V
 from piste.plans.semantic import _combine, query
+from piste.plans.star import take
 
 Tables = Mapping[str, DataFrame]
 
@@ -24,7 +25,7 @@ def _dim(df: DataFrame, *cols: str) -> DataFrame:
 
 def n01_avg_wait_by_lift_top5(t: Tables) -> DataFrame:
     """Average wait by lift, highest five (ties broken by lift name)."""
-    f = t["fact_lift_scans"].select("lift_key", "wait_time_minutes")
+    f = take(t, "fact_lift_scans", "lift_key", "wait_time_minutes")
     lifts = _dim(t["dim_lift"], "lift_key", "lift_name")
     g = f.join(lifts, "lift_key").groupBy("lift_name").agg(
         fround(F.avg(F.col("wait_time_minutes").cast("double")), 2).alias("AVG_WAIT"))
@@ -44,7 +45,7 @@ def n03_powder_days(t: Tables) -> DataFrame:
 
 
 def _pass_with_customer(t: Tables, *cust_cols: str) -> DataFrame:
-    f = t["fact_pass_usage"]
+    f = take(t, "fact_pass_usage", "customer_key", "total_lift_rides")
     c = _dim(t["dim_customer"], "customer_key", *cust_cols)
     return f.join(c, "customer_key")
 
@@ -84,11 +85,14 @@ def n07_visits_by_segment(t: Tables) -> DataFrame:
 
 def _behavior_rows(t: Tables, *cols: str) -> DataFrame:
     """Row-level sem_customer_behavior (fact + date + customer), columns as named."""
-    f = t["fact_pass_usage"]
-    d = _dim(t["dim_date"], "date_key", *[c for c in cols if c in ("ski_season", "week_of_season", "is_weekend")])
-    c = _dim(t["dim_customer"], "customer_key",
-             *[c for c in cols if c in ("customer_segment", "is_pass_holder", "state", "age_group")])
-    return f.join(d, "date_key", "left").join(c, "customer_key", "left")
+    of_day = [c for c in cols if c in ("ski_season", "week_of_season")]
+    of_customer = [c for c in cols if c in ("customer_segment", "is_pass_holder", "state", "age_group")]
+    if hasattr(t, "narrow"):
+        f = t.narrow("fact_pass_usage", ["date_key"], {"dim_customer": {c: c for c in of_customer}} if of_customer else None)
+    else:
+        f = t["fact_pass_usage"].select("date_key", "customer_key")
+        f = f.join(_dim(t["dim_customer"], "customer_key", *of_customer), "customer_key", "left") if of_customer else f
+    return f.join(_dim(t["dim_date"], "date_key", *of_day), "date_key", "left") if of_day else f
 
 
 def n08_season_by_pass_holder(t: Tables) -> DataFrame:
@@ -128,7 +132,7 @@ def n09_yoy_by_week_of_season(t: Tables) -> DataFrame:
 
 
 def n10_weekend_vs_weekday_waits(t: Tables) -> DataFrame:
-    f = t["fact_lift_scans"].select("date_key", "wait_time_minutes")
+    f = take(t, "fact_lift_scans", "date_key", "wait_time_minutes")
     d = _dim(t["dim_date"], "date_key", "is_weekend")
     return f.join(d, "date_key", "left").groupBy(F.col("is_weekend").alias("IS_WEEKEND")).agg(
         F.count(F.lit(1)).alias("SCANS"),
@@ -136,7 +140,7 @@ def n10_weekend_vs_weekday_waits(t: Tables) -> DataFrame:
 
 
 def n10_hourly_profile(t: Tables) -> DataFrame:
-    return t["fact_lift_scans"].groupBy(F.col("scan_hour").alias("SCAN_HOUR")).agg(
+    return take(t, "fact_lift_scans", "scan_hour", "wait_time_minutes").groupBy(F.col("scan_hour").alias("SCAN_HOUR")).agg(
         F.count(F.lit(1)).alias("SCANS"),
         fround(F.avg(F.col("wait_time_minutes").cast("double")), 4).alias("AVG_WAIT"),
     ).orderBy("SCAN_HOUR")
@@ -148,7 +152,7 @@ def _daily(df: DataFrame, date_col: str, **aggs) -> DataFrame:
 
 def n11_weather_vs_attendance(t: Tables) -> DataFrame:
     """Daily visitors joined to daily weather, then their correlation per zone."""
-    visits = _daily(t["fact_pass_usage"], "visit_date", visitors=F.countDistinct("customer_id"))
+    visits = _daily(take(t, "fact_pass_usage", "visit_date", "customer_id"), "visit_date", visitors=F.countDistinct("customer_id"))
     w = t["fact_weather"].select(F.col("weather_date").alias("day"), "mountain_zone", "snowfall_inches",
                                  "temp_high_f")
     j = w.join(visits, "day")
@@ -160,7 +164,7 @@ def n11_weather_vs_attendance(t: Tables) -> DataFrame:
 
 
 def n12_snowfall_vs_revenue(t: Tables) -> DataFrame:
-    rev = _daily(t["fact_ticket_sales"], "purchase_date", revenue=F.sum("purchase_amount").cast("double"))
+    rev = _daily(take(t, "fact_ticket_sales", "purchase_date", "purchase_amount"), "purchase_date", revenue=F.sum("purchase_amount").cast("double"))
     snow = t["fact_weather"].groupBy(F.col("weather_date").alias("day")).agg(
         F.max("snowfall_inches").alias("max_snowfall"))
     j = snow.join(rev, "day")

@@ -180,16 +180,21 @@ def _fact_frame(view: SemanticView, tables: dict[str, DataFrame], fact: str,
     """Fact columns (+ join keys) with only the dimension tables that are used joined on."""
     fact_t = view.table(fact)
     joins = []
-    fact_cols = set(used.get(fact.upper(), set()))
     for alias, cols in used.items():
         if alias == fact.upper():
             continue
         rel = view.relationship(fact, alias)
         if rel is None:
             raise ValueError(f"{view.name}: {alias} is not reachable from {fact}")
-        fact_cols.add(rel.fact_key.lower())
         joins.append((rel, view.table(alias), cols))
-    df = tables[fact_t.source].select(*[F.col(c).alias(Resolver.name(fact, c)) for c in sorted(fact_cols)])
+    # a star joins some dimensions to build the fact: take their columns from those joins
+    known = tables.carries(fact_t.source) if hasattr(tables, "carries") else {}
+    carried = {dim_t.source: {c: Resolver.name(dim_t.alias, c) for c in sorted(cols)} for rel, dim_t, cols in joins
+               if known.get(dim_t.source) == rel.fact_key and dim_t.primary_key == rel.fact_key}
+    joins = [j for j in joins if j[1].source not in carried]
+    fact_cols = sorted(set(used.get(fact.upper(), set())) | {rel.fact_key.lower() for rel, _, _ in joins})
+    src = tables.narrow(fact_t.source, fact_cols, carried) if known else tables[fact_t.source]
+    df = src.select(*[F.col(c).alias(Resolver.name(fact, c)) for c in fact_cols], *[a for spec in carried.values() for a in spec.values()])
     for rel, dim_t, cols in sorted(joins, key=lambda j: j[0].name):
         pk = f"__pk_{dim_t.alias.upper()}"
         src = tables[dim_t.source]

@@ -29,6 +29,11 @@ AS_OF = A.AS_OF_DATE
 LOAD_TS = f"{AS_OF} 00:00:00"
 
 
+def take(tables: Mapping[str, DataFrame], name: str, *columns: str) -> DataFrame:
+    """Some columns of a table; a star then leaves out joins that they do not need."""
+    return tables.narrow(name, columns) if hasattr(tables, "narrow") else tables[name].select(*columns)
+
+
 class Star(Mapping):
     def __init__(self, spark: SparkSession, sf_dir: str, as_of: str = AS_OF,
                  spine_start: str = DRIVER_SPINE_START, spine_days: int = DRIVER_SPINE_DAYS):
@@ -58,6 +63,18 @@ class Star(Mapping):
             self._memo[name] = getattr(self, f"_build_{name}")()
         return self._memo[name]
 
+    def carries(self, name: str) -> dict[str, str]:
+        """Dimensions whose columns the fact can bring along, with the fact's key of each."""
+        return FT.CARRIES.get(name, {})
+
+    def narrow(self, name: str, columns, carry: FT.Carry = None) -> DataFrame:
+        """The named columns of a table.  A fact is built for just these columns: dimensions that
+        none of them needs are not joined, and ``carry`` ({dimension: {column: alias}}) takes further
+        columns from the joins that are made."""
+        if name in FT.CARRIES:
+            return getattr(self, f"_build_{name}")(set(columns), carry)
+        return self[name].select(*columns)
+
     def __iter__(self):
         return iter(self._BUILDERS)
 
@@ -117,20 +134,20 @@ class Star(Mapping):
         return ST.stg_food_beverage(A.food_beverage(self.t))
 
     # -- facts --------------------------------------------------------------------
-    def _build_fact_lift_scans(self):
-        return FT.fact_lift_scans(self["stg_lift_scans"], self["dim_customer"], LOAD_TS)
+    def _build_fact_lift_scans(self, need: FT.Need = None, carry: FT.Carry = None):
+        return FT.fact_lift_scans(self["stg_lift_scans"], self["dim_customer"], LOAD_TS, need, carry)
 
-    def _build_fact_pass_usage(self):
-        return FT.fact_pass_usage(self["stg_pass_usage"], self["dim_customer"], LOAD_TS)
+    def _build_fact_pass_usage(self, need: FT.Need = None, carry: FT.Carry = None):
+        return FT.fact_pass_usage(self["stg_pass_usage"], self["dim_customer"], LOAD_TS, need, carry)
 
-    def _build_fact_ticket_sales(self):
-        return FT.fact_ticket_sales(self["stg_ticket_sales"], self["dim_customer"], self["dim_ticket_type"])
+    def _build_fact_ticket_sales(self, need: FT.Need = None, carry: FT.Carry = None):
+        return FT.fact_ticket_sales(self["stg_ticket_sales"], self["dim_customer"], self["dim_ticket_type"], need, carry)
 
-    def _build_fact_rentals(self):
-        return FT.fact_rentals(self["stg_rentals"], self["dim_customer"], self["dim_product"])
+    def _build_fact_rentals(self, need: FT.Need = None, carry: FT.Carry = None):
+        return FT.fact_rentals(self["stg_rentals"], self["dim_customer"], self["dim_product"], need, carry)
 
-    def _build_fact_food_beverage(self):
-        return FT.fact_food_beverage(self["stg_food_beverage"], self["dim_customer"], self["dim_product"])
+    def _build_fact_food_beverage(self, need: FT.Need = None, carry: FT.Carry = None):
+        return FT.fact_food_beverage(self["stg_food_beverage"], self["dim_customer"], self["dim_product"], need, carry)
 
     # -- operations facts derived from the driver data ------------------------------
     def _build_stg_weather_conditions(self):
