@@ -811,3 +811,30 @@ SELECT f.seg AS CUSTOMER_SEGMENT, f.d AS FULL_DATE, {_FF_LAGS}, {_FF_ROLL},
 FROM (SELECT s.seg, CAST(st.start + INTERVAL (i) DAY AS DATE) AS d, st.start
       FROM (SELECT DISTINCT CUSTOMER_SEGMENT AS seg FROM tf) s,
            (SELECT CAST(max(FULL_DATE) + 1 AS DATE) AS start FROM tf) st, range(14) r(i)) f""", extra=[("tf", TF_BODY)])
+
+_DOW = "(isodow(f.d) - 1)"
+ORACLE["p18_model_inputs"] = with_ctes([*TF_CTES, "fact_weather", "dim_date"], f"""
+SELECT f.seg AS CUSTOMER_SEGMENT, f.d AS FULL_DATE, {_FF_LAGS}, {_FF_ROLL},
+       CAST({_DOW} AS INTEGER) AS day_of_week, CAST(month(f.d) AS INTEGER) AS month, CAST(dayofweek(f.d) IN (0, 6) AS INTEGER) AS is_weekend,
+       CAST(c.is_holiday AS INTEGER) AS is_holiday, n.*, 1 AS snow_condition_encoded,
+       round(sin(2 * pi() * {_DOW} / 7.0), 4) AS day_sin, round(cos(2 * pi() * {_DOW} / 7.0), 4) AS day_cos,
+       round(sin(2 * pi() * month(f.d) / 12.0), 4) AS month_sin, round(cos(2 * pi() * month(f.d) / 12.0), 4) AS month_cos,
+       {", ".join(f"CASE WHEN {_DOW} = {i} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS day_{i}" for i in range(7))}
+FROM (SELECT s.seg, CAST(st.start + INTERVAL (i) DAY AS DATE) AS d, st.start
+      FROM (SELECT DISTINCT CUSTOMER_SEGMENT AS seg FROM tf) s,
+           (SELECT CAST(max(FULL_DATE) + 1 AS DATE) AS start FROM tf) st, range(14) r(i)) f
+LEFT JOIN dim_date c ON c.full_date = f.d,
+(SELECT round(coalesce(avg(snowfall_inches), 5.0), 4) AS snowfall_inches, round(coalesce(avg(base_depth_inches), 100.0), 4) AS base_depth_inches,
+        round(coalesce(avg(avg_temp_f), 28.0), 4) AS avg_temp_f, round(coalesce(avg(wind_speed_mph), 12.0), 4) AS wind_speed_mph,
+        CAST(coalesce(avg(CAST(is_powder_day AS INTEGER)), 0) > 0.3 AS INTEGER) AS is_powder_day, 0 AS is_high_wind
+ FROM fact_weather w JOIN dim_date d ON w.date_key = d.date_key
+ WHERE d.month_num = (SELECT month(CAST(max(FULL_DATE) + 1 AS DATE)) FROM tf)) n""", extra=[("tf", TF_BODY)])
+ORACLE["p22_daily_staffing_bands"] = with_ctes(["fact_pass_usage", "dim_date"], """
+SELECT ski_season, level, CASE level WHEN 'closed' THEN '0' WHEN 'quiet' THEN '2' WHEN 'steady' THEN '4' WHEN 'busy' THEN '8' ELSE '12+' END AS lift_operators,
+       count(*) AS days, max(visitors) AS most_visitors
+FROM (SELECT ski_season, visitors, CASE WHEN visitors < 1 THEN 'closed' WHEN visitors < 4 THEN 'quiet' WHEN visitors < 10 THEN 'steady'
+                                        WHEN visitors < 60 THEN 'busy' ELSE 'peak' END AS level
+      FROM (SELECT d.ski_season, coalesce(v.n, 0) AS visitors FROM dim_date d
+            LEFT JOIN (SELECT date_key, count(DISTINCT customer_id) AS n FROM fact_pass_usage GROUP BY 1) v ON v.date_key = d.date_key) x) y
+GROUP BY 1, 2, 3"""
+)

@@ -6,7 +6,9 @@ plain, and the planner broadcasts a side whose bytes are below its threshold.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from piste.functions.core import date_key, dow0, surrogate_key, ts_text, year_boundary_diff
@@ -144,51 +146,51 @@ def dim_ticket_type(raw: DataFrame, valid_from: str = CATALOG_VALID_FROM) -> Dat
 
 def scd2_merge(current: DataFrame, incoming: DataFrame, key: str, tracked: list[str], ts: str,
                key_name: str | None = None) -> DataFrame:
-    """Type-2 merge of an incoming snapshot into a versioned dimension.
+    """Type-2 merge of a snapshot taken at ``ts`` into a versioned dimension.
+
+    A snapshot speaks about the version that holds at ``ts``, which need not be the open one:
+    snapshots may arrive out of order.  For a key that is in both,
 
-    * unchanged keys keep their open version;
-    * a change in any tracked column (NULL-safe compare) closes the open version at
-      ``ts`` and opens a new one from ``ts``;
-    * new keys open a first version; keys absent from the snapshot stay open;
-    * closed history passes through untouched.
+    * nothing changes if no tracked column differs (NULL-safe) from that version;
+    * else the version ends at ``ts`` and a new one takes over its remaining time, open if it was
+      open; a version that began at ``ts`` itself is replaced;
+    * a snapshot older than the first version adds one before it, or, if nothing differs, lets the
+      first one begin at ``ts``.
 
-    One shuffle on ``key`` (the full outer join); no per-key driver logic.
+    New keys open a first version; keys absent from the snapshot and all other versions pass
+    through.  Of columns that the snapshot lacks, a new version keeps the values of the version it
+    takes over.  One join on ``key``; every joined row turns into its one or two versions in place.
     """
-    ts_col = _ts(ts)
-    attrs = [c for c in incoming.columns if c != key]
-    hist = current.filter(~F.col("is_current"))
-    open_ = current.filter(F.col("is_current"))
-
-    cur = open_.select(key, *[F.col(c).alias(f"__cur_{c}") for c in open_.columns if c != key])
-    inc = incoming.select(key, *[F.col(c).alias(f"__new_{c}") for c in attrs], F.lit(True).alias("__in_new"))
-    j = cur.join(inc, key, "full_outer")
-
-    changed = None
-    for c in tracked:
-        diff = ~F.col(f"__cur_{c}").eqNullSafe(F.col(f"__new_{c}"))
-        changed = diff if changed is None else changed | diff
-    has_cur = F.col("__cur_is_current").isNotNull()
-    has_new = F.col("__in_new").isNotNull()
-
-    def version(src: str, valid_from: Column, valid_to: Column, is_current: bool) -> list[Column]:
-        cols = [F.col(key)]
-        for c in open_.columns:
-            if c in (key, "valid_from", "valid_to", "is_current") or c == key_name:
-                continue
-            if src == "new" and c in attrs:
-                cols.append(F.col(f"__new_{c}").alias(c))
-            else:
-                cols.append(F.col(f"__cur_{c}").alias(c))
-        return cols + [valid_from.alias("valid_from"), valid_to.alias("valid_to"),
-                       F.lit(is_current).alias("is_current")]
-
-    keep = j.filter(has_cur & (~has_new | ~changed)).select(
-        *version("cur", F.col("__cur_valid_from"), F.col("__cur_valid_to"), True))
-    closed = j.filter(has_cur & has_new & changed).select(*version("cur", F.col("__cur_valid_from"), ts_col, False))
-    opened = j.filter(has_new & (~has_cur | changed)).select(*version("new", ts_col, _ts(OPEN_END), True))
-
-    hist_cols = [c for c in hist.columns if c != key_name]
-    out = hist.select(*hist_cols).unionByName(keep).unionByName(closed).unionByName(opened)
+    now = _ts(ts)
+    columns = [c for c in current.columns if c != key_name]
+    attrs = [c for c in columns if c not in (key, "valid_from", "valid_to", "is_current")]
+    given = set(incoming.columns) - {key}
+    first = F.min("valid_from").over(Window.partitionBy(key))
+    versions = current.select(*columns).withColumn("__first", first).withColumn("__old", F.lit(True))
+    snapshot = incoming.select(key, *[F.col(c).alias(f"__new_{c}") for c in sorted(given)], F.lit(True).alias("__in"))
+    j = versions.join(snapshot, key, "full_outer")
+
+    old, new = F.col("__old").isNotNull(), F.col("__in").isNotNull()
+    differs = reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"__new_{c}")) for c in tracked])
+    start, end = F.col("valid_from"), F.col("valid_to")
+    holds, oldest = (start <= now) & (now < end), (start == F.col("__first")) & (now < start)
+
+    def version(fresh: bool, valid_from: Column, valid_to: Column, open_: Column) -> Column:
+        values = [F.col(f"__new_{c}") if fresh and c in given else F.col(c) for c in attrs]
+        return F.struct(F.col(key).alias(key), *[v.cast(current.schema[c].dataType).alias(c) for v, c in zip(values, attrs)],
+                        valid_from.alias("valid_from"), valid_to.alias("valid_to"), open_.alias("is_current"))
+
+    keep = version(False, start, end, F.col("is_current"))
+    taken_over = version(True, now, end, F.col("is_current"))
+    closed = version(False, start, now, F.lit(False))
+    made = (F.when(~old, F.array(version(True, now, _ts(OPEN_END), F.lit(True))))
+            .when(~new, F.array(keep))
+            .when(holds & differs & (start == now), F.array(taken_over))
+            .when(holds & differs, F.array(closed, taken_over))
+            .when(oldest & differs, F.array(version(True, now, start, F.lit(False)), keep))
+            .when(oldest, F.array(version(False, now, end, F.col("is_current"))))
+            .otherwise(F.array(keep)))
+    out = j.select(F.explode(made).alias("v")).select("v.*").select(*columns)
     if key_name:
-        out = out.select(surrogate_key(F.col(key), ts_text("valid_from")).alias(key_name), *hist_cols)
+        out = out.select(surrogate_key(F.col(key), ts_text("valid_from")).alias(key_name), *columns)
     return out

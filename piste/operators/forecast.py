@@ -217,6 +217,16 @@ def train_gbt(train: DataFrame, features: list[str], label: str, max_iter: int =
     return Pipeline(stages=[asm, gbt]).fit(train)
 
 
+def best_iteration(model) -> int:
+    """How many trees early stopping kept."""
+    return model.stages[-1].getNumTrees
+
+
+def refit_all(frame: DataFrame, validated, features: list[str], label: str, **options):
+    """The production model, fitted to all rows with as many trees as the validation run kept."""
+    return train_gbt(frame, features, label, max_iter=best_iteration(validated), **options)
+
+
 def regression_metrics(pred: DataFrame, label: str, prediction: str = "prediction",
                        group: list[str] | None = None) -> DataFrame:
     """MAE, RMSE, MAPE (rows with label > 0), R^2 as one aggregation (per group)."""
@@ -255,6 +265,45 @@ def staffing_band(visitors) -> F.Column:
     return expr.otherwise(PEAK_LEVEL[0])
 
 
+MOST_BANDS = 1000
+
+
+def default_bands(spark) -> DataFrame:
+    """The fixed staffing levels as a band table."""
+    rows, low = [], 0
+    for name, high, lifts, food in [*STAFFING_LEVELS, PEAK_LEVEL]:
+        rows.append((name, low, high, lifts, food))
+        low = high
+    return spark.createDataFrame(rows, "level string, min_visitors long, max_visitors long, lift_operators string, f_and_b string")
+
+
+def checked_bands(bands: DataFrame) -> list:
+    """The band table's rows in order.  Bands are [min_visitors, max_visitors), from 0 on, the last one
+    without end; gaps, overlaps, empty bands and more than MOST_BANDS rows are errors."""
+    rows = bands.orderBy("min_visitors").limit(MOST_BANDS + 1).collect()
+    if not rows or len(rows) > MOST_BANDS:
+        raise ValueError(f"a band table has 1 to {MOST_BANDS} rows")
+    if rows[0]["min_visitors"] != 0 or rows[-1]["max_visitors"] is not None:
+        raise ValueError("bands start at 0 and the last one has no upper end")
+    for a, b in zip(rows, rows[1:]):
+        if a["max_visitors"] is None or a["max_visitors"] <= a["min_visitors"] or a["max_visitors"] != b["min_visitors"]:
+            raise ValueError(f"gap or overlap between bands {a['level']} and {b['level']}")
+    return rows
+
+
+def assign_bands(df: DataFrame, value: str, bands: DataFrame) -> DataFrame:
+    """Each row with the columns of the band that its value lies in (null for null or negative
+    values).  The checked bands travel in the plan as one sorted array, searched by halving: a range
+    join without pairs."""
+    rows = checked_bands(bands)
+    extra = [c for c in bands.columns if c not in ("min_visitors", "max_visitors")]
+    table = F.array(*[F.struct(F.lit(r["min_visitors"]).cast("double").alias("low"), *[F.lit(r[c]).alias(c) for c in extra]) for r in rows])
+    steps = F.array(*[F.lit(1 << p) for p in range(len(rows).bit_length() - 1, -1, -1)])
+    v = F.col(value).cast("double")
+    place = F.aggregate(steps, F.lit(0), lambda d, p: F.when((d + p < len(rows)) & (F.get(table, d + p)["low"] <= v), d + p).otherwise(d))
+    return df.withColumn("__band", F.when(v >= 0, F.get(table, place))).select("*", *[F.col(f"__band.{c}").alias(c) for c in extra]).drop("__band")
+
+
 def forecast_summary(forecast: DataFrame, date_col: str, value: str, entity: str | None = None) -> DataFrame:
     """Total, mean and peak day of a forecast (per entity)."""
     keys = [entity] if entity else []

@@ -26,6 +26,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def _fs(spark: SparkSession, path: str):
@@ -129,7 +130,7 @@ def _swap(spark: SparkSession, target_path: str, plan: dict) -> None:
     """Bring staged content into the target.  Doing it again gives the same target: the staged files
     are complete, and replace whole partitions (or the whole table)."""
     staging, part = plan["staging"], plan["partition_col"]
-    content = spark.read.parquet(f"{staging}/content")
+    content = spark.read.schema(StructType.fromJson(plan["schema"])).parquet(f"{staging}/content")
     keys = [c for c in (part, plan["cluster_col"]) if c]
     writer = (content.sortWithinPartitions(*keys) if keys else content).write.mode("overwrite")
     if part:
@@ -138,7 +139,7 @@ def _swap(spark: SparkSession, target_path: str, plan: dict) -> None:
         writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.parquet(target_path)
     if plan["dynamic"]:
-        for r in spark.read.parquet(f"{staging}/emptied").toLocalIterator():
+        for r in spark.read.schema("folder string").parquet(f"{staging}/emptied").toLocalIterator():
             delete_path(spark, r["folder"])
     if plan["epoch"] is not None:
         _mark(spark, f"{_ledger(target_path)}/epoch-{plan['epoch']}")
@@ -167,7 +168,8 @@ def upsert(spark: SparkSession, new: DataFrame, target_path: str, unique_key, or
     holding new rows or superseded versions are rewritten.  The new content is staged as well, the
     ledger notes that it is complete, and only then is it swapped in: a failure before the note
     leaves the target as it was, one after it is finished by the next call (``recover``).  With an
-    ``epoch``, content of an epoch that the ledger has is not applied again.
+    ``epoch``, content of an epoch that the ledger has is not applied again.  Without new rows the
+    target stays as it is.
     """
     from pyspark.sql import Window
 
@@ -186,6 +188,11 @@ def upsert(spark: SparkSession, new: DataFrame, target_path: str, unique_key, or
     plan = {"staging": staging, "partition_col": partition_col, "cluster_col": cluster_col, "dynamic": False, "epoch": epoch}
     new.write.parquet(f"{staging}/new")
     new = spark.read.schema(new.schema).parquet(f"{staging}/new")
+    if new.isEmpty():
+        if epoch is not None:
+            _mark(spark, f"{_ledger(target_path)}/epoch-{epoch}")
+        delete_path(spark, staging)
+        return {"mode": "empty", "schema_changed": False}
     report = {"mode": "full", "schema_changed": False}
     if path_exists(spark, target_path):
         old, new, changed = _align(spark.read.parquet(target_path), new, on_schema_change)
@@ -202,11 +209,12 @@ def upsert(spark: SparkSession, new: DataFrame, target_path: str, unique_key, or
         else:
             kept = old.join(keys, kcols, "left_anti")
         new = kept.unionByName(new)
+    plan["schema"] = new.schema.jsonValue()
     _write(new, f"{staging}/content", partition_col, cluster_col, "overwrite")
     if plan["dynamic"]:
         # partitions whose every row was superseded by one in another partition: no staged row
         # overwrites them, so their folders are dropped with the swap
-        filled = spark.read.parquet(f"{staging}/content").select(partition_col).distinct()
+        filled = spark.read.schema(new.schema).parquet(f"{staging}/content").select(partition_col).distinct()
         hit.join(filled, hit["__part"].eqNullSafe(filled[partition_col]), "left_anti").select("folder").write.parquet(f"{staging}/emptied")
     _mark(spark, f"{_ledger(target_path)}/pending", json.dumps(plan))
     _swap(spark, target_path, plan)

@@ -8,10 +8,11 @@ baseline deviation: B12 fixed).  ``as_of`` is always passed in; nothing reads a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from piste.functions.core import safe_div
+from piste.operators.incremental import path_exists, upsert
 
 # Alert thresholds of the reference configuration.
 THRESHOLDS = {"mae_warning": 150.0, "mae_critical": 250.0, "mape_warning": 25.0, "mape_critical": 40.0,
@@ -42,9 +43,25 @@ def log_from_predictions(pred: DataFrame, series: str, date_col: str, prediction
     )
 
 
+#: What names a prediction: a run predicts a series' day once.
+LOG_KEY = ["series", "forecast_date", "run_id"]
+
+
 def append_predictions(log: DataFrame, path: str) -> None:
-    """One batch append (not row-by-row inserts)."""
-    log.select(*LOG_COLUMNS).write.mode("append").parquet(path)
+    """One batch append (not row-by-row inserts) of the predictions whose key the log lacks, so
+    that writing a run again adds nothing."""
+    new = log.select(*LOG_COLUMNS).dropDuplicates(LOG_KEY)
+    if path_exists(log.sparkSession, path):
+        new = new.join(log.sparkSession.read.parquet(path).select(*LOG_KEY), LOG_KEY, "left_anti")
+    new.write.mode("append").partitionBy("run_id").parquet(path)
+
+
+def backfill_log(spark: SparkSession, path: str, actuals: DataFrame, as_of: str) -> None:
+    """O02 on the written log: rows that are due get their actual value, by key; only runs that hold
+    such rows are rewritten, and running it again changes nothing."""
+    log = spark.read.parquet(path)
+    due = log.where(F.col("actual_visitors").isNull() & (F.col("forecast_date") < F.lit(as_of).cast("date")))
+    upsert(spark, backfill_actuals(due, actuals, as_of), path, LOG_KEY, partition_col="run_id")
 
 
 def backfill_actuals(log: DataFrame, actuals: DataFrame, as_of: str, series: str = "series",
