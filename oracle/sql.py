@@ -818,7 +818,7 @@ SELECT f.seg AS CUSTOMER_SEGMENT, f.d AS FULL_DATE, {_FF_LAGS}, {_FF_ROLL},
        CAST({_DOW} AS INTEGER) AS day_of_week, CAST(month(f.d) AS INTEGER) AS month, CAST(dayofweek(f.d) IN (0, 6) AS INTEGER) AS is_weekend,
        CAST(c.is_holiday AS INTEGER) AS is_holiday, n.*, 1 AS snow_condition_encoded,
        round(sin(2 * pi() * {_DOW} / 7.0), 4) AS day_sin, round(cos(2 * pi() * {_DOW} / 7.0), 4) AS day_cos,
-       round(sin(2 * pi() * month(f.d) / 12.0), 4) AS month_sin, round(cos(2 * pi() * month(f.d) / 12.0), 4) AS month_cos,
+       round(sin(2 * pi() * month(f.d) / 12.0), 4) + 0.0 AS month_sin, round(cos(2 * pi() * month(f.d) / 12.0), 4) + 0.0 AS month_cos,
        {", ".join(f"CASE WHEN {_DOW} = {i} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS day_{i}" for i in range(7))}
 FROM (SELECT s.seg, CAST(st.start + INTERVAL (i) DAY AS DATE) AS d, st.start
       FROM (SELECT DISTINCT CUSTOMER_SEGMENT AS seg FROM tf) s,
@@ -838,3 +838,50 @@ FROM (SELECT ski_season, visitors, CASE WHEN visitors < 1 THEN 'closed' WHEN vis
             LEFT JOIN (SELECT date_key, count(DISTINCT customer_id) AS n FROM fact_pass_usage GROUP BY 1) v ON v.date_key = d.date_key) x) y
 GROUP BY 1, 2, 3"""
 )
+
+
+# -- file round trips -------------------------------------------------------------------------------
+ORACLE["src02_csv_round_trip"] = """
+SELECT o_orderpriority, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS orders, count(o_orderstatus) AS with_status,
+       round(max(o_totalprice), 4) AS largest, max(o_orderkey) AS last_key FROM orders GROUP BY 1, 2"""
+ORACLE["src03_tolerant_csv"] = """
+SELECT 'loaded' AS result, l_returnflag, count(*) AS n, round(sum(CAST(l_quantity AS DOUBLE)), 4) AS quantity FROM lineitem WHERE l_linenumber <> 7 GROUP BY 2
+UNION ALL SELECT 'rejected', NULL, count(*), NULL FROM lineitem WHERE l_linenumber = 7"""
+ORACLE["src04_seed_join"] = """
+SELECT r_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1"""
+ORACLE["src05_json_documents"] = "SELECT lang, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS chars, max(doc_id) AS last_id FROM documents GROUP BY 1"
+ORACLE["snk01_appended_days"] = "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS events, round(sum(value), 4) AS value_sum FROM events GROUP BY 1"
+ORACLE["v08_flat_view"] = with_ctes(["fact_pass_usage", "dim_date", "dim_customer"], """
+SELECT c.customer_segment AS CUSTOMER_SEGMENT, d.ski_season AS SKI_SEASON, count(*) AS visits, CAST(sum(f.total_lift_rides) AS BIGINT) AS rides,
+       count(*) FILTER (WHERE c.is_pass_holder) AS by_pass
+FROM fact_pass_usage f LEFT JOIN dim_date d ON f.date_key = d.date_key LEFT JOIN dim_customer c ON f.customer_key = c.customer_key GROUP BY 1, 2""")
+
+
+# -- configured features, fixed predictions -----------------------------------------------------------
+_CONFIGURED = f"""
+SELECT CUSTOMER_SEGMENT, FULL_DATE, CAST(isodow(FULL_DATE) - 1 AS INTEGER) AS day_of_week, CAST(month(FULL_DATE) AS INTEGER) AS month,
+       CAST(IS_WEEKEND AS INTEGER) AS is_weekend, sin(2 * pi() * (isodow(FULL_DATE) - 1) / 14.0) AS day_sin, cos(2 * pi() * (isodow(FULL_DATE) - 1) / 7.0) AS day_cos,
+       round(sin(2 * pi() * month(FULL_DATE) / 12.0), 4) + 0.0 AS month_sin, CASE WHEN month(FULL_DATE) = 12 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS december,
+       CAST(day(FULL_DATE) AS INTEGER) AS day_of_month, CAST(lag(UNIQUE_VISITORS, 1) {_W}) AS DOUBLE) AS lag_1, CAST(lag(UNIQUE_VISITORS, 7) {_W}) AS DOUBLE) AS lag_7,
+       CAST(sum(UNIQUE_VISITORS) {_W} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS DOUBLE) AS rolling_3_sum,
+       CAST(sum(UNIQUE_VISITORS) {_W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS DOUBLE) AS rolling_5_sum,
+       stddev_samp(UNIQUE_VISITORS) {_W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS rolling_5_std, row_number() {_W}) AS rn
+FROM tf"""
+_SHARED = ["day_sin", "day_cos", "month_sin", "december", "lag_7"]
+_PLAIN = "CUSTOMER_SEGMENT, FULL_DATE, day_of_week, month, is_weekend, day_sin, day_cos, month_sin, december, day_of_month, lag_7"
+ORACLE["p12_configured_panel"] = with_ctes(TF_CTES, rounded(f"SELECT {_PLAIN}, lag_1, rolling_3_sum, rolling_5_sum FROM ({_CONFIGURED}) x WHERE rn > 7",
+                                                            [*_SHARED, "lag_1", "rolling_3_sum", "rolling_5_sum"]), extra=[("tf", TF_BODY)])
+ORACLE["p10_rolling_deviation"] = with_ctes(TF_CTES, rounded(f"SELECT {_PLAIN}, rolling_5_std FROM ({_CONFIGURED}) x WHERE rn > 7",
+                                                             [*_SHARED, "rolling_5_std"]), extra=[("tf", TF_BODY)])
+ORACLE["p15_naive_metrics"] = with_ctes(TF_CTES, """
+SELECT *, coalesce(r2 >= 0.70 AND mae <= 200.0 AND mape <= 25.0, FALSE) AS gate_passed FROM (
+  SELECT CUSTOMER_SEGMENT, count(*) AS n, round(avg(abs(lag_7 - UNIQUE_VISITORS)), 4) AS mae, round(sqrt(avg((lag_7 - UNIQUE_VISITORS) ** 2)), 4) AS rmse,
+         round(avg(CASE WHEN UNIQUE_VISITORS > 0 THEN abs(lag_7 - UNIQUE_VISITORS) / UNIQUE_VISITORS END) * 100, 4) AS mape,
+         round(1 - sum((lag_7 - UNIQUE_VISITORS) ** 2) / nullif(var_pop(UNIQUE_VISITORS) * count(*), 0), 4) AS r2
+  FROM panel GROUP BY 1) m""", extra=[("tf", TF_BODY), ("panel", P11_SQL)])
+ORACLE["p23_naive_summary"] = with_ctes(TF_CTES, """
+SELECT CUSTOMER_SEGMENT, CAST(sum(predicted) AS BIGINT) AS total_visitors, round(avg(predicted), 4) AS avg_visitors,
+       min(FULL_DATE) FILTER (WHERE predicted = most) AS peak_date, CAST(max(predicted) AS BIGINT) AS peak_visitors, count(*) AS days
+FROM (SELECT *, max(predicted) OVER (PARTITION BY CUSTOMER_SEGMENT) AS most
+      FROM (SELECT CUSTOMER_SEGMENT, FULL_DATE, floor(greatest(0.0::DOUBLE, lag_7 * 1.1::DOUBLE - 2)) AS predicted FROM panel) p) q
+GROUP BY 1""", extra=[("tf", TF_BODY), ("panel", P11_SQL)])

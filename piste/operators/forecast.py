@@ -305,11 +305,11 @@ def assign_bands(df: DataFrame, value: str, bands: DataFrame) -> DataFrame:
 
 
 def forecast_summary(forecast: DataFrame, date_col: str, value: str, entity: str | None = None) -> DataFrame:
-    """Total, mean and peak day of a forecast (per entity)."""
+    """Total, mean and peak day of a forecast (per entity); of equal peaks the first day."""
     keys = [entity] if entity else []
     return forecast.groupBy(*keys).agg(
         F.sum(value).alias("total_visitors"), F.avg(value).alias("avg_visitors"),
-        F.max_by(F.col(date_col), F.col(value)).alias("peak_date"), F.max(value).alias("peak_visitors"),
+        F.min_by(F.col(date_col), F.struct(-F.col(value), F.col(date_col))).alias("peak_date"), F.max(value).alias("peak_visitors"),
         F.count(F.lit(1)).alias("days"))
 
 

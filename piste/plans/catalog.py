@@ -817,3 +817,115 @@ def future_frame_inputs(spark, sf_dir):
 
 
 REGISTRY["p18_future_frame_inputs"] = future_frame_inputs
+
+
+# -- file sources and sinks, round trips through written files (SRC02-SRC05, SNK01-SNK04) ------------
+def _files(spark, name) -> str:
+    return f"{checkpoint_root(spark)}/piste-files-{uuid.uuid4().hex}/{name}"
+
+
+def csv_round_trip(spark, sf_dir):
+    """SNK04 + SRC02: orders exported as CSV and read back under their declared schema, strictly."""
+    cols = ["o_orderkey", "o_orderstatus", "o_orderdate", "o_totalprice", "o_orderpriority"]
+    orders = DriverTables(spark, sf_dir).orders.select(*cols).withColumn("o_orderdate", F.to_date("o_orderdate"))
+    path = _files(spark, "orders.csv")
+    IO.export_csv(orders, path)
+    back = IO.read_csv_strict(spark, path, orders.schema)
+    return round_doubles(back.groupBy("o_orderpriority", F.year("o_orderdate").alias("year")).agg(
+        F.count(F.lit(1)).alias("orders"), F.count("o_orderstatus").alias("with_status"), F.max("o_totalprice").alias("largest"), F.max("o_orderkey").alias("last_key")))
+
+
+def tolerant_csv(spark, sf_dir):
+    """SNK03 + SRC03: lines exported as gzip CSV with an unreadable quantity in every seventh line of an
+    order; the rest is loaded, the bad rows go to the reject path."""
+    lines = DriverTables(spark, sf_dir).lineitem
+    quantity = F.when(F.col("l_linenumber") == 7, "seven").otherwise(F.col("l_quantity").cast("string"))
+    path, rejects = _files(spark, "lines.csv"), _files(spark, "rejects")
+    IO.export_csv_gz(lines.select("l_orderkey", quantity.alias("l_quantity"), "l_returnflag"), path)
+    schema = StructType.fromDDL("l_orderkey bigint, l_quantity double, l_returnflag string")
+    good = IO.read_csv_tolerant(spark, path, schema, rejects)
+    loaded = good.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+    bad = spark.read.schema(schema).json(rejects).agg(F.count(F.lit(1)).alias("n"))
+    return round_doubles(loaded.select(F.lit("loaded").alias("result"), "l_returnflag", "n", "quantity").unionByName(
+        bad.select(F.lit("rejected").alias("result"), F.lit(None).cast("string").alias("l_returnflag"), "n", F.lit(None).cast("double").alias("quantity"))))
+
+
+def seed_join(spark, sf_dir):
+    """SRC04: the regions as a seed file, joined to the customers of their nations."""
+    t = DriverTables(spark, sf_dir)
+    path = _files(spark, "region.csv")
+    IO.export_csv(t.region.select("r_regionkey", "r_name"), path)
+    seed = IO.read_seed(spark, path, StructType.fromDDL("r_regionkey bigint, r_name string"))
+    c = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(seed, F.col("n_regionkey") == F.col("r_regionkey"))
+    return c.groupBy("r_name").agg(F.count(F.lit(1)).alias("customers"))
+
+
+def json_documents(spark, sf_dir):
+    """SRC05 + SNK02: documents as JSON lines, loaded twice; loading replaces."""
+    docs = DriverTables(spark, sf_dir).documents.select("doc_id", "text", "lang")
+    path, target = _files(spark, "docs.json"), _files(spark, "documents")
+    docs.write.json(path)
+    for _ in range(2):
+        IO.load_documents_json(spark, path, target, docs.schema, multi_line=False)
+    return spark.read.parquet(target).groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("text")).alias("chars"), F.max("doc_id").alias("last_id"))
+
+
+def appended_days(spark, sf_dir):
+    """SNK01: events appended in two loads (even and odd days), partitioned by day."""
+    events, target = DriverTables(spark, sf_dir).events, _files(spark, "events")
+    for parity in (0, 1):
+        IO.append_day(events.where(F.dayofmonth("ts") % 2 == parity), target, "ts")
+    return round_doubles(spark.read.parquet(target).groupBy(F.col("__day").cast("string").alias("day")).agg(
+        F.count(F.lit(1)).alias("events"), F.sum("value").alias("value_sum")))
+
+
+from pyspark.sql.types import StructType  # noqa: E402
+
+REGISTRY["src02_csv_round_trip"] = csv_round_trip
+REGISTRY["src03_tolerant_csv"] = tolerant_csv
+REGISTRY["src04_seed_join"] = seed_join
+REGISTRY["src05_json_documents"] = json_documents
+REGISTRY["snk01_appended_days"] = appended_days
+
+
+# -- flat view access (V08), configured features (P10, P12), fixed predictions (P15, P16, P21, R23) ----
+def flat_view(spark, sf_dir):
+    """A view's row-level join as a temporary view that SQL asks."""
+    from piste.plans.semantic import register_sql_view
+
+    name = "flat_customer_behavior"
+    register_sql_view(V.CUSTOMER_BEHAVIOR, star_for(spark, sf_dir), "FACT_PASS_USAGE", name, ["CUSTOMER_SEGMENT", "SKI_SEASON", "TOTAL_LIFT_RIDES", "IS_PASS_HOLDER"])
+    return spark.sql(f"SELECT CUSTOMER_SEGMENT, SKI_SEASON, COUNT(*) AS visits, SUM(TOTAL_LIFT_RIDES) AS rides, COUNT_IF(IS_PASS_HOLDER) AS by_pass "
+                     f"FROM {name} GROUP BY CUSTOMER_SEGMENT, SKI_SEASON")
+
+
+CONFIGURED = {
+    "include": ["date_features", "cyclical_features"], "exclude": ["is_holiday", "month_cos"], "override": {"day_sin": {"period": 14}},
+    "custom": [{"name": "december", "type": "one_hot", "source": "month", "value": 12}, {"name": "day_of_month", "type": "date_extract", "extract": "day", "dtype": "int"}],
+    "lag_features": {"source": "UNIQUE_VISITORS", "lags": [7]}, "rolling_features": {"source": "UNIQUE_VISITORS", "windows": [7], "aggregation": "mean"},
+}
+ENVIRONMENT = {"lag_features": {"lags": [1, 7]}, "rolling_features": {"windows": [3, 5], "aggregation": "sum"}}
+
+
+def _configured(spark, sf_dir, env):
+    cfg = FE.build_config(CONFIGURED, env)
+    return FE.engineer(segment_training_frame(spark, sf_dir), cfg, "FULL_DATE", entity=SEGMENT).select(SEGMENT, "FULL_DATE", *[
+        f["name"] for f in cfg.features], *[f"lag_{k}" for k in cfg.lags], *[f"rolling_{n}_{cfg.aggregation}" for n in cfg.windows])
+
+
+def naive_metrics(spark, sf_dir):
+    """Error measures and gate of the prediction "as a week ago", per segment."""
+    return FC.quality_gate(FC.regression_metrics(engineered_panel(spark, sf_dir), "UNIQUE_VISITORS", "lag_7", [SEGMENT]))
+
+
+def naive_summary(spark, sf_dir):
+    """A tenth more than a week ago, less two, clamped; summarised per segment."""
+    panel = engineered_panel(spark, sf_dir).withColumn("predicted", FC.clamp_prediction(F.col("lag_7") * 1.1 - 2))
+    return FC.forecast_summary(panel, "FULL_DATE", "predicted", SEGMENT)
+
+
+REGISTRY["v08_flat_view"] = flat_view
+REGISTRY["p12_configured_panel"] = lambda spark, sf_dir: round_doubles(_configured(spark, sf_dir, ENVIRONMENT))
+REGISTRY["p10_rolling_deviation"] = lambda spark, sf_dir: round_doubles(_configured(spark, sf_dir, {"rolling_features": {"windows": [5], "aggregation": "std"}}))
+REGISTRY["p15_naive_metrics"] = lambda spark, sf_dir: round_doubles(naive_metrics(spark, sf_dir))
+REGISTRY["p23_naive_summary"] = lambda spark, sf_dir: round_doubles(naive_summary(spark, sf_dir))

@@ -34,9 +34,10 @@ def read_seed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return read_csv_strict(spark, path, schema)
 
 
-def load_documents_json(spark: SparkSession, path: str, target: str, schema: StructType | None = None) -> None:
-    """SRC05: JSON documents (multi-line files) -> truncate and load."""
-    r = spark.read.option("multiLine", True)
+def load_documents_json(spark: SparkSession, path: str, target: str, schema: StructType | None = None,
+                        multi_line: bool = True) -> None:
+    """SRC05: JSON documents (multi-line files, or one document a line) -> truncate and load."""
+    r = spark.read.option("multiLine", multi_line)
     if schema is not None:
         r = r.schema(schema)
     r.json(path).write.mode("overwrite").parquet(target)
