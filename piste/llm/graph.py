@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Every round is one partial aggregation and one many-to-one join on a vertex, both of which
-Spark splits for hot vertices; edges are staged between rounds.  Nothing reaches the driver
-but a row count and a checksum.
+Every round is a partial aggregation and a many-to-one join on a vertex.  The least neighbours of
+vertices with very many edges, ``HOT`` of them at most, are broadcast, so the edges of one vertex
+never meet in one task; the others are joined by shuffle.  Edges are staged between rounds.  Nothing
+reaches the driver but a row count and a checksum.
 """
 
 from __future__ import annotations
@@ -13,10 +14,20 @@ from pyspark.sql import functions as F
 from piste.llm.common import staged
 
 
-def _star(directed: DataFrame, keep) -> DataFrame:
-    """``directed`` has (u, v); every v that ``keep`` accepts is moved to u's least neighbour."""
-    least = directed.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("low", "u"))
-    moved = directed.join(least, "u").where(keep)
+HOT = 100_000  # vertices whose least neighbour is broadcast: 24 bytes each
+FEW = 1024  # edges that always may meet in one task
+
+
+def _star(directed: DataFrame, edges: int, keep) -> DataFrame:
+    """``directed`` has (u, v), ``edges`` rows or fewer; every v that ``keep`` accepts is moved to u's
+    least neighbour."""
+    least = staged(directed.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")).withColumn("low", F.least("low", "u")), "least")
+    many = F.col("n") > max(FEW, edges // HOT)  # fewer than HOT vertices have that many
+    hot = F.broadcast(least.where(many).select("u", F.col("low").alias("hot")))
+    met = directed.join(hot, "u", "left")
+    near = met.where("hot is not null").select("u", "v", F.col("hot").alias("low"))
+    far = met.where("hot is null").drop("hot").join(least.where(~many).select("u", "low"), "u")
+    moved = near.unionByName(far).where(keep)
     return moved.select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
 
 
@@ -32,9 +43,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = check
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, F.col("v") > F.col("u"))
+        large = staged(_star(both, 2 * check["n"], F.col("v") > F.col("u")), "edges")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small = _star(down, F.lit(True))
+        small = _star(down, 2 * check["n"], F.lit(True))
         own = down.groupBy("u").agg(F.min("v").alias("v"))
         now = staged(small.union(own).distinct(), "edges")
     return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(

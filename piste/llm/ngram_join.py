@@ -3,9 +3,17 @@
 A text is the set of its five-word shingles (one shingle of all words if it has fewer).  Texts of
 equal sets become one vertex before anything else, with their number, so copies cost nothing
 further.  Each vertex has ``trees`` signatures of ``depth`` MinHash values, read as paths in prefix
-tries.  The prefix that must match is shortened from the full depth, one value at a time, until the
-recall that the remaining depth promises for pairs at the threshold reaches the target.  In every
-trie each vertex is linked to the least vertex below its prefix; a link whose signatures disagree
+tries; the vertices under a prefix are one node of a trie.
+
+Every vertex starts from its whole paths and shortens them by what it finds.  One that meets a twin
+there (at most ``twin_values`` signature values differ) leaves the search to that twin and stops.
+All others shorten to the longest prefix at which pairs at the threshold meet in some tree with
+probability ``recall``.  A vertex that searches for twins shortens further: by the triangle
+inequality a pair at the threshold between two twins leaves their stand-ins no farther apart than
+the threshold less twice the twins' distance, and the prefix is the longest one that finds such
+pairs with probability ``recall``.
+
+In every node each vertex is linked to the least vertex there; a link whose signatures disagree
 widely is cut, and the members unlike the least one are compared with each other by signature, so
 every pair that shares a prefix and may reach the threshold stays a candidate.  The components of
 these links are the candidate groups.
@@ -54,8 +62,9 @@ def signature(sh: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
-def prints(docs: DataFrame, n: int, trees: int, depth: int, prefix: int) -> DataFrame:
-    """doc_id, text hash, and of its shingle set: 128-bit identity, size, signature, prefixes."""
+def prints(docs: DataFrame, n: int, trees: int, depth: int, prefixes: list[int]) -> DataFrame:
+    """doc_id, text hash, and of its shingle set: 128-bit identity, size, signature, and ``keys``, the
+    hashes of its paths' prefixes: all trees at the first length, then all at the next one."""
     factors = _factors(trees * depth)
 
     def make(batches):
@@ -72,10 +81,11 @@ def prints(docs: DataFrame, n: int, trees: int, depth: int, prefix: int) -> Data
                     continue
                 sig = signature(sh, factors)
                 sigs.append(sig.tobytes())
-                path = np.zeros(trees, np.uint64)
-                for j in range(prefix):
+                path, found = np.zeros(trees, np.uint64), {}
+                for j in range(depth):
                     path = mix(path + sig.reshape(trees, depth)[:, j].astype(np.uint64) + np.uint64(1))
-                keys.append(path.astype(np.int64))
+                    found[j + 1] = path.astype(np.int64)
+                keys.append(np.concatenate([found[p] for p in prefixes]))
             cols = (pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(size, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "th", "one", "two", "size", "sig", "keys"])
 
@@ -144,19 +154,16 @@ def unlike_members(vertices: DataFrame, rest: DataFrame, near: float, block: int
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def candidate_groups(vertices: DataFrame, cut: float, near: float, block: int = 256) -> DataFrame:
-    """(id, root): the components of the trie links.
+def leaves(vertices: DataFrame, level: int = 0, trees: int | None = None) -> DataFrame:
+    """(id, tree, key): the nodes of each vertex at one of its prefix lengths (``trees``: of several)."""
+    keys = F.col("keys") if trees is None else F.slice("keys", level * trees + 1, trees)
+    return vertices.select("id", F.posexplode(keys).alias("tree", "key"))
 
-    A member is linked to the head of its node if their signatures agree in ``cut`` of all values.
-    Members that agree with the head in less than ``1 + cut - near`` are compared with each other as
-    well, and linked from ``near`` on.  So any two members of a node that agree in ``near`` are in one
-    group: the share of unlike values is a metric, so if one of them is as near to the head as that,
-    the other one is linked to the head too.
-    """
-    cut = min(cut, near)
-    leaves = vertices.select("id", F.posexplode("keys").alias("tree", "key"))
-    heads = leaves.groupBy("tree", "key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    linked = (leaves.join(heads, ["tree", "key"]).where("id <> head")
+
+def _likeness(vertices: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, head, agrees, nodes): every vertex with the least vertices of its nodes, and the nodes."""
+    heads = nodes.groupBy("tree", "key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    linked = (nodes.join(heads, ["tree", "key"]).where("id <> head")
               .groupBy("id", "head").agg(F.collect_list(F.struct("tree", "key")).alias("nodes")))
 
     @F.pandas_udf("double")
@@ -165,10 +172,47 @@ def candidate_groups(vertices: DataFrame, cut: float, near: float, block: int =
 
     sigs = vertices.select("id", "sig")
     both = linked.join(sigs, "id").join(sigs.select(F.col("id").alias("head"), F.col("sig").alias("head_sig")), "head")
-    likeness = staged(both.select("id", "head", agreement("sig", "head_sig").alias("agrees"), "nodes"), "likeness")
+    return staged(both.select("id", "head", agreement("sig", "head_sig").alias("agrees"), "nodes"), "likeness")
+
+
+def node_links(vertices: DataFrame, nodes: DataFrame, cut: float, near: float, block: int) -> DataFrame:
+    """(a, b): the candidate links of the given nodes.
+
+    A member is linked to the head of its node if their signatures agree in ``cut`` of all values.
+    Members that agree with the head in less than ``1 + cut - near`` are compared with each other as
+    well, and linked from ``near`` on.  So any two members of a node that agree in ``near`` are in one
+    group: the share of unlike values is a metric, so if one of them is as near to the head as that,
+    the other one is linked to the head too.
+    """
+    cut = min(cut, near)
+    likeness = _likeness(vertices, nodes)
     rest = likeness.where(F.col("agrees") < 1 + cut - near).select("id", F.explode("nodes").alias("node")).select("id", "node.tree", "node.key")
     to_head = likeness.where(F.col("agrees") >= cut).select(F.col("id").alias("a"), F.col("head").alias("b"))
-    return components(to_head.unionByName(unlike_members(vertices, rest, near, block)))
+    return to_head.unionByName(unlike_members(vertices, rest, near, block))
+
+
+def candidate_groups(vertices: DataFrame, cut: float, near: float, block: int = 256) -> DataFrame:
+    """(id, root): the components of the links of all nodes, prefixes of one length."""
+    return components(node_links(vertices, leaves(vertices), cut, near, block))
+
+
+def forest_groups(vertices: DataFrame, trees: int, values: int, twin_values: int, cut: float, near: float, block: int) -> DataFrame:
+    """(id, root): the components of all links that the vertices find while they shorten their paths.
+
+    ``keys`` hold three lengths: whole paths, prefixes for pairs at the threshold, and those of
+    vertices that stand for twins.
+    """
+    whole = _likeness(vertices, leaves(vertices, 0, trees))
+    twins = whole.where(F.col("agrees") * values >= values - twin_values - 0.5)
+    # a twin is left to a vertex that is left to nobody
+    left = twins.join(twins.select(F.col("id").alias("head")).distinct(), "head", "left_anti").groupBy("id").agg(F.min("head").alias("head"))
+    left = staged(left, "twins")
+    searching = staged(vertices.join(left.select("id"), "id", "left_anti").select("id", "sig", "keys"), "searching")
+    links = whole.where(F.col("agrees") >= min(cut, near)).select(F.col("id").alias("a"), F.col("head").alias("b"))
+    links = links.unionByName(node_links(searching, leaves(searching, 1, trees), cut, near, block))
+    short = leaves(searching, 2, trees)
+    standing = short.join(left.select(F.col("head").alias("id")).distinct(), "id", "left_semi").select("tree", "key").distinct()
+    return components(links.unionByName(node_links(searching, short.join(standing, ["tree", "key"], "left_semi"), cut, near, block)))
 
 
 def _verify(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
@@ -265,11 +309,16 @@ def verified(docs: DataFrame, vertices: DataFrame, groups: DataFrame, n: int, th
 
 
 def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 16, depth: int = 8, recall: float = 0.99,
-         cut: float = 0.4, block: int = 256, block_shingles: int = 400_000) -> DataFrame:
+         cut: float = 0.4, twin_values: int = 1, twin_distance: float = 0.04, block: int = 256, block_shingles: int = 400_000) -> DataFrame:
     """One row per document: doc_id, class_id, links (documents at the threshold or nearer, copies
     included), copies (documents of its shingle set), th (hash of its text), stays (it names its
-    class; true of wordless documents)."""
-    made = staged(prints(docs, n, trees, depth, adaptive_depth(threshold, trees, depth, recall)), "prints")
+    class; true of wordless documents).
+
+    ``twin_distance`` bounds the Jaccard distance of twins, of which all but ``twin_values`` of the
+    signature values agree.
+    """
+    prefixes = [depth, *(adaptive_depth(t, trees, depth, recall) for t in (threshold, threshold - 2 * twin_distance))]
+    made = staged(prints(docs, n, trees, depth, prefixes), "prints")
     worded = made.where("size > 0")
     # one vertex to each doc_id, in narrow rows that meet the vertices in the same grouping
     owners = worded.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("th", "one", "two")).alias("o")).select("o.one", "o.two", F.col("doc_id").alias("owned"))
@@ -278,7 +327,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 16, d
               .agg(least.alias("l"), F.min("owned").alias("owned"), F.count("size").alias("docs"), *[F.first(c, ignorenulls=True).alias(c) for c in ("size", "sig", "keys")]))
     name = F.coalesce("owned", -F.shiftrightunsigned("one", 2) - 1)
     vertices = staged(merged.select(name.alias("id"), "owned", "one", "two", "l.doc_id", "l.th", "docs", "size", "sig", "keys"), "vertices")
-    groups = staged(candidate_groups(vertices, cut, near_agreement(threshold, trees * depth), block), "groups")
+    groups = staged(forest_groups(vertices, trees, trees * depth, twin_values, cut, near_agreement(threshold, trees * depth), block), "groups")
     checked = staged(verified(docs, vertices, groups, n, threshold, block, block_shingles), "verified")
     linked = components(checked.select(F.col("id").alias("a"), F.col("root").alias("b")))
     names = linked.join(vertices.select("id", "owned"), "id").groupBy("root").agg(F.min("owned").alias("name"))
