@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from piste.functions.core import fround
 from piste.llm import (hard_negatives, lengths, licences, mixing, multi_index, ngram_join, order_minhash, pii, quality, quotes, secrets, tiling,
                        whitening)
 from piste.llm.common import table
@@ -28,7 +29,8 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    rows = mixing.laid_out(mixing.plan(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", *[fround(c, 6).alias(c) for c in ("position", "again")])
 
 
 def op4_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +79,12 @@ QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op11_multi_index, op12_hard_negatives, op13_whitening)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
+#: Time at which the demand of a schedule reaches the part ``x`` of its whole, for the three schedules.
+_TIMES = """CASE place % 3
+  WHEN 0 THEN least(sqrt(greatest(1 + 2 * ({x} * 1.5::DOUBLE), 0)) - 1, 1)
+  WHEN 1 THEN least({x}, 1)
+  ELSE CASE WHEN {x} * 1.125::DOUBLE < 0.625 THEN least(sqrt(greatest(1 + 2 * ({x} * 1.125::DOUBLE), 0)) - 1, 1)
+            ELSE least(0.5::DOUBLE + (sqrt(greatest(2.25 - 4 * ({x} * 1.125::DOUBLE - 0.625), 0)) - 1.5) / -2, 1) END END"""
 #: Waterfilling in SQL: sources by size cap over weight; one level up to which the weights share.
 _OP3 = r"""
 WITH d AS (
@@ -84,18 +92,22 @@ WITH d AS (
          md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
 b AS (SELECT *, ('0x' || key[1:8])::BIGINT % 4096 AS bucket FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM b GROUP BY source),
-w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM s),
-r AS (SELECT *, source_size * 2.0::DOUBLE AS top, source_size * 2.0::DOUBLE / weight AS ratio FROM w),
+w AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS place FROM s),
+v AS (SELECT *, [5.0, 2.0, 1.0][(place % 3 + 1)::INT]::DOUBLE AS weight FROM w),
+r AS (SELECT *, source_size * 2.0::DOUBLE AS top, source_size * 2.0::DOUBLE / weight AS ratio FROM v),
 l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
         - coalesce(sum(top) OVER (ORDER BY ratio, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / sum(weight) OVER (ORDER BY ratio, source IS NULL, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
         row_number() OVER (ORDER BY ratio, source IS NULL, encode(source)) AS rank FROM r),
-t AS (SELECT source, source_size, least(top, coalesce((SELECT arg_min(level, rank) FROM l WHERE level <= ratio), ratio) * weight)::DOUBLE AS target FROM l),
+t AS (SELECT source, source_size, place, least(top, coalesce((SELECT arg_min(level, rank) FROM l WHERE level <= ratio), ratio) * weight)::DOUBLE AS target FROM l),
 c AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY bucket, key, doc_id, size
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM b)
-SELECT doc_id, size, source_size, target,
-       (least(size, greatest(floor(target) - place, 0)) + least(size, greatest(floor(target) - place - source_size, 0)))::BIGINT AS taken
-FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spot FROM b),
+k AS (SELECT doc_id, size, source_size, target, place, spot, least(size, greatest(floor(target) - spot, 0))::BIGINT AS first,
+             least(size, greatest(floor(target) - spot - source_size, 0))::BIGINT AS second
+      FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, first + second AS taken, round(CASE WHEN first > 0 THEN """ + _TIMES.format(x="(spot::DOUBLE / target)") + """ END, 6) AS position,
+       round(CASE WHEN second > 0 THEN """ + _TIMES.format(x="((spot + source_size)::DOUBLE / target)") + """ END, 6) AS again
+FROM k
 """
 #: Every query with all rows; the search measures its margin on up to 256 queries, so it is exact on small tables.
 _OP11 = """

@@ -10,7 +10,8 @@ are used, at most ``max_epochs`` times.  The copy at which demand ends is cut to
 
 Null or empty texts have size 0, are never taken and have no position.  A null source is a
 source of its own, last in order.  Rows with equal doc_id and size tie and are interchangeable.
-No row is dropped from :func:`plan`; an empty table gives an empty result.
+No row is dropped from :func:`plan`; repeated rows are each a document; other columns, of any
+name, are ignored; a text of any length is counted whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -112,6 +113,15 @@ def plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1
     return made.withColumn("taken", taken).select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
 
 
+def laid_out(planned: DataFrame) -> DataFrame:
+    """The plan's rows with ``position`` and ``again``, the training times of a document's first and
+    second copy (null: not taken), range-sorted by position; documents not taken come last."""
+    at = lambda i: F.get("copies", F.lit(i))["position"]
+    rows = planned.withColumns({"position": at(0), "again": at(1)}).drop("copies")
+    order = [F.col("position").asc_nulls_last(), F.col("doc_id")]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def in_order(planned: DataFrame, partitions: int | None = None) -> DataFrame:
     """One row per copy that training takes, range-sorted by training time: position, doc_id,
     epoch, words."""
