@@ -131,7 +131,7 @@ def test_reordered_passages_are_caught_and_clean_ones_kept(spark, documents, edg
     docs = documents(rows + [(i + 100 if i else None, t) for i, t in edge_rows])
     got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in tiling.contaminated(docs, bench).collect()}
     assert got == {(1, 7): 1.0, (2, 7): 1.0}
-    small = {(r["doc_id"], r["item_id"]) for r in tiling.contaminated(docs, bench, block_words=1).collect()}
+    small = {(r["doc_id"], r["item_id"]) for r in tiling.contaminated(docs, bench, listed_pairs=1).collect()}
     assert small == set(got)
     left = tiling.clean(docs, bench)
     assert left.columns == docs.columns and left.count() == docs.count() - 2
@@ -143,3 +143,63 @@ def test_a_passage_repeated_many_times_is_one_match(documents, spark):
     bench = spark.createDataFrame([(7, item)], "item_id long, text string")
     got = tiling.contaminated(documents([(1, " ".join([item] * 5000)), (2, " ".join(["q1 q2 q3 q4 q5"] * 3000))]), bench).collect()
     assert [(r["doc_id"], r["coverage"], r["tiles"]) for r in got] == [(1, 1.0, 1)]
+
+
+def test_tiles_row_by_row_are_the_same():
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        item, doc = rng.integers(0, 3, int(rng.integers(3, 25))), rng.integers(0, 3, int(rng.integers(3, 60)))
+        pairs = [(i, j) for i in range(len(item) - 2) for j in range(len(doc) - 2) if (item[i : i + 3] == doc[j : j + 3]).all()]
+        want = tiling.tiles(np.array(pairs), 3, len(item)) if pairs else []
+        got = tiling.tiles_by_rows(item.astype(np.uint64), doc.astype(np.uint64), 3)
+        assert sum(n for *_, n in got) == sum(n for *_, n in want) and sorted(got) == sorted(want)
+
+
+def test_repeated_words_take_little_memory_and_time():
+    import time
+    import tracemalloc
+
+    item, doc = np.full(400, 7, np.uint64), np.full(40_000, 7, np.uint64)
+    tracemalloc.start()
+    start = time.time()
+    assert tiling.covered(item, doc, 5) == (1.0, 1)
+    assert time.time() - start < 20 and tracemalloc.get_traced_memory()[1] < 50_000_000
+    tracemalloc.stop()
+
+
+def test_items_and_documents_without_id_count(spark, documents):
+    item = " ".join(f"q{i}" for i in range(30))
+    bench = spark.createDataFrame([(None, item), (None, item), (4, item), (5, None)], "item_id long, text string")
+    docs = documents([(1, item), (None, "x " + item), (None, "other words that no item holds at all"), (1, "another text under one id of its own")])
+    got = sorted((str(r["doc_id"]), str(r["item_id"]), r["coverage"]) for r in tiling.contaminated(docs, bench).collect())
+    assert got == [("1", "4", 1.0), ("1", "None", 1.0), ("None", "4", 1.0), ("None", "None", 1.0)]
+    assert sorted(r["text"] for r in tiling.clean(docs, bench).collect()) == ["another text under one id of its own", "other words that no item holds at all"]
+
+
+def slow_pairs(docs, items, least=5, coverage=0.6):
+    out = set()
+    for d, text in docs:
+        for i, item in items:
+            a, b = common.word_hashes(item).tolist(), common.word_hashes(text).tolist()
+            if a:
+                n = sum(k for *_, k in slow_tiles(a, b, min(least, len(a))))
+                if n / len(a) >= coverage:
+                    out.add((d, i, n / len(a)))
+    return out
+
+
+def test_pairs_equal_brute_force(spark, documents):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"v{i}" for i in range(25)]
+    items = [(i, " ".join(rng.choice(vocabulary, int(rng.integers(1, 14))))) for i in range(25)]
+    docs = []
+    for d in range(40):
+        words = rng.choice(vocabulary, int(rng.integers(0, 25))).tolist()
+        for i in rng.integers(0, 25, 2):
+            own = items[i][1].split()
+            cut = int(rng.integers(0, len(own) + 1))
+            words += own[cut:] + ["gap"] * int(rng.integers(0, 2)) + own[:cut]
+        docs.append((d, " ".join(words)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["coverage"]) for r in tiling.contaminated(documents(docs), bench).collect()}
+    assert got == slow_pairs(docs, items)
