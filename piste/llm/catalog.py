@@ -34,7 +34,7 @@ def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.conversations(table(spark, sf_dir, "conversations"))
+    return quotes.conversations(table(spark, sf_dir, "conversations"), across=True)
 
 
 def op5_pii_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,12 +9,14 @@ least other conversation.
 
 A message answers the message of its conversation from which most of its level 1 units come
 (ties: the later one), if that is earlier; without such a quote, the message before it; the first
-one answers nothing.  Replies never precede what they answer, so (thread, turn) is a reply order.
+one answers nothing, or a message of another conversation that it quotes.  Threads are the trees of
+these answers.
 
 Rows equal in conversation, turn, role and text are one message, with their number in ``copies``.
 A null conversation is a conversation of its own.  Messages without a turn quote and are quoted,
-stand outside the order and answer nothing.  Null text counts as empty.  An empty table gives
-an empty result.
+stand outside the order, each a thread of its own, and answer nothing.  Null text counts as empty;
+lines of any length and any number of marks are parsed; other columns, of any name, are ignored.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -131,23 +133,75 @@ def links(messages: DataFrame) -> DataFrame:
             .where("source is not null").groupBy("id", "depth", "source", "source_turn", "same").agg(F.count("*").alias("sentences")))
 
 
-def _previous(messages: DataFrame) -> DataFrame:
-    """(id, previous): the message before, by (turn, id), in its conversation.
+def _ranked(rows: DataFrame) -> DataFrame:
+    """(id, previous, place) of rows (id, turn, k): the row before by (turn, id) among those of the same
+    ``k``, and how many are before.
 
-    Windows hold ``BLOCK`` turns of a conversation; the first message of a block takes the last one
-    of the block before.
+    Windows hold ``BLOCK`` turns; the first row of a block takes the last one of the block before, and
+    the numbers of the blocks before are added up.
     """
-    placed = messages.where("turn is not null").select("id", "turn", _conv().alias("c"), F.floor(F.col("turn") / BLOCK).alias("block"))
-    rows = placed.withColumn("previous", F.lag("id").over(Window.partitionBy("c", "block").orderBy("turn", "id")))
-    ends = placed.groupBy("c", "block").agg(F.max(F.struct("turn", "id"))["id"].alias("end"))
-    ends = ends.select("c", "block", F.lag("end").over(Window.partitionBy("c").orderBy("block")).alias("end"))
-    return rows.join(ends, ["c", "block"]).select("id", F.coalesce("previous", "end").alias("previous"))
-
-
-def conversations(messages: DataFrame) -> DataFrame:
+    placed = rows.select("id", "turn", "k", F.floor(F.col("turn") / BLOCK).alias("block"))
+    inside, blocks = Window.partitionBy("k", "block").orderBy("turn", "id"), Window.partitionBy("k").orderBy("block")
+    own = placed.withColumns({"previous": F.lag("id").over(inside), "own": F.row_number().over(inside) - 1})
+    ends = placed.groupBy("k", "block").agg(F.max(F.struct("turn", "id"))["id"].alias("last"), F.count("*").alias("n"))
+    ends = ends.select("k", "block", F.lag("last").over(blocks).alias("end"),
+                       F.coalesce(F.sum("n").over(blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    return own.join(ends, ["k", "block"]).select("id", F.coalesce("previous", "end").alias("previous"), (F.col("ahead") + F.col("own")).alias("place"))
+
+
+def _jumped(pointers: DataFrame, tag: str) -> DataFrame:
+    """(id, to): every pointer followed to its end, by doubling; a row that points to itself is an end."""
+    now = staged(pointers, tag)
+    while True:
+        after = now.alias("a").join(now.alias("b"), F.col("a.to") == F.col("b.id")).select("a.id", F.col("b.to").alias("to"), (F.col("a.to") != F.col("b.to")).alias("moved"))
+        after = staged(after, tag)
+        if after.where("moved").isEmpty():
+            return after.drop("moved")
+        now = after.drop("moved")
+
+
+def tree_order(nodes: DataFrame) -> DataFrame:
+    """(id, thread, place): each message of the reply trees (id, parent, turn) with its tree's root and
+    its place in reply order: a message, then all that answers it, answers by (turn, id).
+
+    The order is a linked list: after a message comes its first answer, or else the next sibling of
+    the nearest message above that has one.  That message is found, and the list ranked, by pointer
+    doubling: a join a round, as many rounds as the logarithm of the longest chain.
+    """
+    nodes = staged(nodes, "trees")
+    answers = nodes.where("parent is not null").select("id", "turn", F.col("parent").alias("k"))
+    beside = staged(_ranked(answers).select("id", "previous"), "siblings")
+    following = beside.where("previous is not null").select(F.col("previous").alias("id"), F.col("id").alias("sibling"))
+    first = beside.where("previous is null").join(answers.select("id", "k"), "id").select(F.col("k").alias("id"), F.col("id").alias("child"))
+    known = staged(nodes.select("id", "parent").join(following, "id", "left").join(first, "id", "left"), "siblings")
+    upward = known.select("id", F.when(F.col("sibling").isNotNull() | F.col("parent").isNull(), F.col("id")).otherwise(F.col("parent")).alias("to"))
+    up = _jumped(upward, "up")
+    beyond = known.select(F.col("id").alias("to"), F.col("sibling").alias("beyond"))
+    after = known.select("id", "child").join(up, "id").join(beyond, "to").select("id", F.coalesce("child", "beyond").alias("next"))
+    listed = staged(after.select("id", F.coalesce("next", "id").alias("to"), F.col("next").isNotNull().cast("bigint").alias("left")), "list")
+    while True:
+        a, b = listed.alias("a"), listed.alias("b")
+        jumped = a.join(b, F.col("a.to") == F.col("b.id")).select(
+            "a.id", F.col("b.to").alias("to"), (F.col("a.left") + F.when(F.col("a.to") == F.col("a.id"), F.lit(0)).otherwise(F.col("b.left"))).alias("left"),
+            (F.col("a.to") != F.col("b.to")).alias("moved"))
+        jumped = staged(jumped, "list")
+        listed = jumped.drop("moved")
+        if jumped.where("moved").isEmpty():
+            break
+    heads = listed.groupBy("to").agg(F.max(F.struct("left", "id")).alias("head"))
+    return listed.join(heads, "to").select("id", F.col("head.id").alias("thread"), (F.col("head.left") - F.col("left")).alias("place"))
+
+
+def conversations(messages: DataFrame, across: bool = False) -> DataFrame:
     """One row per message: conv_id, turn, role, own (text without quotes), copies, id, parent (id of
     the message answered), by ('quote', 'turn' or null), thread (id of the message that it all
-    answers in the end), quoted (ids of all messages quoted), laid out in reply order.
+    answers in the end), place (from 0, in the thread's reply order), quoted (ids of all messages
+    quoted), laid out by thread and place.
+
+    In reply order a message stands before what answers it, directly and through others, and these
+    stand before the next answer to an earlier message.  With ``across`` the first message of a
+    conversation answers the message of a conversation of lesser id that it quotes most, which joins
+    the two threads; the lesser id keeps threads free of cycles.
     """
     base = (messages.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
             .withColumn("id", F.sha2(F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"}), 256).substr(1, 32))
@@ -156,14 +210,31 @@ def conversations(messages: DataFrame) -> DataFrame:
     found = staged(links(base), "links")
     answered = (found.where("depth = 1 and same").groupBy("id")
                 .agg(F.max(F.struct("sentences", "source_turn", "source"))["source"].alias("by_quote")))
+    placed = base.where("turn is not null").select("id", "turn", _conv().alias("k"))
+    before = staged(_ranked(placed), "places")
+    linked = before.join(answered, "id", "left")
+    if across:
+        own, theirs = placed.select("id", F.col("k").alias("own")), placed.select(F.col("id").alias("source"), F.col("k").alias("theirs"))
+        other = found.where("depth = 1 and not same").join(before.where("previous is null").select("id"), "id", "left_semi")
+        other = other.join(own, "id").join(theirs, "source").where("theirs < own")
+        other = other.groupBy("id").agg(F.min(F.struct(-F.col("sentences"), F.col("source")))["source"].alias("of_other"))
+        linked = linked.join(other, "id", "left").withColumn("by_quote", F.coalesce("by_quote", "of_other")).drop("of_other")
+    linked = staged(linked.withColumn("parent", F.coalesce("by_quote", "previous")).withColumn(
+        "by", F.when(F.col("by_quote").isNotNull(), "quote").when(F.col("previous").isNotNull(), "turn")).drop("by_quote"), "parents")
+    # conversations in which every message answers the one before are in order already
+    bent = linked.where(~F.col("parent").eqNullSafe(F.col("previous"))).select("id", "parent")
+    keys = bent.select("id").unionByName(bent.select(F.col("parent").alias("id"))).join(placed, "id").select("k").distinct()
+    keys = staged(keys, "bent")
+    straight = placed.join(keys, "k", "left_anti").join(linked.select("id", "place"), "id")
+    opening = straight.groupBy("k").agg(F.min_by("id", F.struct("turn", "id")).alias("thread"))
+    order = straight.join(opening, "k").select("id", "thread", "place")
+    if not keys.isEmpty():
+        trees = placed.join(keys, "k", "left_semi").select("id", "turn").join(linked.select("id", "parent"), "id")
+        order = order.unionByName(tree_order(trees))
     cited = found.groupBy("id").agg(F.array_sort(F.collect_set("source")).alias("quoted"))
-    linked = (base.drop("text").join(_previous(base), "id", "left").join(answered, "id", "left").join(cited, "id", "left")
-              .withColumn("parent", F.coalesce("by_quote", "previous"))
-              .withColumn("by", F.when(F.col("by_quote").isNotNull(), "quote").when(F.col("previous").isNotNull(), "turn"))
-              .drop("by_quote", "previous"))
-    # every message answers its conversation's opening one in the end, as the message before is the default
-    opening = base.where("turn is not null").groupBy(_conv().alias("c")).agg(F.min(F.struct("turn", "id"))["id"].alias("thread"))
-    rows = (linked.withColumn("c", _conv()).join(opening, "c", "left").drop("c")
-            .withColumn("thread", F.when(F.col("turn").isNotNull(), F.col("thread")).otherwise(F.col("id"))))
-    return (rows.select("conv_id", "turn", "role", "own", "copies", "id", "parent", "by", "thread", "quoted")
-            .repartitionByRange("conv_id", "turn", "id").sortWithinPartitions("conv_id", "turn", "id"))
+    rows = base.drop("text").join(linked.select("id", "parent", "by"), "id", "left").join(order, "id", "left").join(cited, "id", "left")
+    rows = rows.withColumns({"thread": F.coalesce("thread", "id"), "place": F.coalesce("place", F.lit(0).cast("bigint"))})
+    roots = base.select(F.col("id").alias("thread"), F.col("conv_id").alias("root"))
+    rows = rows.join(roots, "thread")
+    return (rows.repartitionByRange("root", "thread", "place").sortWithinPartitions("root", "thread", "place")
+            .select("conv_id", "turn", "role", "own", "copies", "id", "parent", "by", "thread", "place", "quoted"))
