@@ -22,21 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from piste.llm.common import code_points, grams, mix, spanned_words
+from piste.llm.licence_texts import TEMPLATES
 
-#: Customary license notices.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "MIT": "Released under the MIT License.",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-grant": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "all-rights-reserved": "All rights reserved. No part of this work may be reproduced without written permission.",
-}
 SHINGLE = 2
 SCHEMA = "doc_id long, template string, start long, end long, containment double"
 _PART = 1 << 11  # windows at a time

@@ -105,3 +105,50 @@ def test_licences(spark, documents, edge_rows):
 def test_bands_reach_the_asked_probability():
     for s in (0.3, 0.5, 0.8):
         assert 1 - (1 - s**2) ** licences.band_count(s, 2, 0.999) >= 0.999
+
+
+def every_window(text, templates, containment=0.8):
+    """Templates whose shingles some stretch of the text holds to the asked share: every start, no bands."""
+    import math
+
+    found = set()
+    g = licences.grams(licences.spanned_words(text or "")[0], licences.SHINGLE)
+    for name, template in templates.items():
+        own = np.unique(licences.grams(licences.spanned_words(template)[0], licences.SHINGLE))
+        inside = np.flatnonzero(np.isin(g, own))
+        room = math.ceil(len(own) / containment)
+        if any(len(np.unique(g[inside[(inside >= k) & (inside < k + room)]])) >= containment * len(own) for k in inside):
+            found.add(name)
+    return found
+
+
+def test_retrieved_templates_equal_those_of_every_window(spark, documents):
+    rng = np.random.default_rng(4)
+    filler = [f"filler{i}" for i in range(400)]
+    rows = []
+    for i, text in enumerate(licences.TEMPLATES.values()):
+        words = text.split()
+        lost = set(rng.choice(len(words), int(rng.integers(0, max(1, len(words) // 8) + 1)), replace=False).tolist())
+        kept = [w for k, w in enumerate(words) if k not in lost]
+        rows.append((i, " ".join([*rng.choice(filler, int(rng.integers(0, 300))), *kept, *rng.choice(filler, int(rng.integers(0, 300)))])))
+    given = [(10_000 + r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    found = {}
+    for r in licences.scan(documents(rows + given)).collect():
+        found.setdefault(r["doc_id"], set()).add(r["template"])
+    want = {i: w for i, t in rows + given if (w := every_window(t, licences.TEMPLATES))}
+    missed = sum(len(w - found.get(i, set())) for i, w in want.items())
+    assert all(found[i] <= want.get(i, set()) for i in found) and sum(map(len, want.values())) > 80
+    assert missed <= 0.005 * sum(map(len, want.values())), missed
+
+
+def test_whole_license_texts_and_tags(documents):
+    texts = licences.TEMPLATES
+    rows = [(1, "Copyright (c) 2020 A. Person\n\n" + texts["BSD-3-Clause-text"]), (2, texts["LGPL-3.0-text"]), (3, "# SPDX-License-Identifier: GPL-2.0-or-later\nimport x"),
+            (4, "Copyright 2019\n" + texts["ISC-text"]), (5, texts["Unlicense-text"]), (6, "this program is free of charge")]
+    got = {}
+    for r in licences.scan(documents(rows)).collect():
+        got.setdefault(r["doc_id"], {})[r["template"]] = r["containment"]
+    whole = {i: {t for t, share in found.items() if share == 1.0} for i, found in got.items()}  # variants hold most of each other
+    assert whole == {1: {"BSD-3-Clause-text", "BSD"}, 2: {"LGPL-3.0-text", "LGPL-grant"}, 3: {"tag:GPL-2.0-or-later"},
+                     4: {"ISC-text"}, 5: {"Unlicense-text", "Unlicense-notice"}}
+    assert set(got[3]) == {"tag:GPL-2.0-or-later"} and got[2]["AGPL-3.0-text"] < 1
