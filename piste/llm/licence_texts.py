@@ -76,4 +76,5 @@ TAGGED = (
     "Python-2.0 Unlicense UPL-1.0 Vim WTFPL Zlib"
 ).split()
 
-TEMPLATES = NOTICES | TEXTS | {f"tag:{name}": f"SPDX-License-Identifier: {name}" for name in TAGGED}
+TAGS = {f"tag:{name}": f"SPDX-License-Identifier: {name}" for name in TAGGED}
+TEMPLATES = NOTICES | TEXTS | TAGS

@@ -5,7 +5,8 @@ by a quarter window, so a template's text lies whole in one of them with little
 Each window's MinHash bands look up templates; rows per band and the number of bands are chosen so
 that a window holding ``containment`` of a template collides with it with probability at least
 ``probability``.  A retrieved template is then verified by the exact share of its shingles in the
-window's neighbourhood, and reported with the span of the matching words.
+window's neighbourhood, and reported with the span of the matching words.  Machine-readable tags
+differ by a word and must be held whole.
 
 Null and empty texts match nothing, as do texts shorter than the shortest template's share.
 Repeated rows each get their rows; other columns are ignored; an empty table gives an empty result.
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from piste.llm.common import code_points, grams, mix, spanned_words
-from piste.llm.licence_texts import TEMPLATES
+from piste.llm.licence_texts import TAGS, TEMPLATES
 
 SHINGLE = 2
 SCHEMA = "doc_id long, template string, start long, end long, containment double"
@@ -49,9 +50,9 @@ def _bitmap(keys: set[int]) -> np.ndarray:
 class Templates:
     """Shingles and band tables of the templates, by size class of window."""
 
-    def __init__(self, texts: dict[str, str], containment: float, probability: float, rows: int):
-        self.containment, self.rows = containment, rows
-        self.names = list(texts)
+    def __init__(self, texts: dict[str, str], containment: float, probability: float, rows: int, whole=frozenset(TAGS)):
+        self.rows, self.names = rows, list(texts)
+        self.needs = [1.0 if name in whole else containment for name in self.names]
         hashes = [spanned_words(t)[0] for t in texts.values()]
         self.sizes = [len(h) for h in hashes]
         self.sets = [np.unique(grams(h, SHINGLE)) for h in hashes]
@@ -61,7 +62,7 @@ class Templates:
             members = [i for i, n in enumerate(self.sizes) if 1 << max(2, (n - 1).bit_length()) == size]
             width = size + size // 4  # a step of size / 4 then puts every run of ``size`` words in one window
             # least similarity of a window holding the asked share of a template
-            worst = min(containment * len(self.sets[i]) / (width + len(self.sets[i]) * (1 - containment)) for i in members)
+            worst = min(self.needs[i] * len(self.sets[i]) / (width + len(self.sets[i]) * (1 - self.needs[i])) for i in members)
             bands, table = band_count(worst, rows, probability), {}
             for i in members:
                 for b, key in enumerate(self.bands(self.sets[i], bands, len(self.sets[i]))[0]):
@@ -119,11 +120,11 @@ class Templates:
         near = g[low : at + 2 * width]
         inside = np.flatnonzero(np.isin(near, self.sets[i]))
         # runs no longer than the template allows for what it lacks, each started by a shingle of it
-        room = math.ceil(len(self.sets[i]) / self.containment)
+        room = math.ceil(len(self.sets[i]) / self.needs[i])
         for k in inside:
             run = inside[(inside >= k) & (inside < k + room)]
             share = len(np.unique(near[run])) / len(self.sets[i])
-            if share >= self.containment:
+            if share >= self.needs[i]:
                 hits.append((share, low + int(k), low + int(run[-1]) + SHINGLE))
 
 

@@ -115,9 +115,9 @@ def every_window(text, templates, containment=0.8):
     g = licences.grams(licences.spanned_words(text or "")[0], licences.SHINGLE)
     for name, template in templates.items():
         own = np.unique(licences.grams(licences.spanned_words(template)[0], licences.SHINGLE))
-        inside = np.flatnonzero(np.isin(g, own))
-        room = math.ceil(len(own) / containment)
-        if any(len(np.unique(g[inside[(inside >= k) & (inside < k + room)]])) >= containment * len(own) for k in inside):
+        inside, need = np.flatnonzero(np.isin(g, own)), 1.0 if name in licences.TAGS else containment
+        room = math.ceil(len(own) / need)
+        if any(len(np.unique(g[inside[(inside >= k) & (inside < k + room)]])) >= need * len(own) for k in inside):
             found.add(name)
     return found
 
