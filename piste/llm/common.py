@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from piste.operators.incremental import delete_path
 from piste.session import checkpoint_root
 
 PIECE = 1 << 20  # bytes hashed at a time, so that memory does not follow a text's length
@@ -39,7 +40,16 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     cuts lineage, and what depends on it survives the loss of any executor."""
     path = f"{checkpoint_root(df.sparkSession)}/llm-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads again, such as those of a round once the next one is
+    written."""
+    for df in tables:
+        delete_path(df.sparkSession, df._staged_path)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

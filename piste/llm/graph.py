@@ -11,16 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from piste.llm.common import staged
+from piste.llm.common import discard, staged
 
 
 HOT = 100_000  # vertices whose least neighbour is broadcast: 24 bytes each
 FEW = 1024  # edges that always may meet in one task
 
 
-def _star(directed: DataFrame, edges: int, keep) -> DataFrame:
+def _star(directed: DataFrame, edges: int, keep, own: bool = False) -> DataFrame:
     """``directed`` has (u, v), ``edges`` rows or fewer; every v that ``keep`` accepts is moved to u's
-    least neighbour."""
+    least neighbour.  With ``own`` each u also keeps an edge to its least neighbour."""
     least = staged(directed.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")).withColumn("low", F.least("low", "u")), "least")
     many = F.col("n") > max(FEW, edges // HOT)  # fewer than HOT vertices have that many
     hot = F.broadcast(least.where(many).select("u", F.col("low").alias("hot")))
@@ -28,7 +28,12 @@ def _star(directed: DataFrame, edges: int, keep) -> DataFrame:
     near = met.where("hot is not null").select("u", "v", F.col("hot").alias("low"))
     far = met.where("hot is null").drop("hot").join(least.where(~many).select("u", "low"), "u")
     moved = near.unionByName(far).where(keep)
-    return moved.select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
+    moved = moved.select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v")
+    if own:
+        moved = moved.unionByName(least.select("u", F.col("low").alias("v")))
+    made = staged(moved.distinct(), "edges")
+    discard(least)
+    return made
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -43,10 +48,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = check
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = staged(_star(both, 2 * check["n"], F.col("v") > F.col("u")), "edges")
+        large = _star(both, 2 * check["n"], F.col("v") > F.col("u"))
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small = _star(down, 2 * check["n"], F.lit(True))
-        own = down.groupBy("u").agg(F.min("v").alias("v"))
-        now = staged(small.union(own).distinct(), "edges")
+        before, now = now, _star(down, 2 * check["n"], F.lit(True), own=True)
+        discard(before, large)
     return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(
         now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())

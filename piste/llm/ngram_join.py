@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from piste.llm.common import grams, mix, staged, unused, word_hashes
+from piste.llm.common import discard, grams, mix, staged, unused, word_hashes
 from piste.llm.graph import components
 
 _STEP = 4096  # shingles hashed at a time
@@ -329,6 +329,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 16, d
     vertices = staged(merged.select(name.alias("id"), "owned", "one", "two", "l.doc_id", "l.th", "docs", "size", "sig", "keys"), "vertices")
     groups = staged(forest_groups(vertices, trees, trees * depth, twin_values, cut, near_agreement(threshold, trees * depth), block), "groups")
     checked = staged(verified(docs, vertices, groups, n, threshold, block, block_shingles), "verified")
+    discard(groups)
     linked = components(checked.select(F.col("id").alias("a"), F.col("root").alias("b")))
     names = linked.join(vertices.select("id", "owned"), "id").groupBy("root").agg(F.min("owned").alias("name"))
     classes = linked.join(names, "root").select("id", F.coalesce("name", "root").alias("root"))

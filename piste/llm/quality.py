@@ -35,32 +35,35 @@ class Model:
     buckets: int
 
 
-def _pieces(buf: np.ndarray):
-    """About PIECE bytes at a time, overlapping by what the longest n-gram needs."""
-    step, more = PIECE, max(NGRAMS) - 1
-    for at in range(0, len(buf), step):
-        yield buf[at : at + step + more], min(step, len(buf) - at)
+def _pieces(text: str):
+    """The text's code points, about PIECE at a time, overlapping by what the longest n-gram needs."""
+    for at in range(0, len(text), PIECE):
+        yield np.frombuffer(text[at : at + PIECE + max(NGRAMS) - 1].encode("utf-32-le"), np.uint32), min(PIECE, len(text) - at)
 
 
 def feature_parts(text: str | None, buckets: int):
     """Buckets of the words (between white space, case and punctuation kept), of word pairs and of
-    the byte n-grams of a whole text, a piece at a time.  A pair is hashed by exclusive or, so
-    all immediate repeats, of whatever word, share a bucket."""
-    buf = np.frombuffer((text or "").encode(), np.uint8)
+    the words' character n-grams, of a whole text, a piece at a time.  A pair is hashed by exclusive
+    or, so all immediate repeats, of whatever word, share a bucket.  An n-gram is of characters, not
+    bytes; a blank may begin or end it and marks a word's border."""
+    text = text or ""
+    buf = np.frombuffer(text.encode(), np.uint8)
     if len(buf):
         h = words(buf, ~_BLANK[buf])[0]
         yield (h % np.uint64(buckets)).astype(np.int64)
         yield (mix((h[1:] ^ h[:-1]) + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
-    for part, own in _pieces(buf):
-        wide = part.astype(np.uint32)
+    for part, own in _pieces(text):
+        blank = (part == 32) | ((part >= 9) & (part <= 13))
+        wide = np.where(blank, np.uint32(32), part)
         for n in NGRAMS:
             count = min(own, len(part) - n + 1)
             if count > 0:
                 h = np.full(count, n, np.uint32)
                 for j in range(n):
                     h = (h ^ wide[j : j + count]) * np.uint32(0x01000193)
-                h ^= h >> np.uint32(15)
-                yield ((h * np.uint32(0x85EBCA6B)) >> np.uint32(7)).astype(np.int64) % buckets
+                    h ^= h >> np.uint32(15)
+                inside = ~np.logical_or.reduce([blank[j : j + count] for j in range(1, n - 1)]) if n > 2 else np.ones(count, bool)
+                yield ((h[inside] * np.uint32(0x85EBCA6B)) >> np.uint32(7)).astype(np.int64) % buckets
 
 
 def bag(text: str | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from piste.llm.common import staged
+from piste.llm.common import discard, staged
 
 #: Blanks and marks at a line's start; marks stand at most three blanks apart, the first one too.
 LEAD = r"^[\s>]*+"
@@ -155,9 +155,11 @@ def _jumped(pointers: DataFrame, tag: str) -> DataFrame:
     while True:
         after = now.alias("a").join(now.alias("b"), F.col("a.to") == F.col("b.id")).select("a.id", F.col("b.to").alias("to"), (F.col("a.to") != F.col("b.to")).alias("moved"))
         after = staged(after, tag)
+        discard(now)
         if after.where("moved").isEmpty():
             return after.drop("moved")
         now = after.drop("moved")
+        now._staged_path = after._staged_path
 
 
 def tree_order(nodes: DataFrame) -> DataFrame:
@@ -185,7 +187,9 @@ def tree_order(nodes: DataFrame) -> DataFrame:
             "a.id", F.col("b.to").alias("to"), (F.col("a.left") + F.when(F.col("a.to") == F.col("a.id"), F.lit(0)).otherwise(F.col("b.left"))).alias("left"),
             (F.col("a.to") != F.col("b.to")).alias("moved"))
         jumped = staged(jumped, "list")
+        discard(listed)
         listed = jumped.drop("moved")
+        listed._staged_path = jumped._staged_path
         if jumped.where("moved").isEmpty():
             break
     heads = listed.groupBy("to").agg(F.max(F.struct("left", "id")).alias("head"))
