@@ -80,13 +80,13 @@ FROM (
               WHEN month(d) = 7 AND day(d) = 4 THEN 'Independence Day'
               WHEN month(d) = 11 AND dayofweek(d) = 4 AND day(d) BETWEEN 22 AND 28 THEN 'Thanksgiving' END AS holiday_name,
          CASE WHEN month(d) IN (1, 2) THEN 'Excellent' WHEN month(d) IN (12, 3) THEN 'Good'
-              WHEN month(d) IN (11, 4) THEN 'Fair' ELSE 'Closed' END AS snow_condition
-  FROM (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS d FROM (
-    SELECT least(DATE '1994-11-01', min(day)) AS lo, greatest(DATE '1994-11-01' + 10999, max(day) + 60) AS hi FROM (
+              WHEN month(d) IN (11, 4) THEN 'Fair' ELSE 'Closed' END AS snow_condition, until
+  FROM (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS d, until FROM (
+    SELECT least(DATE '1994-11-01', min(day)) AS lo, greatest(DATE '1994-11-01' + 10999, max(day) + 60) AS hi, max(day) + 60 AS until FROM (
       SELECT CAST(o_orderdate AS DATE) AS day FROM orders UNION ALL SELECT CAST(l_shipdate AS DATE) FROM lineitem
       UNION ALL SELECT CAST(ts AS DATE) FROM events))) spine
 ) x
-WHERE ski_season IS NOT NULL AND full_date <= {AS_OF} + INTERVAL 24 MONTH""")
+WHERE ski_season IS NOT NULL AND full_date <= greatest({AS_OF} + INTERVAL 24 MONTH, until)""")
 
 cte("dim_ticket_type", [], f"""
 SELECT {sk('ticket_type_id', ts(CATALOG_FROM))} AS ticket_type_key, ticket_type_id,

@@ -646,7 +646,7 @@ WITH m AS (
                      lambda x: true) AS bullets,
          list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: {_TRIM}),
                      lambda x: x <> '') AS sentences
-  FROM conversations WHERE role = 'assistant'
+  FROM conversations
 ), e AS (
   SELECT conv_id, turn, bullets, list_filter(sentences, lambda x: NOT list_contains(bullets, x)) AS ex FROM m
 ), p AS (
@@ -755,7 +755,7 @@ WHERE d.full_date >= DATE '2001-01-01' - INTERVAL 365 DAY
 GROUP BY ALL""")
 
 ORACLE["x07_conversation_sections"] = r"""
-WITH m AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+WITH m AS (SELECT conv_id, turn, text FROM conversations),
 l AS (SELECT conv_id, turn, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
       FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS parts FROM m) x),
 h AS (SELECT *, nullif(regexp_extract(line, '^(#{1,3})\s+(.+)$', 2), '') AS hdr FROM l),

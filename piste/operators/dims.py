@@ -34,8 +34,9 @@ def ski_season(d: Column) -> Column:
 
 
 def dim_date(spark: SparkSession, start: str = SPINE_START, days: int = SPINE_DAYS,
-             as_of: str = "2025-01-01") -> DataFrame:
-    """Calendar spine of ``days`` rows from ``start``, in-season rows only.
+             as_of: str = "2025-01-01", until: str | None = None) -> DataFrame:
+    """Calendar spine of ``days`` rows from ``start``, in-season rows only, up to two years after
+    ``as_of`` or to ``until``, whichever is later.
 
     Built from ``spark.range`` (a bounded generator, no shuffle); the row count is the
     ``days`` argument, so broadcasting it is always safe.
@@ -91,7 +92,7 @@ def dim_date(spark: SparkSession, start: str = SPINE_START, days: int = SPINE_DA
         (~m.between(5, 10)).alias("is_operating"),
         _ts(f"{as_of} 00:00:00").alias("created_at"),
     )
-    cutoff = F.add_months(F.lit(as_of).cast("date"), 24)
+    cutoff = F.greatest(F.add_months(F.lit(as_of).cast("date"), 24), F.lit(until).cast("date"))
     return out.filter((d <= cutoff) & F.col("ski_season").isNotNull())
 
 

@@ -640,13 +640,13 @@ def document_inventory(spark, sf_dir):
 
 
 def conversation_key_points(spark, sf_dir):
-    c = DriverTables(spark, sf_dir).conversations.filter(F.col("role") == "assistant")
+    c = DriverTables(spark, sf_dir).conversations
     k = c.select("conv_id", "turn", F.posexplode(TX.key_points(F.col("text"))).alias("pos", "point"))
     return k.select("conv_id", "turn", (F.col("pos") + 1).alias("point_no"), "point")
 
 
 def conversation_sections(spark, sf_dir):
-    c = DriverTables(spark, sf_dir).conversations.filter(F.col("role") == "assistant")
+    c = DriverTables(spark, sf_dir).conversations
     return TX.markdown_sections(c, ["conv_id", "turn"]).select("conv_id", "turn", "section_no", "title",
                                                                F.length("content").alias("content_chars"))
 

@@ -85,19 +85,21 @@ class Star(Mapping):
         return self
 
     # -- dimensions ---------------------------------------------------------------
-    def span(self) -> tuple[str, int]:
-        """First day and number of days of the calendar: the configured span, widened to the least
-        and greatest date of the raw tables.  Two scalars, read once per star."""
+    def span(self) -> tuple[str, int, str]:
+        """First day and number of days of the calendar (the configured span, widened to the least
+        and greatest date of the raw tables), and the last day that facts need, however late it is.
+        Three scalars, read once per star."""
         days = [self.t[table].select(F.col(c).cast("date").alias("day")) for table, c in DATED.items()]
         first, least = F.min("day"), F.lit(self.spine_start).cast("date")
         last, most = F.date_add(F.max("day"), AHEAD_DAYS), F.date_add(least, self.spine_days - 1)
         found = reduce(DataFrame.union, days).agg(
             F.least(first, least).cast("string").alias("start"),
-            (F.datediff(F.greatest(last, most), F.least(first, least)) + 1).alias("days")).first()
-        return found["start"], found["days"]
+            (F.datediff(F.greatest(last, most), F.least(first, least)) + 1).alias("days"), last.cast("string").alias("until")).first()
+        return found["start"], found["days"], found["until"]
 
     def _build_dim_date(self):
-        return D.dim_date(self.spark, *self.span(), self.as_of)
+        start, days, until = self.span()
+        return D.dim_date(self.spark, start, days, self.as_of, until)
 
     def _build_dim_customer(self):
         return D.dim_customer(A.customers(self.t), self.as_of)

@@ -103,3 +103,9 @@ def test_calendar_reaches_every_fact(spark):
     days = star["dim_date"].agg(F.min("full_date"), F.max("full_date")).first()
     raw = star.t.orders.agg(F.min("o_orderdate").cast("date")).first()[0], star.t.events.agg(F.max("ts").cast("date")).first()[0]
     assert days[0] <= raw[0] and days[1] >= raw[1]
+
+
+def test_calendar_goes_on_to_the_last_fact_after_the_cutoff(spark):
+    short = D.dim_date(spark, "2020-01-01", 4000, "2025-01-01")
+    long = D.dim_date(spark, "2020-01-01", 4000, "2025-01-01", "2029-12-25")
+    assert str(short.agg(F.max("full_date")).first()[0]) == "2027-01-01" and str(long.agg(F.max("full_date")).first()[0]) == "2029-12-25"
