@@ -360,3 +360,8 @@ SELECT *, CASE machine_id % 2 WHEN 0 THEN 'night' ELSE 'early' END AS shift, n *
        quantity % 4 IN (0, 1, 2) AND n % 3 IN (0, 1) AS condition_improved
 FROM (SELECT CAST(l_shipdate AS DATE) AS grooming_date, l_linenumber AS machine_id, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity
       FROM lineitem GROUP BY 1, 2) g""")
+cte("alert_subscriptions", [], """
+SELECT c_custkey AS alert_id, 'user' || (c_custkey % 50) || '@example.org' AS recipient_email, 'Revenue of ' || lower(c_mktsegment) || ' customers' AS question,
+       CASE c_custkey % 4 WHEN 0 THEN 'daily' WHEN 1 THEN 'weekly' WHEN 2 THEN 'monthly' ELSE 'never' END AS frequency, c_custkey % 5 <> 0 AS is_active, last_sent_at
+FROM customer LEFT JOIN (SELECT user_id, max(ts) AS last_sent_at FROM events GROUP BY 1) e ON c_custkey = user_id""")
+cte("alert_log", [], "SELECT user_id AS alert_id, event_type <> 'error' AS ok FROM events WHERE event_id % 3 = 0")

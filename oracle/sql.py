@@ -885,3 +885,18 @@ SELECT CUSTOMER_SEGMENT, CAST(sum(predicted) AS BIGINT) AS total_visitors, round
 FROM (SELECT *, max(predicted) OVER (PARTITION BY CUSTOMER_SEGMENT) AS most
       FROM (SELECT CUSTOMER_SEGMENT, FULL_DATE, floor(greatest(0.0::DOUBLE, lag_7 * 1.1::DOUBLE - 2)) AS predicted FROM panel) p) q
 GROUP BY 1""", extra=[("tf", TF_BODY), ("panel", P11_SQL)])
+
+
+# -- alert bookkeeping --------------------------------------------------------------------------------
+ORACLE["a01_due_alerts"] = with_ctes(["alert_subscriptions"], """
+SELECT frequency, count(*) AS due, count(last_sent_at) AS sent_before, CAST(sum(alert_id) AS BIGINT) AS ids FROM alert_subscriptions
+WHERE is_active AND frequency <> 'never' AND (last_sent_at IS NULL OR CAST(last_sent_at AS DATE) <= CASE frequency
+  WHEN 'daily' THEN DATE '2024-01-30' WHEN 'weekly' THEN DATE '2024-01-24' ELSE DATE '2023-12-31' END) GROUP BY 1""")
+ORACLE["a02_alert_run_log"] = with_ctes(["alert_subscriptions", "alert_log"], """
+SELECT CASE WHEN ok THEN 'success' ELSE 'failed' END AS status, count(*) AS n, count(*) FILTER (WHERE ok) AS responses, count(*) FILTER (WHERE NOT ok) AS errors
+FROM alert_log GROUP BY 1
+UNION ALL SELECT 'moved on', count(*), NULL, NULL FROM alert_subscriptions WHERE alert_id IN (SELECT alert_id FROM alert_log WHERE ok)""")
+ORACLE["a03_alert_listing"] = with_ctes(["alert_subscriptions", "alert_log"], """
+SELECT recipient_email, count(*) AS alerts, CAST(sum(coalesce(n, 0)) AS BIGINT) AS times_sent,
+       count(*) FILTER (WHERE is_active AND NOT (recipient_email = 'user7@example.org' AND question ILIKE '%machinery%')) AS active
+FROM alert_subscriptions s LEFT JOIN (SELECT alert_id, count(*) AS n FROM alert_log WHERE ok GROUP BY 1) l ON s.alert_id = l.alert_id GROUP BY 1""")

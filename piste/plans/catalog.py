@@ -929,3 +929,39 @@ REGISTRY["p12_configured_panel"] = lambda spark, sf_dir: round_doubles(_configur
 REGISTRY["p10_rolling_deviation"] = lambda spark, sf_dir: round_doubles(_configured(spark, sf_dir, {"rolling_features": {"windows": [5], "aggregation": "std"}}))
 REGISTRY["p15_naive_metrics"] = lambda spark, sf_dir: round_doubles(naive_metrics(spark, sf_dir))
 REGISTRY["p23_naive_summary"] = lambda spark, sf_dir: round_doubles(naive_summary(spark, sf_dir))
+
+
+# -- alert bookkeeping (A01-A03) ------------------------------------------------------------------------
+from piste.operators import alerts as AL  # noqa: E402
+
+ALERT_DAY, ALERT_TIME = "2024-01-31", "2024-01-31 07:00:00"
+
+
+def due_alerts(spark, sf_dir):
+    """Subscriptions due on the day, by frequency."""
+    due = AL.due_alerts(AD.alert_subscriptions(DriverTables(spark, sf_dir)), ALERT_DAY)
+    return due.groupBy(F.lower(F.trim("frequency")).alias("frequency")).agg(
+        F.count(F.lit(1)).alias("due"), F.count("last_sent_at").alias("sent_before"), F.sum(F.col("alert_id").cast("bigint")).alias("ids"))
+
+
+def alert_run_log(spark, sf_dir):
+    """The run's log, and the subscriptions that it moved on."""
+    t = DriverTables(spark, sf_dir)
+    log = AL.run_log(AD.alert_results(t), ALERT_TIME)
+    moved = AL.mark_sent(AD.alert_subscriptions(t), log).where(F.col("last_sent_at") == F.lit(ALERT_TIME).cast("timestamp_ntz"))
+    counts = log.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count("response").alias("responses"), F.count("error_message").alias("errors"))
+    return counts.unionByName(moved.agg(F.count(F.lit(1)).alias("n")).select(F.lit("moved on").alias("status"), "n", *[F.lit(None).cast("bigint").alias(c) for c in ("responses", "errors")]))
+
+
+def alert_listing(spark, sf_dir):
+    """Subscriptions of every recipient with their sends, after one recipient cancelled by a part of
+    the question."""
+    t = DriverTables(spark, sf_dir)
+    alerts = AL.cancel_matching(AD.alert_subscriptions(t), "user7@example.org", "MACHINERY")
+    listed = AL.subscriptions(alerts, AL.run_log(AD.alert_results(t), ALERT_TIME))
+    return listed.groupBy("recipient_email").agg(F.count(F.lit(1)).alias("alerts"), F.sum("times_sent").alias("times_sent"), F.sum(F.col("is_active").cast("int")).alias("active"))
+
+
+REGISTRY["a01_due_alerts"] = due_alerts
+REGISTRY["a02_alert_run_log"] = alert_run_log
+REGISTRY["a03_alert_listing"] = alert_listing

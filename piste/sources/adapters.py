@@ -533,3 +533,24 @@ def employees(t: DriverTables) -> DataFrame:
         k.alias("employee_id"), F.col("s_name").alias("employee_name"), _pick((k % 5).cast("int"), DEPARTMENTS).alias("department"),
         _pick((k % 3).cast("int"), ["Attendant", "Operator", "Lead"]).alias("job_title"), F.when(k % 4 == 0, "seasonal").otherwise("full_time").alias("employment_type"),
         money(k % 15 + 18).alias("hourly_rate"), (k % 3 == 2).alias("is_supervisor"), F.when(k % 3 != 2, k - k % 3 + 2).alias("reports_to"))
+
+
+# -- alert subscriptions ----------------------------------------------------------------------
+def alert_subscriptions(t: DriverTables) -> DataFrame:
+    """Every customer subscribes to one question; it was last sent when their latest event happened."""
+    k = F.col("c_custkey")
+    last = t.events.groupBy(F.col("user_id").alias("__user")).agg(F.max("ts").alias("last_sent_at"))
+    c = t.customer.join(last, k == F.col("__user"), "left")
+    return c.select(
+        k.cast("string").alias("alert_id"), F.concat(F.lit("user"), (k % 50).cast("string"), F.lit("@example.org")).alias("recipient_email"),
+        F.concat(F.lit("Revenue of "), F.lower("c_mktsegment"), F.lit(" customers")).alias("question"),
+        _pick((k % 4).cast("int"), ["Daily", " weekly", "MONTHLY", "never"]).alias("frequency"), (k % 5 != 0).alias("is_active"), "last_sent_at")
+
+
+def alert_results(t: DriverTables) -> DataFrame:
+    """Every third event is an answer to its user's alert; error events carry an error."""
+    e = t.events.filter(F.col("event_id") % 3 == 0)
+    bad = F.col("event_type") == "error"
+    return e.select(
+        F.col("user_id").cast("string").alias("alert_id"), F.concat(F.lit("Event "), F.col("event_id").cast("string")).alias("question"),
+        F.when(~bad, F.concat(F.lit("value "), F.floor("value").cast("string"))).alias("response"), F.when(bad, F.lit("no answer")).alias("error"))
