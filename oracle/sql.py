@@ -900,3 +900,20 @@ ORACLE["a03_alert_listing"] = with_ctes(["alert_subscriptions", "alert_log"], ""
 SELECT recipient_email, count(*) AS alerts, CAST(sum(coalesce(n, 0)) AS BIGINT) AS times_sent,
        count(*) FILTER (WHERE is_active AND NOT (recipient_email = 'user7@example.org' AND question ILIKE '%machinery%')) AS active
 FROM alert_subscriptions s LEFT JOIN (SELECT alert_id, count(*) AS n FROM alert_log WHERE ok GROUP BY 1) l ON s.alert_id = l.alert_id GROUP BY 1""")
+
+
+# -- evaluation roll-ups ------------------------------------------------------------------------------
+ORACLE["e03_evaluation_scores"] = """
+SELECT agent_name, round(avg(goal_score), 4) AS goal, round(avg(plan_score), 4) AS plan, round(avg(action_score), 4) AS action, count(*) AS questions,
+       round((avg(goal_score) + avg(plan_score) + avg(action_score)) / 3, 4) AS overall
+FROM (SELECT c_mktsegment AS agent_name, CASE WHEN c_custkey % 60 + 30 > 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS goal_score,
+             CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS plan_score,
+             CASE WHEN c_custkey % 7 = 0 OR c_custkey % 5 = 0 THEN 0.0::DOUBLE WHEN c_custkey % 11 = 0 THEN 0.5::DOUBLE
+                  ELSE 0.6::DOUBLE + 0.4 * CASE c_custkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 WHEN 2 THEN 0.7 ELSE 0.9 END END AS action_score
+      FROM customer) s GROUP BY 1"""
+ORACLE["e04_golden_versions"] = """
+SELECT agent_name, version, question_type, count(*) AS questions
+FROM (SELECT c_mktsegment AS agent_name, CASE WHEN c_custkey % 2 = 0 THEN 'v1' ELSE 'v2' END AS version,
+             CASE WHEN c_mktsegment = 'BUILDING' AND c_custkey % 2 = 1 THEN 'revised' ELSE ['simple', 'join', 'trend'][(c_custkey % 3 + 1)::INT] END AS question_type,
+             NOT (c_mktsegment = 'BUILDING' AND c_custkey % 2 = 1 AND c_custkey % 3 = 2) AS stays FROM customer) g
+WHERE stays GROUP BY 1, 2, 3"""

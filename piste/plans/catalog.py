@@ -965,3 +965,23 @@ def alert_listing(spark, sf_dir):
 REGISTRY["a01_due_alerts"] = due_alerts
 REGISTRY["a02_alert_run_log"] = alert_run_log
 REGISTRY["a03_alert_listing"] = alert_listing
+
+
+# -- evaluation roll-ups (E01-E04) -----------------------------------------------------------------------
+from piste.operators import evaluation as EV  # noqa: E402
+
+
+def evaluation_scores(spark, sf_dir):
+    """Goal, plan and action scores of every question, by agent."""
+    return round_doubles(EV.rollup(EV.score_results(AD.evaluation_results(DriverTables(spark, sf_dir)).repartition("question_id")), "agent_name"))
+
+
+def golden_versions(spark, sf_dir):
+    """The second version of one agent's questions replaced as a whole, then counted."""
+    golden = AD.golden_questions(DriverTables(spark, sf_dir))
+    incoming = golden.where("agent_name = 'BUILDING' AND version = 'v2' AND question_type <> 'trend'").withColumn("question_type", F.lit("revised"))
+    return EV.golden_summary(EV.replace_version(golden, incoming))
+
+
+REGISTRY["e03_evaluation_scores"] = evaluation_scores
+REGISTRY["e04_golden_versions"] = golden_versions

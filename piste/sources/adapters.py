@@ -554,3 +554,31 @@ def alert_results(t: DriverTables) -> DataFrame:
     return e.select(
         F.col("user_id").cast("string").alias("alert_id"), F.concat(F.lit("Event "), F.col("event_id").cast("string")).alias("question"),
         F.when(~bad, F.concat(F.lit("value "), F.floor("value").cast("string"))).alias("response"), F.when(bad, F.lit("no answer")).alias("error"))
+
+
+# -- evaluation results -----------------------------------------------------------------------
+def evaluation_results(t: DriverTables) -> DataFrame:
+    """Every customer is a question: the statement that answers it and the one generated, which by
+    customer number is the same, lacks a table, another aggregate or the grouping."""
+    k = F.col("c_custkey")
+    parts = {
+        "expected": ("SUM(o_totalprice)", " JOIN mart.customer c ON o.o_custkey = c.c_custkey", " GROUP BY c.c_mktsegment"),
+        "short": ("SUM(o_totalprice)", "", " GROUP BY c.c_mktsegment"),
+        "other": ("AVG(o_totalprice)", " JOIN mart.customer c ON o.o_custkey = c.c_custkey", " GROUP BY c.c_mktsegment"),
+        "flat": ("SUM(o_totalprice)", " JOIN mart.customer c ON o.o_custkey = c.c_custkey", ""),
+    }
+    sql = {name: F.concat(F.lit(f"SELECT {agg} FROM mart.orders o{join} WHERE o.o_comment <> 'GROUP BY ' AND segment = '"), F.col("c_mktsegment"), F.lit(f"'{group} -- "), F.col("c_name"))
+           for name, (agg, join, group) in parts.items()}
+    made = F.when(k % 4 == 1, sql["short"]).when(k % 4 == 2, sql["other"]).when(k % 4 == 3, sql["flat"]).otherwise(sql["expected"])
+    return t.customer.select(
+        k.alias("question_id"), F.col("c_mktsegment").alias("agent_name"), F.repeat(F.lit("x"), (k % 60 + 30).cast("int")).alias("answer"),
+        F.when(k % 2 == 0, "Analyst").otherwise("search").alias("expected_tool"),
+        F.when(k % 3 != 0, F.array(F.lit("data_analyst"))).otherwise(F.array().cast("array<string>")).alias("tools"),
+        F.when(k % 7 != 0, made).alias("sql"), (k % 5 != 0).alias("sql_valid"), F.when(k % 11 != 0, sql["expected"]).alias("validation_query"))
+
+
+def golden_questions(t: DriverTables) -> DataFrame:
+    """Customers as golden questions: an agent per segment, two versions, three types."""
+    k = F.col("c_custkey")
+    return t.customer.select(k.alias("question_id"), F.col("c_mktsegment").alias("agent_name"), F.when(k % 2 == 0, "v1").otherwise("v2").alias("version"),
+                             _pick((k % 3).cast("int"), ["simple", "join", "trend"]).alias("question_type"))
