@@ -6,10 +6,13 @@ of its halves to the centroids, with a heap over the two sorted lists; the rows
 are ranked again by their exact cosine.
 
 A query walks twice.  The first walk ends once its cells hold ``first`` rows; the k-th nearest of them
-bounds the true k-th distance from above.  The second walk goes on while the pair's summed distance
-is at most that bound plus a margin.  The margin is what a share ``recall`` of the true neighbours
-of at most ``tuning`` queries needed, found by comparing those queries with all rows; with no more
-queries than that and ``recall`` 1 the result is exact.  No cell, and no number of rows, is capped.
+bounds the true k-th distance from above.  The second walk goes on, over the same cells and further
+ones, as long as the pair's summed distance is within the query's reach.  The reach is what a share
+``recall`` of the true neighbours of comparable queries needed: at most ``tuning`` queries are
+compared with all rows, and those count whose k-th distance is near the query's own.  Where fewer than
+``EVIDENCE`` neighbours count, the reach is the one that the triangle inequality proves to miss
+nothing: a row within distance r lies in a cell no farther than r and the largest distance of any row
+to its own centroids.  No cell, and no number of rows, is capped.
 
 The codebooks are fitted on the ``sample`` rows of least hash; every row is indexed.  Cells are packed into
 blocks of about ``block`` rows, and a cell of more is split over several, so one vector repeated in a
@@ -37,6 +40,8 @@ from pyspark.sql import functions as F
 from piste.llm.common import least_by_hash, staged
 from piste.llm.vectors import column, in_blocks, matrix, runs, usable
 
+EVIDENCE = 100
+ALIKE = 1.25  # k-th squared distances within this factor are comparable
 SLACK = 1e-9  # rounding of the fast products; all rows this close to the k-th are ranked exactly
 
 
@@ -82,9 +87,23 @@ class Codes:
 
         return to(x[:, : self.half], self.first), to(x[:, self.half :], self.second)
 
-    def cells(self, x: np.ndarray) -> np.ndarray:
-        one, two = self.distances(x)
-        return one.argmin(1) * len(self.second) + two.argmin(1)
+
+class Reach:
+    """How far the second walk of a query goes, by its k-th squared distance so far."""
+
+    def __init__(self, kth: np.ndarray, away: np.ndarray, recall: float, radius: float):
+        order = np.argsort(kth, kind="stable")
+        self.kth, self.away, self.recall, self.radius = kth[order], away[order], recall, radius
+
+    def __call__(self, kth: float | None) -> float:
+        if kth is None:
+            return np.inf
+        proven = (np.sqrt(max(kth, 0.0)) + self.radius) ** 2 + SLACK
+        a, b = np.searchsorted(self.kth, [kth / ALIKE, kth * ALIKE])
+        if b - a < EVIDENCE:
+            return proven
+        # what the needed distances exceed the k-th ones by, so that nearer bounds reach less far
+        return min(proven, kth + float(np.quantile(self.away[a:b] - self.kth[a:b], self.recall, method="higher")) + SLACK)
 
 
 def walk(one: np.ndarray, two: np.ndarray) -> Iterator[tuple[float, int]]:
@@ -187,21 +206,21 @@ def ranked(wanted: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     return in_blocks(both, ["block"], ["kind", "vec_id"]).mapInArrow(score, FOUND)
 
 
-def walked(queries: DataFrame, codes: Codes, blocks: dict, counts: dict, first: int | None) -> DataFrame:
-    """A row (block, vec_id, vec, cells) per query and block: the cells until they hold ``first`` rows, or up
-    to the query's ``reach``."""
+def walked(queries: DataFrame, codes: Codes, blocks: dict, counts: dict, first: int, reach: Reach | None = None) -> DataFrame:
+    """A row (block, vec_id, vec, cells) per query and block: the cells until they hold ``first`` rows, and
+    with ``reach`` those within it by the query's ``kth``."""
 
     def go(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             one, two = codes.distances(unit(scaled(matrix(column(batch, "vec")))))
-            reach = column(batch, "reach").to_pylist()
+            limits = [-1.0] * len(one) if reach is None else [reach(k) for k in column(batch, "kth").to_pylist()]
             rows: dict[str, list] = {"block": [], "row": [], "cells": []}
             for i in range(len(one)):
                 held, by_block = 0, {}
                 for d, cell in walk(one[i], two[i]):
-                    if first is not None and held >= first or first is None and d > reach[i]:
+                    if held >= first and d > limits[i]:
                         break
                     if cell in blocks:
                         held += counts[cell]
@@ -219,12 +238,12 @@ def walked(queries: DataFrame, codes: Codes, blocks: dict, counts: dict, first:
     return queries.mapInArrow(go, f"block int, vec_id long, vec {queries.schema['vec'].dataType.simpleString()}, cells array<int>")
 
 
-def tuned_margin(rows: DataFrame, queries: DataFrame, codes: Codes, k: int, recall: float, tuning: int) -> float:
-    """How much farther than the k-th neighbour's squared distance the cells of a share ``recall`` of all
-    true neighbours lie: ``tuning`` queries at most, each compared with all rows."""
+def tuned(rows: DataFrame, queries: DataFrame, codes: Codes, k: int, recall: float, tuning: int, radius: float) -> Reach:
+    """The reach, from the true neighbours of ``tuning`` queries at most, each compared with all rows, and
+    the distances of their cells."""
     asked = least_by_hash(queries.select("vec_id", "vec"), ["vec_id"], tuning).toArrow()
     if not asked.num_rows:
-        return 0.0
+        return Reach(np.zeros(0), np.zeros(0), recall, radius)
     qids, q = asked["vec_id"].to_numpy(), scaled(matrix(asked["vec"]))
     q_unit = unit(q)
     one, two = codes.distances(q_unit)
@@ -248,8 +267,8 @@ def tuned_margin(rows: DataFrame, queries: DataFrame, codes: Codes, k: int, reca
 
     top = _top(rows.select("vec_id", "vec", "cell").mapInArrow(compare, FOUND + ", away double"), k)
     kth = F.min("score").over(Window.partitionBy("query_id"))
-    needed = top.select((F.col("away") - (2 - 2 * kth)).alias("m")).toArrow()["m"].to_numpy()
-    return float(np.quantile(needed, recall, method="higher")) if len(needed) else 0.0
+    needed = top.select("away", (2 - 2 * kth).alias("kth")).toArrow()
+    return Reach(needed["kth"].to_numpy(), needed["away"].to_numpy(), recall, radius)
 
 
 def search(emb: DataFrame, id_col: str = "vec_id", vec: str = "embedding", every: int = 50, k: int = 5, recall: float = 0.99,
@@ -268,22 +287,23 @@ def search(emb: DataFrame, id_col: str = "vec_id", vec: str = "embedding", every
 
     def assign(batches):
         for batch in batches:
-            x = matrix(column(batch, "vec"))
-            cell = codes.cells(unit(scaled(x))) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], names=["vec_id", "vec", "cell"])
-
-    indexed = staged(rows.mapInArrow(assign, f"vec_id long, vec {rows.schema['vec'].dataType.simpleString()}, cell int"), "cells")
-    counts = {r["cell"]: r["count"] for r in indexed.groupBy("cell").count().collect()}  # most_centres ** 2 at most
+            x = unit(scaled(matrix(column(batch, "vec"))))
+            one, two = codes.distances(x) if len(x) else (np.zeros((0, 1)), np.zeros((0, 1)))
+            cell = one.argmin(1) * len(codes.second) + two.argmin(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(np.sqrt(one.min(1) + two.min(1)))], names=["vec_id", "vec", "cell", "off"])
+
+    indexed = staged(rows.mapInArrow(assign, f"vec_id long, vec {rows.schema['vec'].dataType.simpleString()}, cell int, off double"), "cells")
+    cells = indexed.groupBy("cell").agg(F.count("*").alias("n"), F.max("off").alias("off")).collect()  # most_centres ** 2 at most
+    counts = {r["cell"]: r["n"] for r in cells}
     blocks = packed(counts, block)
     places = emb.sparkSession.createDataFrame([(c, *b) for c, b in blocks.items()], "cell int, start int, many int")
     dealt = indexed.join(F.broadcast(places), "cell").withColumn("block", F.expr("cast(start + pmod(xxhash64(vec_id), many) as int)"))
     queries = staged(indexed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vec").alias("vec")), "queries")
-    margin = tuned_margin(indexed, queries, codes, k, recall, tuning)
-
-    near = ranked(walked(queries.withColumn("reach", F.lit(None).cast("double")), codes, blocks, counts, first), dealt, k)
-    bound = _top(near, k).groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n"))
-    reach = F.when(F.col("n") == k, 2 - 2 * F.col("kth") + margin + SLACK).otherwise(F.lit(float("inf")))
-    bound = staged(bound.select(F.col("query_id").alias("vec_id"), reach.alias("reach")), "reach")
-    asked = queries.join(bound, "vec_id", "left").select("vec_id", "vec", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
-    found = ranked(walked(asked, codes, blocks, counts, None), dealt, k)
+    reach = tuned(indexed, queries, codes, k, recall, tuning, max(r["off"] for r in cells))
+
+    near = ranked(walked(queries, codes, blocks, counts, first), dealt, k)
+    bound = _top(near, k).groupBy("query_id").agg((2 - 2 * F.min("score")).alias("kth"), F.count("*").alias("n")).where(F.col("n") == k)
+    bound = staged(bound.select(F.col("query_id").alias("vec_id"), "kth"), "bounds")
+    asked = queries.join(bound, "vec_id", "left").select("vec_id", "vec", "kth")
+    found = ranked(walked(asked, codes, blocks, counts, first, reach), dealt, k)
     return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -182,3 +182,16 @@ def test_whitening_of_few_or_flat_rows(vectors):
     got = whitening.whiten(vectors(axes), block=6, degree=4).collect()
     assert len(got) == 4 * 2 * d and max(r["identity_error"] for r in got) < 1e-9
     assert {round(r["explained"], 12) for r in got} == {round(1 / d, 12)}
+
+
+def test_search_answers_rare_near_copies_among_far_queries(vectors):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((6000, 16))
+    for q in range(0, 6000, 1000):  # six of 120 queries have near copies, the others only far neighbours
+        x[q + 1 : q + 9] = x[q] + 0.02 * rng.standard_normal((8, 16))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    got = grouped(multi_index.search(vectors(rows), tuning=60, first=20, cell_rows=16).collect())
+    truth = exact_neighbours(x, np.arange(6000), 50, 5)
+    assert set(got) == set(truth) and all(len(f) == 5 for f in got.values())
+    assert all(got[q] == truth[q] for q in range(0, 6000, 1000))
+    assert sum(len({v for v, _ in got[q]} & {v for v, _ in truth[q]}) for q in truth) >= 0.95 * 5 * len(truth)
