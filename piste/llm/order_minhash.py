@@ -159,12 +159,12 @@ def with_next(docs: DataFrame, keys: DataFrame, columns: list[str], finish=lambd
     """Each row with ``next_<column>`` of the row after it by (doc_id, hash), nulls last; the last
     row's next is the first.  ``keys`` has the rows' (doc_id, hash), each once.
 
-    The first row of every block also goes to the block before, so one shuffle by block suffices.
-    ``finish`` adds columns to rows once it is known where they go.
+    The first row of every block also goes to the block before, so one shuffle by block suffices; the
+    list of first keys (``most_blocks`` rows of three numbers at most) is broadcast.  ``finish`` adds columns to rows once it is known where they go.
     """
     block, heads = blocked(keys, per_block, most_blocks)
     rows = finish(docs.withColumn("block", block))
-    copies = finish(_by_key(docs, heads, "inner").withColumnRenamed("before", "block"))
+    copies = finish(_by_key(docs, F.broadcast(heads), "inner").withColumnRenamed("before", "block"))
     both = rows.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)))
     order = Window.partitionBy("block").orderBy("copy", F.col("doc_id").asc_nulls_last(), "hash")
     return both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("not copy").drop("block", "copy")
