@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from piste.llm.boosting import Boosted, calibrated, fit
-from piste.llm.common import mix
+from piste.llm.common import mix, staged
 from piste.llm.spans import Span, digest_rows, digest_schema
 
 BASE = ("email", "ip", "card", "phone")
@@ -257,7 +257,10 @@ def train(docs: DataFrame, text: str = "text", training_docs: int = 100_000, tra
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.bool_(), pa.string(), pa.bool_(), pa.list_(pa.float64())))], names=names)
 
     asked = docs.where(share).select(F.xxhash64("doc_id", text).alias("seed"), F.expr(f"pmod(xxhash64(`{text}`), 4)").alias("fold"), text)
-    rows = asked.mapInArrow(propose, kinds_).orderBy(*names).limit(training_candidates).collect()
+    made = staged(asked.mapInArrow(propose, kinds_), "candidates")
+    # keys are spread evenly: a cut at four times the share leaves enough, and bounds what meets on the driver
+    most = min(2**63 - 1, (4 * training_candidates << 63) // max(made.count(), 1))
+    rows = made.where(F.col("key") <= most).orderBy(*names).limit(training_candidates).collect()
     kinds, held = np.array([r["kind"] for r in rows]), np.array([r["held"] for r in rows], bool)
     x, y = np.array([r["x"] for r in rows], np.float64), np.array([r["label"] for r in rows], bool)
     if len(rows) == 0 or len(set(y[~held])) < 2:
