@@ -271,11 +271,14 @@ def tuned(rows: DataFrame, queries: DataFrame, codes: Codes, k: int, recall: flo
     return Reach(needed["kth"].to_numpy(), needed["away"].to_numpy(), recall, radius)
 
 
-def search(emb: DataFrame, id_col: str = "vec_id", vec: str = "embedding", every: int = 50, k: int = 5, recall: float = 0.99,
-           sample: int = 20_000, tuning: int = 256, cell_rows: int = 64, most_centres: int = 256, block: int = 4096, first: int = 256) -> DataFrame:
+def search(emb: DataFrame, id_col: str = "vec_id", vec: str = "embedding", every: int = 50, k: int = 5, recall: float = 0.95,
+           sample: int = 20_000, tuning: int = 256, cell_rows: int = 16, most_centres: int = 256, block: int = 4096, first: int = 256,
+           first_share: float = 0.04) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every row whose id ``every`` divides.
 
-    Codebooks have sqrt(rows / ``cell_rows``) centroids a half, ``most_centres`` at most.
+    Codebooks have sqrt(rows / ``cell_rows``) centroids a half, ``most_centres`` at most.  The first walk
+    asks for ``first`` rows, or ``first_share`` of all if that is more: the better its bound, the shorter
+    the second walk.
     """
     zero = ~F.exists(vec, lambda e: e != 0)
     rows = usable(emb, vec).where(~zero & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec).alias("vec"))
@@ -301,6 +304,7 @@ def search(emb: DataFrame, id_col: str = "vec_id", vec: str = "embedding", every
     queries = staged(indexed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vec").alias("vec")), "queries")
     reach = tuned(indexed, queries, codes, k, recall, tuning, max(r["off"] for r in cells))
 
+    first = max(first, round(first_share * count))
     near = ranked(walked(queries, codes, blocks, counts, first), dealt, k)
     bound = _top(near, k).groupBy("query_id").agg((2 - 2 * F.min("score")).alias("kth"), F.count("*").alias("n")).where(F.col("n") == k)
     bound = staged(bound.select(F.col("query_id").alias("vec_id"), "kth"), "bounds")
