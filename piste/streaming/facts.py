@@ -103,8 +103,9 @@ HOUR = "window_start"
 def merge_hours(root: str, ts_col: str, event_key: str, key: str, value: str, delay: str = "1 hour") -> Callable[[DataFrame, int], None]:
     """foreachBatch sink of the hourly load for events of any lateness.
 
-    An epoch writes two folders, each complete or absent: ``sums`` (hour, key, events, value_sum,
-    late_events) and ``keys`` (event key, event time, by day) of the events it counted.  An event is
+    An epoch writes three folders, each complete or absent: ``sums`` (hour, key, events, value_sum,
+    late_events), ``keys`` (event key, event time, by day) of the events it counted, and their
+    ``newest`` event time.  An event is
     counted once: within the batch by its key, and against the epochs before it by the keys of
     the days that the batch touches, ``delay`` wider, as repeats stand at most that far apart.  An
     event is late if its hour ended before the greatest event time of earlier epochs less
@@ -118,12 +119,12 @@ def merge_hours(root: str, ts_col: str, event_key: str, key: str, value: str, de
         rows = batch.select(F.col(event_key).alias("event"), t.alias("at"), F.col(key).alias("key"), F.col(value).alias("value"))
         earliest = F.row_number().over(Window.partitionBy("event").orderBy("at", "key", "value"))
         rows = rows.filter("at is not null").withColumn("__n", earliest).filter("__n = 1").drop("__n")
-        seen, mark = None, None
-        earlier = [f"{root}/keys/epoch={e}" for e in range(epoch_id) if path_exists(spark, f"{root}/keys/epoch={e}/_SUCCESS")]
-        if earlier:
-            # schema of the folders as written below
-            seen = spark.read.schema("event string, at timestamp_ntz, day date").option("basePath", f"{root}/keys").parquet(*earlier)
-            mark = seen.agg(F.max("at")).first()[0]
+        mark = None
+        if path_exists(spark, f"{root}/keys"):
+            # the folder of a failed try of this epoch is not looked at, and written anew below
+            before = F.col("epoch") < epoch_id
+            mark = spark.read.schema("at timestamp_ntz, epoch bigint").parquet(f"{root}/newest").where(before).agg(F.max("at")).first()[0]
+            seen = spark.read.schema("event string, at timestamp_ntz, epoch bigint, day date").parquet(f"{root}/keys").where(before)
             days = rows.select(F.explode(F.sequence((F.col("at") - gap).cast("date"), (F.col("at") + gap).cast("date"))).alias("day")).distinct()
             near = seen.join(days, "day", "left_semi").select(F.col("event").alias("__event"), F.col("at").alias("__at"))
             same = (F.col("event").cast("string") == F.col("__event")) & F.col("at").between(F.col("__at") - gap, F.col("__at") + gap)
@@ -136,6 +137,7 @@ def merge_hours(root: str, ts_col: str, event_key: str, key: str, value: str, de
         sums = rows.groupBy(hour.alias(HOUR), F.col("key").alias(key)).agg(
             F.count(F.lit(1)).alias("events"), F.sum("value").alias("value_sum"), F.sum(late.cast("long")).alias("late_events"))
         sums.write.mode("overwrite").parquet(f"{root}/sums/epoch={epoch_id}")
+        rows.agg(F.max("at").alias("at")).write.mode("overwrite").parquet(f"{root}/newest/epoch={epoch_id}")
         rows.select(F.col("event").cast("string").alias("event"), "at", F.col("at").cast("date").alias("day")).write.mode("overwrite").partitionBy(
             "day").parquet(f"{root}/keys/epoch={epoch_id}")
         delete_path(spark, counted)
