@@ -62,3 +62,16 @@ def test_sql_over_a_registered_view(spark, star):
     exp = {r.CUSTOMER_SEGMENT: r.TOTAL_VISITS for r in query(
         V.CUSTOMER_BEHAVIOR, star, ["TOTAL_VISITS"], ["CUSTOMER_SEGMENT"]).collect()}
     assert got == exp
+
+
+def test_percentiles_are_not_kept_for_every_distinct_value(star):
+    asked = ["UNIQUE_RIDERS", "TOTAL_SCANS", "P95_WAIT_MINUTES", "P95_WAIT_MINUTES_APPROX"]
+    both = query(V.OPERATIONS, star, asked, ["LIFT_TYPE"])
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    for line in (x for x in plan.splitlines() if "Aggregate [" in x and "percentile(" in x):
+        keys = line.split("Aggregate [")[1].split("]")[0]
+        assert "FLS__customer_key" not in keys and "customer_key" not in keys and "count(" not in line
+    alone = {r.LIFT_TYPE: r for r in query(V.OPERATIONS, star, asked[2:], ["LIFT_TYPE"]).collect()}
+    counts = {r.LIFT_TYPE: r for r in query(V.OPERATIONS, star, asked[:2], ["LIFT_TYPE"]).collect()}
+    got = {r.LIFT_TYPE: tuple(r)[1:] for r in both.collect()}
+    assert got == {k: tuple(counts[k])[1:] + tuple(alone[k])[1:] for k in alone}
