@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from piste.llm.boosting import Boosted, calibrated, fit
-from piste.llm.common import mix, staged
+from piste.llm.boosting import Boosted, calibrated, fit, fit_rows
+from piste.llm.common import discard, staged
 from piste.llm.spans import Span, digest_rows, digest_schema
 
 BASE = ("email", "ip", "card", "phone")
@@ -62,6 +62,7 @@ CUES = {
 }
 CONTEXT = 24
 FEATURES = 25
+STEPS = 1 << 14  # possible thresholds, where there are too many scores for the driver
 SCORED = 4096  # candidates scored at a time, so that memory does not follow a text's length
 
 
@@ -201,15 +202,6 @@ def features(text: str, spans: list[Span]) -> np.ndarray:
     ], float).T
 
 
-def _keys(seed: int, spans: list[Span]) -> np.ndarray:
-    """A hash of each span of a document."""
-    place = np.array([(BASE.index(k), a, b) for k, a, b in spans], np.uint64)
-    h = np.uint64(seed & (2**64 - 1))
-    for column in place.T:
-        h = mix((h ^ column) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-    return (h >> np.uint64(1)).astype(np.int64)
-
-
 class _Least:
     """Training rows of least key, ``count`` at most; memory for twice as many, whatever the texts hold."""
 
@@ -228,46 +220,54 @@ class _Least:
         return self.rows
 
 
-def train(docs: DataFrame, text: str = "text", training_docs: int = 100_000, training_candidates: int = 20_000,
-          precision: float = 0.98) -> tuple[Boosted, dict] | None:
-    """Model and thresholds from at most ``training_candidates`` candidates of a bounded, repeatable
-    sample of documents (about ``training_docs``, by hash of doc_id): those of least hash of document
-    and place, of which a task keeps no more than that many.  The candidates of a quarter of all
-    texts are kept out for calibration, so copies of a document stand on one side.
+def train(docs: DataFrame, text: str = "text", training_candidates: int = 20_000, precision: float = 0.98) -> tuple[Boosted, dict] | None:
+    """Model and thresholds from every candidate of every document.
+
+    Equal candidates (kind, label and features) are one row with their number; up to
+    ``training_candidates`` such rows are fitted on the driver, more in tasks.  The candidates of a
+    quarter of all texts are kept out for calibration, so copies of a document stand on one side.
     """
-    share = F.shiftrightunsigned(F.xxhash64("doc_id"), 33) <= (training_docs << 31) // max(docs.count(), 1)
-    names, kinds_ = ["key", "held", "kind", "label", "x"], "key long, held boolean, kind string, label boolean, x array<double>"
+    kinds_ = "held boolean, kind string, label boolean, x array<double>"
 
     def propose(batches):
-        least = _Least(training_candidates)
         for batch in batches:
-            for seed, fold, t in zip(*(c.to_pylist() for c in batch.columns)):
+            for fold, t in zip(*(c.to_pylist() for c in batch.columns)):
                 own = set(base_spans(t or ""))
-                taken = None
+                taken = _Taken(own)
                 for spans in _batches(chain(sorted(own), proposed(t or "", own))):
-                    keys = _keys(seed, spans)
-                    some = np.flatnonzero(keys <= least.limit)
-                    if not len(some):
-                        continue
-                    taken = taken or _Taken(own)
-                    kept = [spans[i] for i in some]
-                    x = features(t, kept)
-                    least.add([(int(keys[i]), fold == 0, s[0], _valid(t, s, own, taken), tuple(v)) for i, s, v in zip(some, kept, x.tolist())])
-        cols = list(zip(*least.cut())) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.bool_(), pa.string(), pa.bool_(), pa.list_(pa.float64())))], names=names)
-
-    asked = docs.where(share).select(F.xxhash64("doc_id", text).alias("seed"), F.expr(f"pmod(xxhash64(`{text}`), 4)").alias("fold"), text)
-    made = staged(asked.mapInArrow(propose, kinds_), "candidates")
-    # keys are spread evenly: a cut at four times the share leaves enough, and bounds what meets on the driver
-    most = min(2**63 - 1, (4 * training_candidates << 63) // max(made.count(), 1))
-    rows = made.where(F.col("key") <= most).orderBy(*names).limit(training_candidates).collect()
-    kinds, held = np.array([r["kind"] for r in rows]), np.array([r["held"] for r in rows], bool)
-    x, y = np.array([r["x"] for r in rows], np.float64), np.array([r["label"] for r in rows], bool)
-    if len(rows) == 0 or len(set(y[~held])) < 2:
+                    x = features(t, spans)
+                    cols = [fold == 0] * len(spans), [s[0] for s in spans], [_valid(t, s, own, taken) for s in spans], x.tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.bool_(), pa.string(), pa.bool_(), pa.list_(pa.float64())))],
+                                                     names=["held", "kind", "label", "x"])
+
+    asked = docs.select(F.expr(f"pmod(xxhash64(`{text}`), 4)").alias("fold"), text)
+    made = staged(asked.mapInArrow(propose, kinds_).groupBy("held", "kind", "label", "x").agg(F.count(F.lit(1)).alias("n")), "candidates")
+    fitted, kept = made.where("not held"), made.where("held")
+    if fitted.select("label").distinct().count() < 2:
         return None
-    model = fit(x[~held], y[~held])
-    score = model.score(x[held]) if held.any() else np.zeros(0)
-    return model, {k: calibrated(score[kinds[held] == k], y[held][kinds[held] == k], precision) for k in BASE}
+    if made.count() <= training_candidates:
+        rows = made.orderBy("held", "kind", "label", "x").collect()
+        held, x = np.array([r["held"] for r in rows], bool), np.array([r["x"] for r in rows], np.float64)
+        y, n = np.array([r["label"] for r in rows], bool), np.array([r["n"] for r in rows])
+        model = fit(x[~held], y[~held], n[~held])
+        kinds, y, n = np.array([r["kind"] for r in rows])[held], y[held], n[held]
+        score = model.score(x[held]) if held.any() else np.zeros(0)
+    else:
+        model = fit_rows(fitted)
+
+        def steps(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    s = np.floor(model.score(np.array(batch.column(3).to_pylist(), float)) * STEPS).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(s), batch.column(4)], names=["kind", "label", "step", "n"])
+
+        # thresholds are multiples of 1 / STEPS: one number for each, however many candidates there are
+        counted = kept.mapInArrow(steps, "kind string, label boolean, step long, n long").groupBy("kind", "label", "step").agg(F.sum("n").alias("n"))
+        rows = counted.orderBy("kind", "label", "step").collect()
+        kinds, y, n = np.array([r["kind"] for r in rows]), np.array([r["label"] for r in rows], bool), np.array([r["n"] for r in rows])
+        score = np.array([r["step"] for r in rows]) / STEPS
+    discard(made)
+    return model, {k: calibrated(score[kinds == k], y[kinds == k], precision, n[kinds == k]) for k in BASE}
 
 
 _BY_NAME = sorted(BASE)

@@ -2,9 +2,9 @@
 
 A document is the mean of learned vectors of its hashed words, word pairs and character n-grams; a
 softmax layer on that mean gives the class.  Vectors and layer are trained together by stochastic
-gradient descent in numpy on a bounded sample of labelled documents, whole texts.  Scoring
+gradient descent in numpy on all labelled documents, whole texts, in blocks.  Scoring
 uses that mean and layer are linear: the layer is applied to every vector once, and a document's
-logit is the mean of numbers.
+logit is the mean of numbers.  So are the blocks' models averaged: the mean of their numbers.
 
 Features are of the text alone.  An empty or null text has no features; its score is that of the
 layer's bias.  Rows with equal texts score alike.  Without labels of both classes every document
@@ -26,6 +26,7 @@ from piste.llm.common import PIECE, least_by_hash, mix, words
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 NGRAMS = (3,)
+LONGEST = 1 << 22  # features of a block, so that a task's memory does not follow the length of texts
 
 
 @dataclass(frozen=True)
@@ -84,6 +85,17 @@ def score_text(text: str | None, model: Model) -> float:
     return float(1 / (1 + np.exp(-(total / max(n, 1) + model.bias))))
 
 
+def _known(labels: DataFrame, label: str) -> DataFrame:
+    return labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
+
+
+def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, text, label): a doc_id on several rows gives one text, that of least hash."""
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), "text", F.col("label").cast("int").alias("label")))
+    return (docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id")
+            .groupBy("doc_id").agg(least.alias("l")).select("doc_id", "l.text", "l.label"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, buckets: int, training_docs: int):
     """Bags and labels of at most ``training_docs`` labelled documents, as many of either class
     where there are enough: those of least hash of doc_id.
@@ -92,7 +104,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, buckets: int, trainin
     and may be broadcast.  A doc_id on several rows gives one text, that of least hash, so a
     repeated id does not outgrow the sample.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
+    known = _known(labels, label)
     half = [least_by_hash(known.where(F.col("label") == k), ["doc_id"], training_docs // 2) for k in (0, 1)]
     chosen = F.broadcast(half[0].union(half[1]))
 
@@ -103,32 +115,22 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, buckets: int, trainin
                 [batch.column(0), batch.column(2), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1].astype(np.float32) for m in made], pa.list_(pa.float32()))],
                 names=["doc_id", "label", "ids", "shares"])
 
-    least = F.min(F.struct(F.xxhash64("text").alias("h"), "text", F.col("label").cast("int").alias("label")))
-    rows = (docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id")
-            .groupBy("doc_id").agg(least.alias("l")).select("doc_id", "l.text", "l.label"))
-    table = rows.mapInArrow(bags, "doc_id long, label int, ids array<int>, shares array<float>").toArrow()
+    table = _texts(docs, chosen).mapInArrow(bags, "doc_id long, label int, ids array<int>, shares array<float>").toArrow()
     return table.sort_by([("doc_id", "ascending")])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", buckets: int = 1 << 16, dim: int = 8,
-          training_docs: int = 3000, epochs: int = 12, rate: float = 0.3, seed: int = 7) -> Model:
-    """Stochastic gradient descent, one document a step, rate falling to zero.
+def _fitted(ids: list, shares: list, y: np.ndarray, weight: tuple, buckets: int, dim: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, float]:
+    """Stochastic gradient descent, one document a step, rate falling to zero, times its class's weight.
 
     Vectors start small and random.  The output starts at zero, so both train together.
     """
-    table = sample(docs, labels, label, buckets, training_docs)
-    y = table["label"].to_numpy()
-    if len(set(y.tolist())) < 2:
-        return Model(np.zeros(buckets, np.float32), 0.0, buckets)
-    ids = [a.values.to_numpy() for a in table["ids"]]
-    shares = [a.values.to_numpy() for a in table["shares"]]
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.5, (buckets, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
     step, steps = 0, epochs * len(y)
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
-            eta = np.float32(rate * (1 - step / steps))
+            eta = np.float32(rate * weight[y[i]] * (1 - step / steps))
             step += 1
             if not len(ids[i]):
                 continue
@@ -143,7 +145,75 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", buckets: i
             # divided by the sum of squared shares, a step moves the mean by eta * back at any length
             vectors[ids[i]] -= np.outer(shares[i] * (eta / np.square(shares[i]).sum()), back)
     side = out[:, 1] - out[:, 0]
-    return Model((vectors @ side).astype(np.float32), float(bias[1] - bias[0]), buckets)
+    return (vectors @ side).astype(np.float32), float(bias[1] - bias[0])
+
+
+UNIT = float(1 << 24)  # block models are summed as whole multiples of 1 / UNIT, so in any order
+
+
+def _fitted_in_tasks(docs: DataFrame, known: DataFrame, counts: dict[int, int], buckets: int, training_docs: int, **how) -> tuple[np.ndarray, float] | None:
+    """Mean, by number of documents, of the linear forms of models fitted to blocks of about
+    ``training_docs`` labelled documents; every labelled document is in one block.
+
+    A task holds one block's bags at a time, fewer documents if they are long, and passes on the sum
+    over its blocks; those sums are added by bucket.  The classes weigh alike over all blocks.
+    """
+    total = sum(counts.values())
+    weight = tuple(total / (2 * counts[k]) for k in (0, 1))
+    blocks = max(1, round(total / training_docs))
+
+    def fit_blocks(batches):
+        form, seen, block = np.zeros(buckets + 1, np.int64), np.zeros(2, np.int64), []
+
+        def close():
+            ids, shares, y = (list(c) for c in zip(*block))
+            weights, bias = _fitted(ids, shares, np.array(y), weight, buckets, **how)
+            form[:] += np.rint(np.append(weights, bias).astype(float) * UNIT).astype(np.int64) * len(y)
+            seen[:] += np.bincount(y, minlength=2)
+            block.clear()
+
+        held = 0
+        for batch in batches:
+            for t, k in zip(batch.column(1), batch.column(2).to_pylist()):
+                ids, shares = bag(t.as_py(), buckets)
+                block.append((ids.astype(np.int32), shares.astype(np.float32), k))
+                held += len(ids)
+                if len(block) >= 2 * training_docs or held >= LONGEST:
+                    close()
+                    held = 0
+        if block:
+            close()
+        if seen.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets + 3)), pa.array(np.concatenate([form, seen]))], names=["place", "total"])
+
+    rows = _texts(docs, known).repartition(min(blocks, 512), "doc_id").sortWithinPartitions("doc_id")
+    found = rows.mapInArrow(fit_blocks, "place long, total long").groupBy("place").agg(F.sum("total").alias("total")).toArrow().sort_by("place")
+    if not found.num_rows:
+        return None
+    form = found["total"].to_numpy()
+    seen = form[-2:]
+    if not seen.all():
+        return None
+    form = form[:-2] / (UNIT * seen.sum())
+    return form[:-1].astype(np.float32), float(form[-1])
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", buckets: int = 1 << 16, dim: int = 8,
+          training_docs: int = 3000, epochs: int = 12, rate: float = 0.3, seed: int = 7) -> Model:
+    """The model of all labelled documents: fitted on the driver if there are at most half of
+    ``training_docs`` of either class, else in blocks in tasks."""
+    known = _known(labels, label)
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    how = {"dim": dim, "epochs": epochs, "rate": rate, "seed": seed}
+    fitted = None
+    if len(counts) == 2 and max(counts.values()) > training_docs // 2:
+        fitted = _fitted_in_tasks(docs, known, counts, buckets, training_docs, **how)
+    elif len(counts) == 2:
+        table = sample(docs, labels, label, buckets, training_docs)
+        y = table["label"].to_numpy()
+        if len(set(y.tolist())) == 2:
+            fitted = _fitted([a.values.to_numpy() for a in table["ids"]], [a.values.to_numpy() for a in table["shares"]], y, (1, 1), buckets, **how)
+    return Model(*(fitted or (np.zeros(buckets, np.float32), 0.0)), buckets)
 
 
 def scorer(docs: DataFrame, model: Model, text: str = "text") -> Column:
