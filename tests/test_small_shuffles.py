@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from piste.functions.core import packed, unpacked
 from piste.operators import incremental as INC
+from piste.operators import quality as Q
 
 TEXTS = ["d41d8cd98f00b204e9800998ecf8427e", "D41D8CD98F00B204E9800998ECF8427E", "abc", "ab", "", None, "12", "1-2", "é", "\x01ab", "\x00", "0g"]
 
@@ -49,3 +50,14 @@ def test_an_empty_first_load_leaves_no_target(spark, scratch):
     none = spark.createDataFrame([], "k string, month string, v int")
     assert INC.upsert(spark, none, f"{scratch}/t", "k", partition_col="month", epoch=3)["mode"] == "empty"
     assert INC.committed(spark, f"{scratch}/t", 3) and not INC.path_exists(spark, f"{scratch}/t")
+
+
+def test_checks_shuffle_packed_keys(spark):
+    child = spark.createDataFrame([(t,) for t in TEXTS], "k string")
+    checks = [Q.Check("u", "unique", "c", "k"), Q.Check("r", "relationships", "c", "k", "p", "k")]
+    tables = {"c": child.union(child.limit(1)), "p": child.where("k <> 'abc'")}
+    seen = Q.observations(tables, checks)
+    aggregate = seen.groupBy("key").count()
+    assert dict(seen.dtypes)["key"] == "string" and "hex(" in aggregate._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r["check_name"], r["value"], r["n_records"]) for r in Q.failing_rows(tables, checks).collect())
+    assert got == [("r", "abc", 1), ("u", TEXTS[0], 2)]
