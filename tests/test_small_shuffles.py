@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from piste.functions.core import packed, unpacked
 from piste.operators import incremental as INC
 from piste.operators import quality as Q
+from piste.operators import sketches as SK
+from piste.plans import catalog
 
 TEXTS = ["d41d8cd98f00b204e9800998ecf8427e", "D41D8CD98F00B204E9800998ECF8427E", "abc", "ab", "", None, "12", "1-2", "é", "\x01ab", "\x00", "0g"]
 
@@ -61,3 +63,16 @@ def test_checks_shuffle_packed_keys(spark):
     assert dict(seen.dtypes)["key"] == "string" and "hex(" in aggregate._jdf.queryExecution().optimizedPlan().toString()
     got = sorted((r["check_name"], r["value"], r["n_records"]) for r in Q.failing_rows(tables, checks).collect())
     assert got == [("r", "abc", 1), ("u", TEXTS[0], 2)]
+
+
+def test_sketch_keys_come_back(spark):
+    df = spark.createDataFrame([(1, t, float(i)) for i, t in enumerate(TEXTS * 3)], "day int, k string, v double")
+    got = {r["k"]: r["values"] for r in SK.sketched(df, ["day", "k"], "v").collect()}
+    assert got == {t: 3 for t in TEXTS}
+
+
+def test_percentiles_join_lines_with_orders_once(spark, monkeypatch):
+    from tests.conftest import SF_SMALL
+
+    out = catalog.wait_percentiles_from_sketches(spark, SF_SMALL)
+    assert "o_orderkey" not in out._jdf.queryExecution().optimizedPlan().toString()
