@@ -6,8 +6,10 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from piste.operators import quality as Q
 from piste.plans import catalog
 from piste.plans import marts as MT
+from piste.plans.declared_tests import declared
 from piste.plans.star import Star
 from piste.session import SHUFFLE_CLEANUP, shuffles_removed, staged
 
@@ -75,6 +77,29 @@ def test_facts_are_shuffled_before_they_are_derived_and_lines_are_joined_once(st
     assert not re.search("l_orderkey#.* = o_orderkey#", plan(loads["fact_rentals"]) + plan(loads["fact_food_beverage"]))
 
 
+def test_checks_of_written_lines_find_what_checks_of_the_star_find(star):
+    from piste.plans.loads import CheckedLoads
+
+    checks = [c for c in declared() if c.table.endswith(("_lift_scans", "_rentals", "_food_beverage"))]
+    assert len(checks) == 25 and {c.kind for c in checks} == {"unique", "not_null", "relationships"}
+    assert rows(Q.failing_rows(CheckedLoads(star, checks), checks)) == rows(Q.failing_rows(star, checks))
+
+
+@pytest.mark.parametrize("query", ["q06_declared_tests"])
+def test_declared_checks_join_lines_with_orders_once(spark, query):
+    from tests.conftest import SF_SMALL
+
+    assert not re.search("l_orderkey#.* = o_orderkey#", plan(catalog.REGISTRY[query](spark, SF_SMALL)))
+
+
+def test_a_check_of_a_column_that_was_not_written_fails(star):
+    from piste.plans.loads import CheckedLoads
+
+    checks = [Q.Check("n", "not_null", "fact_lift_scans", "wait_time_minutes")]
+    with pytest.raises(Exception, match="wait_time_minutes"):
+        Q.run_suite(CheckedLoads(star, checks), checks).collect()
+
+
 def test_a_write_removes_its_shuffle_files(spark):
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
 
