@@ -85,7 +85,7 @@ def test_checks_of_written_lines_find_what_checks_of_the_star_find(star):
     assert rows(Q.failing_rows(CheckedLoads(star, checks), checks)) == rows(Q.failing_rows(star, checks))
 
 
-@pytest.mark.parametrize("query", ["q06_declared_tests"])
+@pytest.mark.parametrize("query", ["q06_declared_tests", "q06_declared_mart_tests"])
 def test_declared_checks_join_lines_with_orders_once(spark, query):
     from tests.conftest import SF_SMALL
 
